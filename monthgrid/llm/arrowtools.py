@@ -71,3 +71,17 @@ class Hashes(dict):
 
 def word_hashes(words: list, known: Hashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+#: The most that is ever broadcast; a larger table is joined by its key instead.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_side(df, bound: int = BROADCAST_BYTES):
+    """Mark a written table for broadcast only where its measured size (text plus 64 bytes a row) is under the bound."""
+    from pyspark.sql import functions as F
+
+    wide = [F.octet_length(F.to_json(F.array(c)) if t.startswith("array") else F.col(c).cast("string")) for c, t in df.dtypes]
+    row = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(64)).cast("bigint")
+    size = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if size <= bound else df.hint("merge")

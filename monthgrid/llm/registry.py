@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, langid, lines, toxicity, urlfilter, warc
 
-QUERIES = {"op1_decontamination": decontam.op1}
-ORACLES = {"op1_decontamination": decontam.SQL}
+QUERIES = {
+    "op1_decontamination": decontam.op1,
+    "op3_line_dedup": lines.op3,
+    "op5_language_id": langid.op5,
+    "op7_toxicity": toxicity.op7,
+    "op8_warc": warc.op8,
+    "op10_url_filter": urlfilter.op10,
+}
+ORACLES = {
+    "op1_decontamination": decontam.SQL,
+    "op3_line_dedup": lines.SQL,
+    "op8_warc": warc.SQL,
+    "op10_url_filter": urlfilter.SQL,
+}
