@@ -1,7 +1,7 @@
 """Language ID by nearest centroid of TF-IDF n-gram vectors.
 
 A text is the vector of its hashed byte trigrams (lower-cased; digits, marks and blanks are one separator),
-weighted by (1 + ln tf) * idf and normalised.  Each language has several centroids, found by spherical k-means
+weighted by ln(1 + tf) * idf and normalised.  Each language has several centroids, found by spherical k-means
 over a sample of about `sample` rows; the prediction is the language of the nearest centroid by cosine.  A
 text whose cosine is under what nearly all training rows of that centroid reach is `rejected`, and its score
 is scaled down below 0.5.  Scoring is one pass without a shuffle over every whole text.
@@ -42,7 +42,7 @@ def counts_of(text: bytes) -> np.ndarray:
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts, where=counts > 0, out=np.zeros(counts.shape)) * idf
+    x = np.log1p(counts, dtype=np.float32) * idf.astype(np.float32)
     norm = np.linalg.norm(x, axis=-1, keepdims=True)
     return x / np.where(norm > 0, norm, 1)
 

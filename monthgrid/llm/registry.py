@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lines, toxicity, urlfilter, warc
+from . import decontam, langid, lines, pieces, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
     "op3_line_dedup": lines.op3,
+    "op4_sentencepiece": pieces.op4,
     "op5_language_id": langid.op5,
     "op7_toxicity": toxicity.op7,
     "op8_warc": warc.op8,

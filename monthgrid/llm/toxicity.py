@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its hashed words.  The machine has a bias, a weight for each term and a vector of
+A text is the set of its hashed terms: its words and their beginnings (for inflected insults), each once for
+every number of occurrences in COUNTS that it reaches.  The machine has a bias, a weight for each term and a vector of
 `factors` numbers for each term whose dot products weigh pairs of terms, so that an insult beside a mention of
 a group can count for more than the two apart.  It is trained here, on at most about `sample` labelled rows
 (drawn by a hash of the id from all rows allowed for learning) and the `terms` terms that tell the classes
@@ -13,6 +14,8 @@ any says so; null labels and ids teach nothing; repeated rows get one result eac
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,28 +24,53 @@ from pyspark.sql import functions as F
 from .arrowtools import small_batches, texts
 from .decontam import words_of
 
-SAMPLE, TERMS, FACTORS, BITS = 20_000, 1_000, 8, 22
+SAMPLE, TERMS, FACTORS, BITS = 10_000, 1_000, 8, 29
 THRESHOLD = 0.7
 
 
 class Rows(dict):
-    """Words to rows of the model (-1: not a term of it), remembered up to a bound."""
+    """Words to the model's stems that they hold, remembered up to a bound; a stem has a row for each count."""
 
     def __init__(self, terms: dict[int, int]) -> None:
         super().__init__()
-        self.terms = terms
+        self.stems: dict[int, list[int]] = {}
+        for term, row in terms.items():
+            self.stems.setdefault(term >> 2, [-1] * len(COUNTS))[term & 3] = row
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple:
         if len(self) > 1_000_000:
             self.clear()
-        row = self[word] = self.terms.get(term_of(word), -1)
-        return row
+        found = self[word] = tuple(s for s in stems_of(word) if s in self.stems)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The model's rows that a text has."""
+        n: dict[int, int] = {}
+        for stems in filter(None, map(self.__getitem__, words)):
+            for s in stems:
+                n[s] = n.get(s, 0) + 1
+        return np.array([r for s, k in n.items() for r, least in zip(self.stems[s], COUNTS) if k >= least and r >= 0], np.int64)
+
 
+#: A stem is a term for each of these numbers of occurrences that a text reaches.
+COUNTS = (1, 2, 4)
 
-def term_of(word: bytes) -> int:
+
+def stems_of(word: bytes) -> list[int]:
+    """A word's own hash and those of its beginnings of 4 to 8 bytes, in steps of 4 to leave room for counts."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word) & ((1 << BITS) - 1)
+    cut = [word + b"$"] + [word[:n] for n in range(4, min(9, len(word)))]
+    return [xxhash.xxh3_64_intdigest(x) & ((1 << BITS) - 1) for x in cut]
+
+
+def terms_of(words: list[bytes]) -> np.ndarray:
+    """The sorted terms of a text."""
+    n: dict[int, int] = {}
+    for word, k in Counter(words).items():
+        for s in stems_of(word):
+            n[s] = n.get(s, 0) + k
+    return np.unique(np.array([s << 2 | i for s, k in n.items() for i, least in enumerate(COUNTS) if k >= least], np.int32))
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, *, terms: int = TERMS, factors: int = FACTORS, epochs: int = 30, seed: int = 7) -> dict:
@@ -98,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, *, doc_id: str = "doc_id"
 
     def terms(batches):
         for batch in batches:
-            out = [np.unique(np.fromiter((term_of(w) for w in set(words_of(t))), np.int32)).tobytes() for t in texts(batch.column(1))]
+            out = [terms_of(words_of(t)).tobytes() for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["y", "terms"])
 
     read = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(drawn, "__id")
@@ -118,7 +146,7 @@ def score(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str = "
         for batch in batches:
             out = []
             for t in texts(batch.column(1)):
-                at = np.fromiter({r for r in map(rows.__getitem__, set(words_of(t))) if r >= 0}, np.int64)
+                at = rows.of(words_of(t))
                 vs = v[at]
                 raw = model["bias"] + w[at].sum() + 0.5 * (vs.sum(axis=0) ** 2 - (vs**2).sum(axis=0)).sum()
                 out.append(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
@@ -152,7 +180,7 @@ def drop_toxic(docs: DataFrame, model: dict, *, text: str = "text", threshold: f
         for batch in batches:
             keep = []
             for t in texts(batch.column(at_text)):
-                at = np.fromiter({r for r in map(rows.__getitem__, set(words_of(t))) if r >= 0}, np.int64)
+                at = rows.of(words_of(t))
                 vs = v[at]
                 raw = model["bias"] + w[at].sum() + 0.5 * (vs.sum(axis=0) ** 2 - (vs**2).sum(axis=0)).sum()
                 keep.append(1 / (1 + np.exp(-np.clip(raw, -30, 30))) < threshold)
