@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lines, pieces, toxicity, urlfilter, warc
+from . import decontam, langid, lines, nndescent, partenum, pieces, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
     "op3_line_dedup": lines.op3,
     "op4_sentencepiece": pieces.op4,
     "op5_language_id": langid.op5,
+    "op6_ngram_jaccard": partenum.op6,
     "op7_toxicity": toxicity.op7,
     "op8_warc": warc.op8,
+    "op9_embedding_dedup": nndescent.op9,
     "op10_url_filter": urlfilter.op10,
 }
 ORACLES = {
     "op1_decontamination": decontam.SQL,
     "op3_line_dedup": lines.SQL,
+    "op6_ngram_jaccard": partenum.SQL,
     "op8_warc": warc.SQL,
+    "op9_embedding_dedup": nndescent.SQL,
     "op10_url_filter": urlfilter.SQL,
 }
