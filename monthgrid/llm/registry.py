@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lines, nndescent, partenum, pieces, toxicity, urlfilter, warc
+from . import decontam, langid, lines, nndescent, partenum, pieces, suffix, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
+    "op2_suffix_array_dedup": suffix.op2,
     "op3_line_dedup": lines.op3,
     "op4_sentencepiece": pieces.op4,
     "op5_language_id": langid.op5,
