@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from monthgrid.plans import arms, detectors, evaluation, joining, panels, scalars, signals
+from monthgrid.plans.panels import flagship
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+MODULES = (panels, joining, evaluation, scalars, signals, detectors, arms)
+QUERIES = {name: f for m in MODULES for name, (f, _) in m.BOOK.items()}
+ORACLES = {name: sql for m in MODULES for name, (_, sql) in m.BOOK.items() if sql}
 
-
-def query(name: str, sql: str | None = None):
-    """Register a query; `sql` is the same query for an independent engine."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
