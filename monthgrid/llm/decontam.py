@@ -158,25 +158,11 @@ def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, window: int, b
         yield block.seal()
 
 
-def find_windows(
-    docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", window: int = 10, block_windows: int = 200_000,
-) -> DataFrame:
-    """One row for each row of docs: id, n_words, spans (merged [start, end) word ranges), items (sorted ids)."""
+def indexed_blocks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_windows: int = 200_000):
+    """The blocks as broadcasts, each with its windows under their rarest shingles by the counts of all texts."""
     spark = docs.sparkSession
     small_batches(spark)
-    read = docs.select(F.col(doc_id), F.col(text).cast("string").alias(f"{MARK}text"))
-    kind = read.schema[0].dataType.simpleString()
-    out = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
-    state = read.select(
-        F.col(doc_id).alias(f"{MARK}id"), f"{MARK}text", F.lit(0).cast("bigint").alias("n_words"),
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"),
-        F.expr("cast(array() as array<string>)").alias("items"),
-    )
-    blocks = blocks_of(benchmark, item_id, item_text, window, block_windows)
-    block = next(blocks, None) or Block().seal()
-    while block:
-        following = next(blocks, None)
+    for block in blocks_of(benchmark, item_id, item_text, window, block_windows):
         shared = spark.sparkContext.broadcast(block)
 
         def counting(batches, shared=shared):
@@ -191,15 +177,35 @@ def find_windows(
                     [pa.array(np.full(len(j), q, np.int64)), pa.array(j), pa.array(counts[j])], names=["q", "j", "n"]
                 )
 
-        rarity = read.select(f"{MARK}text").mapInArrow(counting, "q bigint, j bigint, n bigint")
+        rarity = docs.select(F.col(text).cast("string")).mapInArrow(counting, "q bigint, j bigint, n bigint")
         rarity = rarity.groupBy("q", "j").agg(F.sum("n").alias("n")).collect()  # at most one row for each shingle of the block
         counts = {q: np.zeros(len(k), np.int64) for q, k in block.keys.items()}
         for q, j, n in rarity:
             counts[q][j] = n
         block.index(counts)
-        indexed = spark.sparkContext.broadcast(block)
-        schema = f"{MARK}id {kind}, {MARK}text string, {out}" if following else f"{MARK}id {kind}, {out}"
-        state = state.mapInArrow(matcher(indexed, bool(following)), schema)
+        yield spark.sparkContext.broadcast(block)
+
+
+def find_windows(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row for each row of docs: id, n_words, spans (merged [start, end) word ranges), items (sorted ids)."""
+    read = docs.select(F.col(doc_id), F.col(text).cast("string").alias(f"{MARK}text"))
+    kind = read.schema[0].dataType.simpleString()
+    out = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+    state = read.select(
+        F.col(doc_id).alias(f"{MARK}id"), f"{MARK}text", F.lit(0).cast("bigint").alias("n_words"),
+        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"),
+        F.expr("cast(array() as array<string>)").alias("items"),
+    )
+    blocks = indexed_blocks(docs, benchmark, text=text, **options)
+    block = next(blocks, None)
+    if block is None:
+        empty = Block().seal()
+        empty.index({})
+        block = docs.sparkSession.sparkContext.broadcast(empty)
+    while block is not None:
+        following = next(blocks, None)
+        schema = f"{MARK}id {kind}, {MARK}text string, {out}" if following is not None else f"{MARK}id {kind}, {out}"
+        state = state.mapInArrow(matcher(block, following is not None), schema)
         block = following
     return state.select(F.col(f"{MARK}id").alias(doc_id), "n_words", "spans", "items")
 
@@ -240,11 +246,19 @@ def contamination(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no window, all columns kept; documents are told apart by a non-null id."""
-    bad = find_windows(docs, benchmark, doc_id=doc_id, text=text, **options).filter(F.size("spans") > 0)
-    bad = bad.select(F.col(doc_id).alias(f"{MARK}bad")).distinct()
-    return docs.join(bad, docs[doc_id] == F.col(f"{MARK}bad"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The rows of docs that hold no window of an item; all columns kept, nothing shuffled."""
+    at, schema, clean = docs.columns.index(text), docs.schema, docs
+    for shared in indexed_blocks(docs, benchmark, text=text, **options):
+
+        def run(batches, shared=shared):
+            block = shared.value
+            for batch in batches:
+                keep = [not occurrences(block, known_ids(words_of(t), block.vocabulary)) for t in texts(batch.column(at))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        clean = clean.mapInArrow(run, schema)
+    return clean
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,22 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A text is the set of its word shingles; two link when 100 |A & B| >= 80 |A | B|.  Sizes fall into bands r, 1.6 r,
-2.56 r ...; a pair that links differs in at most (|A| + |B|) / 9 elements, so when the feature domain is cut into
-more parts than that, the two agree on a part (the one-level case of PartEnum: subsets of one part each).  Each
-band has 0.26 r + 2 parts, and a set gives one signature for each part that holds some of its elements, in its own
-band and, where a partner may lie there, in the band below.  A set with so few non-empty parts that an agreeing
-one might be empty also gives signatures of its empty parts, so no pair is lost.
-
-Equal sets are one node (the digest of the set).  Buckets of one signature are resolved by rounds: the least and
-the greatest node of each, then the least with every other, verified on the texts themselves; what a component
-holds already is not compared again.  What stays open is paired within buckets of at most `bucket` nodes; larger
-ones are first split by signatures of another cut of the domain, which every true pair of the bucket shares too.
+2.56 r ...; a pair that links differs in at most k = (|A| + |B|) / 9 elements, so when the feature domain is cut into
+more than k parts, the two agree on a part (the one-level case of PartEnum: subsets of one part each).  Each band has
+0.28 r + 2 parts, and a set gives one signature for each part that holds some of its elements, in its own band and,
+where a partner may lie there, in the band below.
+
+Leaving elements out of the domain keeps the bound on differences, so the signatures are drawn from the rarer
+shingles: those that whole batches of texts repeat (at most `common` of them, a broadcast of known size) are left
+out, and a passage that very many texts share makes no bucket.  A set with more than k non-empty parts left is sure
+to agree with any partner on one of them.  Any other set also signs over the whole domain, empty parts included if
+it has too few others, and so does every such partner of it: no pair is lost.
+
+Equal sets are one node (the digest of the set).  One shuffle brings signatures together; they are streamed in
+order, never gathered, and each bucket pairs its least node with every other.  Pairs are verified first by parity
+sketches, whose differing bits can't outnumber the differing elements, then by the whole sets.  Members that a
+component holds already are not compared again; what stays open is paired within buckets of at most `bucket` nodes,
+and larger ones are compared in tiles, by sketches, out of which only likely pairs come.
 
 Defined results: null and wordless texts have no shingles and link with nothing; a text of fewer words than a
 shingle is one shingle; repeated ids are rows of their own; an empty table gives an empty table; other columns
@@ -28,25 +34,60 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import Hashes, mix64, small_batches, texts, word_hashes, written
+from .arrowtools import mix64, small_batches, small_side, texts, written
 from .components import components
 
-SHINGLE, BUCKET, STEP = 5, 64, 1.6
+SHINGLE, BUCKET, STEP, COMMON = 5, 64, 1.6, 200_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def shingle_set(text: bytes | None, known: Hashes, q: int = SHINGLE) -> np.ndarray:
+class Powers:
+    """The powers of an odd number and of its inverse, modulo 2**64, as far as they were needed."""
+
+    base = 0x9E3779B97F4A7C15 | 1
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int):
+        while len(cls.up) <= n:
+            k = len(cls.up)
+            cls.up = np.concatenate((cls.up, cls.up * np.uint64(pow(cls.base, k, 1 << 64))))
+            cls.down = np.concatenate((cls.down, cls.down * np.uint64(pow(cls.base, -k, 1 << 64))))
+        return cls.up, cls.down
+
+
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_codes(text: bytes, piece: int = 1 << 20) -> np.ndarray:
+    """A hash of each blank-separated word of a lower-cased text, without a Python object for it."""
+    out, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + piece)
+        while end < len(text) and not BLANK[text[end]]:
+            end += 1
+        b = np.frombuffer(text, np.uint8, end - at, at)
+        edge = np.diff(np.concatenate(([True], BLANK[b], [True])).astype(np.int8))
+        start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        up, down = Powers.to(len(b))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(b * up[: len(b)])))
+        size = (stop - start).astype(np.uint64)
+        out.append(mix64((total[stop] - total[start]) * down[start] ^ size * ODD[4]))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingle_set(text: bytes | None, q: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    words = text.translate(LOWER).split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words, known)
+    h = word_codes(text.translate(LOWER)) if text else np.empty(0, np.uint64)
+    if not len(h):
+        return h
     n = max(1, len(h) - q + 1)
     code = np.full(n, min(len(h), q), np.uint64)
     for j in range(min(q, len(h))):
         code = (code ^ (h[j : j + n] * ODD[j % 5])) * ODD[(j + 1) % 5]
         code ^= code >> np.uint64(31)
-    return np.unique(mix64(code))
+    return np.unique(code)
 
 
 #: Lower-cases A-Z; bytes.split() then cuts at \x20 and \x09-\x0D.
@@ -66,65 +107,102 @@ def band_of(size: int) -> int:
     return band
 
 
-def signatures(h: np.ndarray, seed: int = 0) -> np.ndarray:
-    """The signatures of a set of mixed hashes; another seed cuts the domain otherwise."""
+def signatures(h: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of a set of hashes; common: sorted, left out where it can be."""
     s, out = len(h), []
-    x = mix64(h + np.uint64(seed * int(ODD[0]) & (2**64 - 1))) if seed else h
-    mixed = mix64(x ^ ODD[3])
+    rare = h
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        rare = h[common[at] != h]
     own = band_of(s)
     for band in (own, own - 1):
         if band < 0 or (band < own and 4 * s > 5 * bound(band)):
             continue
-        parts = int(np.ceil(0.26 * bound(band))) + 2
-        part = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.argsort(part)
-        cut = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) > 0)))
-        total = np.add.reduceat(mixed[order], cut)
-        salt = np.uint64(((band + 1) * int(ODD[2]) ^ (seed + 1)) & (2**64 - 1))
-        place = mix64((part[order][cut] + np.uint64(1)) * ODD[1] ^ salt)
-        out.append(mix64(total ^ place))
-        most = int(min(2.25 * s, s + 1.25 * bound(band)) / 9 + 1e-9)
-        if len(cut) <= most:  # an agreeing part might be empty
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part)
-            out.append(mix64((empty + np.uint64(1)) * ODD[4] ^ salt))
+        partner = min(1.25 * s, 1.25 * bound(band) if band == own else bound(band))  # one of the upper band has the lower as its other
+        most = int((s + partner) / 9 + 1e-9)
+        signs, filled, _ = part_signatures(rare, band, 0)
+        out.append(signs)
+        if filled <= most:  # agreement on a rare part isn't certain
+            signs, filled, empty = part_signatures(h, band, 1)
+            out += [signs] if filled > most else [signs, empty]
     return np.concatenate(out).view(np.int64)
 
 
+def part_signatures(h: np.ndarray, band: int, kind: int):
+    """(signatures of the non-empty parts, their number, signatures of the empty parts) of a band's cut."""
+    parts = int(np.ceil(0.28 * bound(band))) + 2
+    salt = np.uint64(((2 * band + kind + 1) * int(ODD[2])) & (2**64 - 1))
+    x = mix64(h ^ np.uint64((kind + 1) * int(ODD[0]) & (2**64 - 1)))
+    part = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    order = np.argsort(x)  # also the order of parts
+    cut = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) > 0))) if len(x) else np.empty(0, np.int64)
+    total = np.add.reduceat(mix64(x ^ ODD[3])[order], cut) if len(cut) else np.empty(0, np.uint64)
+    signs = mix64(total ^ mix64((part[order][cut] + np.uint64(1)) * ODD[1] ^ salt))
+    empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part)
+    return signs, len(cut), mix64((empty + np.uint64(1)) * ODD[4] ^ salt)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """The parity of the number of elements in each of about |h| cells (a power of two): sketches of two sets, folded
+    to one length, differ in no more bits than the sets differ in elements."""
+    m = max(64, 1 << int(np.ceil(np.log2(max(len(h), 1)))))
+    cells = (mix64(h ^ ODD[2]) & np.uint64(m - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(n: int, a: bytes, m: int, b: bytes) -> bool:
+    """False only for pairs that can't link, by their sizes or their sketches."""
+    if 100 * min(n, m) < 80 * max(n, m):
+        return False
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= (n + m) // 9
+
+
 def digests(docs: DataFrame, doc_id: str, text: str, q: int) -> DataFrame:
-    """(id, n, digest): digest is null for empty sets."""
+    """(id, n, digest, ...) of each row (digest is null for empty sets); and (common, times) of shingles that three or
+    more texts of a batch hold, in rows whose n is null."""
 
     def run(batches):
-        known = Hashes()
         for batch in batches:
-            sets = [shingle_set(t, known, q) for t in texts(batch.column(1))]
+            sets = [shingle_set(t, q) for t in texts(batch.column(1))]
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            h, k = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
+            h, k = h[k >= 3].view(np.int64), k[k >= 3]
+            no = lambda kind, n: pa.nulls(n, kind)
+            names = ["id", "n", "digest", "common", "times"]
+            size = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())], names=["id", "n", "digest"]
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), no(pa.int64(), size), no(pa.int64(), size)], names=names
             )
+            yield pa.RecordBatch.from_arrays([no(batch.column(0).type, len(h)), no(pa.int64(), len(h)), no(pa.binary(), len(h)), pa.array(h), pa.array(k.astype(np.int64))], names=names)
 
     read = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string"))
-    return read.mapInArrow(run, f"id {read.schema[0].dataType.simpleString()}, n bigint, digest binary")
+    return read.mapInArrow(run, f"id {read.schema[0].dataType.simpleString()}, n bigint, digest binary, common bigint, times bigint")
 
 
 def node_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def signed(docs: DataFrame, text: str, q: int) -> DataFrame:
+def signed(docs: DataFrame, text: str, q: int, common: np.ndarray) -> DataFrame:
     """(sig, node) of every text; copies within one batch give one node's rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        known = Hashes()
         for batch in batches:
             seen, sigs, nodes = set(), [], []
             for t in texts(batch.column(0)):
-                s = shingle_set(t, known, q)
+                s = shingle_set(t, q)
                 if not len(s):
                     continue
                 node = node_of(xxhash.xxh3_128_digest(s.tobytes()))
                 if node not in seen:
                     seen.add(node)
-                    sigs.append(signatures(s))
+                    sigs.append(signatures(s, shared.value))
                     nodes.append(np.full(len(sigs[-1]), node))
             flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat(sigs)), pa.array(flat(nodes))], names=["sig", "node"])
@@ -132,101 +210,165 @@ def signed(docs: DataFrame, text: str, q: int) -> DataFrame:
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "sig bigint, node bigint")
 
 
+def starred(sigs: DataFrame) -> DataFrame:
+    """(sig, a, node) for each node of a bucket but its least, which is a.  Buckets are streamed, not gathered."""
+    parts = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        sig, least, last = None, 0, 0
+        for batch in batches:
+            s, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(s):
+                continue
+            fresh = np.concatenate(([sig is None or s[0] != sig], s[1:] != s[:-1]))
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(s)), -1))
+            a = np.where(begin >= 0, n[np.maximum(begin, 0)], least)
+            before = np.concatenate(([last], n[:-1]))
+            keep = (n != a) & (fresh | (n != before))
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(a[keep]), pa.array(n[keep])], names=["sig", "a", "node"])
+            sig, least, last = s[-1], a[-1], n[-1]
+
+    return sigs.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig bigint, a bigint, node bigint")
+
+
 def packed(docs: DataFrame, text: str, q: int) -> DataFrame:
-    """(node, z): the compressed text of every row with a set."""
+    """(node, n, sketch, z) of every row with a set; z is the compressed text."""
 
     def run(batches):
-        known, z = Hashes(), zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            nodes, data, seen = [], [], set()
+            rows, seen = [], set()
             for t in texts(batch.column(0)):
-                s = shingle_set(t, known, q)
+                s = shingle_set(t, q)
                 if len(s) and (node := node_of(xxhash.xxh3_128_digest(s.tobytes()))) not in seen:
                     seen.add(node)
-                    nodes.append(node)
-                    data.append(z.compress(t))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], names=["node", "z"])
+                    rows.append((node, len(s), sketch(s), z.compress(t)))
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "sketch", "z"]
+            )
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node bigint, z binary")
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node bigint, n bigint, sketch binary, z binary")
 
 
 def verified(pairs: DataFrame, stored: DataFrame, q: int) -> DataFrame:
-    """(a, b, ok) for each pair of nodes, by their whole sets."""
-    left = stored.select(F.col("node").alias("a"), F.col("z").alias("za"))
-    right = stored.select(F.col("node").alias("b"), F.col("z").alias("zb"))
+    """(a, b, ok) for each pair of nodes: by sketches, then by the whole sets."""
+    side = lambda name, *columns: stored.select(F.col("node").alias(name), *(F.col(c).alias(c + name) for c in columns))
 
-    def run(batches):
-        known, z, last = Hashes(), zstandard.ZstdDecompressor(), (None, None)
+    def filtered(batches):
+        for batch in batches:
+            n, a, m, b = (batch.column(i).to_pylist() for i in range(2, 6))
+            ok = [may_link(*x) for x in zip(n, a, m, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    def compared(batches):
+        z, last = zstandard.ZstdDecompressor(), (None, None)
         for batch in batches:
             ok = []
             for za, zb in zip(batch.column(2), batch.column(3)):
                 a, b = za.as_py(), zb.as_py()
                 if last[0] != a:
-                    last = (a, shingle_set(z.decompress(a), known, q))
-                other = shingle_set(z.decompress(b), known, q)
+                    last = (a, shingle_set(z.decompress(a), q))
+                other = shingle_set(z.decompress(b), q)
                 both = len(np.intersect1d(last[1], other, assume_unique=True))
                 ok.append(100 * both >= 80 * (len(last[1]) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint, ok boolean")
-
-
-def resigned(members: DataFrame, stored: DataFrame, q: int, seed: int) -> DataFrame:
-    """Buckets split by the signatures of another cut: (sig, node) again."""
-
-    def run(batches):
-        known, z = Hashes(), zstandard.ZstdDecompressor()
-        for batch in batches:
-            out, nodes = [], []
-            for node, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out.append(signatures(shingle_set(z.decompress(data.as_py()), known, q), seed))
-                nodes.append(np.full(len(out[-1]), node))
-            flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat(nodes)), pa.array(flat(out))], names=["node", "also"])
-
-    more = members.select("node").distinct().join(stored, "node").mapInArrow(run, "node bigint, also bigint")
-    return members.join(more, "node").select(F.xxhash64("sig", "also").alias("sig"), "node")
-
-
-def links_of(docs: DataFrame, text: str, q: int, bucket: int, depth: int = 3) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links between nodes that connect all that link, and the components' labels."""
-    sigs = signed(docs, text, q)
-    ends = written(sigs.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b"), "buckets")
-    open_ = written(
-        sigs.join(ends.filter("n > 2").select("sig", "a", "b"), "sig").select("sig", "node", "a").distinct(), "members"
-    )
-    pairs = written(
-        ends.select("a", "b").unionByName(open_.filter("node <> a").select("a", F.col("node").alias("b"))).distinct(), "pairs"
-    )
+    kind = "a bigint, b bigint, ok boolean"
+    likely = pairs.join(side("b", "n", "sketch"), "b").join(side("a", "n", "sketch"), "a").select("a", "b", "na", "sketcha", "nb", "sketchb")
+    likely = written(likely.mapInArrow(filtered, kind), "likely")
+    exact = likely.filter("ok").select("a", "b").join(side("b", "z"), "b").join(side("a", "z"), "a").select("a", "b", "za", "zb").mapInArrow(compared, kind)
+    return likely.filter("not ok").unionByName(exact)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of one sketch with each row of another size's sketches, folded to the shorter."""
+    while len(x) > y.shape[1]:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while y.shape[1] > len(x):
+        y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+    return np.bitwise_count(y ^ x).sum(axis=1, dtype=np.int64)
+
+
+def tiled(members: DataFrame, stored: DataFrame, tile: int, closest: int | None) -> DataFrame:
+    """(a, b) that may link and are of two components, from buckets cut into tiles of about `tile` by `tile` nodes:
+    sketches are compared where they are, and only what passes leaves: all of it, or the `closest` of each node."""
+    own = members.withColumn("parts", F.ceil(F.col("n") / tile)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("n")
+    first = F.expr("transform(sequence(own, parts - 1), j -> struct(own as p, j as q, true as left))")
+    second = F.expr("transform(sequence(0, own), i -> struct(i as p, own as q, false as left))")
+    rows = own.withColumn("x", F.explode(F.concat(first, second))).select("sig", "x.p", "x.q", "x.left", "node", "label")
+    rows = rows.join(stored.select("node", "n", "sketch"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+        bits = [np.frombuffer(b, np.uint64) for b in table.column("sketch").to_pylist()]
+        right = np.flatnonzero(~left)
+        sizes = {w: np.array([j for j in right if len(bits[j]) == w]) for w in {len(bits[j]) for j in right}}
+        stacked = {w: np.stack([bits[j] for j in js]) for w, js in sizes.items()}
+        alone = table.column("p")[0] == table.column("q")[0]
+        out: list[np.ndarray] = []
+        for i in np.flatnonzero(left):
+            near, far = [], []
+            for w, js in sizes.items():
+                ok = (label[js] != label[i]) & (5 * np.minimum(n[js], n[i]) >= 4 * np.maximum(n[js], n[i]))
+                if alone and not closest:
+                    ok &= node[js] > node[i]
+                if ok.any():
+                    d = differing(bits[i], stacked[w][ok])
+                    fits = d <= (n[js[ok]] + n[i]) // 9
+                    near.append(js[ok][fits])
+                    far.append(d[fits])
+            if near:
+                js = np.concatenate(near)
+                js = js[np.argsort(np.concatenate(far), kind="stable")[:closest]]
+                out.append(np.stack([np.minimum(node[js], node[i]), np.maximum(node[js], node[i])]))
+        pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return rows.groupBy("sig", "p", "q").applyInArrow(run, "a bigint, b bigint")
+
+
+def component_labels(docs: DataFrame, text: str, q: int, bucket: int, common: np.ndarray) -> DataFrame:
+    """(node, label) of all nodes that link with others."""
+    open_ = written(starred(signed(docs, text, q, common)), "members")
+    pairs = written(open_.select("a", F.col("node").alias("b")).distinct(), "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    stored = written(packed(docs, text, q).join(involved, "node", "left_semi").groupBy("node").agg(F.min("z").alias("z")), "texts")
+    stored = written(packed(docs, text, q).join(small_side(written(involved, "involved")), "node", "left_semi").groupBy("node").agg(F.min(F.struct("n", "sketch", "z")).alias("t")).select("node", "t.*"), "texts")
     tested = written(verified(pairs, stored, q), "tested")
-    links, members, level = tested.filter("ok").select("a", "b"), open_.select("sig", "node"), 0
-    while True:
-        label = components(links)
-        named = members.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-        left = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-        members = written(named.join(left.select("sig", "n"), "sig"), "open")
-        small, large = members.filter(F.col("n") <= bucket), members.filter(F.col("n") > bucket)
-        if level >= depth:
-            small, large = members, members.limit(0)
-        x, y = small.select("sig", F.col("node").alias("a"), F.col("label").alias("la")), small.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-        fresh = x.join(y, "sig").filter("a < b and la <> lb").select("a", "b").distinct()
-        fresh = written(fresh.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if fresh.limit(1).count():
-            more = written(verified(fresh, stored, q), "tested")
-            tested, links = tested.unionByName(more), links.unionByName(more.filter("ok").select("a", "b"))
-        if not large.limit(1).count():
-            return links, components(links)
-        members, level = written(resigned(large.select("sig", "node"), stored, q, level + 1), "members"), level + 1
-
-
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    links = tested.filter("ok").select("a", "b")
+    members = open_.select("sig", "node").unionByName(open_.select("sig", F.col("a").alias("node")).distinct())
+    for closest in (3, 3, None):  # the first rounds join large groups by few pairs; the last leaves no pair out
+        left = still_open(members, components(links))
+        small, large = left.filter(F.col("n") <= bucket), left.filter(F.col("n") > bucket)
+        if closest and not large.limit(1).count():
+            continue
+        fresh = tiled(large, stored, 4 * bucket, closest)
+        if not closest:
+            side = lambda name: small.select("sig", F.col("node").alias(name), F.col("label").alias("l" + name))  # noqa: E731, B023
+            fresh = fresh.unionByName(side("a").join(side("b"), "sig").filter("a < b and la <> lb").select("a", "b"))
+        fresh = written(fresh.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(written(verified(fresh, stored, q), "tested"))
+        links = tested.filter("ok").select("a", "b")
+    return components(links)
+
+
+def still_open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(sig, node, label, n) of the buckets that hold more than one component; of those with the same nodes, one."""
+    named = members.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    left = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *same).filter("lo < hi")
+    left = left.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n")
+    return written(named.join(left, "sig"), "open")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, common: int = COMMON) -> DataFrame:
     """(id, n_shingles, component_id) for each row; component_id is the least id reachable by links."""
     small_batches(docs.sparkSession)
-    rows = written(digests(docs, doc_id, text, shingle), "sets")
-    rows = rows.withColumn("node", little_endian("digest"))
-    _, label = links_of(docs, text, shingle, bucket)
+    made = written(digests(docs, doc_id, text, shingle), "sets")
+    often = made.filter("n is null").groupBy("common").agg(F.sum("times").alias("times")).filter("times >= 24").orderBy(F.desc("times"), "common").limit(common)
+    rows = made.filter("n is not null").select("id", "n", little_endian("digest").alias("node"))
+    label = component_labels(docs, text, shingle, bucket, np.sort(np.array([r.common for r in often.collect()], np.int64).view(np.uint64)))
     classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = classes.join(label, "node", "left").filter(F.col("label").isNotNull() | (F.col("copies") > 1))
     named = written(named.select("node", "least", F.coalesce("label", "node").alias("label")), "classes")
@@ -246,8 +388,8 @@ def little_endian(column: str):
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs whose id is the least of their component; all columns kept."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    gone = found.filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    gone = written(found.filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("__gone")).distinct(), "gone")
+    return docs.join(small_side(gone), docs[doc_id] == F.col("__gone"), "left_anti")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontam, langid, lines, nndescent, partenum, pieces, suffix, toxicity, urlfilter, warc
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_warc": warc.op8,
     "op9_embedding_dedup": nndescent.op9,
     "op10_url_filter": urlfilter.op10,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_decontamination": decontam.SQL,
