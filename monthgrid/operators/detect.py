@@ -224,7 +224,7 @@ def retrospective(series: DataFrame, value: str = "y", models=("l1", "l2", "rbf"
         x = (x - x.mean()) / max(x.std(), 1e-8)
         a, m, p = pdf["algorithm"][0], pdf["model"][0], pdf["penalty"][0]
         breaks = (optimal_breaks if a == "pelt" else greedy_breaks)(x, p, m)
-        return pd.DataFrame({"algorithm": a, "model": m, "penalty": p, "break_period": [pdf["period"][b] for b in breaks]})
+        return pd.DataFrame([(a, m, p, pdf["period"][b]) for b in breaks], columns=["algorithm", "model", "penalty", "break_period"])
 
     rows = series.filter(F.col(value).isNotNull()).select("period", value)
     return rows.join(F.broadcast(grid)).groupBy("algorithm", "model", "penalty").applyInPandas(run, "algorithm string, model string, penalty double, break_period date")

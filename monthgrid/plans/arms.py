@@ -1 +1,54 @@
+"""Queries of the forecast arms: fits, so rows only."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from monthgrid.operators import folds, forecast
+from monthgrid.operators.panel import direct
+from monthgrid.operators.windows import by
+from monthgrid.plans.book import register
+from monthgrid.plans.panels import observed, panel, r
+
 BOOK: dict = {}
+
+
+@register(BOOK, "ts13_trend_arm")
+def ts13(spark, sf):
+    rows = observed(spark, sf)
+    return r(forecast.trend_arm(rows.filter(F.col("period") < "2001-01-01"), rows.filter(F.col("period") >= "2001-01-01")), pred=2)
+
+
+def supervised(spark, sf):
+    w = by()
+    rows = panel(spark, sf).select("mo", "period", "y", F.lag("y", 1).over(w).alias("y_lag_1"), F.lag("y", 12).over(w).alias("y_lag_12"), F.month("period").alias("month"))
+    made = direct(rows, 1)
+    return folds.assign(made, folds.fold_table(made))
+
+
+@register(BOOK, "ts14_boosting_arm")
+def ts14(spark, sf):
+    rows = supervised(spark, sf).filter("fold = 0")
+    out = forecast.boosting_arm(rows.filter("role = 'train'"), rows.filter("role = 'test'"), ["y_lag_1", "y_lag_12", "month"], trees=5)
+    return r(out.select("mo", "origin", "target", "pred", "model"), pred=2)
+
+
+@register(BOOK, "ts21_cross_validation")
+def ts21(spark, sf):
+    fit = lambda train, test: forecast.boosting_arm(train, test, ["y_lag_1", "y_lag_12"], trees=3)
+    return r(forecast.cross_validate(supervised(spark, sf), fit).select("fold", "mo", "origin", "target", "pred"), pred=2)
+
+
+@register(BOOK, "ts15_ts16_foundation_adapter")
+def ts15(spark, sf):
+    """Without a pretrained model the arm is the last value, and says so."""
+    from monthgrid.operators.submit import last_value_arm
+
+    rows = observed(spark, sf)
+    return last_value_arm(rows.filter(F.col("period") < "2001-01-01"), rows.filter(F.col("period") >= "2001-01-01").select("mo", "period"))
+
+
+@register(BOOK, "ts17_recursive_path")
+def ts17(spark, sf):
+    seasonal = lambda f: f["y_lag_12"] if f["y_lag_12"] is not None else f["y_lag_1"]
+    return forecast.recursive_arm(observed(spark, sf), "2000-12-01", 13, seasonal)

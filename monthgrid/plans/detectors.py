@@ -1 +1,180 @@
+"""Queries of the structural-break detectors and what is made of their alerts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from monthgrid.operators import detect, topology
+from monthgrid.operators.windows import by
+from monthgrid.plans.book import ARMS, MONTH, OBSERVED, PANEL, register, sql
+from monthgrid.plans.joining import arms
+from monthgrid.plans.panels import observed, panel, r
+
 BOOK: dict = {}
+P24 = "ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING"
+RES = ARMS + f""", res AS (SELECT mo, period, abs(target - pred_boost) AS s, target - pred_boost AS residual FROM oof),
+bar AS (SELECT *, CASE WHEN count(s) OVER p >= 4 THEN s / greatest(least(avg(s) OVER p + 1.8 * stddev_samp(s) OVER p, quantile_cont(s, 0.9) OVER p), 1e-8) END AS score FROM res WINDOW p AS (PARTITION BY mo ORDER BY period {P24})),
+alarms AS (SELECT mo, period, score, score IS NOT NULL AS eligible, coalesce(score >= 1, FALSE) AS shock, month(period) IN (2, 7) AS news_alert, month(period) <> 9 AS news_eligible FROM bar)"""
+
+
+def residuals(spark, sf):
+    rows = arms(spark, sf).select("mo", "period", (F.col("target") - F.col("pred_boost")).alias("residual"))
+    m = F.month("period")
+    return detect.residual_barrier(rows).withColumns({"news_alert": m.isin(2, 7), "news_eligible": m != 9})
+
+
+@register(BOOK, "ts3_residual_barrier", sql(RES, "SELECT mo, period, round(score, 5) AS residual_score, eligible AS residual_eligible, shock AS residual_shock FROM alarms"))
+def ts3(spark, sf):
+    return r(residuals(spark, sf).select("mo", "period", "residual_score", "residual_eligible", "residual_shock"), residual_score=5)
+
+
+@register(BOOK, "ts4_residual_news", sql(RES, "SELECT mo, period, eligible AND coalesce(bool_or(news_eligible) OVER w, FALSE) AS residual_news_eligible, eligible AND coalesce(bool_or(news_eligible) OVER w, FALSE) AND coalesce(bool_or(news_alert) OVER w, FALSE) AND coalesce(score > 1, FALSE) AS residual_news_shock FROM alarms WINDOW w AS (PARTITION BY mo ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"))
+def ts4(spark, sf):
+    return detect.residual_news(residuals(spark, sf)).select("mo", "period", "residual_news_eligible", F.coalesce("residual_news_shock", F.lit(False)).alias("residual_news_shock"))
+
+
+@register(BOOK, "ag5_alert_share", sql(RES, "SELECT period, count(*) FILTER (eligible) AS eligible, round(count(*) FILTER (shock AND eligible) / nullif(count(*) FILTER (eligible), 0), 6) AS share FROM alarms GROUP BY period"))
+def ag5(spark, sf):
+    return r(detect.alert_share(residuals(spark, sf), "residual_shock", "residual_eligible"), share=6)
+
+
+@register(BOOK, "ag13_macro_events", sql(RES, f""", sh AS (SELECT period, count(*) FILTER (shock AND eligible) / nullif(count(*) FILTER (eligible), 0) AS share FROM alarms GROUP BY period),
+h AS (SELECT *, {MONTH.format('period')} - row_number() OVER (ORDER BY period) AS island FROM sh WHERE share >= 0.085),
+k AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY island ORDER BY period) - 1) / 2) AS INTEGER) AS pair FROM h)
+SELECT period AS event, round(share, 6) AS share FROM k QUALIFY row_number() OVER (PARTITION BY island, pair ORDER BY share DESC, period) = 1""").replace("\n, sh", ", sh"))
+def ag13(spark, sf):
+    shares = detect.alert_share(residuals(spark, sf), "residual_shock", "residual_eligible")
+    return r(detect.macro_events(shares), share=6)
+
+
+@register(BOOK, "pf11_detected_months", sql(RES, "SELECT DISTINCT period FROM alarms WHERE shock ORDER BY period"))
+def pf11(spark, sf):
+    rows = residuals(spark, sf)
+    column = next(c for c in ("residual_macro_shock", "residual_shock") if c in rows.columns)
+    return rows.filter(column).select(F.trunc("period", "month").alias("period")).distinct().orderBy("period")
+
+
+@register(BOOK, "ts1_series_checks", sql(PANEL, f"SELECT mo, count(*) AS n, TRUE AS unique_months, max({MONTH.format('period')}) - min({MONTH.format('period')}) + 1 = count(*) AS contiguous, count(y) = count(*) AS finite FROM panel GROUP BY mo"))
+def ts1(spark, sf):
+    return detect.check_series(panel(spark, sf))
+
+
+TAKENS = OBSERVED + """, v AS (SELECT mo, period, lag(y, 4) OVER w AS a, lag(y, 3) OVER w AS b, lag(y, 2) OVER w AS c, lag(y, 1) OVER w AS d, y AS e FROM obs WINDOW w AS (PARTITION BY mo ORDER BY period)),
+sd AS (SELECT *, list_stddev_pop([a, b, c]) AS s1, list_stddev_pop([b, c, d]) AS s2, list_stddev_pop([c, d, e]) AS s3 FROM v),
+ds AS (SELECT mo, period, CASE WHEN a IS NOT NULL THEN list_sort([sqrt(pow((a - b) / s1, 2) + pow((b - c) / s2, 2) + pow((c - d) / s3, 2)), sqrt(pow((a - c) / s1, 2) + pow((b - d) / s2, 2) + pow((c - e) / s3, 2)), sqrt(pow((b - c) / s1, 2) + pow((c - d) / s2, 2) + pow((d - e) / s3, 2))]) END AS l FROM sd),
+pr AS (SELECT mo, period, l[1] AS x, l[2] AS y, lag(l[1]) OVER w AS px, lag(l[2]) OVER w AS py FROM ds WINDOW w AS (PARTITION BY mo ORDER BY period)),
+td AS (SELECT mo, period, -(x / (x + y)) * ln(x / (x + y)) - (y / (x + y)) * ln(y / (x + y)) AS ent,
+  CASE WHEN px IS NOT NULL THEN least(least(abs(x - px), (x + px) / sqrt(2)) + least(abs(y - py), (y + py) / sqrt(2)), least(abs(x - py), (x + py) / sqrt(2)) + least(abs(y - px), (y + px) / sqrt(2))) END AS dist FROM pr),
+tda AS (SELECT mo, period, lag(ent) OVER w AS tda_entropy, lag(dist) OVER w AS tda_distance FROM td WINDOW w AS (PARTITION BY mo ORDER BY period))"""
+
+
+@register(BOOK, "ts8_ts12_topology", sql(TAKENS, "SELECT mo, period, round(tda_entropy, 6) AS tda_entropy, round(tda_distance, 6) AS tda_distance FROM tda"))
+def ts8(spark, sf):
+    return r(topology.features(observed(spark, sf)), tda_entropy=6, tda_distance=6)
+
+
+@register(BOOK, "wn9_distance_alert", sql(TAKENS, f"SELECT mo, period, coalesce(able, FALSE) AS tda_eligible, coalesce(able AND tda_distance >= q, FALSE) AS tda_shock FROM (SELECT *, q IS NOT NULL AND k >= 4 AS able FROM (SELECT *, row_number() OVER (PARTITION BY mo ORDER BY period) - 1 AS k, CASE WHEN count(tda_distance) OVER p >= 3 THEN quantile_cont(tda_distance, 0.85) OVER p END AS q FROM tda WINDOW p AS (PARTITION BY mo ORDER BY period {P24})))"))
+def wn9(spark, sf):
+    return detect.distance_alert(topology.features(observed(spark, sf)), "tda_distance").select("mo", "period", "tda_eligible", "tda_shock")
+
+
+@register(BOOK, "wn10_sigma_alert", sql(TAKENS, "SELECT mo, period, coalesce(count(tda_distance) OVER p >= 3 AND stddev_samp(tda_distance) OVER p >= 1e-10 AND tda_distance > avg(tda_distance) OVER p + 1.0 * stddev_samp(tda_distance) OVER p, FALSE) AS alert FROM tda WINDOW p AS (PARTITION BY mo ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+def wn10(spark, sf):
+    rows = topology.features(observed(spark, sf))
+    return rows.select("mo", "period", topology.sigma_alert(rows, k=1.0).alias("alert"))
+
+
+FLAGGED = RES + """, fl AS (SELECT a.mo, a.period, a.shock AS cusum_shock, month(a.period) % 3 = 0 AS tda_shock, month(a.period) % 2 = 0 AS pelt_shock, a.news_alert FROM alarms a)"""
+
+
+def flagged(spark, sf):
+    m = F.month("period")
+    return residuals(spark, sf).select("mo", "period", F.col("residual_shock").alias("cusum_shock"), (m % 3 == 0).alias("tda_shock"), (m % 2 == 0).alias("pelt_shock"), "news_alert")
+
+
+@register(BOOK, "wn19_consensus", sql(FLAGGED, "SELECT f.mo, f.period, f.cusum_shock OR (f.tda_shock AND f.pelt_shock) OR (coalesce(b.tda_shock, FALSE) AND f.news_alert) AS consensus_shock FROM fl f LEFT JOIN fl b ON b.mo = f.mo AND b.period = f.period - INTERVAL 1 MONTH"))
+def wn19(spark, sf):
+    return detect.consensus(flagged(spark, sf)).select("mo", "period", "consensus_shock")
+
+
+@register(BOOK, "j14_near_flag", sql(FLAGGED, "SELECT mo, period, tda_shock AND coalesce(bool_or(news_alert) OVER w, FALSE) AS synergy FROM fl WINDOW w AS (PARTITION BY mo ORDER BY period ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"))
+def j14(spark, sf):
+    rows = flagged(spark, sf)
+    return rows.select("mo", "period", (F.col("tda_shock") & detect.near_flag(rows, "news_alert", 1)).alias("synergy"))
+
+
+@register(BOOK, "ts34_lead_lag", sql(FLAGGED, f""", t AS (SELECT DISTINCT period FROM fl WHERE tda_shock), n AS (SELECT DISTINCT period FROM fl WHERE news_alert)
+SELECT t.period, CAST(min({MONTH.format('n.period')} - {MONTH.format('t.period')}) AS INTEGER) AS to_earliest, CAST(min(abs({MONTH.format('n.period')} - {MONTH.format('t.period')})) AS INTEGER) AS to_nearest FROM t, n GROUP BY t.period""").replace("\n, t", ", t"))
+def ts34(spark, sf):
+    """Both readings of a lead: to the earliest and to the nearest news month.  Months only are paired."""
+    rows = flagged(spark, sf)
+    months = lambda c: rows.filter(c).select("period").distinct()
+    t, n = months("tda_shock"), months("news_alert").withColumnRenamed("period", "news")
+    gap = (F.year("news") * 12 + F.month("news")) - (F.year("period") * 12 + F.month("period"))
+    return t.crossJoin(F.broadcast(n)).groupBy("period").agg(F.min(gap).alias("to_earliest"), F.min(F.abs(gap)).alias("to_nearest"))
+
+
+@register(BOOK, "ts35_territorial_fallback", sql(PANEL, f"SELECT mo, period, coalesce(s >= q, FALSE) AS shock FROM (SELECT mo, period, s, CASE WHEN count(s) OVER p >= 4 THEN quantile_cont(s, 0.9) OVER p END AS q FROM (SELECT mo, period, abs(y - lag(y) OVER (PARTITION BY mo ORDER BY period)) AS s FROM panel) WINDOW p AS (PARTITION BY mo ORDER BY period {P24}))"))
+def ts35(spark, sf):
+    from monthgrid.operators.windows import past, quantile
+
+    rows = panel(spark, sf).withColumn("s", F.abs(F.col("y") - F.lag("y", 1).over(by())))
+    return rows.select("mo", "period", F.coalesce(F.col("s") >= quantile("s", 0.9, past(by(), 24), 4), F.lit(False)).alias("shock"))
+
+
+@register(BOOK, "ts32_news_validation", sql(RES, """, sh AS (SELECT period, count(*) FILTER (shock AND eligible) / nullif(count(*) FILTER (eligible), 0) AS share FROM alarms GROUP BY period),
+nv AS (SELECT period, share, month(period) * 1.0 AS news FROM sh WHERE share IS NOT NULL), q AS (SELECT quantile_cont(news, 0.75) AS b FROM nv)
+SELECT count(*) AS months, count(*) FILTER (news >= b) AS peaks, count(*) FILTER (share >= 0.085) AS alerts, round(corr(share, news), 6) AS correlation, round(count(*) FILTER (news >= b AND share >= 0.085) / count(*) FILTER (news >= b OR share >= 0.085), 6) AS jaccard FROM nv, q""").replace("\n, sh", ", sh"))
+def ts32(spark, sf):
+    rows = detect.alert_share(residuals(spark, sf), "residual_shock", "residual_eligible").filter("share is not null").withColumn("news", F.month("period") * 1.0)
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.percentile("news", F.lit(0.75)).alias("b"))))
+    peak, alert = F.col("news") >= F.col("b"), F.col("share") >= 0.085
+    n = lambda c: F.sum(c.cast("long"))
+    return r(rows.agg(F.count(F.lit(1)).alias("months"), n(peak).alias("peaks"), n(alert).alias("alerts"), F.corr("share", "news").alias("correlation"), (n(peak & alert) / n(peak | alert)).alias("jaccard")), correlation=6, jaccard=6)
+
+
+@register(BOOK, "ts2_cusum", sql(PANEL, """, s AS (SELECT mo, period, y, row_number() OVER (PARTITION BY mo ORDER BY period) AS i FROM panel WHERE y IS NOT NULL),
+b AS (SELECT mo, avg(y) AS m, greatest(stddev_samp(y), 1e-8) AS d FROM s WHERE i <= 4 GROUP BY mo),
+z AS (SELECT s.mo, period, i, (y - m) / d AS z FROM s JOIN b USING (mo)),
+w AS (SELECT mo, i, 0.0::DOUBLE AS score, FALSE AS alarm, 0.0::DOUBLE AS p, 0.0::DOUBLE AS n FROM z WHERE i = 4 UNION ALL
+ SELECT mo, i, greatest(a, c) / 2.0, greatest(a, c) / 2.0 >= 1, CASE WHEN greatest(a, c) / 2.0 >= 1 THEN 0 ELSE a END, CASE WHEN greatest(a, c) / 2.0 >= 1 THEN 0 ELSE c END FROM (SELECT z.mo, z.i, greatest(0, p + z - 0.5) AS a, greatest(0, n - z - 0.5) AS c FROM w JOIN z ON z.mo = w.mo AND z.i = w.i + 1))
+SELECT z.mo, z.period, CASE WHEN z.i > 4 THEN round(w.score, 5) END AS cusum_score, coalesce(w.alarm, FALSE) AS cusum_shock, z.i > 4 AS cusum_eligible FROM z LEFT JOIN w ON w.mo = z.mo AND w.i = z.i""").replace("WITH obs", "WITH RECURSIVE obs", 1).replace("\n, s AS", ", s AS"))
+def ts2(spark, sf):
+    return r(detect.cusum(panel(spark, sf)), cusum_score=5)
+
+
+@register(BOOK, "ts5_pelt")
+def ts5(spark, sf):
+    return r(detect.segmentation(panel(spark, sf), "pelt"), pelt_score=6)
+
+
+@register(BOOK, "ts6_binary_segmentation")
+def ts6(spark, sf):
+    return r(detect.segmentation(panel(spark, sf), "binseg"), binseg_score=6)
+
+
+@register(BOOK, "ts7_retrospective_benchmark")
+def ts7(spark, sf):
+    pooled = observed(spark, sf).groupBy("period").agg(F.percentile("y", F.lit(0.5)).alias("y"))
+    return detect.retrospective(pooled)
+
+
+EVENTS = ["1997-03-10", "1998-10-05", "1999-08-20", "2000-12-01", "2001-07-15"]
+
+
+def detections(spark, sf):
+    rows = flagged(spark, sf)
+    share = lambda c, n: rows.groupBy("period").agg((F.avg(F.col(c).cast("int")) >= 0.085).alias("on")).filter("on").select(F.lit(n).alias("method"), F.col("period").alias("detected"))
+    return share("cusum_shock", "cusum").union(share("tda_shock", "tda")).union(share("news_alert", "news"))
+
+
+@register(BOOK, "j13_event_matching")
+def j13(spark, sf):
+    events = spark.createDataFrame([(e,) for e in EVENTS], "e string").select(F.col("e").cast("date").alias("event"))
+    return detect.match_events(detections(spark, sf), events)
+
+
+@register(BOOK, "ag12_event_scores")
+def ag12(spark, sf):
+    events = spark.createDataFrame([(e,) for e in EVENTS], "e string").select(F.col("e").cast("date").alias("event"))
+    return r(detect.event_scores(detections(spark, sf), events), precision=6, recall=6, f1=6, coverage=4, mean_delay=6)

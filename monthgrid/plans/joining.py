@@ -63,13 +63,13 @@ def j5(spark, sf):
 t AS (SELECT mo, CAST(m AS DATE) AS period FROM (SELECT DISTINCT mo FROM obs) CROSS JOIN (SELECT unnest([DATE '1998-01-01', DATE '1999-06-01', DATE '2001-01-01']) AS m))
 SELECT t.mo, t.period, coalesce(h.y, med) AS filled, CASE WHEN h.y IS NOT NULL THEN 'history' WHEN med IS NOT NULL THEN 'median' END AS fill_source
 FROM t ASOF LEFT JOIN (SELECT * FROM h WHERE y > 0) h ON t.mo = h.mo AND t.period > h.period
-LEFT JOIN (SELECT m.period AS p, round(quantile_cont(y, 0.5), 2) AS med FROM (SELECT DISTINCT period FROM t) m JOIN h ON h.period < m.period GROUP BY m.period) ON p = t.period""").replace("\n, h", ", h"))
+LEFT JOIN (SELECT m.period AS p, round(quantile_cont(y, 0.5), 5) AS med FROM (SELECT DISTINCT period FROM t) m JOIN h ON h.period < m.period GROUP BY m.period) ON p = t.period""").replace("\n, h", ", h"))
 def j6(spark, sf):
     rows = observed(spark, sf)
     months = spark.createDataFrame([("1998-01-01",), ("1999-06-01",), ("2001-01-01",)], "d string").select(F.col("d").cast("date").alias("period"))
     asked = rows.select("mo").distinct().crossJoin(F.broadcast(months))
     out = joins.last_positive_before(rows.filter("mo <> 'NATION_3'"), asked)
-    return out.withColumn("filled", F.round("filled", 2))
+    return out.withColumn("filled", F.round("filled", 5))
 
 
 @register(BOOK, "j7_sc17_prediction_cache", sql(ARMS, """SELECT coalesce(a.mo, b.mo) AS mo, coalesce(a.period, b.period) AS period, a.pred_trend AS pred_trend, round(b.pred_boost, 4) AS pred_boost, a.target AS target

@@ -34,14 +34,14 @@ FULL = {n: {c: f"CASE WHEN count(y) OVER p{n} = {n} THEN {f}(y) OVER p{n} END" f
 OVER = f"WINDOW w AS (PARTITION BY mo ORDER BY period), p3 AS (PARTITION BY mo ORDER BY period {P3}), p12 AS (PARTITION BY mo ORDER BY period {P12}), pa AS (PARTITION BY mo ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 FEATURES = sql(PANEL, f"""SELECT mo, period, y, y_lag_1, y_lag_2, y_lag_3, y_lag_12,
   round(y_lag_1 / nullif(y_lag_2, 0) - 1, 6) AS y_growth_mom, round(y_lag_1 / nullif(y_lag_13, 0) - 1, 6) AS y_growth_yoy,
-  {", ".join(f"{'round(' if c in ('mean', 'std') else ''}y_{c}_{n}{', 2)' if c in ('mean', 'std') else ''} AS y_{c}_{n}" for n in (3, 12) for c in ("mean", "std", "min", "max"))},
+  {", ".join(f"{'round(' if c in ('mean', 'std') else ''}y_{c}_{n}{', 7)' if c in ('mean', 'std') else ''} AS y_{c}_{n}" for n in (3, 12) for c in ("mean", "std", "min", "max"))},
   round(spending_volatility, 6) AS spending_volatility
 FROM (SELECT *, lag(y, 1) OVER w AS y_lag_1, lag(y, 2) OVER w AS y_lag_2, lag(y, 3) OVER w AS y_lag_3, lag(y, 12) OVER w AS y_lag_12, lag(y, 13) OVER w AS y_lag_13,
   {", ".join(f"{FULL[n][c]} AS y_{c}_{n}" for n in (3, 12) for c in ("mean", "std", "min", "max"))},
   CASE WHEN count(y) OVER pa >= 2 THEN stddev_samp(y) OVER pa / nullif(abs(avg(y) OVER pa), 0) END AS spending_volatility,
   row_number() OVER w - 1 AS age FROM panel {OVER})
 WHERE age >= 12 AND y IS NOT NULL""")
-ROUNDED = {"y_growth_mom": 6, "y_growth_yoy": 6, "y_mean_3": 2, "y_std_3": 2, "y_mean_12": 2, "y_std_12": 2, "spending_volatility": 6}
+ROUNDED = {"y_growth_mom": 6, "y_growth_yoy": 6, "y_mean_3": 7, "y_std_3": 7, "y_mean_12": 7, "y_std_12": 7, "spending_volatility": 6}
 
 
 @register(BOOK, "wn1_wn5_causal_features", FEATURES)
@@ -127,9 +127,9 @@ def wn6(spark, sf):
     return panel(spark, sf).select("mo", "period", F.round(wn.zscore("y", 12, wn.by(), 4), 6).alias("z"))
 
 
-@register(BOOK, "wn8_rolling_quantile", sql(PANEL, f"SELECT mo, period, round(CASE WHEN count(y) OVER p12 >= 4 THEN quantile_cont(y, 0.9) OVER p12 END, 2) AS q90 FROM panel {OVER}"))
+@register(BOOK, "wn8_rolling_quantile", sql(PANEL, f"SELECT mo, period, round(CASE WHEN count(y) OVER p12 >= 4 THEN quantile_cont(y, 0.9) OVER p12 END, 5) AS q90 FROM panel {OVER}"))
 def wn8(spark, sf):
-    return panel(spark, sf).select("mo", "period", F.round(wn.quantile("y", 0.9, wn.past(wn.by(), 12), 4), 2).alias("q90"))
+    return panel(spark, sf).select("mo", "period", F.round(wn.quantile("y", 0.9, wn.past(wn.by(), 12), 4), 5).alias("q90"))
 
 
 GAPPY = PANEL + ", gappy AS (SELECT mo, period, CASE WHEN month(period) % 5 > 2 THEN NULL ELSE y END AS v FROM panel)"
@@ -149,10 +149,10 @@ def wn14(spark, sf):
     return observed(spark, sf).select("mo", "period", F.round(growth(F.col("y"), F.lag("y", 12).over(wn.by())), 6).alias("change"))
 
 
-@register(BOOK, "wn15_proxy", sql(PANEL, f"SELECT mo, period, round(avg(y) OVER pa, 2) AS level, round(lag(y, 1) OVER w / nullif(lag(y, 2) OVER w, 0) - 1, 6) AS change FROM panel {OVER}"))
+@register(BOOK, "wn15_proxy", sql(PANEL, f"SELECT mo, period, round(avg(y) OVER pa, 7) AS level, round(lag(y, 1) OVER w / nullif(lag(y, 2) OVER w, 0) - 1, 6) AS change FROM panel {OVER}"))
 def wn15(spark, sf):
     w = wn.by()
-    return panel(spark, sf).select("mo", "period", F.round(F.avg("y").over(wn.all_past(w)), 2).alias("level"), F.round(growth(F.lag("y", 1).over(w), F.lag("y", 2).over(w)), 6).alias("change"))
+    return panel(spark, sf).select("mo", "period", F.round(F.avg("y").over(wn.all_past(w)), 7).alias("level"), F.round(growth(F.lag("y", 1).over(w), F.lag("y", 2).over(w)), 6).alias("change"))
 
 
 @register(BOOK, "wn16_islands", sql(GAPPY, f"SELECT mo, min(period) AS first, max(period) AS last, count(*) AS months FROM (SELECT *, {MONTH.format('period')} - row_number() OVER (PARTITION BY mo ORDER BY period) AS g FROM gappy WHERE v IS NOT NULL) GROUP BY mo, g"))
@@ -161,11 +161,11 @@ def wn16(spark, sf):
     return rows.groupBy("mo", "g").agg(F.min("period").alias("first"), F.max("period").alias("last"), F.count(F.lit(1)).alias("months")).drop("g")
 
 
-@register(BOOK, "wn17_national_baseline", sql(OBSERVED, f"SELECT period, y, round(coalesce(avg(y) OVER (ORDER BY period {P3}), y), 2) AS prediction FROM (SELECT period, round(sum(y), 2) AS y FROM obs GROUP BY period)"))
+@register(BOOK, "wn17_national_baseline", sql(OBSERVED, f"SELECT period, y, round(coalesce(avg(y) OVER (ORDER BY period {P3}), y), 7) AS prediction FROM (SELECT period, round(sum(y), 2) AS y FROM obs GROUP BY period)"))
 def wn17(spark, sf):
     """The window is over months of one national series."""
     rows = observed(spark, sf).groupBy("period").agg(F.round(F.sum("y"), 2).alias("y"))
-    return rows.select("period", "y", F.round(F.coalesce(F.avg("y").over(W.orderBy("period").rowsBetween(-3, -1)), F.col("y")), 2).alias("prediction"))
+    return rows.select("period", "y", F.round(F.coalesce(F.avg("y").over(W.orderBy("period").rowsBetween(-3, -1)), F.col("y")), 7).alias("prediction"))
 
 
 @register(BOOK, "wn20_last_rows", sql(OBSERVED, "SELECT mo, period, y FROM obs QUALIFY row_number() OVER (PARTITION BY mo ORDER BY period DESC) <= 3"))

@@ -1 +1,78 @@
+"""Queries of the text, place, URL and date scalars."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from monthgrid.functions import text as tx
+from monthgrid.functions.numbers import messy_number
+from monthgrid.plans.book import register
+from monthgrid.session import table
+
 BOOK: dict = {}
+
+
+@register(BOOK, "sf5_period_parser", """SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS named, CAST(date_trunc('month', o_orderdate) AS DATE) AS compact, CAST(date_trunc('month', o_orderdate) AS DATE) AS dotted, CAST(date_trunc('year', o_orderdate) AS DATE) AS year_only, CAST(NULL AS DATE) AS junk FROM orders""")
+def sf5(spark, sf):
+    d = F.col("o_orderdate")
+    names = ["январь", "февраль", "марта", "апрель", "май", "июня", "июль", "августа", "сентябрь", "октября", "ноябрь", "декабря"]
+    named = F.concat(F.array(*map(F.lit, names))[F.month(d) - 1], F.lit(" "), F.year(d).cast("string"), F.lit(" года"))
+    made = {"named": named, "compact": F.date_format(d, "yyyy'M'MM"), "dotted": F.date_format(d, "MM.yyyy"), "year_only": F.date_format(d, "yyyy' год'"), "junk": F.col("o_orderpriority")}
+    return table(spark, sf, "orders").select("o_orderkey", *[tx.parse_period(c).alias(n) for n, c in made.items()])
+
+
+@register(BOOK, "sf6_messy_numbers", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL ELSE round(l_extendedprice, 2) END AS price FROM lineitem")
+def sf6(spark, sf):
+    shown = F.regexp_replace(F.format_number(F.round("l_extendedprice", 2), 2), ",", " ")
+    raw = F.when(F.col("l_linenumber") == 1, "..").otherwise(F.concat(F.lit(" "), F.regexp_replace(shown, r"\.", ","), F.lit(" руб")))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", messy_number(raw).alias("price"))
+
+
+@register(BOOK, "sf9_geo_key", "SELECT n_nationkey, lower(replace(r_name, '_', ' ')) || '::' || lower(n_name) AS key FROM nation JOIN region ON n_regionkey = r_regionkey")
+def sf9(spark, sf):
+    n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    region = F.concat(F.lit("Республика "), F.replace("r_name", F.lit("_"), F.lit("  ")), F.lit(" (факт)"))
+    name = F.concat(F.lit("г. "), F.col("n_name"), F.lit(" *"))
+    # The digits that end a test name are kept from the footnote rule by a trailing mark.
+    return n.select("n_nationkey", F.concat_ws("::", tx.canonical_name(region), F.lower(F.regexp_extract(name, r"г\. (.*) \*$", 1))).alias("key"))
+
+
+HTML = r"""substr(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 2000)"""
+
+
+@register(BOOK, "sf10_clean_text", f"SELECT page_id, {HTML} AS body FROM pages")
+def sf10(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tx.clean_text(F.col("html")).alias("body"))
+
+
+@register(BOOK, "sf11_normal_url", r"SELECT page_id, lower(regexp_extract(url, '^(https?)://([^/?#\s]+)([^?#\s]*)', 1)) || '://' || lower(regexp_extract(url, '^(https?)://([^/?#\s]+)([^?#\s]*)', 2)) || regexp_extract(url, '^(https?)://([^/?#\s]+)([^?#\s]*)', 3) AS url FROM pages WHERE regexp_matches(url, '^https?://[^/?#\s]+')")
+def sf11(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tx.normal_url(F.col("url")).alias("url")).filter("url is not null")
+
+
+@register(BOOK, "sf12_parse_when", "SELECT event_id, date_trunc('second', ts) + INTERVAL 3 HOUR AS from_ms, date_trunc('second', ts) + INTERVAL 3 HOUR AS from_iso, date_trunc('second', ts) AS local FROM events")
+def sf12(spark, sf):
+    t = F.date_trunc("second", "ts").cast("timestamp")
+    ms = (F.unix_seconds(t) * 1000).cast("string")
+    iso = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    out = table(spark, sf, "events").select("event_id", *[tx.parse_when(c).alias(n) for n, c in (("from_ms", ms), ("from_iso", iso), ("local", F.date_format(t, "yyyy-MM-dd HH:mm:ss")))])
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("from_ms", "from_iso", "local")})
+
+
+@register(BOOK, "sf16_topics", "SELECT doc_id, lang = 'en' OR source IN ('src1', 'src2') AS economic FROM documents")
+def sf16(spark, sf):
+    tags = F.concat(F.lit("x; "), F.upper("source"), F.lit(" | y"))
+    return table(spark, sf, "documents").select("doc_id", tx.has_topic(F.col("lang"), tags, ["EN", "src1", "src2"]).alias("economic"))
+
+
+@register(BOOK, "sf18_digests", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
+def sf18(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
+
+
+@register(BOOK, "sf19_dimension_key", "SELECT DISTINCT 'm::{\"flag\":\"' || l_returnflag || '\",\"status\":\"' || l_linestatus || '\"}' AS indicator FROM lineitem")
+def sf19(spark, sf):
+    from monthgrid.sources.files import indicator_key
+
+    rows = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("flag"))
+    return rows.select(indicator_key("m", ["status", "flag"]).alias("indicator")).distinct()
