@@ -14,9 +14,9 @@ it has too few others, and so does every such partner of it: no pair is lost.
 
 Equal sets are one node (the digest of the set).  One shuffle brings signatures together; they are streamed in
 order, never gathered, and each bucket pairs its least node with every other.  Pairs are verified first by parity
-sketches, whose differing bits can't outnumber the differing elements, then by the whole sets.  Members that a
-component holds already are not compared again; what stays open is paired within buckets of at most `bucket` nodes,
-and larger ones are compared in tiles, by sketches, out of which only likely pairs come.
+sketches, whose differing bits can't outnumber the differing elements, then by the whole sets.  The nodes paired with
+one node are its star, which holds all of its buckets.  Stars of one component are done; in the others, the nodes of
+different components are compared tile by tile, by sketches, and only likely pairs leave a tile to be verified.
 
 Defined results: null and wordless texts have no shingles and link with nothing; a text of fewer words than a
 shingle is one shingle; repeated ids are rows of their own; an empty table gives an empty table; other columns
@@ -143,9 +143,9 @@ def part_signatures(h: np.ndarray, band: int, kind: int):
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """The parity of the number of elements in each of about |h| cells (a power of two): sketches of two sets, folded
+    """The parity of the number of elements in each of 4 |h| cells or more (a power of two): sketches of two sets, folded
     to one length, differ in no more bits than the sets differ in elements."""
-    m = max(64, 1 << int(np.ceil(np.log2(max(len(h), 1)))))
+    m = max(64, 4 << int(np.ceil(np.log2(max(len(h), 1)))))
     cells = (mix64(h ^ ODD[2]) & np.uint64(m - 1)).astype(np.int64)
     return np.packbits((np.bincount(cells, minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -211,11 +211,11 @@ def signed(docs: DataFrame, text: str, q: int, common: np.ndarray) -> DataFrame:
 
 
 def starred(sigs: DataFrame) -> DataFrame:
-    """(sig, a, node) for each node of a bucket but its least, which is a.  Buckets are streamed, not gathered."""
+    """(a, b): the least node of a bucket with every other.  Buckets are streamed in order, not gathered."""
     parts = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        sig, least, last = None, 0, 0
+        sig, least = None, 0
         for batch in batches:
             s, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(s):
@@ -223,12 +223,11 @@ def starred(sigs: DataFrame) -> DataFrame:
             fresh = np.concatenate(([sig is None or s[0] != sig], s[1:] != s[:-1]))
             begin = np.maximum.accumulate(np.where(fresh, np.arange(len(s)), -1))
             a = np.where(begin >= 0, n[np.maximum(begin, 0)], least)
-            before = np.concatenate(([last], n[:-1]))
-            keep = (n != a) & (fresh | (n != before))
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(a[keep]), pa.array(n[keep])], names=["sig", "a", "node"])
-            sig, least, last = s[-1], a[-1], n[-1]
+            pairs = np.unique(np.stack([a, n], axis=1)[n != a], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            sig, least = s[-1], a[-1]
 
-    return sigs.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig bigint, a bigint, node bigint")
+    return sigs.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(run, "a bigint, b bigint")
 
 
 def packed(docs: DataFrame, text: str, q: int) -> DataFrame:
@@ -290,13 +289,16 @@ def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(y ^ x).sum(axis=1, dtype=np.int64)
 
 
-def tiled(members: DataFrame, stored: DataFrame, tile: int, closest: int | None) -> DataFrame:
-    """(a, b) that may link and are of two components, from buckets cut into tiles of about `tile` by `tile` nodes:
-    sketches are compared where they are, and only what passes leaves: all of it, or the `closest` of each node."""
-    own = members.withColumn("parts", F.ceil(F.col("n") / tile)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("n")
+def tiled(stars: DataFrame, label: DataFrame, stored: DataFrame, tile: int, closest: int | None, above: int = 0) -> DataFrame:
+    """(a, b) that may link and are of two components, from stars of more than `above` nodes cut into tiles of about
+    `tile` by `tile`: sketches are compared where they are, and only what passes leaves: all, or each node's `closest`."""
+    members = stars.select(F.col("a").alias("star"), F.col("b").alias("node")).unionByName(stars.select(F.col("a").alias("star"), F.col("a").alias("node")).distinct())
+    named = members.join(label, "node", "left").select("star", "node", F.coalesce("label", "node").alias("label"))
+    open_ = named.groupBy("star").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter(F.col("lo") < F.col("hi")).filter(F.col("n") > above)
+    own = named.join(open_.select("star", F.ceil(F.col("n") / tile).alias("parts")), "star").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     first = F.expr("transform(sequence(own, parts - 1), j -> struct(own as p, j as q, true as left))")
     second = F.expr("transform(sequence(0, own), i -> struct(i as p, own as q, false as left))")
-    rows = own.withColumn("x", F.explode(F.concat(first, second))).select("sig", "x.p", "x.q", "x.left", "node", "label")
+    rows = own.withColumn("x", F.explode(F.concat(first, second))).select("star", "x.p", "x.q", "x.left", "node", "label")
     rows = rows.join(stored.select("node", "n", "sketch"), "node")
 
     def run(table: pa.Table) -> pa.Table:
@@ -326,40 +328,24 @@ def tiled(members: DataFrame, stored: DataFrame, tile: int, closest: int | None)
         pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
-    return rows.groupBy("sig", "p", "q").applyInArrow(run, "a bigint, b bigint")
+    return rows.groupBy("star", "p", "q").applyInArrow(run, "a bigint, b bigint")
 
 
 def component_labels(docs: DataFrame, text: str, q: int, bucket: int, common: np.ndarray) -> DataFrame:
     """(node, label) of all nodes that link with others."""
-    open_ = written(starred(signed(docs, text, q, common)), "members")
-    pairs = written(open_.select("a", F.col("node").alias("b")).distinct(), "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    stored = written(packed(docs, text, q).join(small_side(written(involved, "involved")), "node", "left_semi").groupBy("node").agg(F.min(F.struct("n", "sketch", "z")).alias("t")).select("node", "t.*"), "texts")
-    tested = written(verified(pairs, stored, q), "tested")
-    links = tested.filter("ok").select("a", "b")
-    members = open_.select("sig", "node").unionByName(open_.select("sig", F.col("a").alias("node")).distinct())
-    for closest in (3, 3, None):  # the first rounds join large groups by few pairs; the last leaves no pair out
-        left = still_open(members, components(links))
-        small, large = left.filter(F.col("n") <= bucket), left.filter(F.col("n") > bucket)
-        if closest and not large.limit(1).count():
-            continue
-        fresh = tiled(large, stored, 4 * bucket, closest)
-        if not closest:
-            side = lambda name: small.select("sig", F.col("node").alias(name), F.col("label").alias("l" + name))  # noqa: E731, B023
-            fresh = fresh.unionByName(side("a").join(side("b"), "sig").filter("a < b and la <> lb").select("a", "b"))
-        fresh = written(fresh.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(written(verified(fresh, stored, q), "tested"))
-        links = tested.filter("ok").select("a", "b")
-    return components(links)
-
-
-def still_open(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(sig, node, label, n) of the buckets that hold more than one component; of those with the same nodes, one."""
-    named = members.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-    left = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *same).filter("lo < hi")
-    left = left.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n")
-    return written(named.join(left, "sig"), "open")
+    stars = written(starred(signed(docs, text, q, common)).distinct(), "stars")
+    involved = written(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
+    texts_of = packed(docs, text, q).join(small_side(involved), "node", "left_semi")
+    stored = written(texts_of.groupBy("node").agg(F.min(F.struct("n", "sketch", "z")).alias("t")).select("node", "t.*"), "texts")
+    tested = written(verified(stars, stored, q), "tested")
+    label = components(tested.filter("ok").select("a", "b"))
+    # Rounds of the closest pairs join what is large; the last round leaves no pair of two components out.
+    for closest, above in ((3, bucket), (3, bucket), (None, 0)):
+        fresh = written(tiled(stars, label, stored, 256, closest, above).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if fresh.limit(1).count():
+            tested = tested.unionByName(written(verified(fresh, stored, q), "tested"))
+            label = components(tested.filter("ok").select("a", "b"))
+    return label
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, common: int = COMMON) -> DataFrame:

@@ -73,32 +73,16 @@ def terms_of(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([s << 2 | i for s, k in n.items() for i, least in enumerate(COUNTS) if k >= least], np.int32))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, *, terms: int = TERMS, factors: int = FACTORS, epochs: int = 30, seed: int = 7) -> dict:
-    """Fit by Adam on the logistic loss; rows: the sorted distinct terms of each text."""
-    share = float(labels.mean()) if len(labels) else 0.0
-    logit = lambda p: float(np.log(p / (1 - p)))
-    if not 0 < share < 1:
-        return {"terms": {}, "bias": logit(min(max(share, 1e-6), 1 - 1e-6)), "w": np.zeros(1), "v": np.zeros((1, factors))}
-    every = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, at = np.unique(every, return_inverse=True)
-    n = np.bincount(at, minlength=len(names)).astype(float)
-    toxic = np.bincount(at, weights=labels[owner], minlength=len(names))
-    z = (toxic - n * share) / np.sqrt(n * share * (1 - share) + 1)
-    chosen = np.sort(np.argsort(-np.abs(z) * (n >= 3), kind="stable")[:terms])
-    chosen = chosen[n[chosen] >= 3]
-    column = np.full(len(names), -1)
-    column[chosen] = np.arange(len(chosen))
-    keep = column[at] >= 0
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    x[owner[keep], column[at][keep]] = 1
+def train(x: np.ndarray, labels: np.ndarray, *, factors: int = FACTORS, epochs: int = 30, seed: int = 7) -> dict:
+    """Fit by Adam on the logistic loss; x: a row of zeros and ones for each text, a column for each term."""
+    share = float(labels.mean())
     rng = np.random.default_rng(seed)
-    p = {"b": np.array([logit(share)]), "w": np.zeros(len(chosen)), "v": rng.normal(0, 0.01, (len(chosen), factors))}
+    p = {"b": np.array([np.log(share / (1 - share))]), "w": np.zeros(x.shape[1]), "v": rng.normal(0, 0.01, (x.shape[1], factors))}
     m, s, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(x))
         for k in range(0, len(order), 256):
-            xb, yb = x[order[k : k + 256]], labels[order[k : k + 256]]
+            xb, yb = x[order[k : k + 256]].astype(np.float32), labels[order[k : k + 256]]
             g = (1 / (1 + np.exp(-np.clip(margin(xb, p["b"][0], p["w"], p["v"]), -30, 30))) - yb) / len(yb)
             xv = xb @ p["v"]
             grads = {"b": np.array([g.sum()]), "w": xb.T @ g + 1e-4 * p["w"], "v": xb.T @ (g[:, None] * xv) - (xb.T @ g)[:, None] * p["v"] + 1e-4 * p["v"]}
@@ -107,7 +91,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, *, terms: int = TERMS, fac
                 m[name] = 0.9 * m[name] + 0.1 * grad
                 s[name] = 0.999 * s[name] + 0.001 * grad**2
                 p[name] = p[name] - 0.02 * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.999**step)) + 1e-8)
-    return {"terms": {int(names[c]): i for i, c in enumerate(chosen)}, "bias": float(p["b"][0]), "w": p["w"], "v": p["v"]}
+    return {"bias": float(p["b"][0]), "w": p["w"], "v": p["v"]}
 
 
 def margin(x: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -115,7 +99,7 @@ def margin(x: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarr
     return bias + x @ w + 0.5 * ((x @ v) ** 2 - x @ v**2).sum(axis=1)
 
 
-def learn(docs: DataFrame, labels: DataFrame, allowed, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, **options) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, allowed, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS, **options) -> dict:
     """Train on the labelled rows for which `allowed` (a condition on __id) holds."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isNotNull() & allowed)
@@ -124,15 +108,37 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, *, doc_id: str = "doc_id"
     part = F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000)
     drawn = F.broadcast(known.filter(part))  # about `sample` rows of two numbers
 
-    def terms(batches):
+    read = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(drawn, "__id").select("__y", "__text")
+    total, toxic = read.agg(F.count(F.lit(1)), F.sum("__y")).first()
+    share = (toxic or 0) / max(total, 1)
+    if not 0 < share < 1:
+        level = min(max(share, 1e-6), 1 - 1e-6)
+        return {"terms": {}, "bias": float(np.log(level / (1 - level))), "w": np.zeros(1), "v": np.zeros((1, FACTORS))}
+
+    def counted(batches):
         for batch in batches:
-            out = [terms_of(words_of(t)).tobytes() for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["y", "terms"])
+            rows = [terms_of(words_of(t)) for t in texts(batch.column(1))]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(r) for r in rows])
+            names, at = np.unique(np.concatenate(rows) if rows else np.empty(0, np.int32), return_inverse=True)
+            n, k = np.bincount(at, minlength=len(names)), np.bincount(at, weights=owner, minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(k.astype(np.int32))], names=["term", "n", "k"])
 
-    read = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(drawn, "__id")
-    got = read.select("__y", "__text").mapInArrow(terms, "y int, terms binary").collect()
-    got.sort(key=lambda r: (r.y, bytes(r.terms)))
-    return train([np.frombuffer(r.terms, np.int32) for r in got], np.array([r.y for r in got], float), **options)
+    sums = read.mapInArrow(counted, "term int, n int, k int").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).filter("n >= 3")
+    z = F.abs((F.col("k") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1))
+    chosen = np.sort(np.array([r.term for r in sums.orderBy(F.round(z, 9).desc(), "term").limit(terms).collect()], np.int32))
+
+    def present(batches):
+        for batch in batches:
+            out = [np.flatnonzero(np.isin(chosen, terms_of(words_of(t)))).astype(np.int16).tobytes() for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["y", "at"])
+
+    got = read.mapInArrow(present, "y int, at binary").collect()  # about `sample` rows of a few numbers
+    got.sort(key=lambda r: (r.y, bytes(r.at)))
+    x = np.zeros((len(got), len(chosen)), np.uint8)
+    for row, r in zip(x, got):
+        row[np.frombuffer(r.at, np.int16)] = 1
+    model = train(x, np.array([r.y for r in got], float), **options)
+    return model | {"terms": {int(t): i for i, t in enumerate(chosen)}}
 
 
 def score(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
