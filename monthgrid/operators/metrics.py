@@ -43,6 +43,11 @@ def improvement(metrics: DataFrame, by: list[str], baseline: str, metric: str =
     return metrics.withColumn("improvement", (base - F.col(metric)) / F.nullif(base, F.lit(0.0)))
 
 
+def pearson(x: str, y: str) -> Column:
+    """The correlation; NULL where a side is constant (corr itself is an error there under ANSI)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson and Spearman over rows with both values; 0 where either side is constant."""
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
@@ -57,8 +62,8 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     rows = ranked(ranked(known, x), y)
     varied = (F.count_distinct(x) > 1) & (F.count_distinct(y) > 1)
     return rows.agg(
-        F.count(F.lit(1)).alias("n"), F.when(varied, F.corr(x, y)).otherwise(0.0).alias("pearson"),
-        F.when(varied, F.corr(f"__rank_{x}", f"__rank_{y}")).otherwise(0.0).alias("spearman"),
+        F.count(F.lit(1)).alias("n"), F.when(varied, pearson(x, y)).otherwise(0.0).alias("pearson"),
+        F.when(varied, pearson(f"__rank_{x}", f"__rank_{y}")).otherwise(0.0).alias("spearman"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from monthgrid.operators import detect, topology
+from monthgrid.operators.metrics import pearson
 from monthgrid.operators.windows import by
 from monthgrid.plans.book import ARMS, MONTH, OBSERVED, PANEL, register, sql
 from monthgrid.plans.joining import arms
@@ -130,7 +131,7 @@ def ts32(spark, sf):
     rows = rows.crossJoin(F.broadcast(rows.agg(F.percentile("news", F.lit(0.75)).alias("b"))))
     peak, alert = F.col("news") >= F.col("b"), F.col("share") >= 0.085
     n = lambda c: F.sum(c.cast("long"))
-    return r(rows.agg(F.count(F.lit(1)).alias("months"), n(peak).alias("peaks"), n(alert).alias("alerts"), F.corr("share", "news").alias("correlation"), (n(peak & alert) / n(peak | alert)).alias("jaccard")), correlation=6, jaccard=6)
+    return r(rows.agg(F.count(F.lit(1)).alias("months"), n(peak).alias("peaks"), n(alert).alias("alerts"), pearson("share", "news").alias("correlation"), (n(peak & alert) / n(peak | alert)).alias("jaccard")), correlation=6, jaccard=6)
 
 
 @register(BOOK, "ts2_cusum", sql(PANEL, """, s AS (SELECT mo, period, y, row_number() OVER (PARTITION BY mo ORDER BY period) AS i FROM panel WHERE y IS NOT NULL),

@@ -43,7 +43,7 @@ def strict_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
         raise ValueError(f"{path}: blank or repeated column in {header}")
     schema = T.StructType([*[T.StructField(h, T.StringType()) for h in header], T.StructField("_bad", T.StringType())])
     read = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    if read.select(*header, "_bad").filter("_bad is not null").limit(1).count():
+    if read.filter("_bad is not null").select(*header, "_bad").limit(1).collect():  # a count would prune the columns that tell
         raise ValueError(f"{path}: a row has not {len(header)} fields")
     return read.select(*header)
 
