@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .arrowtools import mix64, small_batches, small_side, texts, written
 from .components import components
 
-SHINGLE, BUCKET, STEP, COMMON = 5, 64, 1.6, 200_000
+SHINGLE, BUCKET, TILE, STEP, COMMON = 5, 64, 1024, 1.6, 200_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -296,25 +296,24 @@ def tiled(stars: DataFrame, label: DataFrame, stored: DataFrame, tile: int, clos
     named = members.join(label, "node", "left").select("star", "node", F.coalesce("label", "node").alias("label"))
     open_ = named.groupBy("star").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter(F.col("lo") < F.col("hi")).filter(F.col("n") > above)
     own = named.join(open_.select("star", F.ceil(F.col("n") / tile).alias("parts")), "star").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
-    first = F.expr("transform(sequence(own, parts - 1), j -> struct(own as p, j as q, true as left))")
-    second = F.expr("transform(sequence(0, own), i -> struct(i as p, own as q, false as left))")
-    rows = own.withColumn("x", F.explode(F.concat(first, second))).select("star", "x.p", "x.q", "x.left", "node", "label")
+    place = F.expr("""transform(sequence(0, parts - 1), i -> CASE WHEN i > own THEN struct(own AS p, i AS q, 'left' AS side)
+      WHEN i < own THEN struct(i AS p, own AS q, 'right' AS side) ELSE struct(own AS p, own AS q, 'both' AS side) END)""")
+    rows = own.withColumn("x", F.explode(place)).select("star", "x.p", "x.q", "x.side", "node", "label")
     rows = rows.join(stored.select("node", "n", "sketch"), "node")
 
     def run(table: pa.Table) -> pa.Table:
-        left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        side = np.array(table.column("side").to_pylist())
         node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
         bits = [np.frombuffer(b, np.uint64) for b in table.column("sketch").to_pylist()]
-        right = np.flatnonzero(~left)
+        right = np.flatnonzero(side != "left")
         sizes = {w: np.array([j for j in right if len(bits[j]) == w]) for w in {len(bits[j]) for j in right}}
         stacked = {w: np.stack([bits[j] for j in js]) for w, js in sizes.items()}
-        alone = table.column("p")[0] == table.column("q")[0]
         out: list[np.ndarray] = []
-        for i in np.flatnonzero(left):
+        for i in np.flatnonzero(side != "right"):
             near, far = [], []
             for w, js in sizes.items():
                 ok = (label[js] != label[i]) & (5 * np.minimum(n[js], n[i]) >= 4 * np.maximum(n[js], n[i]))
-                if alone and not closest:
+                if side[i] == "both" and not closest:
                     ok &= node[js] > node[i]
                 if ok.any():
                     d = differing(bits[i], stacked[w][ok])
@@ -341,7 +340,7 @@ def component_labels(docs: DataFrame, text: str, q: int, bucket: int, common: np
     label = components(tested.filter("ok").select("a", "b"))
     # Rounds of the closest pairs join what is large; the last round leaves no pair of two components out.
     for closest, above in ((3, bucket), (3, bucket), (None, 0)):
-        fresh = written(tiled(stars, label, stored, 256, closest, above).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        fresh = written(tiled(stars, label, stored, TILE, closest, above).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if fresh.limit(1).count():
             tested = tested.unionByName(written(verified(fresh, stored, q), "tested"))
             label = components(tested.filter("ok").select("a", "b"))

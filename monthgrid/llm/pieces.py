@@ -156,6 +156,7 @@ class Model(Pieces):
         feed = all(b"\n" not in p for p in words)
         self.cut = re.compile((rb"\n| *[^ \n]+| +" if feed else rb" *[^ ]+| +") if apart else rb"(?s).+").findall
         self.solved: dict[bytes, bytes] = {}
+        self.arrays = None
 
     def viterbi(self, word: bytes) -> list[int]:
         """The best ids of a word whose blanks are markers."""
@@ -194,26 +195,79 @@ class Model(Pieces):
             at = i
         return out[::-1]
 
-    def solve(self, word: bytes) -> bytes:
-        found = self.solved.get(word)
-        if found is None:
-            if len(self.solved) > REMEMBERED:
-                self.solved.clear()
-            found = np.array(self.viterbi(word.replace(b" ", MARKER)), np.int32).tobytes()
-            if len(word) <= 64:
-                self.solved[word] = found
-        return found
+    def solve(self, words: list[bytes]) -> None:
+        """Solve and remember words: the same steps as viterbi's, taken for all words at once."""
+        if self.arrays is None:
+            t = self.trie
+            self.arrays = tuple(np.array(x, np.int64) for x in (t.base + [0] * (len(t.check) - len(t.base)), t.check, t.value)) + (np.array(self.scores),)
+        base, check, value, scores = self.arrays
+        size = np.array([len(w) for w in words])
+        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        begin = np.cumsum(size) - size  # of each word's bytes; one more slot a word for its end
+        slot = begin + np.arange(len(words))
+        best = np.full(len(text) + len(words), -np.inf)
+        best[slot] = 0.0
+        start, piece = np.zeros(len(best), np.int64), np.full(len(best), -1)
+        for i in range(int(size.max())):
+            word = np.flatnonzero(size > i)
+            word = word[best[slot[word] + i] > -np.inf]
+            here = best[slot[word] + i]
+            first = text[begin[word] + i]
+            end = i + np.where(first < 128, 1, np.where(first < 224, 2, np.where(first < 240, 3, 4)))
+            alone = np.zeros(len(word), bool)
+            at, node, j = np.arange(len(word)), np.zeros(len(word), np.int64), i
+            while len(at):
+                more = size[word[at]] > j
+                at, node = at[more], node[more]
+                child = base[node] + text[begin[word[at]] + j]
+                found = (check[child] == node) & (child != 0)
+                at, node = at[found], child[found]
+                j += 1
+                v = value[node]
+                is_piece = v >= 0
+                w, v = at[is_piece], v[is_piece]
+                to, total = slot[word[w]] + j, here[w] + scores[v]
+                better = total > best[to]
+                best[to[better]], start[to[better]], piece[to[better]] = total[better], i, v[better]
+                alone[w] |= end[w] == j
+            w = np.flatnonzero(~alone & (end <= size[word]))
+            to, total = slot[word[w]] + end[w], here[w] + self.unknown
+            better = total > best[to]
+            best[to[better]], start[to[better]], piece[to[better]] = total[better], i, -1
+        word, at, steps = np.arange(len(words)), size.copy(), []
+        while len(word):
+            to = slot[word] + at
+            steps.append((word, at, piece[to]))
+            at = start[to]
+            word, at = word[at > 0], at[at > 0]
+        word, at, ids = (np.concatenate(x) for x in zip(*steps))
+        order = np.lexsort((at, word))
+        word, ids = word[order], ids[order].astype(np.int32)
+        cut = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
+        odd = set(word[ids < 0].tolist())
+        data = ids.tobytes()
+        for k, w in enumerate(words):
+            shown = w.replace(MARKER, b" ")
+            self.solved[shown] = np.array(self.viterbi(w), np.int32).tobytes() if k in odd else data[4 * cut[k] : 4 * cut[k + 1]]
+
+    def encode_many(self, texts: list[bytes | None]) -> list[np.ndarray | None]:
+        literal = np.array([self.byte.get(b, self.unk) for b in MARKER], np.int32).tobytes()
+        lead = b" " if self.prefix else b""
+        split = [[self.cut(part) for part in (lead + t).split(MARKER)] if t else None for t in texts]
+        words = {w for parts in split if parts for part in parts for w in part}
+        if len(self.solved) + len(words) > REMEMBERED:
+            self.solved.clear()
+        fresh = [w.replace(b" ", MARKER) for w in words if w not in self.solved]
+        if fresh:
+            self.solve(fresh)
+        get = self.solved.__getitem__
+        return [
+            None if t is None else np.frombuffer(literal.join(b"".join(map(get, part)) for part in parts), np.int32) if parts else np.empty(0, np.int32)
+            for t, parts in zip(texts, split)
+        ]
 
     def encode(self, text: bytes) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        out: list[bytes] = []
-        literal = np.array([self.byte.get(b, self.unk) for b in MARKER], np.int32).tobytes()
-        for k, part in enumerate(((b" " if self.prefix else b"") + text).split(MARKER)):
-            if k:
-                out.append(literal)
-            out += map(self.solve, self.cut(part))
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_many([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -250,7 +304,7 @@ def encode(docs: DataFrame, *, text: str = "text", ids: str = "ids", model: str
     def run(batches):
         m = model_of(shared.value)
         for batch in batches:
-            values = [None if t is None else m.encode(t) for t in texts(batch.column(at))]
+            values = m.encode_many(texts(batch.column(at)))
             ends = np.cumsum([0] + [0 if v is None else len(v) for v in values]).astype(np.int32)
             flat = np.concatenate([v for v in values if v is not None] or [np.empty(0, np.int32)])
             mask = pa.array([v is None for v in values], pa.bool_())
