@@ -23,6 +23,20 @@ NEAR = {"trend": 0.45, "boost": 0.35, "foundation": 0.20}
 FLOOR = 1e-6
 
 
+def load_weights(path: str, factory: dict = FACTORY) -> dict:
+    """A weight file (horizon to named weights) over the factory's, each horizon scaled to a sum of one."""
+    import json
+
+    with open(path) as f:
+        given = {int(h): w for h, w in json.load(f).items()}
+    out = {}
+    for h, w in (factory | given).items():
+        if set(w) != {"trend", "boost", "foundation"} or min(w.values()) < 0 or sum(w.values()) <= 0:
+            raise ValueError(f"horizon {h}: weights must name the three arms, none negative")
+        out[h] = {arm: v / sum(w.values()) for arm, v in w.items()}
+    return out
+
+
 def weight(arm: str, horizon: Column, table: dict) -> Column:
     out = F.when(horizon >= 6, FAR[arm]).otherwise(NEAR[arm])
     for h, w in table.items():

@@ -26,6 +26,16 @@ def assemble(roster: DataFrame, months: DataFrame, predictions: DataFrame, *, pr
     return rows.select(entity, period, pred).orderBy(entity, period)
 
 
+def select_arm(predictions: DataFrame, arm: str, entities: int, entity: str = "mo") -> DataFrame:
+    """The chosen arm as pred.  The column must exist (no other is taken for it), over exactly that many entities."""
+    if arm not in predictions.columns:
+        raise ValueError(f"no forecast column {arm}; there are {[c for c in predictions.columns if c.startswith('pred')]}")
+    n = predictions.select(entity).distinct().count()
+    if n != entities:
+        raise ValueError(f"{n} entities, not {entities}")
+    return predictions.withColumn("pred", F.col(arm))
+
+
 def quantiles(rows: DataFrame, c: str = "pred") -> DataFrame:
     return rows.agg(F.expr(f"percentile({c}, array(0.0, 0.25, 0.5, 0.75, 1.0))").alias("q")).select(*[F.col("q")[i].alias(f"q{n}") for i, n in enumerate((0, 25, 50, 75, 100))])
 

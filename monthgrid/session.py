@@ -45,3 +45,14 @@ def finite(column):
     """The value where it is a finite number, NULL otherwise (NaN and infinities included)."""
     c = F.col(column) if isinstance(column, str) else column
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found:
+        found = current.get() if current.isDefined() else "/tmp/checkpoints/monthgrid"
+    if not current.isDefined():
+        spark.sparkContext.setCheckpointDir(found)
+    return found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from pathlib import Path
 
@@ -143,8 +144,10 @@ def tables_of(path: str, data: bytes, most_mb: int = 200):
                     for sheet, rows in tables_of(member, z.read(member), most_mb):
                         yield f"{member}:{sheet}".rstrip(":"), rows
     elif kind in ("xls", "xlsx"):
-        for sheet, rows in pd.read_excel(io.BytesIO(data), sheet_name=None, dtype=str).items():  # needs the readers of that format
-            yield sheet, rows
+        for sheet, rows in pd.read_excel(io.BytesIO(data), sheet_name=None, dtype=str, header=None).items():  # needs the readers of that format
+            cells = rows.where(rows.notna(), None).values.tolist()
+            top = header_row(cells)
+            yield sheet, pd.DataFrame(cells[top + 1 :], columns=unique_names(cells[top]) if cells else [])
     else:
         raise ValueError(f"{path}: unknown kind of file")
 
@@ -192,6 +195,39 @@ def news_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "file string, seq bigint, record string")
 
 
+def news_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
+    """The named columns of news CSV files as strings; quoted bodies may hold line feeds.  Files are read in parallel."""
+    read = spark.read.option("header", True).option("multiLine", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
+    missing = [c for c in columns if c not in read.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {missing}")
+    return read.select(*columns)
+
+
+def header_row(rows: list[list], most: int = 20) -> int:
+    """The row of a sheet most like a header: many cells filled, few numbers, few repeats; the first of equals."""
+
+    def score(row: list) -> float:
+        known = [str(c).strip() for c in row if c is not None and str(c).strip()]
+        words = sum(not re.fullmatch(r"[-\d\s.,%]+", c) for c in known)
+        return len(known) + words - (len(known) - len(set(known)))
+
+    return max(range(min(len(rows), most)), key=lambda i: (score(rows[i]), -i), default=0)
+
+
+def unique_names(names: list) -> list[str]:
+    """Column names without blanks or repeats."""
+    out: list[str] = []
+    for k, name in enumerate(names):
+        base = str(name).strip() if name is not None and str(name).strip() else f"column_{k + 1}"
+        n, made = 1, base
+        while made in out:
+            n += 1
+            made = f"{base}_{n}"
+        out.append(made)
+    return out
+
+
 def text_of(value) -> str:
     """The text of a string, number, list or mapping, in order."""
     if value is None:
