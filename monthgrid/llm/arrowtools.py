@@ -1,4 +1,4 @@
-"""What the Arrow-batched operators share: batch sizes, byte access, word tables, shared storage."""
+"""What the Arrow-batched operators share: batch sizes, byte access, word bytes, shared storage, measured sides of joins."""
 
 from __future__ import annotations
 
@@ -57,22 +57,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Hashes(dict):
-    """Bytes to 64-bit hashes, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def word_hashes(words: list, known: Hashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 #: The most that is ever broadcast; a larger table is joined by its key instead.
 BROADCAST_BYTES = 32 << 20
 

@@ -41,10 +41,13 @@ def counts_of(text: bytes) -> np.ndarray:
     return np.bincount((code >> np.uint32(19)).astype(np.int64), minlength=DIMS)
 
 
-def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts, dtype=np.float32) * idf.astype(np.float32)
+def vectors(counts: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Unit vectors; with `out` (which may be counts itself) in place."""
+    x = np.log1p(counts, out=out, dtype=np.float32)
+    x *= idf.astype(np.float32)
     norm = np.linalg.norm(x, axis=-1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+    x /= np.where(norm > 0, norm, 1)
+    return x
 
 
 def clusters(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarray:
@@ -66,9 +69,10 @@ def clusters(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarr
 
 
 def fit(counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS) -> dict:
+    """Centroids of each language from float32 counts, which are overwritten."""
     df = (counts > 0).sum(axis=0)
     idf = np.log((1 + len(counts)) / (1 + df)) + 1
-    x, names = vectors(counts, idf), np.array(langs)
+    x, names = vectors(counts, idf, counts), np.array(langs)
     model = {"idf": idf, "langs": [], "centroids": [], "floor": []}
     for lang in sorted(set(langs)):
         own = x[names == lang]
