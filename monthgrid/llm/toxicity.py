@@ -38,7 +38,7 @@ class Rows(dict):
             self.stems.setdefault(term >> 2, [-1] * len(COUNTS))[term & 3] = row
 
     def __missing__(self, word: bytes) -> tuple:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = tuple(s for s in stems_of(word) if s in self.stems)
         return found
