@@ -3,10 +3,12 @@
 Vectors are compared within their label only.  Equal vectors are one node with a weight.  The neighbour graph
 starts from buckets of random-hyperplane codes (buckets over `bucket` rows are split at random), keeps the
 `k` nearest of each node, and is refined by local joins: the neighbours of a node, either way, are compared
-with one another, for as long as a round finds new threshold edges.  Only edges of cosine `walk` or more are
-walked: two edges at the threshold of 0.93 can't join nodes further apart than that.  A list whose k entries
-are all threshold edges is saturated; saturated or not, a node's list is enlarged to its whole component of
-threshold edges, compared tile by tile, so that counts are whole although only counts leave a tile.  Recall is
+with one another, for as long as a round joins components.  Only edges of cosine `walk` or more are
+walked: two edges at the threshold of 0.93 can't join nodes further apart than that.  Components don't depend on
+the cut to k: of all threshold edges that any bucket or local join sees, a spanning forest is kept (`tree`), at most
+one edge a row.  A list holds k nodes of its own component and, so that a saturated list still leads out of a dense
+group, k more of as many other components, the nearest of each.  A node's list is then enlarged to its whole
+component, compared tile by tile, so that counts are whole although only counts leave a tile.  Recall is
 audited on `audit` random nodes against all rows, and more codes are drawn while it is under `recall`.
 
 Defined results: null, empty, zero or non-finite vectors, and vectors of a null label, link with nothing;
@@ -26,7 +28,7 @@ from .arrowtools import small_side, written
 from .components import components
 
 THRESHOLD, WALK, K, TABLES, BUCKET = 0.93, 0.7, 8, 8, 1024
-EDGE = "a bigint, b bigint, cos double"
+EDGE = "a bigint, b bigint, cos double, tree boolean"
 
 
 def prepared(rows: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
@@ -80,58 +82,99 @@ def coded(nodes: DataFrame, tables: int, first: int, bucket: int, seed: int) ->
     return rows.join(full, key, "left").select(*key, F.pmod(F.xxhash64("node", "t"), parts).alias("salt"), "node", "vec")
 
 
-def nearest(table: pa.Table, k: int) -> pa.Table:
-    """The k nearest of each node among the rows of one bucket."""
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The component of each row by a boolean matrix of links, and the two ends of a spanning forest's edges."""
+    of, seen, a, b = np.arange(len(near)), np.zeros(len(near), bool), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for root in np.flatnonzero(near.any(axis=1)):
+        front = np.empty(0, np.int64) if seen[root] else np.array([root])
+        seen[root] = True
+        while len(front):
+            reach = near[front]
+            new = np.flatnonzero(reach.any(axis=0) & ~seen)
+            a.append(new)
+            b.append(front[reach[:, new].argmax(axis=0)])
+            of[new], seen[new], front = root, True, new
+    return of, np.concatenate(a), np.concatenate(b)
+
+
+def best(cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest of each row, from `WALK` on."""
+    k = min(k, cos.shape[1])
+    top = np.argpartition(-cos, k - 1, axis=1)[:, :k].ravel()
+    a = np.repeat(np.arange(len(cos)), k)
+    good = cos[a, top] >= WALK
+    return a[good], top[good]
+
+
+def nearest(table: pa.Table, k: int, threshold: float) -> pa.Table:
+    """Among the rows of one bucket: the k nearest of each node, the k nearest of other components (the nearest of
+    each), and a spanning forest of all threshold edges."""
     x, ids = matrix(table.column("vec")), table.column("node").to_numpy()
     cos = x @ x.T
     np.fill_diagonal(cos, -2)
-    k = min(k, len(ids) - 1)
-    if k < 1:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
-    top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    a = np.repeat(np.arange(len(ids)), k)
-    c = cos[a, top.ravel()]
-    good = c >= WALK
-    return pa.table({"a": ids[a[good]], "b": ids[top.ravel()[good]], "cos": c[good]})
-
-
-def kept(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each node, over both directions of the edges found."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
-    rank = F.row_number().over(W.partitionBy("a").orderBy(F.col("cos").desc(), "b"))
-    return both.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
-
-
-def descend(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    of, *ends = forest(cos >= threshold)
+    pairs = [best(cos, k)]
+    order = np.argsort(of, kind="stable")
+    starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+    if 1 < len(starts) < len(ids):
+        out = np.where(of[:, None] == of[order], -2, cos[:, order])
+        top = np.maximum.reduceat(out, starts, axis=1)
+        first = out == np.repeat(top, np.diff(starts, append=len(ids)), axis=1)
+        at = np.minimum.reduceat(np.where(first, np.arange(len(ids)), len(ids)), starts, axis=1)
+        a, c = best(top, k)
+        pairs.append((a, order[at[a, c]]))
+    a, b = (np.concatenate([*side, end]) for side, end in zip(zip(*pairs), ends))
+    return pa.table({"a": ids[a], "b": ids[b], "cos": cos[a, b], "tree": np.arange(len(a)) >= len(a) - len(ends[0])})
+
+
+def placed(edges: DataFrame, label_of: DataFrame) -> DataFrame:
+    """edges with the components of both ends, as la and lb; a node without a link is its own."""
+    for end in "ab":
+        known = label_of.select(F.col("node").alias(end), F.col("label").alias("__l"))
+        edges = edges.join(small_side(known), end, "left").withColumn(f"l{end}", F.coalesce("__l", end)).drop("__l")
+    return edges
+
+
+def kept(edges: DataFrame, k: int, label_of: DataFrame) -> DataFrame:
+    """(a, b, cos, inside), over both directions of the edges found: the k nearest of each node in its own component,
+    and k of others, the nearest of each."""
+    both = edges.select("a", "b", "cos").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    by = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(F.col("cos").desc(), "b"))
+    each = placed(both, label_of).withColumn("inside", F.col("la") == F.col("lb")).withColumn("r", by("a", "lb")).filter("inside or r = 1")
+    return each.withColumn("r", by("a", "inside")).filter(F.col("r") <= k).select("a", "b", "cos", "inside")
+
+
+def descend(edges: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
     """One round of local joins: what the neighbours of every node find among one another."""
     mid = edges.select(F.col("a").alias("mid"), F.col("b").alias("node"))
-    # At most k each way: the k that a node chose, and of those that chose it the k nearest.
-    chose = edges.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.col("cos").desc(), "a"))).filter(F.col("r") <= k)
+    # At most 2 k each way: those that a node chose, and of those that chose it the k nearest inside and outside.
+    chose = edges.withColumn("r", F.row_number().over(W.partitionBy("b", "inside").orderBy(F.col("cos").desc(), "a"))).filter(F.col("r") <= k)
     around = mid.unionByName(chose.select(F.col("b").alias("mid"), F.col("a").alias("node"))).distinct()
-    return around.join(nodes.select("node", "vec"), "node").groupBy("mid").applyInArrow(lambda t: nearest(t, k), EDGE)
+    return around.join(nodes.select("node", "vec"), "node").groupBy("mid").applyInArrow(lambda t: nearest(t, k, threshold), EDGE)
 
 
 def near_duplicates(
     rows: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
-    k: int = K, tables: int = TABLES, bucket: int = BUCKET, audit: int = 200, recall: float = 0.98, rounds: int = 6, seed: int = 1,
+    k: int = K, tables: int = TABLES, bucket: int = BUCKET, audit: int = 200, recall: float = 0.98, seed: int = 1,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
     every = written(prepared(rows, vec_id, embedding, label), "vectors")
     able = every.filter(F.col("vec").isNotNull())
     nodes = written(able.groupBy("label", "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")), "nodes")
-    edges, first = None, 0
+    edges = trees = nodes.sparkSession.createDataFrame([], EDGE)
+    first = 0
     while True:
-        started = coded(nodes, tables, first, bucket, seed).groupBy("t", "label", "bytes", "code", "salt").applyInArrow(lambda t: nearest(t, k), EDGE)
-        edges = written(kept(started if edges is None else edges.unionByName(started), k), "graph")
-        before = -1
-        for _ in range(rounds):
-            now = edges.filter(F.col("cos") >= threshold).count()
-            if now == before:
+        started = coded(nodes, tables, first, bucket, seed).groupBy("t", "label", "bytes", "code", "salt").applyInArrow(lambda t: nearest(t, k, threshold), EDGE)
+        fresh = written(started, "found")
+        # Each round but the last joins components, so the rounds end.
+        while True:
+            trees = trees.unionByName(fresh.filter("tree"))
+            label_of = components(trees)
+            edges = written(kept(edges.select("a", "b", "cos").unionByName(fresh.select("a", "b", "cos")), k, label_of), "graph")
+            fresh = written(descend(edges, nodes, k, threshold), "found")
+            if not placed(fresh.filter("tree"), label_of).filter("la <> lb").limit(1).count():
                 break
-            before = now
-            edges = written(kept(edges.unionByName(descend(edges, nodes, k)), k), "graph")
         first += tables
-        label_of = components(edges.filter(F.col("cos") >= threshold))
         links = written(linked(nodes, label_of, threshold, bucket), "links")
         if first >= 4 * tables or audited(nodes, links, threshold, audit, seed) >= recall:
             break

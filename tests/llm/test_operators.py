@@ -388,6 +388,22 @@ def test_embedding_links_match_brute_force(spark, options):
     assert nndescent.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"bucket": 8}])
+def test_dense_groups_are_bridged_although_their_lists_are_full(spark, options):
+    rng = np.random.default_rng(3)
+    turn = np.arccos(0.96)
+    rows = []
+    for g in range(3):  # a chain of groups, cosine 0.96 from one to the next, each of more vectors than a list holds
+        base = np.r_[np.cos(g * turn), np.sin(g * turn), np.zeros(14)]
+        rows += [(len(rows) + i, (base + rng.normal(size=16) * 0.004).tolist(), 0) for i in range(12)]
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nndescent.near_duplicates(df, **options).collect()}
+    assert min(near) == 23 and got == {i: (near[i], 0, i == 0) for i in range(36)}
+
+
 # 10: URL lists
 
 
