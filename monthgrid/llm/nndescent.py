@@ -8,8 +8,13 @@ walked: two edges at the threshold of 0.93 can't join nodes further apart than t
 the cut to k: of all threshold edges that any bucket or local join sees, a spanning forest is kept (`tree`), at most
 one edge a row.  A list holds k nodes of its own component and, so that a saturated list still leads out of a dense
 group, k more of as many other components, the nearest of each.  A node's list is then enlarged to its whole
-component, compared tile by tile, so that counts are whole although only counts leave a tile.  Recall is
-audited on `audit` random nodes against all rows, and more codes are drawn while it is under `recall`.
+component, compared tile by tile, so that counts are whole although only counts leave a tile.
+
+Recall is audited for the labels of each code length by themselves (labels of one bucket are compared whole).  Random
+nodes, `audit` of them at first, are compared with all rows of their label until `evidence` of them have a true link
+or no node is left.  While less than `recall` of those links, or of the nodes that have some, were found, `tables`
+more codes are drawn; after the fourth time all nodes that are left are compared.  Links that an audit finds are
+used.  So few or no links make the audit, and a recall that stays low the last step, a comparison of whole labels.
 
 Defined results: null, empty, zero or non-finite vectors, and vectors of a null label, link with nothing;
 vectors of different lengths under one label are never compared; repeated ids are rows of their own; an empty
@@ -28,6 +33,8 @@ from .arrowtools import small_side, written
 from .components import components
 
 THRESHOLD, WALK, K, TABLES, BUCKET = 0.93, 0.7, 8, 8, 1024
+#: The most bytes of audited vectors that are sent to the executors at once.
+AUDIT_BYTES = 16 << 20
 EDGE = "a bigint, b bigint, cos double, tree boolean"
 
 
@@ -55,16 +62,21 @@ def matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
+def sized(nodes: DataFrame, bucket: int) -> DataFrame:
+    """nodes with the bytes of the vector and the bits of its label's codes: 0 where the label fits into one bucket."""
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / (bucket / 8)))).cast("bigint")
+    sizes = nodes.groupBy(F.col("label").alias("of"), F.octet_length("vec").alias("bytes")).agg(bits.alias("bits"))
+    return nodes.join(small_side(sizes), (F.col("label") == F.col("of")) & (F.octet_length("vec") == F.col("bytes"))).drop("of")
+
+
 def coded(nodes: DataFrame, tables: int, first: int, bucket: int, seed: int) -> DataFrame:
     """(table, label, code, salt, node, vec): every node under one code for each table."""
-    sizes = nodes.groupBy(F.col("label").alias("of"), F.octet_length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("size"))
 
     def run(batches):
         for batch in batches:
             for wide in set(batch.column(3).to_pylist()):
                 part = batch.filter(pa.array([w == wide for w in batch.column(3).to_pylist()]))
-                x = matrix(part.column(2))
-                bits = np.maximum(0, np.ceil(np.log2(np.maximum(part.column(4).to_numpy(zero_copy_only=False), 1) / (bucket / 8)))).astype(np.int64)
+                x, bits = matrix(part.column(2)), part.column(4).to_numpy()
                 for t in range(first, first + tables):
                     planes = np.random.default_rng(seed * 1000 + t).normal(size=(x.shape[1], 40))
                     on = (x @ planes > 0).astype(np.int64) << np.arange(40)
@@ -74,8 +86,7 @@ def coded(nodes: DataFrame, tables: int, first: int, bucket: int, seed: int) ->
                         names=["t", "label", "bytes", "code", "node", "vec"],
                     )
 
-    known = nodes.join(small_side(sizes), (F.col("label") == F.col("of")) & (F.octet_length("vec") == F.col("bytes")))
-    rows = known.select("node", "label", "vec", "bytes", "size").mapInArrow(run, "t bigint, label string, bytes int, code bigint, node bigint, vec binary")
+    rows = nodes.select("node", "label", "vec", "bytes", "bits").mapInArrow(run, "t bigint, label string, bytes int, code bigint, node bigint, vec binary")
     key = ["t", "label", "bytes", "code"]
     full = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket)
     parts = F.coalesce(F.ceil(F.col("n") / bucket), F.lit(1))
@@ -155,12 +166,16 @@ def descend(edges: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Dat
 
 def near_duplicates(
     rows: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
-    k: int = K, tables: int = TABLES, bucket: int = BUCKET, audit: int = 200, recall: float = 0.98, seed: int = 1,
+    k: int = K, tables: int = TABLES, bucket: int = BUCKET, audit: int = 200, evidence: int = 200, recall: float = 0.98, seed: int = 1,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
     every = written(prepared(rows, vec_id, embedding, label), "vectors")
     able = every.filter(F.col("vec").isNotNull())
     nodes = written(able.groupBy("label", "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")), "nodes")
+    nodes = written(sized(nodes, bucket), "sized")
+    # For each code length, the number of nodes and the share of them that were audited.
+    left = {r.bits: [r.n, 0.0] for r in nodes.filter("bits > 0").groupBy("bits").agg(F.count(F.lit(1)).alias("n")).collect()}
+    repairs: list = []
     edges = trees = nodes.sparkSession.createDataFrame([], EDGE)
     first = 0
     while True:
@@ -175,9 +190,17 @@ def near_duplicates(
             if not placed(fresh.filter("tree"), label_of).filter("la <> lb").limit(1).count():
                 break
         first += tables
-        links = written(linked(nodes, label_of, threshold, bucket), "links")
-        if first >= 4 * tables or audited(nodes, links, threshold, audit, seed) >= recall:
+        placed_nodes = written(nodes.filter("bits > 0").join(label_of, "node", "left").select("node", nodes["label"], "vec", "weight", "bytes", "bits", F.coalesce(label_of["label"], "node").alias("least")), "placed")
+        low = audited(placed_nodes, repairs, left, threshold, audit, evidence, recall, seed)
+        if low and first >= 4 * tables:
+            audited(placed_nodes, repairs, low, threshold, max(n for n, _ in low.values()), float("inf"), recall, seed)
+        left = low
+        if not left or first >= 4 * tables:
             break
+    for found in repairs:
+        trees = trees.unionByName(found, allowMissingColumns=True)
+    label_of = components(trees) if repairs else label_of
+    links = linked(nodes, label_of, threshold, bucket)
     named = nodes.join(links, "node", "left").join(label_of.withColumnRenamed("label", "least"), "node", "left")
     named = named.select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("least", "node").alias("least"))
     mine = every.join(named, ["label", "vec"], "left")
@@ -207,29 +230,69 @@ def linked(nodes: DataFrame, label_of: DataFrame, threshold: float, bucket: int)
     return tiles.groupBy("least", "p", "q").applyInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def audited(nodes: DataFrame, links: DataFrame, threshold: float, sample: int, seed: int) -> float:
-    """The share of the true links of about `sample` nodes that the graph has (1.0 where there are none)."""
-    drawn = nodes.join(links, "node", "left").select("node", "label", "vec", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.xxhash64("node", F.lit(seed))).limit(sample).collect()
+def audited(nodes: DataFrame, repairs: list, left: dict, threshold: float, sample: int, evidence: float, recall: float, seed: int) -> dict:
+    """Those of `left` whose recall is too low and that have nodes left; what they have audited moves on, and links
+    between components are added to `repairs`."""
+    at = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    going, seen = dict(left), {bits: np.empty((0, 2), np.int64) for bits in left}
+    most = AUDIT_BYTES // (nodes.agg(F.max("bytes")).first()[0] or 1) if left else 0
+    while going:
+        drawn = F.lit(False)
+        for bits, span in going.items():
+            lo, span[1] = span[1], span[1] + max(1, min(sample, most // len(going))) / span[0]
+            drawn = drawn | ((F.col("bits") == bits) & (at >= lo) & (at < span[1]))
+        found = written(compared(nodes.filter(F.col("bits").isin(list(going))), nodes.filter(drawn), threshold), "audit")
+        for r in found.filter("b is null").groupBy("bits", "a").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost")).collect():
+            seen[r.bits] = np.append(seen[r.bits], [[r.n, r.lost]], axis=0)
+        pairs = found.filter("b is not null").select("a", "b")
+        if pairs.limit(1).count():
+            repairs.append(pairs)
+        going = {bits: span for bits, span in going.items() if span[1] < 1 and len(seen[bits]) < evidence}
+        sample *= 2
+    share = lambda x: min(1 - x[:, 1].sum() / x[:, 0].sum(), (x[:, 1] == 0).mean())
+    return {bits: span for bits, span in left.items() if span[1] < 1 and share(seen[bits]) < recall}
+
+
+def compared(nodes: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame:
+    """For each drawn node with a link, the rows it links with and those of them in other components (b null); and
+    links with other components, one a component and batch."""
     by: dict = {}
-    for r in drawn:
+    for r in drawn.select("node", "label", "vec", "least", "bits").collect():
         by.setdefault((r.label, len(r.vec)), []).append(r)
-    asked = {key: (np.array([r.node for r in rs]), np.frombuffer(b"".join(bytes(r.vec) for r in rs)).reshape(len(rs), -1)) for key, rs in by.items()}
+    asked = {key: (np.array([r.node for r in rs]), np.array([r.least for r in rs]), rs[0].bits, np.frombuffer(b"".join(bytes(r.vec) for r in rs)).reshape(len(rs), -1)) for key, rs in by.items()}
     shared = nodes.sparkSession.sparkContext.broadcast(asked)
+    names = ["bits", "a", "b", "n", "lost"]
 
     def run(batches):
+        total: dict = {}
         for batch in batches:
-            ids, w = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            keys = list(zip(batch.column(1).to_pylist(), map(len, batch.column(2).to_pylist())))
-            total = 0
-            for key, (own, x) in shared.value.items():
-                at = np.array([k == key for k in keys])
-                if at.any():
-                    near = (matrix(batch.column(2).filter(pa.array(at))) @ x.T >= threshold) & (ids[at][:, None] != own[None, :])
-                    total += int((near * w[at][:, None]).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
-
-    true = nodes.select("node", "label", "vec", "weight").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
-    return sum(r.n for r in drawn) / true if true else 1.0
+            where: dict = {}
+            for i, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(5).to_pylist())):
+                if key in shared.value:
+                    where.setdefault(key, []).append(i)
+            for key, rows in where.items():
+                own, of, bits, x = shared.value[key]
+                sums = total.setdefault(key, np.zeros((2, len(own)), np.int64))
+                step = max(1, (1 << 22) // len(own))
+                for s in range(0, len(rows), step):
+                    part = batch.take(pa.array(rows[s : s + step]))
+                    ids, w, least = (part.column(c).to_numpy() for c in (0, 3, 4))
+                    near = (matrix(part.column(2)) @ x.T >= threshold) & (ids[:, None] != own)
+                    i, j = near.nonzero()
+                    np.add.at(sums[0], j, w[i])
+                    lost = least[i] != of[j]
+                    i, j = i[lost], j[lost]
+                    np.add.at(sums[1], j, w[i])
+                    if len(i):
+                        one = np.unique(np.stack((least[i], j)), axis=1, return_index=True)[1]
+                        zero = np.zeros(len(one), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(zero + bits), pa.array(own[j[one]]), pa.array(ids[i[one]]), pa.array(zero), pa.array(zero)], names=names)
+        for key, (n, lost) in total.items():
+            own, _, bits, _ = shared.value[key]
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), bits)), pa.array(own[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(n[some]), pa.array(lost[some])], names=names)
+
+    return nodes.select("node", "label", "vec", "weight", "least", "bytes").mapInArrow(run, "bits bigint, a bigint, b bigint, n bigint, lost bigint")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

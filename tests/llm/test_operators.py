@@ -404,6 +404,18 @@ def test_dense_groups_are_bridged_although_their_lists_are_full(spark, options):
     assert min(near) == 23 and got == {i: (near[i], 0, i == 0) for i in range(36)}
 
 
+def test_audit_finds_the_few_pairs_of_a_large_label(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 24, 2):  # 12 pairs of cosine 0.935 among vectors without a link
+        y = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        x[i + 1] = 0.935 * x[i] + np.sqrt(1 - 0.935**2) * y / np.linalg.norm(y)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nndescent.near_duplicates(df, bucket=64, tables=1).collect()}
+    assert got == {i: (1, i - i % 2, i % 2 == 0) if i < 24 else (0, i, True) for i in range(3000)}
+
+
 # 10: URL lists
 
 
