@@ -93,8 +93,10 @@ def learn(docs: DataFrame, allowed, *, text: str = "text", lang: str = "lang", d
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).count().collect()}
     if not sizes:
         return {"idf": np.ones(DIMS), "langs": [], "centroids": [], "floor": []}
-    share = F.create_map([F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, sample / n) * 1_000_000))])
-    drawn = rows.filter(F.pmod(F.xxhash64(doc_id, F.lit(5)), F.lit(1_000_000)) < share[F.col(lang).cast("string")])
+    share = F.create_map([F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / n))])
+    # Two hashes give the draw the 52 bits of a double, for languages of any size.
+    fine = F.pmod(F.xxhash64(doc_id, F.lit(6)), F.lit(1 << 32)) / float(1 << 32)
+    drawn = rows.filter((F.pmod(F.xxhash64(doc_id, F.lit(5)), F.lit(1_000_000)) + fine) / 1e6 < share[F.col(lang).cast("string")])
 
     def run(batches):
         for batch in batches:

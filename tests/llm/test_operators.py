@@ -218,6 +218,11 @@ def test_language_by_held_out_rows(spark):
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_a_share_under_a_millionth_still_draws_rows(spark):
+    df = spark.range(12_000_000).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"), F.lit("en").alias("lang"))
+    assert set(langid.learn(df, F.lit(True), sample=8)["langs"]) == {"en"}
+
+
 def test_pairs_of_terms_count(spark):
     """Two words are each harmless, but toxic together: weights of single terms can't tell."""
     rng = random.Random(8)
