@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrowtools import mix64, small_batches, small_side, texts, written
@@ -347,8 +348,9 @@ def component_labels(docs: DataFrame, text: str, q: int, bucket: int, common: np
     return label
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, common: int = COMMON) -> DataFrame:
-    """(id, n_shingles, component_id) for each row; component_id is the least id reachable by links."""
+def grouped(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE, bucket: int = BUCKET, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """(id, n, node) of each row; and (node, label, component) of nodes that link or are several rows: label is the
+    component's least node, component its least id."""
     small_batches(docs.sparkSession)
     made = written(digests(docs, doc_id, text, shingle), "sets")
     often = made.filter("n is null").groupBy("common").agg(F.sum("times").alias("times")).filter("times >= 24").orderBy(F.desc("times"), "common").limit(common)
@@ -358,7 +360,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = classes.join(label, "node", "left").filter(F.col("label").isNotNull() | (F.col("copies") > 1))
     named = written(named.select("node", "least", F.coalesce("label", "node").alias("label")), "classes")
     least = named.groupBy("label").agg(F.min("least").alias("component"))
-    of = named.join(least, "label").select("node", "component")
+    return rows, named.join(least, "label").select("node", "label", "component")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, common: int = COMMON) -> DataFrame:
+    """(id, n_shingles, component_id) for each row; component_id is the least id reachable by links."""
+    rows, of = grouped(docs, doc_id, text, shingle, bucket, common)
     return rows.join(of, "node", "left").select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
@@ -370,11 +377,28 @@ def little_endian(column: str):
     return sum((F.shiftleft(byte(i), 8 * i) for i in range(1, 8)), byte(0))
 
 
-def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the least of their component; all columns kept."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    gone = written(found.filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("__gone")).distinct(), "gone")
-    return docs.join(small_side(gone), docs[doc_id] == F.col("__gone"), "left_anti")
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, **options) -> DataFrame:
+    """One row of docs for each component, that of the least id; all columns kept.
+
+    Rows of repeated or null ids are told apart by their sets: of a component's rows with the least id, that of the
+    least set stays, and one of equal rows.  A null id comes after all others, so of null ids alone one row stays.
+    Rows without a shingle link with nothing and all stay."""
+    rows, of = grouped(docs, doc_id, text, shingle, **options)
+    odd = written(rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("id is null or rows > 1").select(F.col("id").alias("__odd")), "odd")
+    gone = written(rows.join(of, "node").filter("id <> component").select(F.col("id").alias("__gone")).distinct(), "gone")
+    if not odd.limit(1).count():
+        return docs.join(small_side(gone), docs[doc_id] == F.col("__gone"), "left_anti")
+    is_odd = docs[doc_id].eqNullSafe(F.col("__odd"))
+    plain = docs.join(small_side(odd), is_odd, "left_anti").join(small_side(gone), F.col(doc_id) == F.col("__gone"), "left_anti")
+    # The set of each text among the rows of those ids.
+    strange = docs.join(small_side(odd), is_odd, "left_semi").withColumn("__text", F.xxhash64(F.col(text).cast("string")))
+    sets = digests(strange.dropDuplicates(["__text"]), "__text", text, shingle).filter("n is not null")
+    node_of_text = sets.select(F.col("id").alias("__text"), little_endian("digest").alias("node")).join(of, "node")
+    known = written(node_of_text.select("__text", *[F.col(c).alias(f"__{c}") for c in ("node", "label", "component")]), "known")
+    placed = strange.join(small_side(known), "__text", "left").filter(F.col("__label").isNull() | F.col(doc_id).eqNullSafe(F.col("__component")))
+    order = F.row_number().over(W.partitionBy("__label").orderBy("__node", "__text", F.xxhash64(*docs.columns)))
+    first = placed.filter("__label is not null").withColumn("__r", order).filter("__r = 1").drop("__r")
+    return plain.unionByName(placed.filter("__label is null").unionByName(first).select(docs.columns))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -297,6 +297,15 @@ def test_jaccard_groups_match_brute_force(spark, options):
     assert partenum.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_of_each_decides_by_row_where_ids_repeat_or_are_null(spark):
+    rng = random.Random(4)
+    a, b, c, d, f = (prose(rng, 60) for _ in range(5))
+    rows = [(1, a), (2, a + " once"), (2, b), (5, c), (5, c), (7, f), (7, f + " once"), (None, d), (None, d + " once"), (None, a + " twice"), (8, None), (8, None), (9, prose(rng, 60))]
+    kept = [(r.doc_id, r.text) for r in partenum.one_of_each(docs(spark, rows)).collect()]
+    assert sorted((i or 0 for i, _ in kept)) == [0, 1, 2, 5, 7, 8, 8, 9] and (2, b) in kept
+    assert {t for i, t in kept if i is None} < {d, d + " once"}
+
+
 def test_signatures_of_similar_sets_meet():
     """Any two sets that link share a signature, whatever is left out as common."""
     rng = np.random.default_rng(10)
