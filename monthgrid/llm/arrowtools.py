@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import tempfile
 import uuid
 
 import numpy as np
@@ -27,13 +30,58 @@ def texts(column) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def in_slices(batches, column: int, most: int = 4 << 20):
+    """Batches cut so that a slice holds about `most` bytes of a text column, or one row."""
+    for batch in batches:
+        size = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)])
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def released(run):
+    """A function of batches that hands the memory it no longer needs back to the system when a task ends: workers are
+    kept for later tasks, and what each of them keeps adds up."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def spare(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column of a table has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark) -> str:
-    """The folder that driver and executors share; spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a folder of this machine
+    serves local masters; a cluster without the setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext._jsc.sc()
     if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = own.get() if own.isDefined() else "/tmp/checkpoints/monthgrid"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        own = context.getCheckpointDir()
+        if not own.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = own.get() if own.isDefined() else f"{tempfile.gettempdir()}/checkpoints/monthgrid"
+    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -43,7 +91,17 @@ def written(df, name: str):
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def forget(*tables) -> None:
+    """Delete tables that `written` made and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -62,7 +120,9 @@ BROADCAST_BYTES = 32 << 20
 
 
 def small_side(df, bound: int = BROADCAST_BYTES):
-    """Mark a written table for broadcast only where its measured size (text plus 64 bytes a row) is under the bound."""
+    """Mark a written table for broadcast only where its measured size (text plus 64 bytes a row) is under the bound.
+
+    Null values count as empty, and an empty table is small."""
     from pyspark.sql import functions as F
 
     wide = [F.octet_length(F.to_json(F.array(c)) if t.startswith("array") else F.col(c).cast("string")) for c, t in df.dtypes]

@@ -5,8 +5,11 @@ text gets a leading blank (if the model says so), blanks become the marker U+258
 largest sum of scores is taken; of equal sums, the one whose last piece starts first.  A character that no piece
 covers costs the smallest score less 10 and is written as its bytes.  Since no piece holds a marker after
 another character (checked on loading; a line feed likewise), the best split of a text is the best splits of
-its blank-led words one after another, so words are solved once and remembered, and texts of any length take
-linear time and little memory.
+its blank-led words one after another.  Short words are solved together, once, and remembered up to a number of
+bytes; a word over `LONG` bytes is solved alone, and its split is settled and let go of wherever all paths that are
+still open share it.  So time is linear in the text, and what is held besides the ids doesn't grow with a word.
+
+The double array is built once, on the driver, and sent to the workers as 32-bit arrays.
 
 Decoding joins the pieces, turns markers to blanks, byte pieces to their bytes, and takes the leading blank
 away.  A U+2581 in the text itself is written as bytes, so that every text comes back exactly.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtools import small_batches, texts
+from .arrowtools import in_slices, released, small_batches, texts
 
 MARKER = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 200_000
+#: Bytes of words and ids that a worker remembers; bytes of a word that is solved alone; bytes between two settlings.
+REMEMBERED, LONG, SETTLE = 16 << 20, 128, 1 << 15
 
 
 def fields(data: bytes):
@@ -109,8 +114,8 @@ class Trie:
             for c in codes:
                 check[b + c] = at
                 slot[below[c]] = b + c
-        pad = [-1] * 256
-        self.base, self.check, self.value = base, check + pad, value + pad
+        pad = [-1] * 256  # no look-up leaves the arrays
+        self.base, self.check, self.value = (np.array(x + pad, np.int32) for x in (base, check, value))
 
 
 class Pieces:
@@ -151,26 +156,42 @@ class Model(Pieces):
                 self.scores[i] = len(p.decode()) * high - 0.1
         self.unknown = low - 10.0
         self.trie = Trie(words)
+        self.weights = np.array(self.scores)
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
-        apart = all(MARKER not in p.lstrip(b"\xe2\x96\x81") for p in words)
-        feed = all(b"\n" not in p for p in words)
-        self.cut = re.compile((rb"\n| *[^ \n]+| +" if feed else rb" *[^ ]+| +") if apart else rb"(?s).+").findall
+        self.apart = all(MARKER not in p.lstrip(b"\xe2\x96\x81") for p in words)
+        self.feed = all(b"\n" not in p for p in words)
+        self.prepare()
+
+    def prepare(self) -> None:
+        self.cut = re.compile((rb"\n| *[^ \n]+| +" if self.feed else rb" *[^ ]+| +") if self.apart else rb"(?s).+").findall
         self.solved: dict[bytes, bytes] = {}
-        self.arrays = None
-
-    def viterbi(self, word: bytes) -> list[int]:
-        """The best ids of a word whose blanks are markers."""
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
-        n = len(word)
-        best: list = [None] * (n + 1)
-        back = [(0, -1)] * (n + 1)
-        best[0] = 0.0
-        for i in range(n):
-            here = best[i]
-            if here is None:
+        self.held = 0
+        t = self.trie
+        self.views = tuple(map(memoryview, (t.base, t.check, t.value, self.weights)))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("cut", "solved", "held", "views")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.prepare()
+
+    def viterbi(self, word: bytes, settle: int = SETTLE) -> np.ndarray:
+        """The best ids of a word whose blanks are markers.
+
+        All open paths end within a character or a piece's length of the place that is reached.  Every `settle` bytes
+        they are followed back to where they meet; the path up to there can't change any more."""
+        base, check, value, scores = self.views
+        n, low = len(word), -np.inf
+        best, begin, piece = (array(kind, [v]) for kind, v in (("d", 0.0), ("q", 0), ("i", -1)))
+        out, zero, i, due = [], 0, 0, settle  # slot 0 of the arrays stands for the place `zero`
+        while i < n:
+            here = best[i - zero]
+            if here == low:
+                i += 1
                 continue
             b = word[i]
-            end = i + (1 if b < 128 else 2 if b < 224 else 3 if b < 240 else 4)
+            end = min(n, i + (1 if b < 128 else 2 if b < 224 else 3 if b < 240 else 4))
             node, j, alone = 0, i, False
             while j < n:
                 child = base[node] + word[j]
@@ -181,41 +202,69 @@ class Model(Pieces):
                 v = value[node]
                 if v >= 0:
                     s = here + scores[v]
-                    if best[j] is None or s > best[j]:
-                        best[j], back[j] = s, (i, v)
+                    at = j - zero
+                    while at >= len(best):
+                        best.append(low), begin.append(0), piece.append(-1)
+                    if s > best[at]:
+                        best[at], begin[at], piece[at] = s, i, v
                     alone |= j == end
-            if not alone and end <= n:
+            if not alone:
                 s = here + self.unknown
-                if best[end] is None or s > best[end]:
-                    best[end], back[end] = s, (i, -1)
-        out, at = [], n
-        while at > 0:
-            i, v = back[at]
-            out += [v] if v >= 0 else [self.byte.get(b, self.unk) for b in reversed(word[i:at])] if self.byte else [self.unk]
+                at = end - zero
+                while at >= len(best):
+                    best.append(low), begin.append(0), piece.append(-1)
+                if s > best[at]:
+                    best[at], begin[at], piece[at] = s, i, -1
+            i += 1
+            if i >= due and i < n:
+                open_ = {p for p in range(i, zero + len(best)) if best[p - zero] > low}
+                while len(open_) > 1:
+                    last = max(open_)
+                    open_.remove(last)
+                    open_.add(begin[last - zero] if last > zero else zero)
+                meet = open_.pop()
+                if meet > zero:
+                    out.append(self.path(word, begin, piece, zero, meet))
+                    del best[: meet - zero], begin[: meet - zero], piece[: meet - zero]
+                    zero = meet
+                    i = max(i, meet)
+                due = i + settle
+        out.append(self.path(word, begin, piece, zero, n))
+        return np.concatenate(out)
+
+    def path(self, word: bytes, begin, piece, zero: int, at: int) -> np.ndarray:
+        """The ids of the best path from `zero` to `at`."""
+        out = array("i")
+        while at > zero:
+            i, v = begin[at - zero], piece[at - zero]
+            if v >= 0:
+                out.append(v)
+            else:
+                out.extend([self.byte.get(b, self.unk) for b in reversed(word[i:at])] if self.byte else [self.unk])
             at = i
-        return out[::-1]
-
-    def solve(self, words: list[bytes]) -> None:
-        """Solve and remember words: the same steps as viterbi's, taken for all words at once."""
-        if self.arrays is None:
-            t = self.trie
-            self.arrays = tuple(np.array(x, np.int64) for x in (t.base + [0] * (len(t.check) - len(t.base)), t.check, t.value)) + (np.array(self.scores),)
-        base, check, value, scores = self.arrays
+        return np.array(out, np.int32)[::-1]
+
+    def solve(self, words: list[bytes]) -> list[bytes]:
+        """The ids of short words, as bytes: the same steps as viterbi's, taken for all words at once."""
+        t = self.trie
+        base, check, value, scores = t.base, t.check, t.value, self.weights
+        order = sorted(range(len(words)), key=lambda k: -len(words[k]))  # the words still to go on with come first
+        words = [words[k] for k in order]
         size = np.array([len(w) for w in words])
-        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        going = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # at i: words of more than i bytes
+        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
         begin = np.cumsum(size) - size  # of each word's bytes; one more slot a word for its end
         slot = begin + np.arange(len(words))
         best = np.full(len(text) + len(words), -np.inf)
         best[slot] = 0.0
-        start, piece = np.zeros(len(best), np.int64), np.full(len(best), -1)
-        for i in range(int(size.max())):
-            word = np.flatnonzero(size > i)
-            word = word[best[slot[word] + i] > -np.inf]
+        start, piece = np.zeros(len(best), np.int32), np.full(len(best), -1, np.int32)
+        for i in range(int(size[0])):
+            word = np.flatnonzero(best[slot[: going[i]] + i] > -np.inf)
             here = best[slot[word] + i]
             first = text[begin[word] + i]
-            end = i + np.where(first < 128, 1, np.where(first < 224, 2, np.where(first < 240, 3, 4)))
+            end = np.minimum(size[word], i + np.where(first < 128, 1, np.where(first < 224, 2, np.where(first < 240, 3, 4))))
             alone = np.zeros(len(word), bool)
-            at, node, j = np.arange(len(word)), np.zeros(len(word), np.int64), i
+            at, node, j = np.arange(len(word)), np.zeros(len(word), np.int32), i
             while len(at):
                 more = size[word[at]] > j
                 at, node = at[more], node[more]
@@ -230,7 +279,7 @@ class Model(Pieces):
                 better = total > best[to]
                 best[to[better]], start[to[better]], piece[to[better]] = total[better], i, v[better]
                 alone[w] |= end[w] == j
-            w = np.flatnonzero(~alone & (end <= size[word]))
+            w = np.flatnonzero(~alone)
             to, total = slot[word[w]] + end[w], here[w] + self.unknown
             better = total > best[to]
             best[to[better]], start[to[better]], piece[to[better]] = total[better], i, -1
@@ -238,29 +287,45 @@ class Model(Pieces):
         while len(word):
             to = slot[word] + at
             steps.append((word, at, piece[to]))
-            at = start[to]
+            at = start[to].astype(np.int64)
             word, at = word[at > 0], at[at > 0]
         word, at, ids = (np.concatenate(x) for x in zip(*steps))
-        order = np.lexsort((at, word))
-        word, ids = word[order], ids[order].astype(np.int32)
+        by = np.lexsort((at, word))
+        word, ids = word[by], ids[by].astype(np.int32)
         cut = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
         odd = set(word[ids < 0].tolist())
-        data = ids.tobytes()
+        data, out = ids.tobytes(), [b""] * len(words)
         for k, w in enumerate(words):
-            shown = w.replace(MARKER, b" ")
-            self.solved[shown] = np.array(self.viterbi(w), np.int32).tobytes() if k in odd else data[4 * cut[k] : 4 * cut[k + 1]]
+            out[order[k]] = self.viterbi(w).tobytes() if k in odd else data[4 * cut[k] : 4 * cut[k + 1]]
+        return out
+
+    def learnt(self, words) -> dict[bytes, bytes]:
+        """The ids of each of some words: remembered, solved together, or (long ones) one by one and not remembered."""
+        out, fresh = {}, []
+        for w in words:
+            if (known := self.solved.get(w)) is not None:
+                out[w] = known
+            elif len(w) > LONG:
+                out[w] = self.viterbi(w.replace(b" ", MARKER)).tobytes()
+            else:
+                fresh.append(w)
+        for k in range(0, len(fresh), 4096):
+            part = fresh[k : k + 4096]
+            found = self.solve([w.replace(b" ", MARKER) for w in part])
+            out.update(zip(part, found))
+            self.held += sum(map(len, part)) + sum(map(len, found)) + 200 * len(part)
+            if self.held > REMEMBERED:
+                self.solved.clear()
+                self.held = 0
+            else:
+                self.solved.update(zip(part, found))
+        return out
 
     def encode_many(self, texts: list[bytes | None]) -> list[np.ndarray | None]:
         literal = np.array([self.byte.get(b, self.unk) for b in MARKER], np.int32).tobytes()
         lead = b" " if self.prefix else b""
         split = [[self.cut(part) for part in (lead + t).split(MARKER)] if t else None for t in texts]
-        words = {w for parts in split if parts for part in parts for w in part}
-        if len(self.solved) + len(words) > REMEMBERED:
-            self.solved.clear()
-        fresh = [w.replace(b" ", MARKER) for w in words if w not in self.solved]
-        if fresh:
-            self.solve(fresh)
-        get = self.solved.__getitem__
+        get = self.learnt({w for parts in split if parts for part in parts for w in part}).__getitem__
         return [
             None if t is None else np.frombuffer(literal.join(b"".join(map(get, part)) for part in parts), np.int32) if parts else np.empty(0, np.int32)
             for t, parts in zip(texts, split)
@@ -271,66 +336,78 @@ class Model(Pieces):
 
 
 @lru_cache(maxsize=2)
-def model_of(data: bytes) -> Model:
-    """One model for each worker process, however many tasks it runs."""
-    return Model(data)
+def model_of(path: str) -> Model:
+    """The model of a file, built once on the driver."""
+    with open(path, "rb") as f:
+        return Model(f.read())
 
 
-@lru_cache(maxsize=2)
-def pieces_of(data: bytes) -> Pieces:
-    return Pieces(data)
+def extended(df: DataFrame, run, *new: T.StructField) -> DataFrame:
+    return df.mapInArrow(released(run), T.StructType([*[f for f in df.schema if f.name not in {n.name for n in new}], *new]))
 
 
-def model_bytes(path: str) -> bytes:
-    with open(path, "rb") as f:
-        return f.read()
+def put(batch, **values):
+    keep = [i for i, n in enumerate(batch.schema.names) if n not in values]
+    return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + list(values.values()), names=[batch.schema.names[i] for i in keep] + list(values))
 
 
-def extended(df: DataFrame, run, name: str, kind: T.DataType) -> DataFrame:
-    return df.mapInArrow(run, T.StructType([*[f for f in df.schema if f.name != name], T.StructField(name, kind)]))
+def lists(values: list) -> pa.ListArray:
+    """Arrays of ids, or None, as an Arrow column."""
+    ends = np.cumsum([0] + [0 if v is None else len(v) for v in values]).astype(np.int32)
+    flat = np.concatenate([v for v in values if v is not None] or [np.empty(0, np.int32)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=pa.array([v is None for v in values], pa.bool_()))
 
 
-def put(batch, name: str, values):
-    keep = [i for i, n in enumerate(batch.schema.names) if n != name]
-    return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [values], names=[batch.schema.names[i] for i in keep] + [name])
+def shown(model: Pieces, values: list) -> pa.Array:
+    """The decoded texts of arrays of ids, or None."""
+    return pa.array([None if v is None else model.decode(v.tolist()).decode("utf-8", "replace") for v in values], pa.string())
 
 
 def encode(docs: DataFrame, *, text: str = "text", ids: str = "ids", model: str = MODEL) -> DataFrame:
     """docs with a column of ids; the model file is read on the driver and sent along."""
     small_batches(docs.sparkSession, 128)
-    shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model_of(model))
     at = docs.columns.index(text)
 
     def run(batches):
-        m = model_of(shared.value)
-        for batch in batches:
-            values = m.encode_many(texts(batch.column(at)))
-            ends = np.cumsum([0] + [0 if v is None else len(v) for v in values]).astype(np.int32)
-            flat = np.concatenate([v for v in values if v is not None] or [np.empty(0, np.int32)])
-            mask = pa.array([v is None for v in values], pa.bool_())
-            yield put(batch, ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=mask))
+        m = shared.value
+        for batch in in_slices(batches, at):
+            yield put(batch, **{ids: lists(m.encode_many(texts(batch.column(at))))})
 
-    return extended(docs, run, ids, T.ArrayType(T.IntegerType()))
+    return extended(docs, run, T.StructField(ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(docs: DataFrame, *, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """docs with a column of decoded texts."""
     small_batches(docs.sparkSession, 128)
-    shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model_of(model))
     at = docs.columns.index(ids)
 
     def run(batches):
-        m = pieces_of(shared.value)
+        m = shared.value
         for batch in batches:
-            out = []
-            for v in batch.column(at):
-                out.append(m.decode(v.values.to_numpy(zero_copy_only=False).tolist()).decode("utf-8", "replace") if v.is_valid else None)
-            yield put(batch, text, pa.array(out, pa.string()))
+            yield put(batch, **{text: shown(m, [v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in batch.column(at)])})
+
+    return extended(docs, run, T.StructField(text, T.StringType()))
+
+
+def round_trip(docs: DataFrame, *, text: str = "text", ids: str = "ids", exact: str = "exact", model: str = MODEL) -> DataFrame:
+    """docs with the ids of each text and whether their decoding gives the text back, byte for byte, in one pass."""
+    small_batches(docs.sparkSession, 128)
+    shared = docs.sparkSession.sparkContext.broadcast(model_of(model))
+    at = docs.columns.index(text)
+
+    def run(batches):
+        m = shared.value
+        for batch in in_slices(batches, at):
+            given = texts(batch.column(at))
+            values = m.encode_many(given)
+            same = [t is None if v is None else m.decode(v.tolist()) == t for t, v in zip(given, values)]
+            yield put(batch, **{ids: lists(values), exact: pa.array(same, pa.bool_())})
 
-    return extended(docs, run, text, T.StringType())
+    return extended(docs, run, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(exact, T.BooleanType()))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs))
-    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("text").eqNullSafe(F.col("decoded")).alias("exact"))
+    return round_trip(docs).select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "exact")
