@@ -40,8 +40,8 @@ def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece_ids(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as ids, and whether decoding gives the text back exactly."""
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text")))
-    return both.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("exact"))
+    both = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"))
+    return both.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_pieces"), "exact")
 
 
 STAGES = [
