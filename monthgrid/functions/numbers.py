@@ -29,9 +29,9 @@ def at_least(c: Column, floor: float) -> Column:
 
 
 def messy_number(c: Column) -> Column:
-    """Text with blanks, non-breaking blanks and a decimal comma to a double; dashes and other junk to NULL."""
+    """Text with blanks, non-breaking blanks, a decimal comma or an exponent to a double; dashes and other junk to NULL."""
     kept = F.regexp_replace(F.regexp_replace(F.trim(c), "[\\s\\u00A0]", ""), ",", ".")
-    kept = F.regexp_replace(kept, "[^0-9.\\-]", "")
+    kept = F.regexp_replace(kept, "[^0-9eE+.\\-]", "")
     return finite(kept.try_cast("double"))
 
 

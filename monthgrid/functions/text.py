@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ MONTHS = {
 
 
 def parse_period(c: Column) -> Column:
-    """The month start that a period text names: month name and year, YYYYMmm, YYYY-mm, mm.YYYY, a year, else a day-first date."""
+    """The month start that a period text names anywhere: month name and year, YYYYMmm, YYYY-mm, mm.YYYY; or that it is as a
+    whole: a year, else a day-first date."""
     t = F.lower(F.trim(c))
     year = F.regexp_extract(t, r"((?:19|20)\d{2})", 1).try_cast("int")
     named = F.lit(None).cast("int")
@@ -22,45 +25,96 @@ def parse_period(c: Column) -> Column:
         named = F.when(t.contains(stem), MONTHS[stem]).otherwise(named)
     made = lambda y, m: F.when(m.between(1, 12), F.make_date(y, m, F.lit(1)))
     part = lambda p, g: F.regexp_extract(t, p, g).try_cast("int")
-    ymm, iso, dotted, alone = r"^(\d{4})m(\d{1,2})$", r"^(\d{4})[-/.](\d{1,2})(?:[-/.]\d{1,2})?$", r"^(\d{1,2})[./](\d{4})$", r"^((?:19|20)\d{2})(?:\s*(?:год|г\.?))?$"
+    month, full = r"(1[0-2]|0?[1-9])(?!\d)", r"((?:19|20)\d{2})"
+    ymm, dotted, alone = full + r"\s*[m/.\-]\s*" + month, r"(?<!\d)(1[0-2]|0?[1-9])\s*[./\-]\s*" + full, "^" + full + r"(?:\s*(?:год|г\.?))?$"
     day_first = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in ("d.M.yyyy", "d/M/yyyy", "d-M-yyyy")])
     return F.coalesce(
-        F.when(year.isNotNull(), made(year, named)), made(part(ymm, 1), part(ymm, 2)), made(part(iso, 1), part(iso, 2)),
+        F.when(year.isNotNull(), made(year, named)), made(part(ymm, 1), part(ymm, 2)),
         made(part(dotted, 2), part(dotted, 1)), made(part(alone, 1), F.lit(1)), F.trunc(day_first, "month"),
     )
 
 
-# Words that name a kind of territory, and other names of some.
-KINDS = ["область", "обл", "край", "республика", "респ", "автономный округ", "автономная область", "ао", "город", "г"]
-ALIASES = {"татарстан татарстан": "татарстан", "саха якутия": "саха", "ханты-мансийский - югра": "ханты-мансийский", "санкт петербург": "санкт-петербург"}
+# Names of regions that are written in several ways, cleaned, and their keys.
+REGION_ALIASES = {
+    "чувашская республика чувашия": "чувашия",
+    "чувашская республика — чувашия": "чувашия",
+    "чувашская республика - чувашия": "чувашия",
+    "г санкт петербург": "санкт-петербург",
+    "город санкт петербург": "санкт-петербург",
+    "москва город": "москва",
+}
+# Words that say what kind a region is.
+REGION_KINDS = ["область", "край", "республика", "автономная область", "автономный округ", "ао"]
+#: Characters whose compatible form is one other character, and those forms; by Unicode's rule.
+COMPATIBLE = [(chr(i), unicodedata.normalize("NFKC", chr(i))) for i in range(0xA0, 0x10000) if not 0xD800 <= i < 0xE000]
+COMPATIBLE = [(a, b) for a, b in COMPATIBLE if a != b and len(b) == 1]
+#: Letters that are often written as a letter and a mark.
+COMPOSED = {"и\u0306": "й", "И\u0306": "Й", "е\u0308": "ё", "Е\u0308": "Ё"}
+
+
+def clean_place(c: Column) -> Column:
+    """A place name in compatible characters and lower case, without brackets, footnote marks and marks at its ends."""
+    t = F.translate(F.coalesce(c, F.lit("")), *("".join(x) for x in zip(*COMPATIBLE)))
+    for written, letter in COMPOSED.items():
+        t = F.replace(t, F.lit(written), F.lit(letter))
+    t = F.translate(F.lower(t), "ё\ufeff", "е")
+    t = F.translate(F.regexp_replace(t, r"[\[\]()*†‡]+", " "), "—–", "--")
+    return F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[ .,;:'\"\-]+|[ .,;:'\"\-]+$", "")
 
 
-def canonical_name(c: Column) -> Column:
-    """A place name without case, accents on e, brackets, footnotes, kinds of territory and odd dashes."""
-    t = F.lower(F.translate(c, "Ёё", "Ее"))
-    t = F.regexp_replace(t, r"\([^)]*\)|\[[^\]]*\]", " ")
-    t = F.regexp_replace(t, r"[‐-―−]", "-")
-    t = F.regexp_replace(t, r"[\d*¹²³]+\s*$", " ")
-    t = F.regexp_replace(t, r"[.,;:\"'«»]", " ")
-    t = F.regexp_replace(t, r"(?<![\p{L}\-])(?:" + "|".join(sorted(KINDS, key=len, reverse=True)) + r")(?![\p{L}\-])", " ")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"\s*-\s*", "-"), r"\s+", " "))
-    for alias, name in ALIASES.items():
-        t = F.when(t == alias, name).otherwise(t)
-    return F.nullif(t, F.lit(""))
+def bare(t: Column) -> Column:
+    """Without a leading sign of a town, odd blanks, and dashes at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^г\.?\s+", ""), r"\s+", " "), r"^[ \-]+|[ \-]+$", "")
+
+
+def region_key(c: Column) -> Column:
+    """A region's name without words for its kind; known other names become one."""
+    t = clean_place(c)
+    kinds = r"(?<![\p{L}\p{N}_])(?:" + "|".join(REGION_KINDS) + r")(?![\p{L}\p{N}_])"
+    out = bare(F.regexp_replace(F.regexp_replace(t, r"^г\.?\s+", ""), kinds, ""))
+    for alias, name in REGION_ALIASES.items():
+        out = F.when(t == alias, name).otherwise(out)
+    return out
 
 
 def geo_key(region: Column, name: Column) -> Column:
-    return F.concat_ws("::", F.coalesce(canonical_name(region), F.lit("")), F.coalesce(canonical_name(name), F.lit("")))
+    """A municipality's key: its name with its kind and number, after its region's key where there is one."""
+    known = region_key(region)
+    return F.when(known != "", F.concat_ws("::", known, bare(clean_place(name)))).otherwise(bare(clean_place(name)))
 
 
-def clean_text(c: Column, limit: int = 2000) -> Column:
-    """Tags, URLs and NULs to blanks, the common entities undone, white space collapsed, cut at `limit`."""
-    t = F.regexp_replace(c, "\\x00", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+# Named character references and what they show.
+ENTITIES = {
+    "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&laquo;": "«", "&raquo;": "»", "&mdash;": "—", "&ndash;": "–",
+    "&hellip;": "…", "&bull;": "•", "&middot;": "·", "&deg;": "°", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&sect;": "§", "&para;": "¶",
+    "&euro;": "€", "&pound;": "£", "&cent;": "¢", "&yen;": "¥", "&times;": "×", "&divide;": "÷", "&plusmn;": "±", "&minus;": "−",
+    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&bdquo;": "„", "&shy;": "\u00ad", "&frac12;": "½", "&sup2;": "²", "&numero;": "№",
+}
+
+
+def unescaped(t: Column) -> Column:
+    """Character references undone: those by number, those of ENTITIES, and &amp; last."""
+    number = r"^(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));"
+
+    def shown(piece):
+        code = F.coalesce(F.nullif(F.regexp_extract(piece, number, 1), F.lit("")).try_cast("bigint"), F.conv(F.nullif(F.regexp_extract(piece, number, 2), F.lit("")), 16, 10).try_cast("bigint"))
+        usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(usable, F.concat(char, F.regexp_replace(piece, number, ""))).otherwise(F.concat(F.lit("&#"), piece))
+
+    pieces = F.split(t, "&#")
+    t = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), shown), ""))
+    for entity, char in ENTITIES.items():
         t = F.replace(t, F.lit(entity), F.lit(char))
+    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+
+
+def clean_text(c: Column, limit: int = 2000) -> Column:
+    """Character references undone, tags, URLs and NULs to blanks, white space collapsed, cut at `limit`."""
+    t = F.regexp_replace(unescaped(c), "\\x00", " ")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
     t = F.regexp_replace(t, r"https?://\S+|www\.\S+", " ")
-    return F.substring(F.trim(F.regexp_replace(t, r"[ \t\n\r\f\v]+", " ")), 1, limit)
+    return F.substring(F.trim(F.regexp_replace(t, r"[ \u00a0\t\n\r\f\v]+", " ")), 1, limit)
 
 
 def normal_url(c: Column) -> Column:
@@ -73,13 +127,13 @@ def normal_url(c: Column) -> Column:
 
 
 def parse_when(c: Column, zone: str = "Europe/Moscow") -> Column:
-    """Epoch seconds or milliseconds (1e11 and over), or ISO text with or without offset, as local time of `zone`."""
+    """Epoch seconds or milliseconds (1e11 and over) in digits, or ISO text with or without offset, as local time of `zone`."""
     t = F.trim(c)
     n = t.try_cast("bigint")
     epoch = F.when(F.abs(n) >= 100_000_000_000, F.timestamp_millis(n)).otherwise(F.timestamp_seconds(n))
     offset = t.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$") & t.contains(":")
     stamp = t.try_cast("timestamp")
-    return F.when(t.rlike(r"^-?\d{9,}$"), F.from_utc_timestamp(epoch, zone)).when(offset, F.from_utc_timestamp(stamp, zone)).otherwise(stamp)
+    return F.when(t.rlike(r"^-?\d+$"), F.from_utc_timestamp(epoch, zone)).when(offset, F.from_utc_timestamp(stamp, zone)).otherwise(stamp)
 
 
 def has_topic(topic: Column, tags: Column, wanted: list[str]) -> Column:

@@ -82,7 +82,8 @@ def alert_share(df: DataFrame, shock: str, eligible: str, period: str = "period"
 
 def macro_events(shares: DataFrame, threshold: float = 0.085, period: str = "period", national: str | None = None) -> DataFrame:
     """Months whose share reaches the threshold (or with a national shock); of consecutive months, pairs in order
-    keep the one of the larger share, of equals the earlier.  The ordering is over months only."""
+    keep the one of the larger share, of equals the earlier; a national shock counts like a share of 1 more, an unknown
+    share like 0.  The ordering is over months only."""
     hit = F.coalesce(F.col("share") >= threshold, F.lit(False))
     if national:
         hit = hit | F.coalesce(F.col(national), F.lit(False))
@@ -90,7 +91,8 @@ def macro_events(shares: DataFrame, threshold: float = 0.085, period: str = "per
     rows = shares.filter(hit).withColumn("__island", (F.year(period) * 12 + F.month(period)) - F.row_number().over(w))
     inside = W.partitionBy("__island").orderBy(period)
     rows = rows.withColumn("__pair", F.floor((F.row_number().over(inside) - 1) / 2))
-    best = F.max(F.struct("share", (-(F.year(period) * 12 + F.month(period))).alias("earlier"), F.col(period).alias("event")))
+    weight = F.coalesce("share", F.lit(0.0)) + (F.coalesce(F.col(national), F.lit(False)).cast("double") if national else F.lit(0.0))
+    best = F.max(F.struct(weight.alias("weight"), F.col("share"), (-(F.year(period) * 12 + F.month(period))).alias("earlier"), F.col(period).alias("event")))
     return rows.groupBy("__island", "__pair").agg(best.alias("b")).select(F.col("b.event").alias("event"), F.col("b.share").alias("share"))
 
 
@@ -249,12 +251,23 @@ def match_events(detections: DataFrame, events: DataFrame, tolerance: int = 31)
     return near.groupBy("method").applyInPandas(run, "method string, detected date, event date, delay int")
 
 
-def event_scores(detections: DataFrame, events: DataFrame, tolerance: int = 31) -> DataFrame:
-    """Precision, recall, F1, coverage and mean non-negative delay (months) of each method."""
-    matched = match_events(detections, events, tolerance)
-    m = matched.groupBy("method").agg(F.count(F.lit(1)).alias("matched"), (F.avg(F.when(F.col("delay") >= 0, F.col("delay"))) / 30.4375).alias("mean_delay"))
+def event_scores(detections: DataFrame, events: DataFrame, tolerance: int = 31, methods: list[str] = (), observed: DataFrame | None = None) -> DataFrame:
+    """Precision, recall, F1, coverage, mean lead (days, negative: early) and mean delay (months, early ones as 0) of each
+    method; those of `methods` without a detection score 0.  With `observed` (its column `period`), only events
+    between its first and last month count; out_of_range tells how many others there are."""
+    span = observed.agg(F.min("period").alias("__lo"), F.max("period").alias("__hi")) if observed is not None else None
+    inside = events if span is None else events.join(F.broadcast(span), F.col("event").between(F.col("__lo"), F.col("__hi")), "left_semi")
+    matched = match_events(detections, inside, tolerance)
+    m = matched.groupBy("method").agg(
+        F.count(F.lit(1)).alias("matched"), F.avg("delay").alias("mean_lead_days"), (F.avg(F.greatest("delay", F.lit(0))) / 30.4375).alias("mean_delay")
+    )
     d = detections.groupBy("method").agg(F.count_distinct("detected").alias("detected"))
-    n = events.agg(F.count_distinct("event").alias("events"))
+    if methods:
+        named = detections.sparkSession.createDataFrame([(x,) for x in methods], "method string")
+        d = named.join(d, "method", "full").withColumn("detected", F.coalesce("detected", F.lit(0).cast("bigint")))
+    catalog = events.agg(F.count_distinct("event").alias("catalog"))
+    n = inside.agg(F.count_distinct("event").alias("events")).crossJoin(catalog)  # one row each
     rows = d.join(m, "method", "left").crossJoin(F.broadcast(n)).withColumn("matched", F.coalesce("matched", F.lit(0)))
-    p, r = F.col("matched") / F.nullif(F.col("detected"), F.lit(0)), F.col("matched") / F.nullif(F.col("events"), F.lit(0))
-    return rows.select("method", "detected", "matched", "events", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), (100 * r).alias("coverage"), "mean_delay")
+    part = lambda whole: F.when(F.col(whole) > 0, F.col("matched") / F.col(whole)).otherwise(0.0)
+    p, r = part("detected"), part("events")
+    return rows.select("method", "detected", "matched", "events", (F.col("catalog") - F.col("events")).alias("out_of_range"), "mean_lead_days", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), (100 * r).alias("coverage"), "mean_delay")

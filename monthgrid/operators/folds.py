@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 from monthgrid.session import assert_none, assert_unique
 
 
-def fold_table(panel: DataFrame, n_splits: int = 3, fold_size: int = 2, gap: int = 1, min_train: int = 6, origin: str = "origin") -> DataFrame:
+def fold_table(panel: DataFrame, n_splits: int = 3, fold_size: int = 2, gap: int = 1, min_train: int = 6, origin: str = "origin", target_end: str | None = None) -> DataFrame:
     """(fold, train_start, train_end, test_start, test_end): the last n_splits * fold_size origins are tested in turn;
-    training ends `gap` origins before.  Only the distinct origins are ordered, never the rows."""
+    training ends `gap` origins before.  Folds of fewer than `min_train` training origins are left out; with `target_end`,
+    origins all of whose rows the purge takes don't count.  Only the distinct origins are ordered, never the rows."""
     w = W.orderBy(origin)
-    origins = panel.select(origin).distinct().select(origin, (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
+    ends = panel.groupBy(origin).agg(F.min(target_end or origin).alias("__ends"))
+    origins = ends.select(origin, "__ends", (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
     first = F.col("n") - n_splits * fold_size + F.col("fold") * fold_size
     spread = origins.crossJoin(panel.sparkSession.range(n_splits).select(F.col("id").cast("int").alias("fold")))
     train, test = F.col("i") < first - gap, F.col("i").between(first, first + fold_size - 1)
     folds = spread.groupBy("fold").agg(
         F.min(F.when(train, F.col(origin))).alias("train_start"), F.max(F.when(train, F.col(origin))).alias("train_end"),
         F.min(F.when(test, F.col(origin))).alias("test_start"), F.max(F.when(test, F.col(origin))).alias("test_end"),
-        F.count_distinct(F.when(train, F.col(origin))).alias("train_periods"),
+        F.count_distinct(F.when(train, F.col(origin))).alias("train_periods"), F.collect_list(F.when(train, F.col("__ends"))).alias("__ends"),
     )
-    return folds.filter(F.col("train_periods") >= min_train)
+    left = F.size(F.filter("__ends", lambda e: e <= F.col("test_start"))) if target_end else F.col("train_periods")
+    return folds.filter((F.col("train_periods") >= min_train) & (left >= min_train)).drop("__ends")
 
 
 def assign(panel: DataFrame, folds: DataFrame, origin: str = "origin", target_end: str = "target_end") -> DataFrame:

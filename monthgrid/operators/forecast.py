@@ -48,7 +48,10 @@ def trend_arm(history: DataFrame, future: DataFrame, entity: str = "mo", period:
         future.select(F.col(entity).alias("e"), F.col(period).alias("p"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind"))
     )
     out = rows.groupBy("e").applyInPandas(run, "e string, p date, pred double, model string, mode string")
-    return out.withColumnsRenamed({"e": entity, "p": period})
+    out = out.withColumnsRenamed({"e": entity, "p": period})
+    if most_fallbacks < 1:
+        fallback_share(out, entity, most_fallbacks)
+    return out
 
 
 def fallback_share(predictions: DataFrame, entity: str = "mo", most: float = 0.05) -> float:

@@ -36,11 +36,17 @@ def asof_strict(left: DataFrame, right: DataFrame, by: list[str], at: str, relea
 
 def last_positive_before(history: DataFrame, months: DataFrame, entity: str = "mo", period: str = "period", value: str = "y") -> DataFrame:
     """months with `filled`: the entity's last positive value strictly before the month; a newcomer gets the median
-    of all values before it."""
+    of all positive values before it.  Values are counted by month first, and each count is handed to the later ones of
+    the months asked for (a list as long as a calendar), so rows aren't paired with months."""
     known = history.filter(F.col(value) > 0).select(entity, period, F.col(value).alias("__v"))
     own = asof_strict(months, known, [entity], period, period, "__v")
-    dates = months.select(F.col(period).alias("__m")).distinct()
-    prior = dates.join(history.filter(F.col(value).isNotNull()), F.col(period) < F.col("__m")).groupBy("__m").agg(F.expr(f"percentile({value}, 0.5)").alias("__median"))
+    dates = sorted(r[0] for r in months.filter(F.col(period).isNotNull()).select(period).distinct().collect())
+    # What is known before a month is known before all later ones: the first of them that a row precedes.
+    place = F.array(*[F.lit(d) for d in dates]) if dates else F.expr("cast(array() as array<date>)")
+    later = F.filter(place, lambda m: m > F.col(period))
+    counts = known.withColumn("__next", F.get(later, 0)).filter(F.col("__next").isNotNull()).groupBy("__next", "__v").agg(F.count(F.lit(1)).alias("__n")) if dates else known.select(F.lit(None).cast("date").alias("__next"), "__v", F.lit(0).alias("__n")).limit(0)
+    spread = counts.select(F.explode(F.filter(place, lambda m: m >= F.col("__next"))).alias("__m"), "__v", "__n").groupBy("__m", "__v").agg(F.sum("__n").alias("__n"))
+    prior = spread.groupBy("__m").agg(F.expr("percentile(__v, 0.5, __n)").alias("__median"))
     return (
         own.join(F.broadcast(prior), F.col(period) == F.col("__m"), "left")
         .select(*months.columns, F.coalesce("__v", "__median").alias("filled"), F.when(F.col("__v").isNotNull(), "history").when(F.col("__median").isNotNull(), "median").alias("fill_source"))

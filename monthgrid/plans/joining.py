@@ -59,16 +59,17 @@ def j5(spark, sf):
     return out.select("supplier", "period", "q", F.col("q_since").cast("date").alias("released"))
 
 
-@register(BOOK, "j6_asof_fill", sql(OBSERVED, """, h AS (SELECT * FROM obs WHERE mo <> 'NATION_3'),
+@register(BOOK, "j6_asof_fill", sql(OBSERVED, """, h AS (SELECT mo, period, CASE WHEN month(period) % 3 = 0 THEN 0 WHEN month(period) % 3 = 1 THEN -y ELSE y END AS y FROM obs WHERE mo <> 'NATION_3'),
 t AS (SELECT mo, CAST(m AS DATE) AS period FROM (SELECT DISTINCT mo FROM obs) CROSS JOIN (SELECT unnest([DATE '1998-01-01', DATE '1999-06-01', DATE '2001-01-01']) AS m))
 SELECT t.mo, t.period, coalesce(h.y, med) AS filled, CASE WHEN h.y IS NOT NULL THEN 'history' WHEN med IS NOT NULL THEN 'median' END AS fill_source
 FROM t ASOF LEFT JOIN (SELECT * FROM h WHERE y > 0) h ON t.mo = h.mo AND t.period > h.period
-LEFT JOIN (SELECT m.period AS p, round(quantile_cont(y, 0.5), 5) AS med FROM (SELECT DISTINCT period FROM t) m JOIN h ON h.period < m.period GROUP BY m.period) ON p = t.period""").replace("\n, h", ", h"))
+LEFT JOIN (SELECT m.period AS p, round(quantile_cont(y, 0.5), 5) AS med FROM (SELECT DISTINCT period FROM t) m JOIN h ON h.period < m.period WHERE h.y > 0 GROUP BY m.period) ON p = t.period""").replace("\n, h", ", h"))
 def j6(spark, sf):
     rows = observed(spark, sf)
     months = spark.createDataFrame([("1998-01-01",), ("1999-06-01",), ("2001-01-01",)], "d string").select(F.col("d").cast("date").alias("period"))
     asked = rows.select("mo").distinct().crossJoin(F.broadcast(months))
-    out = joins.last_positive_before(rows.filter("mo <> 'NATION_3'"), asked)
+    signed = F.when(F.month("period") % 3 == 0, 0.0).when(F.month("period") % 3 == 1, -F.col("y")).otherwise(F.col("y"))
+    out = joins.last_positive_before(rows.filter("mo <> 'NATION_3'").withColumn("y", signed), asked)
     return out.withColumn("filled", F.round("filled", 5))
 
 
@@ -112,8 +113,8 @@ def j9(spark, sf):
     return joins.attach_region(named.select("n_name", "region"), wages, "region", "s_suppkey", ["wage"])
 
 
-@register(BOOK, "j10_crosswalk", """WITH x AS (SELECT CAST(c_custkey % 40 AS VARCHAR) AS code, c_mktsegment AS name, CAST(c_nationkey AS VARCHAR) AS region, c_custkey AS id FROM customer WHERE c_custkey <= 60 OR c_custkey % 7 = 0),
-q AS (SELECT CAST(s_suppkey AS VARCHAR) AS code, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS name, CAST(s_nationkey AS VARCHAR) AS region FROM supplier),
+@register(BOOK, "j10_crosswalk", """WITH x AS (SELECT CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE -1 - c_custkey % 40 END AS VARCHAR) AS code, c_mktsegment || CAST(c_custkey % 60 AS VARCHAR) AS name, CAST(c_nationkey AS VARCHAR) AS region, c_custkey AS id FROM customer),
+q AS (SELECT CAST(CASE WHEN s_suppkey % 5 = 1 THEN -1 - s_suppkey % 40 ELSE s_suppkey END AS VARCHAR) AS code, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END || CAST(s_suppkey % 60 AS VARCHAR) AS name, CAST(s_nationkey AS VARCHAR) AS region FROM supplier),
 c AS (SELECT code, count(*) AS n_code, min(id) AS id_code FROM x GROUP BY code), d AS (SELECT name, region, count(*) AS n_name, min(id) AS id_name FROM x GROUP BY name, region)
 SELECT q.code, q.name, q.region, CASE WHEN n_code = 1 THEN CAST(id_code AS VARCHAR) WHEN n_name = 1 THEN CAST(id_name AS VARCHAR) ELSE q.region || '::' || q.name END AS id,
  CASE WHEN n_code = 1 THEN 'exact' WHEN n_name = 1 THEN 'crosswalk' WHEN n_code > 1 OR n_name > 1 THEN 'ambiguous' ELSE 'inferred' END AS status,
@@ -121,8 +122,11 @@ SELECT q.code, q.name, q.region, CASE WHEN n_code = 1 THEN CAST(id_code AS VARCH
 FROM q LEFT JOIN c ON q.code = c.code LEFT JOIN d ON q.name = d.name AND q.region = d.region""")
 def j10(spark, sf):
     s = lambda c: F.col(c).cast("string")
-    x = table(spark, sf, "customer").filter("c_custkey <= 60 or c_custkey % 7 = 0").select((F.col("c_custkey") % 40).cast("string").alias("code"), F.col("c_mktsegment").alias("name"), s("c_nationkey").alias("region"), s("c_custkey").alias("id"))
-    q = table(spark, sf, "supplier").select(s("s_suppkey").alias("code"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("name"), s("s_nationkey").alias("region"))
+    x = table(spark, sf, "customer").select(
+        F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).otherwise(-1 - F.col("c_custkey") % 40).cast("string").alias("code"), F.concat("c_mktsegment", (F.col("c_custkey") % 60).cast("string")).alias("name"), s("c_nationkey").alias("region"), s("c_custkey").alias("id"))
+    q = table(spark, sf, "supplier").select(
+        F.when(F.col("s_suppkey") % 5 == 1, -1 - F.col("s_suppkey") % 40).otherwise(F.col("s_suppkey")).cast("string").alias("code"),
+        F.concat(F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY"), (F.col("s_suppkey") % 60).cast("string")).alias("name"), s("s_nationkey").alias("region"))
     return joins.resolve(q, x)
 
 

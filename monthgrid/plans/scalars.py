@@ -12,32 +12,39 @@ from monthgrid.session import table
 BOOK: dict = {}
 
 
-@register(BOOK, "sf5_period_parser", """SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS named, CAST(date_trunc('month', o_orderdate) AS DATE) AS compact, CAST(date_trunc('month', o_orderdate) AS DATE) AS dotted, CAST(date_trunc('year', o_orderdate) AS DATE) AS year_only, CAST(NULL AS DATE) AS junk FROM orders""")
+@register(BOOK, "sf5_period_parser", """SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS named, CAST(date_trunc('month', o_orderdate) AS DATE) AS inside, CAST(date_trunc('month', o_orderdate) AS DATE) AS spaced, CAST(date_trunc('month', o_orderdate) AS DATE) AS compact, CAST(date_trunc('month', o_orderdate) AS DATE) AS dotted, CAST(date_trunc('year', o_orderdate) AS DATE) AS year_only, CAST(NULL AS DATE) AS junk FROM orders""")
 def sf5(spark, sf):
     d = F.col("o_orderdate")
     names = ["январь", "февраль", "марта", "апрель", "май", "июня", "июль", "августа", "сентябрь", "октября", "ноябрь", "декабря"]
     named = F.concat(F.array(*map(F.lit, names))[F.month(d) - 1], F.lit(" "), F.year(d).cast("string"), F.lit(" года"))
-    made = {"named": named, "compact": F.date_format(d, "yyyy'M'MM"), "dotted": F.date_format(d, "MM.yyyy"), "year_only": F.date_format(d, "yyyy' год'"), "junk": F.col("o_orderpriority")}
+    made = {"inside": F.concat(F.lit("период "), F.date_format(d, "yyyy-MM"), F.lit(" (факт)")), "spaced": F.date_format(d, "yyyy' m 'MM"), "named": named, "compact": F.date_format(d, "yyyy'M'MM"), "dotted": F.date_format(d, "MM.yyyy"), "year_only": F.date_format(d, "yyyy' год'"), "junk": F.col("o_orderpriority")}
     return table(spark, sf, "orders").select("o_orderkey", *[tx.parse_period(c).alias(n) for n, c in made.items()])
 
 
-@register(BOOK, "sf6_messy_numbers", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL ELSE round(l_extendedprice, 2) END AS price FROM lineitem")
+@register(BOOK, "sf6_messy_numbers", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL ELSE round(l_extendedprice, 2) END AS price, CAST(l_linenumber AS DOUBLE) * 1000 AS scientific FROM lineitem")
 def sf6(spark, sf):
     shown = F.regexp_replace(F.format_number(F.round("l_extendedprice", 2), 2), ",", " ")
     raw = F.when(F.col("l_linenumber") == 1, "..").otherwise(F.concat(F.lit(" "), F.regexp_replace(shown, r"\.", ","), F.lit(" руб")))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", messy_number(raw).alias("price"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", messy_number(raw).alias("price"), messy_number(F.concat("l_linenumber", F.lit(",0 E+3 шт"))).alias("scientific"))
 
 
-@register(BOOK, "sf9_geo_key", "SELECT n_nationkey, lower(replace(r_name, '_', ' ')) || '::' || lower(n_name) AS key FROM nation JOIN region ON n_regionkey = r_regionkey")
+@register(BOOK, "sf9_geo_key", "SELECT n_nationkey, lower(regexp_replace(r_name, '_+', ' ', 'g')) || ' факт::' || CASE WHEN n_nationkey % 2 = 0 THEN 'район ' ELSE '' END || lower(n_name) || ' 3' AS key FROM nation JOIN region ON n_regionkey = r_regionkey")
 def sf9(spark, sf):
     n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     region = F.concat(F.lit("Республика "), F.replace("r_name", F.lit("_"), F.lit("  ")), F.lit(" (факт)"))
-    name = F.concat(F.lit("г. "), F.col("n_name"), F.lit(" *"))
-    # The digits that end a test name are kept from the footnote rule by a trailing mark.
-    return n.select("n_nationkey", F.concat_ws("::", tx.canonical_name(region), F.lower(F.regexp_extract(name, r"г\. (.*) \*$", 1))).alias("key"))
+    name = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "район ").otherwise("г. "), F.col("n_name"), F.lit("\u00a0[3] *"))
+    return n.select("n_nationkey", tx.geo_key(region, name).alias("key"))
 
 
-HTML = r"""substr(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 2000)"""
+def unescaped_sql(column: str) -> str:
+    """The named references undone; the pages hold none by number."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    for entity, char in [*tx.ENTITIES.items(), ("&amp;", "&")]:
+        column = f"replace({column}, {quoted(entity)}, {quoted(char)})"
+    return column
+
+
+HTML = r"substr(trim(regexp_replace(regexp_replace(regexp_replace(" + unescaped_sql("html") + r""", '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '[ \x{00A0}\t\n\r\f\v]+', ' ', 'g')), 1, 2000)"""
 
 
 @register(BOOK, "sf10_clean_text", f"SELECT page_id, {HTML} AS body FROM pages")

@@ -84,6 +84,21 @@ def test_greedy_matching_uses_each_side_once(spark):
     assert (scores.matched, scores.recall, round(scores.precision, 4)) == (2, 1.0, 0.6667)
 
 
+def test_event_scores_count_early_ones_as_no_delay_and_silent_methods_as_nothing(spark):
+    found = spark.createDataFrame([("m", D(2022, 3, 2)), ("m", D(2022, 5, 20))], "method string, detected date")
+    events = spark.createDataFrame([(D(2022, 3, 12),), (D(2022, 5, 1),), (D(2030, 1, 1),)], "event date")
+    months_ = spark.createDataFrame([(D(2022, 1, 1),), (D(2022, 12, 1),)], "period date")
+    got = {r.method: r for r in detect.event_scores(found, events, methods=["m", "silent"], observed=months_).collect()}
+    assert (got["m"].events, got["m"].out_of_range, got["m"].recall, got["m"].mean_lead_days) == (2, 1, 1.0, 4.5)
+    assert got["m"].mean_delay == pytest.approx(9.5 / 30.4375)
+    assert (got["silent"].detected, got["silent"].precision, got["silent"].f1, got["silent"].mean_delay) == (0, 0.0, 0.0, None)
+
+
+def test_national_months_win_their_pair(spark, months):
+    df = spark.createDataFrame(list(zip(months(2020, 1, 2), [0.5, None], [False, True])), "period date, share double, national boolean")
+    assert [(r.event, r.share) for r in detect.macro_events(df, national="national").collect()] == [(D(2020, 2, 1), None)]
+
+
 def test_macro_events_pair_up_consecutive_months(spark, months):
     df = spark.createDataFrame(list(zip(months(2023, 1, 6), [0.1, 0.3, 0.2, 0.0, 0.2, 0.2])), "period date, share double")
     got = sorted(r.event for r in detect.macro_events(df).collect())

@@ -52,3 +52,14 @@ def test_cold_entities_get_the_median_before(spark):
     asked = spark.createDataFrame([("a", D(2023, 3, 1)), ("new", D(2023, 3, 1)), ("new", D(2022, 1, 1))], "mo string, period date")
     got = {(r.mo, r.period): (r.filled, r.fill_source) for r in joins.last_positive_before(history, asked).collect()}
     assert got == {("a", D(2023, 3, 1)): (10.0, "history"), ("new", D(2023, 3, 1)): (10.0, "median"), ("new", D(2022, 1, 1)): (None, None)}
+
+
+def test_newcomers_get_the_median_of_positive_values(spark, months):
+    history = spark.createDataFrame([("a", p, v) for p, v in zip(months(2020, 1, 4), [0.0, -5.0, 10.0, 40.0])] + [("a", D(2020, 6, 1), None)], "mo string, period date, y double")
+    asked = spark.createDataFrame([("b", p) for p in months(2020, 2, 5)] + [("a", D(2020, 4, 1)), ("b", None)], "mo string, period date")
+    got = {(r.mo, r.period): (r.filled, r.fill_source) for r in joins.last_positive_before(history, asked).collect()}
+    assert got["b", D(2020, 3, 1)] == (None, None) and got["b", D(2020, 4, 1)] == (10.0, "median") and got["b", D(2020, 6, 1)] == (25.0, "median")
+    assert got["a", D(2020, 4, 1)] == (10.0, "history") and got["b", None] == (None, None)
+    plan = joins.last_positive_before(history, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert joins.last_positive_before(history, asked.limit(0)).count() == 0

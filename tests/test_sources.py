@@ -20,20 +20,25 @@ def one(spark, expression, *values):
 
 
 def test_period_texts(spark):
-    assert one(spark, tx.parse_period, "Январь 2023", "2023M02", "03.2023", "2023 год", "junk", "мая 2021 г.", "2023-07", "15.08.2022", "13.2023", None) == [
-        D(2023, 1, 1), D(2023, 2, 1), D(2023, 3, 1), D(2023, 1, 1), None, D(2021, 5, 1), D(2023, 7, 1), D(2022, 8, 1), None, None]
+    assert one(spark, tx.parse_period, "Январь 2023", "2023M02", "03.2023", "2023 год", "junk", "мая 2021 г.", "2023-07", "15.08.2022", "13.2023", None, "период 2020-05", "2020 m 05", "2023M12 (факт)", "за 4 / 2021") == [
+        D(2023, 1, 1), D(2023, 2, 1), D(2023, 3, 1), D(2023, 1, 1), None, D(2021, 5, 1), D(2023, 7, 1), D(2022, 8, 1), None, None, D(2020, 5, 1), D(2020, 5, 1), D(2023, 12, 1), D(2021, 4, 1)]
 
 
 def test_messy_numbers(spark):
-    assert one(spark, messy_number, "1 000,5", "1 100,5", "-", "..", "12 руб", None, "") == [1000.5, 1100.5, None, None, 12.0, None, None]
+    assert one(spark, messy_number, "1 000,5", "1 100,5", "-", "..", "12 руб", None, "", "1.5e3", "2E+2", "e") == [1000.5, 1100.5, None, None, 12.0, None, None, 1500.0, 200.0, None]
 
 
 def test_place_names(spark):
-    assert one(spark, tx.canonical_name, "Республика Татарстан (Татарстан)", "Орёл", "г. Москва", "Ханты-Мансийский автономный округ — Югра", "Край", None) == ["татарстан", "орел", "москва", "ханты-мансийский-югра", None, None]
+    got = one(spark, tx.region_key, "Республика Татарстан", "Орловская область", "г. Москва", "Чувашская Республика — Чувашия", "Город Санкт Петербург", "Краснодарский\u00a0край*", "Ямало-Ненецкий АО", None)
+    assert got == ["татарстан", "орловская", "москва", "чувашия", "санкт-петербург", "краснодарский", "ямало-ненецкий", ""]
+    place = lambda c: tx.geo_key(F.lit(None).cast("string"), c)
+    assert one(spark, place, "Микрорайон 3", "Микрорайон 5", "город Казань", "Казань", "г. Казань", "Орёл [1]", "Ｋ и\u0306", None) == ["микрорайон 3", "микрорайон 5", "город казань", "казань", "казань", "орел 1", "k й", ""]
+    assert one(spark, lambda c: tx.geo_key(F.lit("Московская область"), c), "Клин")[0] == "московская::клин"
 
 
 def test_bodies_and_urls(spark):
     assert one(spark, tx.clean_text, "<p>a &amp; b</p>\x00 see https://x.y/z  now", None) == ["a & b see now", None]
+    assert one(spark, tx.clean_text, "&#39;&#x416;&#128512;&nbsp;&laquo;x&raquo; &amp;lt; &# &#0; &unknown; &copy;", "&#1040;") == ["'Ж\U0001f600 «x» &lt; &# &#0; &unknown; ©", "А"]
     assert one(spark, tx.normal_url, "HTTPS://Example.com/a?q=1#f", "www.Example.com/A", "ftp://x/y", None) == ["https://example.com/a", "https://www.example.com/A", None, None]
 
 
