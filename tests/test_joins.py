@@ -51,7 +51,7 @@ def test_cold_entities_get_the_median_before(spark):
     history = spark.createDataFrame([("a", D(2023, 1, 1), 10.0), ("a", D(2023, 2, 1), -1.0), ("b", D(2023, 1, 1), 20.0), ("b", D(2023, 5, 1), 999.0)], "mo string, period date, y double")
     asked = spark.createDataFrame([("a", D(2023, 3, 1)), ("new", D(2023, 3, 1)), ("new", D(2022, 1, 1))], "mo string, period date")
     got = {(r.mo, r.period): (r.filled, r.fill_source) for r in joins.last_positive_before(history, asked).collect()}
-    assert got == {("a", D(2023, 3, 1)): (10.0, "history"), ("new", D(2023, 3, 1)): (10.0, "median"), ("new", D(2022, 1, 1)): (None, None)}
+    assert got == {("a", D(2023, 3, 1)): (10.0, "history"), ("new", D(2023, 3, 1)): (15.0, "median"), ("new", D(2022, 1, 1)): (None, None)}
 
 
 def test_newcomers_get_the_median_of_positive_values(spark, months):
