@@ -2,18 +2,19 @@
 
 The rule, by longest-previous-factor arrays: with all suffixes of the corpus in order, the previous and the next
 entries that start earlier (in the order of document ids, then of starts) hold the longest earlier match of a
-suffix; where it reaches `length`, the suffix's first `length` bytes go.  Suffixes are ranked to `length` bytes
-and equal ones lie by start, so the previous smaller entry is the one before, and it alone decides.
+suffix; where it reaches `length`, the suffix's first `length` bytes go.  Matches are followed up to `length` bytes.
 
 To keep every array small, suffixes that may be equal are first brought together.  Each window of `length` bytes
 names an anchor, its least 32-gram by hash, so equal windows name equal anchors.  Anchors seen once in the corpus
-are dropped; the others send the text that their windows span to a block, and each block ranks its suffixes by
-prefix doubling.  An anchor of more than `most` occurrences is spread over several blocks by document; windows
+are dropped; the others send the text that their windows span to a block.  Each block sorts its suffixes by prefix
+doubling, finds previous and next smaller positions, takes the longest previous factors from them by the ranks of
+each doubling, and removes what factors of full length cover.  An anchor of more than `most` occurrences is spread over several blocks by document; windows
 that come first in such a block are compared once more across blocks, grouped by their bytes.
 
-Defined results: null is an empty text; texts under `length` bytes lose nothing; rows that repeat an id count as
-one document, of the least text; matches are judged on the input; kept bytes may cut a character, so they are
-binary; an empty table gives an empty table; other columns are not read.
+Defined results: null is an empty text; texts under `length` bytes lose nothing; rows that repeat an id are documents
+of their own, in the order of their texts; rows without an id lose nothing and take nothing from others; matches
+are judged on the input; kept bytes may cut a character, so they are binary; an empty table gives an empty table;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import mix64, small_batches, small_side, texts, written
+from .arrowtools import in_slices, mix64, released, small_batches, small_side, texts, written
 
 LENGTH, GRAM, MOST, BLOCK = 100, 32, 20_000, 3 << 20
 C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -66,17 +67,19 @@ def anchors(text: bytes, length: int = LENGTH, chunk: int = 1 << 20):
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of all suffixes by their first `length` (8 or more) bytes, by prefix doubling."""
+def ranks(text: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all suffixes by their first 8, 16, 32 ... and at last `length` (8 or more) bytes, by prefix doubling."""
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     key = np.ndarray((len(text),), ">u8", padded.tobytes(), 0, (1,)).astype(np.uint64)
     rank, have = dense(key), 8
+    levels = [(have, rank.astype(np.uint32))]
     while have < length:
         step = min(have, length - have)
         after = np.zeros(len(rank), np.uint64)
         after[: len(rank) - step] = rank[step:] + np.uint64(1)
         rank, have = dense(rank << np.uint64(32) | after), have + step
-    return rank
+        levels.append((have, rank.astype(np.uint32)))
+    return levels
 
 
 def dense(key: np.ndarray) -> np.ndarray:
@@ -87,48 +90,54 @@ def dense(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def previous_factors(rank: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For starts in order: whether an earlier one has the same rank, i.e. the previous factor has full length.
-
-    In suffix order with equal ranks by start, the entry before is the previous smaller position of its class,
-    and no next smaller position has a longer match."""
-    of = rank[starts]
-    order = np.argsort(of, kind="stable")
-    later = np.zeros(len(starts), bool)
-    later[order[1:]] = of[order[1:]] == of[order[:-1]]
-    return later
-
-
-def lpf(text: bytes) -> list[int]:
-    """The longest-previous-factor array of one text: from previous and next smaller positions in suffix order."""
-    n = len(text)
-    order = sorted(range(n), key=lambda i: text[i:])
-    near = [[-1] * n, [-1] * n]
-    for side, line in ((0, order), (1, order[::-1])):
-        stack: list[int] = []
-        for i in line:
-            while stack and stack[-1] > i:
-                stack.pop()
-            near[side][i] = stack[-1] if stack else -1
-            stack.append(i)
-
-    def common(i: int, j: int) -> int:
-        k = 0
-        while j >= 0 and i + k < n and text[i + k] == text[j + k]:
-            k += 1
-        return k
-
-    return [max(common(i, near[0][i]), common(i, near[1][i])) for i in range(n)]
-
-
-def runs(starts: np.ndarray, length: int):
-    """Covered ranges of sorted window starts."""
-    if not len(starts):
-        return starts, starts
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    return starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))] + length
-
-
+def smaller_before(p: np.ndarray) -> np.ndarray:
+    """For each entry the nearest one before it that is smaller, or -1: all entries follow pointers at once, and an
+    entry that is still too large hands its own pointer on."""
+    p = np.concatenate(([-1], p))
+    to = np.arange(len(p)) - 1
+    to[0] = 0
+    left = np.arange(1, len(p))
+    while len(left := left[p[to[left]] > p[left]]):
+        to[left] = to[to[left]]
+    return to[1:] - 1
+
+
+def common_lengths(text: np.ndarray, levels: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes the suffixes at a and b have in common, up to the longest that was ranked."""
+    length, rank = levels[-1]
+    out = np.full(len(a), length)
+    left = np.flatnonzero(rank[a] != rank[b])
+    at = np.zeros(len(left), np.int64)
+    for size, rank in levels[-2::-1]:
+        x, y = a[left] + at, b[left] + at
+        inside = (x < len(rank)) & (y < len(rank))
+        at[inside] += np.where(rank[x[inside]] == rank[y[inside]], size, 0)
+    padded = np.concatenate((text, np.zeros(length + 8, np.uint8)))
+    key = np.ndarray((len(text) + length,), ">u8", padded.tobytes(), 0, (1,))
+    x = key[a[left] + at].astype(np.uint64) ^ key[b[left] + at].astype(np.uint64)
+    high, low = (np.frexp((v & np.uint64(0xFFFFFFFF)).astype(np.float64))[1] for v in (x >> np.uint64(32), x))
+    zeros = np.where(high > 0, 32 - high, 64 - low)
+    out[left] = np.minimum(at + zeros // 8, length)
+    return out
+
+
+def previous_factors(text: np.ndarray, starts: np.ndarray, length: int, shorter: bool = True) -> np.ndarray:
+    """The longest-previous-factor array of some suffixes, cut at `length`: the most bytes that each has in common with
+    one that comes before it in `starts`.  From previous and next smaller positions in suffix order.  Without
+    `shorter`, factors under `length` aren't measured and stand as 0."""
+    levels = ranks(text, length)
+    order = np.argsort(levels[-1][1][starts], kind="stable")
+    out = np.zeros(len(starts), np.int64)
+    for line in (order, order[::-1]):
+        near = smaller_before(line)
+        some = np.flatnonzero((near >= 0) & (out[line] < length))
+        i, j = line[some], line[near[some]]
+        if shorter:
+            out[i] = np.maximum(out[i], common_lengths(text, levels, starts[i], starts[j]))
+        else:
+            rank = levels[-1][1]
+            out[i[rank[starts[i]] == rank[starts[j]]]] = length
+    return out
 
 
 def pack(h, doc, lo, hot, segments: list[bytes]) -> bytes:
@@ -167,7 +176,7 @@ def resolved(table: pa.Table, length: int) -> pa.Table:
         many = sizes - length + 1
         owner = np.repeat(np.arange(len(fresh)), many)
         offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        later = previous_factors(ranks(text, length), begin[owner] + offset)
+        later = previous_factors(text, begin[owner] + offset, length, shorter=False) >= length
         at = np.flatnonzero(later)
         if len(at):
             brk = np.flatnonzero((np.diff(owner[at]) > 0) | (np.diff(offset[at]) > length)) + 1
@@ -211,12 +220,12 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(flat(hs)), pa.array(flat(ds)), pa.array(flat(ps))], names=["h", "doc", "place"])
 
     often = written(
-        read.select("text").mapInArrow(hashes, "h bigint, k int").groupBy("h").agg(F.sum("k").alias("n")).filter("n > 1"), "anchors"
+        read.select("text").mapInArrow(released(hashes), "h bigint, k int").groupBy("h").agg(F.sum("k").alias("n")).filter("n > 1"), "anchors"
     )
     total, top = often.agg(F.sum("n"), F.max("n")).first()
     if not total:
         return spark.createDataFrame([], "doc bigint, start bigint, end bigint")
-    live = read.mapInArrow(places, "h bigint, doc bigint, place bigint").join(often, "h")
+    live = read.mapInArrow(released(places), "h bigint, doc bigint, place bigint").join(often, "h")
     by_doc = live.groupBy("doc").agg(F.collect_list(F.struct("h", "place", "n")).alias("live"))
     blocks = max(1, int(total * 1.4 * length / block))
 
@@ -234,33 +243,29 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             blobs = [pack_z.compress(pack(*(np.concatenate(c) for c in list(zip(*v))[:4]), [s for x in v for s in x[4]])) for v in held.values()]
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary())], names=["block", "blob"])
 
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             lists = batch.column(2)
-            flat = lists.flatten()
-            h_all, place_all, n_all = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            ends = np.concatenate(([0], np.cumsum([len(x) if x.is_valid else 0 for x in lists])))
-            for k, d in enumerate(batch.column(0).to_pylist()):
-                data = z.decompress(batch.column(1)[k].as_py())
-                h, place, n = (c[ends[k] : ends[k + 1]] for c in (h_all, place_all, n_all))
-                p = place >> 14
-                lo, hi = p - (place >> 7 & 127), p - (place & 127)
-                parts = np.maximum(1, -(-n // most)).astype(np.uint64)
-                salt = mix64(np.array([d], np.int64).view(np.uint64))[0] % parts
-                key = (mix64(h.view(np.uint64) + salt * C[0]) % np.uint64(blocks)).astype(np.int64)
-                order = np.argsort(key, kind="stable")
-                cut = np.flatnonzero(np.diff(key[order])) + 1
-                for g in np.split(order, cut):
-                    segments = [data[a : b + length] for a, b in zip(lo[g].tolist(), hi[g].tolist())]
-                    held.setdefault(int(key[g[0]]), []).append((h[g], np.full(len(g), d, np.int64), lo[g], parts[g] > 1, segments))
-                    size += sum(map(len, segments)) + 30 * len(g)
-                if size > 24 << 20:
-                    yield flush()
-                    held, size = {}, 0
+            h, place, n = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            owner = np.repeat(np.arange(batch.num_rows), [len(x) if x.is_valid else 0 for x in lists])
+            ids, data = batch.column(0).to_numpy(), [z.decompress(x.as_py()) for x in batch.column(1)]
+            p = place >> 14
+            lo, hi = p - (place >> 7 & 127), p - (place & 127)
+            parts = np.maximum(1, -(-n // most)).astype(np.uint64)
+            salt = mix64(ids.view(np.uint64))[owner] % parts
+            key = (mix64(h.view(np.uint64) + salt * C[0]) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            for g in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else ():
+                segments = [data[o][a : b + length] for o, a, b in zip(owner[g].tolist(), lo[g].tolist(), hi[g].tolist())]
+                held.setdefault(int(key[g[0]]), []).append((h[g], ids[owner[g]], lo[g], parts[g] > 1, segments))
+                size += sum(map(len, segments)) + 30 * len(g)
+            if size > 24 << 20:
+                yield flush()
+                held, size = {}, 0
         if held:
             yield flush()
 
-    zipped_docs = read.filter("text is not null and doc is not null").mapInArrow(zipped, "doc bigint, z binary")
-    sent = zipped_docs.join(by_doc, "doc").select("doc", "z", "live").mapInArrow(contexts, "block bigint, blob binary")
+    zipped_docs = read.filter("text is not null and doc is not null").mapInArrow(released(zipped), "doc bigint, z binary")
+    sent = zipped_docs.join(by_doc, "doc").select("doc", "z", "live").mapInArrow(released(contexts), "block bigint, blob binary")
     found = sent.groupBy("block").applyInArrow(lambda t: resolved(t, length), "doc bigint, start bigint, end bigint, win binary")
     if top <= most:
         return found.select("doc", "start", "end")
@@ -273,10 +278,13 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(id, n_bytes, spans, kept): merged byte ranges removed, and the bytes left, for each document."""
-    docs = docs.select(doc_id, text)
-    if docs.groupBy(doc_id).count().filter("count > 1").limit(1).count():
-        docs = docs.groupBy(doc_id).agg(F.min(text).alias(text))
-    spans = repeated_spans(docs, doc_id=doc_id, text=text, **options)
+    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    if docs.groupBy("id").count().filter("count > 1").limit(1).count():  # the order of ids and texts, as numbers
+        in_order = docs.orderBy("id", "text").withColumn("doc", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id()))
+        docs = written(in_order, "in-order")
+    else:
+        docs = docs.withColumn("doc", F.col("id").cast("bigint"))
+    spans = repeated_spans(docs, doc_id="doc", text="text", **options)
     by_doc = written(
         spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found")), "spans"
     )
@@ -301,9 +309,9 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"]
             )
 
-    joined = docs.join(small_side(by_doc), docs[doc_id].cast("bigint") == F.col("doc"), "left").select(F.col(doc_id).alias("id"), F.col(text).cast("string"), "found")
+    joined = docs.join(small_side(by_doc), "doc", "left").select("id", "text", "found")
     out = f"id {joined.schema[0].dataType.simpleString()}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    return joined.mapInArrow(run, out).withColumnRenamed("id", doc_id)
+    return joined.mapInArrow(released(run), out).withColumnRenamed("id", doc_id)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
