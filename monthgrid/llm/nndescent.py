@@ -7,8 +7,9 @@ with one another, for as long as a round joins components.  Only edges of cosine
 walked: two edges at the threshold of 0.93 can't join nodes further apart than that.  Components don't depend on
 the cut to k: of all threshold edges that any bucket or local join sees, a spanning forest is kept (`tree`), at most
 one edge a row.  A list holds k nodes of its own component and, so that a saturated list still leads out of a dense
-group, k more of as many other components, the nearest of each.  A node's list is then enlarged to its whole
-component, compared tile by tile, so that counts are whole although only counts leave a tile.
+group, k more of as many other components, the nearest of each.  A list whose k nodes are all within the threshold is
+saturated: it may hide further links, so it is doubled with every round, up to `enlarge` times k.  In the end a
+node is compared with its whole component, tile by tile, so that counts are whole although only counts leave a tile.
 
 Recall is audited for the labels of each code length by themselves (labels of one bucket are compared whole).  Random
 nodes, `audit` of them at first, are compared with all rows of their label until `evidence` of them have a true link
@@ -17,8 +18,8 @@ more codes are drawn; after the fourth time all nodes that are left are compared
 used.  So few or no links make the audit, and a recall that stays low the last step, a comparison of whole labels.
 
 Defined results: null, empty, zero or non-finite vectors, and vectors of a null label, link with nothing;
-vectors of different lengths under one label are never compared; repeated ids are rows of their own; an empty
-table gives an empty table; other columns are not read.
+vectors of different lengths under one label are never compared; repeated ids are rows of their own; of equal
+cosines a list takes the least ids; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .arrowtools import small_side, written
 from .components import components
 
-THRESHOLD, WALK, K, TABLES, BUCKET = 0.93, 0.7, 8, 8, 1024
+THRESHOLD, WALK, K, ENLARGE, TABLES, BUCKET = 0.93, 0.7, 8, 4, 8, 1024
 #: The most bytes of audited vectors that are sent to the executors at once.
 AUDIT_BYTES = 16 << 20
 EDGE = "a bigint, b bigint, cos double, tree boolean"
@@ -146,27 +147,32 @@ def placed(edges: DataFrame, label_of: DataFrame) -> DataFrame:
     return edges
 
 
-def kept(edges: DataFrame, k: int, label_of: DataFrame) -> DataFrame:
-    """(a, b, cos, inside), over both directions of the edges found: the k nearest of each node in its own component,
-    and k of others, the nearest of each."""
+def listed(k: int, most: int, threshold: float):
+    """Whether the place r is in a list: among the first k, or among `most` while all before it are links."""
+    return (F.col("r") <= k) | ((F.col("r") <= most) & (F.col("cos") >= threshold))
+
+
+def kept(edges: DataFrame, k: int, most: int, threshold: float, label_of: DataFrame) -> DataFrame:
+    """(a, b, cos, inside), over both directions of the edges found: the k nearest of each node in its own component
+    (`most` of a saturated list), and k of others, the nearest of each."""
     both = edges.select("a", "b", "cos").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).groupBy("a", "b").agg(F.max("cos").alias("cos"))
     by = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(F.col("cos").desc(), "b"))
     each = placed(both, label_of).withColumn("inside", F.col("la") == F.col("lb")).withColumn("r", by("a", "lb")).filter("inside or r = 1")
-    return each.withColumn("r", by("a", "inside")).filter(F.col("r") <= k).select("a", "b", "cos", "inside")
+    return each.withColumn("r", by("a", "inside")).filter(listed(k, most, threshold)).select("a", "b", "cos", "inside")
 
 
-def descend(edges: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+def descend(edges: DataFrame, nodes: DataFrame, k: int, most: int, threshold: float) -> DataFrame:
     """One round of local joins: what the neighbours of every node find among one another."""
     mid = edges.select(F.col("a").alias("mid"), F.col("b").alias("node"))
-    # At most 2 k each way: those that a node chose, and of those that chose it the k nearest inside and outside.
-    chose = edges.withColumn("r", F.row_number().over(W.partitionBy("b", "inside").orderBy(F.col("cos").desc(), "a"))).filter(F.col("r") <= k)
+    # As many each way: those that a node chose, and of those that chose it the nearest inside and outside.
+    chose = edges.withColumn("r", F.row_number().over(W.partitionBy("b", "inside").orderBy(F.col("cos").desc(), "a"))).filter(listed(k, most, threshold))
     around = mid.unionByName(chose.select(F.col("b").alias("mid"), F.col("a").alias("node"))).distinct()
     return around.join(nodes.select("node", "vec"), "node").groupBy("mid").applyInArrow(lambda t: nearest(t, k, threshold), EDGE)
 
 
 def near_duplicates(
     rows: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
-    k: int = K, tables: int = TABLES, bucket: int = BUCKET, audit: int = 200, evidence: int = 200, recall: float = 0.98, seed: int = 1,
+    k: int = K, enlarge: int = ENLARGE, tables: int = TABLES, bucket: int = BUCKET, audit: int = 200, evidence: int = 200, recall: float = 0.98, seed: int = 1,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
     every = written(prepared(rows, vec_id, embedding, label), "vectors")
@@ -182,11 +188,13 @@ def near_duplicates(
         started = coded(nodes, tables, first, bucket, seed).groupBy("t", "label", "bytes", "code", "salt").applyInArrow(lambda t: nearest(t, k, threshold), EDGE)
         fresh = written(started, "found")
         # Each round but the last joins components, so the rounds end.
+        most = k
         while True:
             trees = trees.unionByName(fresh.filter("tree"))
             label_of = components(trees)
-            edges = written(kept(edges.select("a", "b", "cos").unionByName(fresh.select("a", "b", "cos")), k, label_of), "graph")
-            fresh = written(descend(edges, nodes, k, threshold), "found")
+            edges = written(kept(edges.select("a", "b", "cos").unionByName(fresh.select("a", "b", "cos")), k, most, threshold, label_of), "graph")
+            fresh = written(descend(edges, nodes, k, most, threshold), "found")
+            most = min(2 * most, enlarge * k)
             if not placed(fresh.filter("tree"), label_of).filter("la <> lb").limit(1).count():
                 break
         first += tables
