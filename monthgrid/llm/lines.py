@@ -1,6 +1,6 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
-A line (trimmed; blank lines never count) is boilerplate on its host when the share of the host's pages that
+A line (without the white space at its ends: blank, \\t, \\v, \\f, \\r; lines of nothing else never count) is boilerplate on its host when the share of the host's pages that
 contain it exceeds `ratio` and at least `min_pages` pages contain it.  Pages are counted once for a line,
 however often they repeat it.  Counting runs over line hashes with partial sums, so a host that holds a third
 of all pages is combined before the shuffle; the few candidates are then counted again by their exact text.
@@ -8,7 +8,7 @@ For each host there are at most (lines a page / ratio) such lines, whatever its
 
 Defined results: null text stays null and counts as a page without lines; pages without a host keep every
 line; repeated rows are pages of their own; an empty table gives an empty table; all other columns pass
-through untouched, whatever their names.
+through untouched, whatever their names (but for __n_lines and __n_dropped, which are replaced).
 """
 
 from __future__ import annotations
@@ -16,15 +16,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import small_side, written
+from .arrowtools import small_side, spare, written
 
 RATIO, MIN_PAGES = 0.05, 5
 HOST, LINE, BOILER = "__host", "__line", "__boiler"
+#: White space at the ends of a line.
+SPACE = " \t\v\f\r"
 
 
 def page_lines(pages: DataFrame, host: str, text: str) -> DataFrame:
     """One row for each distinct non-blank line of a page that has a host."""
-    lines = F.array_distinct(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)))
+    lines = F.array_distinct(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x, F.lit(SPACE))))
     return (
         pages.filter(F.col(host).isNotNull())
         .select(F.col(host).alias(HOST), F.explode(lines).alias(LINE))
@@ -52,15 +54,18 @@ def drop_boilerplate(pages: DataFrame, *, host: str, text: str, ratio: float = R
     """pages with `text` rewritten, and __n_lines and __n_dropped added (both 0 for null text)."""
     found = boilerplate(pages, host=host, text=text, ratio=ratio, min_pages=min_pages)
     by_host = written(found.groupBy(F.col("host").alias(HOST)).agg(F.collect_set("line").alias(BOILER)), "line-boilerplate")
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(BOILER), F.trim(x)))
+    host_, boiler_, kept_ = spare(pages.columns, HOST, BOILER, "__kept")
+    lines = F.split(pages[text], "\n")
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(boiler_), F.trim(x, F.lit(SPACE))))
+    count = lambda n: F.when(pages[text].isNull(), 0).otherwise(n).cast("bigint")
+    by_host = small_side(by_host).select(F.col(HOST).alias(host_), F.col(BOILER).alias(boiler_))
     return (
-        pages.join(small_side(by_host), pages[host] == F.col(HOST), "left")
-        .withColumn("__kept", F.when(F.col(BOILER).isNull(), lines).otherwise(kept))
-        .withColumn("__n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
-        .withColumn("__n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("bigint"))
-        .withColumn(text, F.array_join("__kept", "\n"))
-        .drop(HOST, BOILER, "__kept")
+        pages.join(by_host, pages[host] == F.col(host_), "left")
+        .withColumn(kept_, F.when(F.col(boiler_).isNull(), lines).otherwise(kept))
+        .select(
+            *(F.array_join(kept_, "\n").alias(c) if c == text else pages[c] for c in pages.columns if c not in ("__n_lines", "__n_dropped")),
+            count(F.size(lines)).alias("__n_lines"), count(F.size(lines) - F.size(kept_)).alias("__n_dropped"),
+        )
     )
 
 
@@ -75,12 +80,12 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-WITH l AS (SELECT DISTINCT doc_id, source, trim(x) AS line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> ''),
+WITH l AS (SELECT DISTINCT doc_id, source, trim(x, e' \t\x0B\f\r') AS line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x, e' \t\x0B\f\r') <> ''),
 t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 b AS (SELECT source, line FROM (SELECT source, line, count(*) AS n FROM l GROUP BY source, line) JOIN t USING (source) WHERE n >= {MIN_PAGES} AND n > {RATIO} * total),
 d AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
 p AS (SELECT doc_id, source, k, ls[k] AS x FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS k FROM d)),
-q AS (SELECT p.doc_id, p.k, p.x, b.line IS NOT NULL AS gone FROM p LEFT JOIN b ON p.source = b.source AND trim(p.x) = b.line),
+q AS (SELECT p.doc_id, p.k, p.x, b.line IS NOT NULL AS gone FROM p LEFT JOIN b ON p.source = b.source AND trim(p.x, e' \t\x0B\f\r') = b.line),
 r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(x, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept FROM q GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CAST(coalesce(strlen(kept), 0) AS BIGINT) AS kept_bytes, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN r USING (doc_id)
