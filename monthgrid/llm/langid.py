@@ -8,7 +8,7 @@ is scaled down below 0.5.  Scoring is one pass without a shuffle over every whol
 
 Defined results: null texts and texts without a letter are `und` with score 0; rows with a null language or
 text teach nothing; with nothing learned every text is `und`; equal cosines go to the language first by name;
-repeated rows get one result each; other columns are not read.
+repeated rows get one result each; a null id is drawn and held out by none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,13 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import small_batches, texts
+from .arrowtools import in_slices, released, small_batches, texts
 
 SAMPLE, CENTROIDS, DIMS, REJECT = 800, 4, 1 << 13, 0.005
-LETTER = re.compile(r"[^\W\d_]")
+LATIN = re.compile(rb"[A-Za-z]")
 PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def has_letter(text: bytes) -> bool:
+    """Whether a text has a character of a Unicode letter category."""
+    return bool(LATIN.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 def counts_of(text: bytes) -> np.ndarray:
     """Trigram counts of a whole text."""
     b = np.frombuffer(b" " + text.decode("utf-8", "replace").lower().encode().translate(PLAIN) + b" ", np.uint8)
@@ -41,6 +46,12 @@ def counts_of(text: bytes) -> np.ndarray:
     return np.bincount((code >> np.uint32(19)).astype(np.int64), minlength=DIMS)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """The places of counts over 0, then the counts (65,535 at most), as 16-bit numbers."""
+    at = np.flatnonzero(counts)
+    return np.concatenate((at, np.minimum(counts[at], 65535))).astype(np.uint16).tobytes()
+
+
 def vectors(counts: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Unit vectors; with `out` (which may be counts itself) in place."""
     x = np.log1p(counts, out=out, dtype=np.float32)
@@ -100,11 +111,10 @@ def learn(docs: DataFrame, allowed, *, text: str = "text", lang: str = "lang", d
 
     def run(batches):
         for batch in batches:
-            out = [counts_of(t).astype(np.uint16) for t in texts(batch.column(1))]
-            packed = [np.concatenate((np.flatnonzero(c).astype(np.uint16), np.minimum(c[c > 0], 65535))).astype(np.uint16).tobytes() for c in out]
+            packed = [packed_counts(counts_of(t)) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["lang", "counts"])
 
-    got = drawn.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(run, "lang string, counts binary").collect()
+    got = drawn.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(released(run), "lang string, counts binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.counts)))
     counts = np.zeros((len(got), DIMS), np.float32)
     for row, r in zip(counts, got):
@@ -122,10 +132,10 @@ def predict(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str =
         model = shared.value
         idf, langs, floor = model["idf"], model["langs"], np.array(model["floor"])
         c = np.array(model["centroids"]).T if langs else None
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             names, scores, rejected = [], [], []
             for t in texts(batch.column(1)):
-                if not t or c is None or not LETTER.search(t.decode("utf-8", "replace")):
+                if not t or c is None or not has_letter(t):
                     names.append("und"), scores.append(0.0), rejected.append(True)
                     continue
                 cos = vectors(counts_of(t), idf) @ c
@@ -140,7 +150,7 @@ def predict(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str =
 
     read = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string"))
     kind = read.schema[0].dataType.simpleString()
-    return read.mapInArrow(run, f"__id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("__id", doc_id)
+    return read.mapInArrow(released(run), f"__id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("__id", doc_id)
 
 
 def fold(doc_id):
@@ -150,4 +160,4 @@ def fold(doc_id):
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs, fold(F.col("doc_id")) != 0)
-    return predict(docs, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    return predict(docs, model).select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
