@@ -5,7 +5,8 @@ window is the set of its short shingles.  Containment at 1.0 needs a prefix of o
 is indexed under its rarest one by the corpus-wide counts.  A text shingle that meets an index entry gives
 a start (positional bound), kept when the window fits the text (length bound) and all its words agree.
 
-The item side is taken in blocks of at most `block_windows` windows, the proven bound of what is broadcast;
+The item side is taken in blocks of at most `block_windows` windows, the proven bound of what is broadcast, so that
+a very long item is spread over several;
 texts are never shuffled, so no source, copy group or common passage can load one task.
 
 Defined results: a null or wordless text has zero words and no hits; wordless and null items are ignored;
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import WORD_BYTES, small_batches, texts
+from .arrowtools import WORD_BYTES, in_slices, released, small_batches, texts
 
 SHINGLE = 3
 MARK = "__"
@@ -142,18 +143,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, window: int, block_windows: int):
-    """Blocks of at most `block_windows` windows (one item's windows stay together)."""
+    """Blocks of at most `block_windows` windows; a long item's windows are spread over as many as they fill."""
     block, n = Block(), 0
     rows = benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).toLocalIterator()
     for item, text in rows:
         words = words_of(text.encode() if text else None)
         if not words or item is None:
             continue
-        block.add(item, words, window)
-        n += max(1, len(words) - window + 1)
-        if n >= block_windows:
-            yield block.seal()
-            block, n = Block(), 0
+        many, at = max(1, len(words) - window + 1), 0
+        while at < many:
+            take = min(many - at, block_windows - n)
+            block.add(item, words[at : at + take + window - 1], window)
+            at, n = at + take, n + take
+            if n >= block_windows:
+                yield block.seal()
+                block, n = Block(), 0
     if n:
         yield block.seal()
 
@@ -168,7 +172,7 @@ def indexed_blocks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         def counting(batches, shared=shared):
             block = shared.value
             total = {q: np.zeros(len(k), np.int64) for q, k in block.keys.items()}
-            for batch in batches:
+            for batch in in_slices(batches, 0):
                 for t in texts(batch.column(0)):
                     count_shingles(block, known_ids(words_of(t), block.vocabulary), total)
             for q, counts in total.items():
@@ -177,12 +181,13 @@ def indexed_blocks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                     [pa.array(np.full(len(j), q, np.int64)), pa.array(j), pa.array(counts[j])], names=["q", "j", "n"]
                 )
 
-        rarity = docs.select(F.col(text).cast("string")).mapInArrow(counting, "q bigint, j bigint, n bigint")
+        rarity = docs.select(F.col(text).cast("string")).mapInArrow(released(counting), "q bigint, j bigint, n bigint")
         rarity = rarity.groupBy("q", "j").agg(F.sum("n").alias("n")).collect()  # at most one row for each shingle of the block
         counts = {q: np.zeros(len(k), np.int64) for q, k in block.keys.items()}
         for q, j, n in rarity:
             counts[q][j] = n
         block.index(counts)
+        shared.unpersist()
         yield spark.sparkContext.broadcast(block)
 
 
@@ -205,7 +210,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     while block is not None:
         following = next(blocks, None)
         schema = f"{MARK}id {kind}, {MARK}text string, {out}" if following is not None else f"{MARK}id {kind}, {out}"
-        state = state.mapInArrow(matcher(block, following is not None), schema)
+        state = state.mapInArrow(released(matcher(block, following is not None)), schema)
         block = following
     return state.select(F.col(f"{MARK}id").alias(doc_id), "n_words", "spans", "items")
 
@@ -215,7 +220,7 @@ def matcher(shared, pass_text: bool):
 
     def run(batches):
         block = shared.value
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             n_words, spans, items = [], [], []
             before, named = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for t, old, names in zip(texts(batch.column(1)), before, named):
@@ -253,11 +258,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
 
         def run(batches, shared=shared):
             block = shared.value
-            for batch in batches:
+            for batch in in_slices(batches, at):
                 keep = [not occurrences(block, known_ids(words_of(t), block.vocabulary)) for t in texts(batch.column(at))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        clean = clean.mapInArrow(run, schema)
+        clean = clean.mapInArrow(released(run), schema)
     return clean
 
 
