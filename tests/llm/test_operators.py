@@ -48,8 +48,8 @@ def plain_hits(text, items, window=10):
 @pytest.mark.parametrize("block", [1, 7, 200_000])
 def test_windows_match_brute_force(spark, block):
     rng = random.Random(1)
-    items = [(k, prose(rng, n)) for k, n in enumerate([25, 12, 10, 9, 2, 1, 0])] + [(7, None), (8, "É É, é!"), (9, "mu MU")]
-    rows = [(k, prose(rng, rng.randrange(0, 60), WORDS[:6] if k % 2 else WORDS)) for k in range(25)] + [(100, None), (101, ""), (102, "..."), (103, "x " + items[0][1].upper() + " y"), (103, "x " + items[0][1]), (104, items[1][1] + ". " + items[1][1])]
+    items = [(k, prose(rng, n)) for k, n in enumerate([25, 12, 10, 9, 2, 1, 0, 40])] + [(17, None), (18, "É É, é!"), (19, "mu MU")]
+    rows = [(70, "long " * 100_000 + items[7][1] + "z" * 100_000)] + [(k, prose(rng, rng.randrange(0, 60), WORDS[:6] if k % 2 else WORDS)) for k in range(25)] + [(100, None), (101, ""), (102, "..."), (103, "x " + items[0][1].upper() + " y"), (103, "x " + items[0][1]), (104, items[1][1] + ". " + items[1][1])]
     bench = spark.createDataFrame(items, "item_id int, text string").withColumn("doc_id", F.lit(5))
     got = decontam.contamination(decontam.find_windows(docs(spark, rows), bench, block_windows=block)).collect()
     key = lambda r: tuple(map(str, r))
@@ -101,22 +101,37 @@ def test_repeats_match_brute_force(spark, options):
 
 def test_repeats_of_repeated_ids_and_empty_tables(spark):
     rng = random.Random(3)
-    a = prose(rng, 50)
-    got = suffix.remove_repeats(docs(spark, [(1, a), (1, a), (2, a)])).collect()
-    assert sorted((r.doc_id, len(r.kept)) for r in got) == [(1, len(plain_removed([(1, a)], 100)[1])), (2, len(plain_removed([(1, a), (2, a)], 100)[2]))]
+    a, b = prose(rng, 50), prose(rng, 50)
+    got = suffix.remove_repeats(docs(spark, [(1, a), (1, a), (1, b), (2, a + b), (None, a), (None, None)])).collect()
+    order = sorted([a, a, b])
+    want = plain_removed([(k, t) for k, t in enumerate([*order, a + b])], 100)
+    assert sorted((r.doc_id or 9, bytes(r.kept)) for r in got) == sorted([(1, want[k]) for k in range(3)] + [(2, want[3]), (9, a.encode()), (9, b"")])
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
     assert [bytes(r.kept) for r in suffix.remove_repeats(docs(spark, [(1, "short")])).collect()] == [b"short"]
 
 
-def test_previous_factors_agree_with_the_array():
+def test_repeats_in_very_long_texts(spark):
+    rng = random.Random(13)
+    long = "".join(rng.choice("abcdef ghij") for _ in range(1_200_000))
+    got = {r.doc_id: (r.n_bytes, len(r.kept)) for r in suffix.remove_repeats(docs(spark, [(1, long), (2, "x" * 300_000), (3, long[7:700_000])])).collect()}
+    assert got == {1: (1_200_000, 1_200_000), 2: (300_000, 1), 3: (699_993, 0)}
+
+
+@pytest.mark.parametrize("letters, length", [(b"ab", 12), (b"a", 100), (b"abc\0", 9), (b"ab", 100)])
+def test_previous_factors_match_brute_force(letters, length):
     rng = random.Random(4)
-    text = bytes(rng.choice(b"ab") for _ in range(300))
-    array = suffix.lpf(text)
-    for i, v in enumerate(array):
-        assert v == max((k for k in range(len(text) - i + 1) if any(text[j : j + k] == text[i : i + k] and j + k <= len(text) for j in range(i))), default=0) if i < 40 else True
-    rank = suffix.ranks(np.frombuffer(text, np.uint8), 12)
-    starts = np.arange(len(text) - 11)
-    assert suffix.previous_factors(rank, starts).tolist() == [array[i] >= 12 for i in starts]
+    text = bytes(rng.choice(letters) for _ in range(300)) * 2
+    starts = np.arange(len(text) - length + 1)
+    got = suffix.previous_factors(np.frombuffer(text, np.uint8), starts, length)
+    common = lambda i, j: next((k for k in range(length) if text[i + k] != text[j + k]), length)
+    assert got.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in range(len(starts))]
+    assert suffix.previous_factors(np.frombuffer(text, np.uint8), starts, length, shorter=False).tolist() == [length * (v == length) for v in got.tolist()]
+
+
+def test_smaller_positions_match_brute_force():
+    rng = np.random.default_rng(14)
+    for p in [rng.permutation(200), np.arange(50), np.arange(50)[::-1], np.zeros(0, int)]:
+        assert suffix.smaller_before(p).tolist() == [next((j for j in range(i - 1, -1, -1) if p[j] < p[i]), -1) for i in range(len(p))]
 
 
 def test_anchors_do_not_depend_on_chunks():
@@ -140,12 +155,21 @@ def test_boilerplate_lines(spark):
     assert [(r.host, r.line, r.pages) for r in found] == [("s", "menu", 20)]
 
 
+def test_lines_lose_all_white_space_at_their_ends_and_names_may_clash(spark):
+    rows = [(k, "s", "x\r\n\t\n \x0b\nown %d" % k if k % 2 else "x\n\t\nown %d" % k) for k in range(10)] + [(3, "s", "x"), (20, "s", "y" * 200_000), (21, "t", "\t")]
+    pages = spark.createDataFrame(rows, "doc_id int, source string, text string").withColumns({"__host": F.lit(1), "__kept": F.lit(2), "__boiler": F.lit(3), "__line": F.lit(4)})
+    done = lines.drop_boilerplate(pages, host="source", text="text", ratio=0.5)
+    got = sorted((r.doc_id, r.text, r["__kept"]) for r in done.collect())
+    want = sorted((k, t.replace("x\r\n", "").replace("x\n", "").replace("x", "") if k != 20 else t, 2) for k, _, t in rows)
+    assert got == want and done.columns == [*pages.columns, "__n_lines", "__n_dropped"]
+
+
 # 4: pieces
 
 
 @pytest.fixture(scope="module")
 def model():
-    return pieces.Model(pieces.model_bytes(pieces.MODEL))
+    return pieces.model_of(pieces.MODEL)
 
 
 def best_score(model, word):
@@ -166,11 +190,27 @@ def test_viterbi_is_the_best_split(model):
     rng = random.Random(6)
     for text in [prose(rng, 1) + rng.choice(["", "é", "日", "\t", "!?"]) for _ in range(60)] + ["   x", "ßßß", "thethe"]:
         word = ("▁" + text.replace(" ", "▁")).encode()
-        ids, at, total = model.viterbi(word), 0, 0.0
-        for i in ids:
-            total += model.scores[i] if model.kinds[i] != 6 else 0
+        both = model.solve([word, b"a", word]) + [model.viterbi(word).tobytes(), model.viterbi(word, settle=4).tobytes()]
+        assert len({*both[:1], *both[2:]}) == 1
+        total = sum(model.scores[i] for i in np.frombuffer(both[0], np.int32) if model.kinds[i] != 6)
         covered = [c for c in word.decode() if c.encode() not in {p for p, k in zip(model.pieces, model.kinds) if k == 1}]
-        assert total + model.unknown * len(covered) == pytest.approx(best_score(model, word)) and at == 0
+        assert total + model.unknown * len(covered) == pytest.approx(best_score(model, word))
+
+
+def test_words_solved_together_or_alone_or_settled_agree(model):
+    rng = random.Random(16)
+    words = [("▁" + "".join(rng.choice("abcde ▁éß日\U0001f600") for _ in range(rng.randrange(1, 50))).replace(" ", "▁")).encode() for _ in range(400)]
+    alone = [model.viterbi(w).tobytes() for w in words]
+    assert model.solve(words) == alone == [model.viterbi(w, settle=7).tobytes() for w in words]
+
+
+@pytest.mark.parametrize("letters", ["abcdefgh/+0123456789", "日本語の😀", "x"])
+def test_a_megabyte_without_a_blank(model, letters):
+    rng = random.Random(17)
+    word = "".join(rng.choice(letters) for _ in range((1 << 20) // len(letters[0].encode()))).encode()
+    ids = model.encode(word + b" the end")
+    assert model.decode(ids.tolist()) == word + b" the end" and model.held < pieces.REMEMBERED
+    assert (model.viterbi(word[: 60_000 - 60_000 % 12], settle=1 << 12) == model.viterbi(word[: 60_000 - 60_000 % 12], settle=1 << 40)).all()
 
 
 def test_every_text_comes_back(spark, model):
@@ -179,6 +219,8 @@ def test_every_text_comes_back(spark, model):
     assert [r.decoded for r in got] == texts and got[9].ids is None and got[0].ids == []
     assert got[1].ids == got[10].ids and got[1].label == "x"
     assert pieces.decode(pieces.encode(docs(spark, []))).count() == 0
+    both = pieces.round_trip(docs(spark, list(enumerate(texts))).withColumn("exact", F.lit(3))).orderBy("doc_id").collect()
+    assert [r.ids for r in both] == [r.ids for r in got] and all(r.exact is True for r in both)
     for t in texts[:9]:
         whole = model.decode(model.encode(t.encode()).tolist())
         assert whole == t.encode()
@@ -218,6 +260,55 @@ def test_language_by_held_out_rows(spark):
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_centroids_and_scores_match_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(k, prose(rng, 12, WORDS[: 6 + k % 9]), ["a", "b", "c"][k % 3]) for k in range(60)] + [(100, WORDS[0] * 40_000, "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    m = langid.learn(df, F.lit(True))
+    for r in langid.predict(df, m).collect():
+        x = np.log1p(langid.counts_of(rows[-1][1].encode() if r.doc_id == 100 else rows[r.doc_id][1].encode()).astype(float)) * m["idf"]
+        cos = [float(x @ c / np.linalg.norm(x)) for c in m["centroids"]]
+        best = max(range(len(cos)), key=lambda j: (round(cos[j], 6), -j))
+        low = cos[best] < m["floor"][best] - 1e-6
+        assert max(cos) - cos[m["langs"].index(r.lang_pred) if cos[best] != cos[best] else best] < 1e-5 and m["langs"][best] == r.lang_pred
+        if not abs(cos[best] - m["floor"][best]) < 1e-6:
+            assert r.score == pytest.approx(cos[best] * 0.5 + (0 if low else 0.5), abs=1e-5) and r.rejected == low
+    again = langid.predict(spark.createDataFrame([(1, rows[0][1]), (1, rows[0][1]), (None, rows[0][1])], "doc_id bigint, text string"), m).collect()
+    assert len({(r.lang_pred, r.score) for r in again}) == 1 and len(again) == 3
+
+
+def test_counts_are_clamped_before_they_are_narrowed():
+    counts = np.zeros(langid.DIMS)
+    counts[3], counts[9] = 70_000, 5
+    at, n = np.frombuffer(langid.packed_counts(counts), np.uint16).reshape(2, -1)
+    assert at.tolist() == [3, 9] and n.tolist() == [65_535, 5]
+
+
+@pytest.mark.parametrize("text, letter", [("½ ² ①", False), ("Ⅷ 3", False), ("_-!", False), ("日", True), ("é", True), ("12a", True), ("\U0001f600", False)])
+def test_letters_are_of_letter_categories(text, letter):
+    assert langid.has_letter(text.encode()) is letter
+
+
+def test_the_machine_matches_brute_force():
+    rng = np.random.default_rng(22)
+    model = {"bias": -0.5, "w": rng.normal(size=1 << toxicity.BITS).astype(np.float32), "v": rng.normal(size=(1 << toxicity.BITS, 8)).astype(np.float32)}
+    words = b"you are a a a a fool and and more".split()
+    terms = toxicity.terms_of(words, toxicity.Stems())
+    want = -0.5 + sum(float(model["w"][t]) for t in terms)
+    want += sum(float(model["v"][s].astype(float) @ model["v"][t].astype(float)) for i, s in enumerate(terms) for t in terms[:i])
+    assert toxicity.margin(model, terms) == pytest.approx(want, rel=1e-4)
+    assert len(toxicity.terms_of(b"a a a a".split(), toxicity.Stems())) == len(toxicity.COUNTS) and len(toxicity.terms_of(b"a a".split(), toxicity.Stems())) == 2
+
+
+def test_toxic_at_the_threshold_goes_and_repeats_agree(spark):
+    zero = {"bias": float(np.log(0.7 / 0.3)), "w": np.zeros(1 << toxicity.BITS, np.float32), "v": np.zeros((1 << toxicity.BITS, 8), np.float32)}
+    df = docs(spark, [(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "w " * 200_000)])
+    got = toxicity.score(df, zero).collect()
+    assert len(got) == 5 and len({r.score for r in got}) == 1
+    cut = got[0].score
+    assert toxicity.drop_toxic(df, zero, threshold=cut).count() == 0 and toxicity.drop_toxic(df, zero, threshold=cut + 1e-9).count() == 5
+
+
 def test_a_share_under_a_millionth_still_draws_rows(spark):
     df = spark.range(12_000_000).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"), F.lit("en").alias("lang"))
     assert set(langid.learn(df, F.lit(True), sample=8)["langs"]) == {"en"}
@@ -289,6 +380,7 @@ def test_jaccard_groups_match_brute_force(spark, options):
             for _ in range(copy):
                 own[rng.randrange(len(own))] = rng.choice(WORDS)
             rows.append((len(rows), " ".join(own) + (" " + passage if base % 2 else "")))
+    rows += [(300 + k, " ".join(prose(rng, 4000).split()[: 3990 + k])) for k in range(2)] + [(302, "y" * 100_000), (303, "y" * 100_000)]
     rows += [(200, None), (201, ""), (202, " \n "), (203, "one two"), (204, "ONE  two"), (205, "one two three"), (3, rows[3][1]), (206, rows[0][1])]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in partenum.near_duplicates(docs(spark, rows), **options).collect())
     assert got == plain_groups(rows)
@@ -329,6 +421,44 @@ def test_word_codes_do_not_depend_on_pieces():
     assert len(partenum.word_codes(b"")) == len(partenum.word_codes(b" \n ")) == 0
 
 
+def test_words_that_a_polynomial_hash_confuses_stay_apart(spark):
+    """Thue-Morse words of 1,024 letters: their polynomial hashes modulo 2**64 agree at every odd base."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r.component_id for r in partenum.near_duplicates(docs(spark, [(1, word), (2, other), (3, other)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_hashes_that_agree_do_not_link(monkeypatch):
+    """Where all hashes agree, the words decide."""
+    monkeypatch.setattr(partenum, "word_codes", lambda text, piece=0: np.arange(len(text.split()), dtype=np.uint64))
+    one, two = (" ".join(f"{w}{k}" for k in range(40)).encode() for w in "ab")
+    assert not partenum.Words(one, 5).linked(partenum.Words(two, 5)) and partenum.Words(one, 5).linked(partenum.Words(b"  " + one.upper().replace(b" ", b"\n "), 5))
+
+
+def test_shortened_names_that_agree_lose_no_link(spark, monkeypatch):
+    """With names cut to two bits, nearly all nodes are twins of others."""
+    rng = random.Random(19)
+    base = [prose(rng, 60) for _ in range(8)]
+    rows = [(k, base[k % 8] + (f" x{k}" if k > 7 else "")) for k in range(24)] + [(90, "lone words here")]
+    monkeypatch.setattr(partenum, "short_of", lambda node: node[0] & 3)
+    monkeypatch.setattr(partenum, "SHORT", "cast(conv(hex(substring(node, 1, 1)), 16, 10) as bigint) & 3")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in partenum.near_duplicates(docs(spark, rows)).collect())
+    assert got == plain_groups(rows)
+
+
+def test_signatures_reduced_in_small_parts_and_many_blocks(spark, monkeypatch):
+    rng = random.Random(20)
+    base = [prose(rng, 80, [f"w{k}" for k in range(300)]) for _ in range(5)]
+    rows = [(k, base[k % 5].replace("w1", "v", k % 3)) for k in range(60)]
+    for size in (64, 1 << 20):
+        monkeypatch.setattr(partenum, "SIGNED", size)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in partenum.near_duplicates(docs(spark, rows).repartition(7)).collect())
+        assert got == plain_groups(rows)
+
+
 def test_components_of_a_long_chain(spark):
     n = 70
     links = spark.createDataFrame([(k + 1, k) for k in range(1, n)] + [(500, 501), (501, 501), (500, 501)], "a bigint, b bigint")
@@ -444,6 +574,16 @@ def test_lists_as_of_the_fetch(spark):
     assert not any(r.blocked for r in urlfilter.evaluate(c, e.limit(0)).collect()) and urlfilter.evaluate(c.limit(0), e).count() == 0
 
 
+def test_addresses_and_the_root_domain(spark):
+    entries = [("3.4", True), ("9.9.9.9", True), ("[::1]", True), ("example.com.", True), ("", True), (".", True)]
+    e = spark.createDataFrame(entries, "key string, adds boolean").withColumn("date", F.lit("2024-01-01").cast("date"))
+    urls = ["http://1.2.3.4/", "http://9.9.9.9:80/x", "http://[::1]:8080/", "http://[::2]/", "http://example.com./a", "http://a.example.com", "http://./", "http://1.2.3.4.example.com/"]
+    c = spark.createDataFrame(list(enumerate(urls)), "i int, url string").withColumns({"fetched": F.lit("2024-01-02").cast("date"), "__host": F.lit("h"), "__date": F.lit(1), "__top": F.lit(2), "blocked": F.lit("old")})
+    got = urlfilter.evaluate(c, e).orderBy("i").collect()
+    assert [r.blocked for r in got] == [False, True, True, False, True, True, False, True] and got[0]["__host"] == "h"
+    assert [r.host for r in got][:5] == ["1.2.3.4", "9.9.9.9", "[::1]", "[::2]", "example.com"] and got[6].host is None
+
+
 def test_native_operators_run_no_python(spark, tmp_path):
     df = spark.createDataFrame([(1, "s", "a\nb", "http://a.b/")], "doc_id int, source string, text string, url string").withColumn("fetched", F.current_date())
     e = spark.createDataFrame([("a.b", True)], "key string, adds boolean").withColumn("date", F.current_date())
