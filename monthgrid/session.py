@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +50,14 @@ def finite(column):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a folder of this machine
+    serves local masters; a cluster without the setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found:
-        found = current.get() if current.isDefined() else "/tmp/checkpoints/monthgrid"
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = current.get() if current.isDefined() else f"{tempfile.gettempdir()}/checkpoints/monthgrid"
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
