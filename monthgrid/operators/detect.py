@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -125,39 +127,76 @@ def cusum(df: DataFrame, value: str = "y", **options) -> DataFrame:
     return made.withColumn("cusum_score", F.when(~F.isnan("cusum_score"), F.col("cusum_score")))
 
 
-def cost_matrix(x: np.ndarray, model: str) -> np.ndarray:
-    """cost[i, j]: the cost of the segment i..j-1 under l1, l2 or rbf (median bandwidth)."""
+def median_costs(x: np.ndarray) -> np.ndarray:
+    """cost[i, j] = the absolute deviations of i..j-1 from their median: two heaps grow with the segment's end."""
     n = len(x)
     cost = np.full((n + 1, n + 1), np.inf)
-    if model == "rbf":
+    for i in range(n):
+        low, high, below, above = [], [], 0.0, 0.0  # the lower half (negated) and the upper half, with their sums
+        for j in range(i, n):
+            v = float(x[j])
+            if not low or v <= -low[0]:
+                heapq.heappush(low, -v)
+                below += v
+            else:
+                heapq.heappush(high, v)
+                above += v
+            if len(low) > len(high) + 1:
+                v = -heapq.heappop(low)
+                heapq.heappush(high, v)
+                below, above = below - v, above + v
+            elif len(high) > len(low):
+                v = heapq.heappop(high)
+                heapq.heappush(low, -v)
+                below, above = below + v, above - v
+            cost[i, j + 1] = above - below + (-low[0] if len(low) > len(high) else 0.0)
+    return cost
+
+
+def cost_matrix(x: np.ndarray, model: str) -> np.ndarray:
+    """cost[i, j]: the cost of the segment i..j-1 under l1, l2 or rbf (median bandwidth); quadratic, from running sums."""
+    n = len(x)
+    if model == "l1":
+        return median_costs(x)
+    size = np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None]
+    if model == "l2":
+        x = x - x.mean() if n else x
+        one, two = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x))
+        apart = lambda s: s[None, :] - s[:, None]
+        cost = np.maximum(apart(two) - apart(one) ** 2 / np.maximum(size, 1), 0.0)
+    else:
         d = (x[:, None] - x[None, :]) ** 2
         med = np.median(d[np.triu_indices(n, 1)]) if n > 1 else 1.0
         g = np.exp(-np.clip(d / (med if med > 0 else 1.0), 1e-2, 1e2))
         np.fill_diagonal(g, 1.0)
         total = np.zeros((n + 1, n + 1))
         total[1:, 1:] = g.cumsum(0).cumsum(1)
-    for i in range(n):
-        for j in range(i + 1, n + 1):
-            s = x[i:j]
-            if model == "l2":
-                cost[i, j] = ((s - s.mean()) ** 2).sum()
-            elif model == "l1":
-                cost[i, j] = np.abs(s - np.median(s)).sum()
-            else:
-                cost[i, j] = (j - i) - (total[j, j] - total[i, j] - total[j, i] + total[i, i]) / (j - i)
-    return cost
+        own = np.diag(total)
+        cost = size - (own[None, :] - total - total.T + own[:, None]) / np.maximum(size, 1)
+    return np.where(size > 0, cost, np.inf)
 
 
 def optimal_breaks(x: np.ndarray, penalty: float, model: str = "rbf", size: int = 2) -> list[int]:
-    """Boundaries of the partition with the least cost plus penalty for each boundary: exact, by dynamic programming."""
+    """Boundaries of the partition with the least cost plus penalty for each boundary: exact, by dynamic programming.
+
+    A start i is pruned once its value at some boundary s is over that boundary's best plus a penalty: splitting at s is then
+    better for every end that leaves `size` points after s, as costs never grow when a segment is split."""
     n, cost = len(x), cost_matrix(x, model)
-    best, back = [0.0] + [np.inf] * n, [0] * (n + 1)
+    best, back = np.concatenate([[0.0], np.full(n, np.inf)]), [0] * (n + 1)
+    starts, dead = [0], {}
     for j in range(size, n + 1):
-        for i in [0, *range(size, j - size + 1)]:
-            if j - i >= size and best[i] < np.inf:
-                c = best[i] + cost[i, j] + (penalty if i else 0.0)
-                if c < best[j] - 1e-12:
-                    best[j], back[j] = c, i
+        if j - size >= size:
+            starts.append(j - size)
+        gone = dead.pop(j, ())
+        starts = [i for i in starts if i not in gone] if gone else starts
+        at = np.array(starts)
+        values = best[at] + cost[at, j] + np.where(at > 0, penalty, 0.0)
+        for i, c in zip(starts, values):
+            if c < best[j] - 1e-12:
+                best[j], back[j] = c, i
+        over = at[values > best[j] + penalty + 1e-9]
+        if len(over):
+            dead.setdefault(j + size, set()).update(over.tolist())
     out, j = [], n
     while j > 0 and back[j] > 0:
         j = back[j]

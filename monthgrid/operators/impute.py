@@ -6,38 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from monthgrid.operators.order import median, quantiles
+
+
+def one_row(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows with the columns of a table of at most one row; NULLs without it."""
+    return rows.join(F.broadcast(one), F.lit(True), "left")
+
 
 def fold_median(rows: DataFrame, columns: list[str], train) -> DataFrame:
     """NULLs filled by the exact median of the training rows; a column without any is filled with 0."""
-    med = rows.agg(*[F.expr(f"percentile({c}, 0.5)").alias(f"__{c}") if train is None else F.percentile(F.when(train, F.col(c)), F.lit(0.5)).alias(f"__{c}") for c in columns])
-    joined = rows.crossJoin(F.broadcast(med))  # one row
-    return joined.withColumns({c: F.coalesce(c, f"__{c}", F.lit(0.0)) for c in columns}).drop(*[f"__{c}" for c in columns])
+    out = rows
+    for c in columns:
+        seen = rows if train is None else rows.filter(train)
+        out = one_row(out, median(seen, c, f"__{c}"))
+    return out.withColumns({c: F.coalesce(c, f"__{c}", F.lit(0.0)) for c in columns}).select(rows.columns)
 
 
 def district_median(rows: DataFrame, train: DataFrame, column: str, district: str, entity: str = "mo", period: str = "period", limit: int = 2) -> DataFrame:
     """The value, else the district's training median, else the value carried over at most `limit` rows, else the
     global training median; `<column>_source` says which."""
-    by_district = train.groupBy(district).agg(F.percentile(column, F.lit(0.5)).alias("__d"))
-    overall = train.agg(F.percentile(column, F.lit(0.5)).alias("__g"))
+    by_district = median(train, column, "__d", [district])
+    overall = median(train, column, "__g")
     w = W.partitionBy(entity).orderBy(period).rowsBetween(-limit, 0)
-    joined = rows.withColumn("__f", F.last(column, ignorenulls=True).over(w)).join(F.broadcast(by_district), district, "left").crossJoin(F.broadcast(overall))
+    joined = rows.withColumn("__f", F.last(column, ignorenulls=True).over(w)).join(by_district, district, "left")
+    joined = one_row(joined, overall)
     source = F.when(F.col(column).isNotNull(), "region").when(F.col("__d").isNotNull(), "federal_district").when(F.col("__f").isNotNull(), "forward_fill").when(F.col("__g").isNotNull(), "global")
     return joined.withColumns({column: F.coalesce(column, "__d", "__f", "__g"), f"{column}_source": source}).drop("__d", "__f", "__g")
 
 
 def scaled(rows: DataFrame, columns: list[str], train, robust: bool = False) -> DataFrame:
     """Standard (mean, population deviation) or robust (median, quartile range) scaling by the training rows."""
-    aggs = []
-    for c in columns:
-        v = F.when(train, F.col(c))
-        if robust:
-            q = lambda p: F.percentile(v, F.lit(p))  # noqa: E731, B023
-            aggs += [q(0.5).alias(f"__m_{c}"), (q(0.75) - q(0.25)).alias(f"__s_{c}")]
-        else:
-            aggs += [F.avg(v).alias(f"__m_{c}"), F.stddev_pop(v).alias(f"__s_{c}")]
-    joined = rows.crossJoin(F.broadcast(rows.agg(*aggs)))
+    out = rows
+    if robust:
+        for c in columns:
+            q = quantiles(rows.filter(train), c, [0.25, 0.5, 0.75]).select(F.col("q")[1].alias(f"__m_{c}"), (F.col("q")[2] - F.col("q")[0]).alias(f"__s_{c}"))
+            out = one_row(out, q)
+    else:
+        v = {c: F.when(train, F.col(c)) for c in columns}
+        out = out.crossJoin(F.broadcast(rows.agg(*[F.avg(v[c]).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(v[c]).alias(f"__s_{c}") for c in columns])))
     made = {c: (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") > 0, F.col(f"__s_{c}")).otherwise(1.0) for c in columns}
-    return joined.withColumns(made).select(rows.columns)
+    return out.withColumns(made).select(rows.columns)
 
 
 def fill_predictions(grid: DataFrame, c: str = "pred", entity: str = "mo", period: str = "period") -> DataFrame:
@@ -45,9 +54,7 @@ def fill_predictions(grid: DataFrame, c: str = "pred", entity: str = "mo", perio
     w = W.partitionBy(entity).orderBy(period)
     near = F.coalesce(F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(c, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
     rows = grid.withColumn("__near", near)
-    month = rows.groupBy(period).agg(F.percentile("__near", F.lit(0.5)).alias("__month"))
-    overall = rows.agg(F.percentile("__near", F.lit(0.5)).alias("__all"))
-    joined = rows.join(F.broadcast(month), period, "left").crossJoin(F.broadcast(overall))
+    joined = one_row(rows.join(median(rows, "__near", "__month", [period]), period, "left"), median(rows, "__near", "__all"))
     return joined.withColumn(c, F.coalesce("__near", "__month", "__all")).select(grid.columns)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from monthgrid.operators.order import ranked
+
 
 def long_form(oof: DataFrame, arms: list[str], keys: list[str]) -> DataFrame:
     """One row for each key and arm: model, pred, target."""
@@ -51,15 +53,8 @@ def pearson(x: str, y: str) -> Column:
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson and Spearman over rows with both values; 0 where either side is constant."""
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    rank = lambda c: known.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-
-    def ranked(frame: DataFrame, c: str) -> DataFrame:
-        # Ranks from the counts of distinct values: what is ordered in one place is the values, not the rows.
-        counts = rank(c)
-        before = F.coalesce(F.sum("__n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return frame.join(counts.select(c, (before + (F.col("__n") + 1) / 2.0).alias(f"__rank_{c}")), c)
-
-    rows = ranked(ranked(known, x), y)
+    on = lambda c: ranked(known, c).select(F.col("value").alias(f"__v_{c}"), F.col("rank").alias(f"__rank_{c}"))
+    rows = known.join(on(x), F.col(x) == F.col(f"__v_{x}")).join(on(y), F.col(y) == F.col(f"__v_{y}"))
     varied = (F.count_distinct(x) > 1) & (F.count_distinct(y) > 1)
     return rows.agg(
         F.count(F.lit(1)).alias("n"), F.when(varied, pearson(x, y)).otherwise(0.0).alias("pearson"),

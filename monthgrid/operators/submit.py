@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from monthgrid.operators import order
 from monthgrid.operators.impute import fill_predictions
 from monthgrid.session import assert_none, assert_unique
 
@@ -37,7 +38,8 @@ def select_arm(predictions: DataFrame, arm: str, entities: int, entity: str = "m
 
 
 def quantiles(rows: DataFrame, c: str = "pred") -> DataFrame:
-    return rows.agg(F.expr(f"percentile({c}, array(0.0, 0.25, 0.5, 0.75, 1.0))").alias("q")).select(*[F.col("q")[i].alias(f"q{n}") for i, n in enumerate((0, 25, 50, 75, 100))])
+    """The least, the quartiles and the greatest value, exactly."""
+    return order.quantiles(rows, c, [0.0, 0.25, 0.5, 0.75, 1.0]).select(*[F.col("q")[i].alias(f"q{n}") for i, n in enumerate((0, 25, 50, 75, 100))])
 
 
 def cold_start(history: DataFrame, entities: DataFrame, entity: str = "mo", period: str = "period", value: str = "y") -> DataFrame:
@@ -47,10 +49,10 @@ def cold_start(history: DataFrame, entities: DataFrame, entity: str = "mo", peri
 
     known = history.filter(F.col(value).isNotNull())
     before = F.lag(value).over(W.partitionBy(entity).orderBy(period))
-    growth = known.select((F.col(value) / F.nullif(before, F.lit(0.0)) - 1).alias("g")).agg(F.percentile("g", F.lit(0.5)).alias("__g"))
-    median = known.agg(F.percentile(value, F.lit(0.5)).alias("__m"))
+    growth = known.select((F.col(value) / F.nullif(before, F.lit(0.0)) - 1).alias("g"))
+    growth, median = order.median(growth, "g", "__g"), order.median(known, value, "__m")
     last = known.groupBy(entity).agg(F.max_by(value, period).alias("__last"))
-    rows = entities.join(last, entity, "left").crossJoin(F.broadcast(growth)).crossJoin(F.broadcast(median))
+    rows = entities.join(last, entity, "left").join(F.broadcast(growth), F.lit(True), "left").join(F.broadcast(median), F.lit(True), "left")
     return rows.select(entity, F.coalesce(F.greatest(F.col("__last") * (1 + F.coalesce("__g", F.lit(0.0))), F.lit(0.0)), "__m").alias("forecast"))
 
 

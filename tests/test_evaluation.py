@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from monthgrid.operators import blend, folds, forecast, impute, metrics, news, submit
+from monthgrid.operators import blend, folds, forecast, impute, metrics, news, order, submit
 
 D = datetime.date
 
@@ -146,3 +148,19 @@ def test_dedup_judges_each_key_on_all_records(spark):
 def test_every_distinct_text_is_scored_once(spark):
     rows = spark.createDataFrame([(1, "growth growth"), (2, "growth growth"), (3, "crisis"), (4, None)], "i int, text string")
     assert {r.i: r.score for r in news.scored(rows).collect()} == {1: 1.0, 2: 1.0, 3: -1.0, 4: None}
+
+
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_quantiles_and_ranks_are_exact_in_bins(spark, small):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(v)) for v in np.concatenate([rng.normal(0, 1e4, 700), np.full(400, 3.5), [1e12, -1e12]])]
+    rows += [("b", 2.0), (None, 1.0), (None, 4.0), ("c", None), ("d", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: list(r.q) for r in order.quantiles(df, "v", [0.0, 0.1, 0.5, 0.93, 1.0], ["k"], small=small).collect()}
+    for k in ("a", "b", None):
+        assert got[k] == pytest.approx(list(np.quantile([v for x, v in rows if x == k], [0.0, 0.1, 0.5, 0.93, 1.0])), rel=1e-12)
+    assert set(got) == {"a", "b", None}
+    values = pd.Series([v for x, v in rows if x == "a"])
+    want = dict(zip(values, values.rank()))
+    assert {r.value: r.rank for r in order.ranked(df.filter("k = 'a'"), "v").collect()} == want
+    assert [r.q for r in order.quantiles(df.filter("k = 'c'"), "v", [0.5], small=small).collect()] in ([], [None])
