@@ -53,10 +53,10 @@ def last_positive_before(history: DataFrame, months: DataFrame, entity: str = "m
     )
 
 
-def keep_last(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """One row for each key: the last by an explicit ordinal."""
-    w = W.partitionBy(*keys).orderBy(F.col(ordinal).desc())
-    return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+def keep_last(df: DataFrame, keys: list[str], *ordinals: str) -> DataFrame:
+    """One row for each key: the last by explicit ordinals.  An aggregate, so rows are reduced before they move."""
+    last = F.max_by(F.struct(*df.columns), F.struct(*ordinals)).alias("__last")
+    return df.groupBy(*keys).agg(last).select("__last.*")
 
 
 def attach_region(target: DataFrame, macro: DataFrame, key: str, ordinal: str, payload: list[str], extra: list[str] = ()) -> DataFrame:

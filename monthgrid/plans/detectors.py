@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from monthgrid.operators import detect, topology
-from monthgrid.operators.metrics import pearson
-from monthgrid.operators.windows import by
+from monthgrid.operators import detect, evidence, topology
 from monthgrid.plans.book import ARMS, MONTH, OBSERVED, PANEL, register, sql
 from monthgrid.plans.joining import arms
 from monthgrid.plans.panels import observed, panel, r
@@ -50,9 +48,7 @@ def ag13(spark, sf):
 
 @register(BOOK, "pf11_detected_months", sql(RES, "SELECT DISTINCT period FROM alarms WHERE shock ORDER BY period"))
 def pf11(spark, sf):
-    rows = residuals(spark, sf)
-    column = next(c for c in ("residual_macro_shock", "residual_shock") if c in rows.columns)
-    return rows.filter(column).select(F.trunc("period", "month").alias("period")).distinct().orderBy("period")
+    return evidence.detected_months(residuals(spark, sf), "residual")
 
 
 @register(BOOK, "ts1_series_checks", sql(PANEL, f"SELECT mo, count(*) AS n, TRUE AS unique_months, max({MONTH.format('period')}) - min({MONTH.format('period')}) + 1 = count(*) AS contiguous, count(y) = count(*) AS finite FROM panel GROUP BY mo"))
@@ -107,31 +103,24 @@ def j14(spark, sf):
 @register(BOOK, "ts34_lead_lag", sql(FLAGGED, f""", t AS (SELECT DISTINCT period FROM fl WHERE tda_shock), n AS (SELECT DISTINCT period FROM fl WHERE news_alert)
 SELECT t.period, CAST(min({MONTH.format('n.period')} - {MONTH.format('t.period')}) AS INTEGER) AS to_earliest, CAST(min(abs({MONTH.format('n.period')} - {MONTH.format('t.period')})) AS INTEGER) AS to_nearest FROM t, n GROUP BY t.period""").replace("\n, t", ", t"))
 def ts34(spark, sf):
-    """Both readings of a lead: to the earliest and to the nearest news month.  Months only are paired."""
+    """Both readings of a lead: to the earliest and to the nearest news month."""
     rows = flagged(spark, sf)
-    months = lambda c: rows.filter(c).select("period").distinct()
-    t, n = months("tda_shock"), months("news_alert").withColumnRenamed("period", "news")
-    gap = (F.year("news") * 12 + F.month("news")) - (F.year("period") * 12 + F.month("period"))
-    return t.crossJoin(F.broadcast(n)).groupBy("period").agg(F.min(gap).alias("to_earliest"), F.min(F.abs(gap)).alias("to_nearest"))
+    return evidence.lead_lag(evidence.detected_months(rows, "tda"), rows.filter("news_alert"))
 
 
-@register(BOOK, "ts35_territorial_fallback", sql(PANEL, f"SELECT mo, period, coalesce(s >= q, FALSE) AS shock FROM (SELECT mo, period, s, CASE WHEN count(s) OVER p >= 4 THEN quantile_cont(s, 0.9) OVER p END AS q FROM (SELECT mo, period, abs(y - lag(y) OVER (PARTITION BY mo ORDER BY period)) AS s FROM panel) WINDOW p AS (PARTITION BY mo ORDER BY period {P24}))"))
+@register(BOOK, "ts35_territorial_fallback", sql(PANEL, f"SELECT mo, period, q IS NOT NULL AS residual_eligible, coalesce(s >= q, FALSE) AS residual_shock, CASE WHEN q IS NOT NULL THEN round(s / greatest(q, 1e-8), 5) END AS residual_score, CAST(period + INTERVAL 1 MONTH AS DATE) AS detected_at FROM (SELECT mo, period, s, CASE WHEN count(s) OVER p >= 4 THEN quantile_cont(s, 0.9) OVER p END AS q FROM (SELECT mo, period, abs(y - lag(y) OVER (PARTITION BY mo ORDER BY period)) AS s FROM panel) WINDOW p AS (PARTITION BY mo ORDER BY period {P24}))"))
 def ts35(spark, sf):
-    from monthgrid.operators.windows import past, quantile
+    return r(evidence.territorial_fallback(panel(spark, sf)).drop("y", "residual"), residual_score=5)
 
-    rows = panel(spark, sf).withColumn("s", F.abs(F.col("y") - F.lag("y", 1).over(by())))
-    return rows.select("mo", "period", F.coalesce(F.col("s") >= quantile("s", 0.9, past(by(), 24), 4), F.lit(False)).alias("shock"))
 
-
-@register(BOOK, "ts32_news_validation", sql(RES, """, sh AS (SELECT period, count(*) FILTER (shock AND eligible) / nullif(count(*) FILTER (eligible), 0) AS share FROM alarms GROUP BY period),
-nv AS (SELECT period, share, month(period) * 1.0 AS news FROM sh WHERE share IS NOT NULL), q AS (SELECT quantile_cont(news, 0.75) AS b FROM nv)
-SELECT count(*) AS months, count(*) FILTER (news >= b) AS peaks, count(*) FILTER (share >= 0.085) AS alerts, round(corr(share, news), 6) AS correlation, round(count(*) FILTER (news >= b AND share >= 0.085) / count(*) FILTER (news >= b OR share >= 0.085), 6) AS jaccard FROM nv, q""").replace("\n, sh", ", sh"))
+@register(BOOK, "ts32_news_validation", sql(RES, """, nv AS (SELECT period, greatest(avg(CAST(coalesce(score >= 1, FALSE) AS INTEGER)), avg(CAST(month(period) % 5 = 0 AS INTEGER))) AS share, avg(abs(residual)) AS size, max(CASE WHEN year(period) % 2 = 0 THEN -month(period) ELSE month(period) END * 1.0) AS news FROM bar GROUP BY period),
+l AS (SELECT share, size, lag(abs(news)) OVER (ORDER BY period) AS news FROM nv), k AS (SELECT * FROM l WHERE news IS NOT NULL), q AS (SELECT quantile_cont(news, 0.75) AS b FROM k)
+SELECT count(*) AS months, count(*) FILTER (news >= b) AS peaks, count(*) FILTER (share >= 0.085) AS alerts, count(*) FILTER (news >= b AND share >= 0.085) AS validated, round(count(*) FILTER (news >= b AND share >= 0.085) / count(*) FILTER (news >= b OR share >= 0.085), 6) AS jaccard,
+ round(corr(news, share), 6) AS correlation_share, round(corr(news, size), 6) AS correlation_size, CASE WHEN count(*) FILTER (news >= b AND share >= 0.085) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lead_months FROM k, q""").replace("\n, nv", ", nv"))
 def ts32(spark, sf):
-    rows = detect.alert_share(residuals(spark, sf), "residual_shock", "residual_eligible").filter("share is not null").withColumn("news", F.month("period") * 1.0)
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.percentile("news", F.lit(0.75)).alias("b"))))
-    peak, alert = F.col("news") >= F.col("b"), F.col("share") >= 0.085
-    n = lambda c: F.sum(c.cast("long"))
-    return r(rows.agg(F.count(F.lit(1)).alias("months"), n(peak).alias("peaks"), n(alert).alias("alerts"), pearson("share", "news").alias("correlation"), (n(peak & alert) / n(peak | alert)).alias("jaccard")), correlation=6, jaccard=6)
+    m = F.month("period")
+    rows = residuals(spark, sf).withColumns({"pelt_shock": m % 5 == 0, "news_shock_score": F.when(F.year("period") % 2 == 0, -m).otherwise(m) * 1.0})
+    return r(evidence.news_validation(rows, ["residual_shock", "pelt_shock"]), jaccard=6, correlation_share=6, correlation_size=6)
 
 
 @register(BOOK, "ts2_cusum", sql(PANEL, """, s AS (SELECT mo, period, y, row_number() OVER (PARTITION BY mo ORDER BY period) AS i FROM panel WHERE y IS NOT NULL),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from monthgrid.operators import blend, folds, impute, metrics, submit
+from monthgrid.operators import blend, evidence, folds, impute, joins, metrics, submit
+from monthgrid.plans import flows
 from monthgrid.plans.book import ARMS, OBSERVED, PANEL, register, sql
-from monthgrid.plans.joining import arms
-from monthgrid.plans.panels import observed, panel, r
+from monthgrid.plans.joining import MACRO, arms, macro
+from monthgrid.plans.panels import FEATURES, flagship, observed, panel, r
 from monthgrid.session import table
 
 BOOK: dict = {}
@@ -157,8 +158,8 @@ def ts20(spark, sf):
     return folds.check_panel(rows, ["mo", "origin"]).select("mo", "origin", "target")
 
 
-def weights(arm: str, at: str = "lead_months") -> str:
-    return f"CASE {at} " + " ".join(f"WHEN {h} THEN {w[arm]}" for h, w in blend.CALIBRATED.items()) + " END"
+def weights(arm: str, at: str = "lead_months", table: dict = blend.CALIBRATED) -> str:
+    return f"CASE {at} " + " ".join(f"WHEN {h} THEN {w[arm]}" for h, w in table.items()) + " END"
 
 
 BLEND = ARMS + f""", gated AS (SELECT *, coalesce(lag(target > 1.15 * pred_boost) OVER (PARTITION BY mo ORDER BY period), FALSE) AS gate_alert FROM oof),
@@ -185,11 +186,24 @@ def ts27(spark, sf):
     return r(blend.two_arm_gate(gated(spark, sf)).select("mo", "period", "w_foundation", "pred_gated"), pred_gated=7)
 
 
-@register(BOOK, "ts38_ts31_reblend", sql(BLEND, "SELECT lead_months, count(*) AS n, round(avg(abs(target - pred_blend)), 2) AS mae, round(avg(abs(target - pred_boost)), 2) AS baseline, avg(abs(target - pred_blend)) < avg(abs(target - pred_boost)) AS better FROM final GROUP BY lead_months"))
+@register(BOOK, "ts38_ts31_reblend", sql(BLEND, f""", fw AS (SELECT *, {weights('boost', table=blend.FACTORY)} AS w0, {weights('trend', table=blend.FACTORY)} AS t0, {weights('foundation', table=blend.FACTORY)} AS f0 FROM final),
+fg AS (SELECT *, CASE WHEN gate_alert THEN greatest(w0, CASE WHEN lead_months >= 6 THEN 0.80 ELSE 0.70 END) ELSE w0 END AS w1 FROM fw),
+fb AS (SELECT *, greatest(CASE WHEN gate_alert THEN (1 - w1) * 0.75 ELSE t0 END * pred_trend + w1 * pred_boost + CASE WHEN gate_alert THEN (1 - w1) * 0.25 ELSE f0 END * pred_foundation, 1e-6) AS pred_factory FROM fg),
+c AS (SELECT lead_months, avg(abs(target - pred_blend)) AS a, avg(abs(target - pred_factory)) AS b FROM fb GROUP BY lead_months)
+SELECT lead_months, round(a, 2) AS candidate_mae, round(b, 2) AS baseline_mae, round(100 * (b - a) / b, 5) AS delta_pct, CASE WHEN a < b - 1e-6 THEN 'better' WHEN a > b + 1e-6 THEN 'worse' ELSE 'even' END AS verdict FROM c""").replace("\n, fw", ", fw"))
 def ts38(spark, sf):
-    rows = blend.regime_blend(gated(spark, sf))
-    err = lambda c: F.avg(F.abs(F.col("target") - F.col(c)))
-    return r(rows.groupBy("lead_months").agg(F.count(F.lit(1)).alias("n"), err("pred_blend").alias("mae"), err("pred_boost").alias("baseline"), (err("pred_blend") < err("pred_boost")).alias("better")), mae=2, baseline=2)
+    rows = gated(spark, sf)
+    both, _ = flows.reblend(rows, rows.limit(0), blend.CALIBRATED)
+    out = both.filter("fold = 'pooled' and model = 'pred_blend'").drop("fold", "model")
+    return r(out, candidate_mae=2, baseline_mae=2, delta_pct=5)
+
+
+@register(BOOK, "ts38_test_blend", sql(ARMS, f"SELECT mo, period, round({blend.CALIBRATED[6]['trend']} * pred_trend + {blend.CALIBRATED[6]['boost']} * pred_boost + {blend.CALIBRATED[6]['foundation']} * pred_foundation, 5) AS pred_blend FROM oof WHERE period >= DATE '2001-01-01'"))
+def ts38b(spark, sf):
+    """The test rows have no horizon of their own: all are blended at lead 6."""
+    rows = arms(spark, sf)
+    _, ahead = flows.reblend(rows, rows.filter("period >= '2001-01-01'").drop("lead_months", "target"), blend.CALIBRATED)
+    return r(ahead.select("mo", "period", "pred_blend"), pred_blend=5)
 
 
 @register(BOOK, "ts24_two_arm_weight", sql(ARMS, """, g AS (SELECT 0.5 + 0.5 * k / 100.0 AS w FROM (SELECT unnest(range(101)) AS k)), b AS (SELECT CASE WHEN avg(abs(target - pred_foundation)) > 1.5 * avg(abs(target - pred_boost)) THEN 0.70 ELSE 0.5 END AS lo FROM oof)
@@ -229,19 +243,23 @@ def ts36(spark, sf):
     return r(submit.assemble(rows.select("mo").distinct(), months, preds, fill=True), pred=5)
 
 
-@register(BOOK, "ts29_ablation", sql(ARMS, "SELECT fold, round(avg(abs(target - pred_trend)), 2) AS mae_without, round(avg(abs(target - pred_boost)), 2) AS mae_with, round((avg(abs(target - pred_trend)) - avg(abs(target - pred_boost))) / avg(abs(target - pred_trend)), 6) AS delta FROM oof GROUP BY fold"))
+@register(BOOK, "ts29_ablation", sql(ARMS, """, d AS (SELECT *, period + INTERVAL 20 DAY AS base_at, period + INTERVAL (lead_months) DAY AS news_at FROM oof),
+s AS (SELECT fold, count(*) AS n, avg(abs(target - pred_trend)) AS a, avg(abs(target - pred_boost)) AS b, avg(date_diff('day', period, base_at)) AS da, avg(date_diff('day', period, news_at)) AS db FROM d GROUP BY fold)
+SELECT fold, n, 'measured' AS status, round(a, 2) AS mae_without, round(b, 2) AS mae_with, round(a - b, 2) AS mae_delta, round(100 * (a - b) / a, 5) AS improvement_pct, round(da, 6) AS delay_without, round(db, 6) AS delay_with, round(da - db, 6) AS delay_reduction FROM s""").replace("\n, d", ", d"))
 def ts29(spark, sf):
-    a, b = F.avg(F.abs(F.col("target") - F.col("pred_trend"))), F.avg(F.abs(F.col("target") - F.col("pred_boost")))
-    return r(arms(spark, sf).groupBy("fold").agg(a.alias("mae_without"), b.alias("mae_with"), ((a - b) / a).alias("delta")), mae_without=2, mae_with=2, delta=6)
+    rows = arms(spark, sf).withColumns({
+        "origin": F.col("period"), "news_available_at": F.col("period").cast("timestamp") - F.expr("interval 1 microsecond"), "event_period": F.col("period"),
+        "baseline_detected_at": F.date_add("period", 20), "news_detected_at": F.date_add("period", F.col("lead_months"))})
+    return r(evidence.ablation(rows, "pred_trend", "pred_boost", by_=["fold"]), mae_without=2, mae_with=2, mae_delta=2, improvement_pct=5, delay_without=6, delay_with=6, delay_reduction=6)
 
 
-@register(BOOK, "ts30_foundation_payload", sql(LONG, f"SELECT lead_months, {SCORES} FROM long WHERE model = 'pred_foundation' GROUP BY lead_months"))
+@register(BOOK, "ts30_foundation_payload", sql(LONG, f"SELECT lead_months, 'pred_foundation' AS model, CASE WHEN mae IS NULL THEN 'not_evaluated' ELSE 'measured' END AS status, mae, r2, wape FROM (SELECT unnest([1, 3, 6, 12, 24]) AS lead_months) LEFT JOIN (SELECT lead_months, {SCORES} FROM long WHERE model = 'pred_foundation' GROUP BY lead_months) USING (lead_months)"))
 def ts30(spark, sf):
-    return shown(metrics.accuracy(long(spark, sf).filter("model = 'pred_foundation'"), ["lead_months"]))
+    scores = metrics.pooled(long(spark, sf), ["lead_months", "model"])
+    return shown(evidence.benchmark_rows(scores, "pred_foundation", [1, 3, 6, 12, 24]))
 
 
-@register(BOOK, "ts37_local_news_shock", sql(PANEL, "SELECT mo, period, round((y - l) * v, 5) AS local_news_shock FROM (SELECT *, lag(y) OVER (PARTITION BY mo ORDER BY period) AS l, 0.5 AS v FROM panel)"))
+@register(BOOK, "ts37_local_news_shock", f"WITH f AS ({FEATURES}), {MACRO} SELECT mo, f.period, round(discount * spending_volatility, 7) AS local_news_shock FROM f LEFT JOIN macro m ON f.period = m.period + INTERVAL 1 MONTH")
 def ts37(spark, sf):
-    from monthgrid.operators.windows import by
-
-    return panel(spark, sf).select("mo", "period", F.round((F.col("y") - F.lag("y", 1).over(by())) * 0.5, 5).alias("local_news_shock"))
+    rows = joins.attach(flagship(spark, sf), macro(spark, sf).withColumnRenamed("discount", "news_shock_score"), ["period"], lag=1)
+    return r(evidence.local_shock(rows).select("mo", "period", "local_news_shock"), local_news_shock=7)

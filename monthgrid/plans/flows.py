@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthgrid.config import EngineConfig
-from monthgrid.operators import blend, detect, folds, forecast, joins, metrics, topology, windows
+from monthgrid.operators import blend, detect, evidence, folds, forecast, joins, metrics, topology, windows
 from monthgrid.operators.panel import direct, regularize
 
 
@@ -63,6 +63,6 @@ def reblend(oof: DataFrame, test: DataFrame, table: dict, lead: int = 6) -> tupl
     """Cached arms under other weights: (metrics next to the factory's, the test blend at a fixed lead); nothing is fitted."""
     mine, factory = score(oof, table), score(oof, blend.FACTORY)
     keys = ["fold", "lead_months", "model"]
-    both = mine.join(factory.select(*keys, F.col("mae").alias("factory_mae")), keys).withColumn("better", F.col("mae") < F.col("factory_mae"))
+    both = evidence.verdicts(mine, factory, keys, 1e-6)
     ahead = test.withColumns({"lead_months": F.lit(lead), "gate_alert": F.lit(False)})
     return both, blend.regime_blend(ahead, table)

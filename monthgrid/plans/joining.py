@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from monthgrid.functions.calendar import month_start
-from monthgrid.operators import joins
+from monthgrid.operators import joins, subset
+from monthgrid.operators.panel import direct
 from monthgrid.operators.windows import by
 from monthgrid.plans.book import ARMS, MONTH, OBSERVED, PANEL, register, sql
 from monthgrid.plans.panels import observed, panel
 from monthgrid.session import table
-from monthgrid.sources.files import load_macro, prediction_cache, roster, wide
+from monthgrid.sources.files import category_history, coverage, load_macro, news_table, prediction_cache, roster, wide
 
 BOOK: dict = {}
 
@@ -41,9 +42,7 @@ def j3(spark, sf):
 
 @register(BOOK, "j4_horizon_self_join", sql(OBSERVED, "SELECT a.mo, a.period AS origin, b.y AS target FROM obs a JOIN obs b ON a.mo = b.mo AND b.period = a.period + INTERVAL 6 MONTH"))
 def j4(spark, sf):
-    rows = observed(spark, sf)
-    later = rows.select("mo", F.add_months("period", -6).alias("origin"), F.col("y").alias("target"))
-    return rows.select("mo", F.col("period").alias("origin")).join(later, ["mo", "origin"])
+    return direct(observed(spark, sf), 6).select("mo", "origin", "target")
 
 
 VINTAGE = """v AS (SELECT l_suppkey AS supplier, CAST(l_shipdate AS DATE) AS released, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ALL),
@@ -196,28 +195,33 @@ def ag19(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@register(BOOK, "ag20_entity_levels", sql(OBSERVED, "SELECT mo, round(avg(y), 2) AS level FROM obs GROUP BY mo HAVING avg(y) > 0"))
+@register(BOOK, "ag20_entity_levels", sql(OBSERVED, "SELECT mo, round(avg(y), 2) AS level FROM obs WHERE mo <> 'NATION_3' GROUP BY mo HAVING avg(y) > 0"))
 def ag20(spark, sf):
-    return observed(spark, sf).groupBy("mo").agg(F.avg("y").alias("level")).filter("level > 0").withColumn("level", F.round("level", 2))
+    rows = observed(spark, sf)
+    return subset.levels(rows, among=rows.filter("mo <> 'NATION_3'")).withColumn("level", F.round("level", 2))
 
 
 @register(BOOK, "ag17_strata", """WITH e AS (SELECT c_custkey, avg(o_totalprice) AS level FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey),
 q AS (SELECT quantile_cont(level, [0.25, 0.5, 0.75]) AS b FROM e)
 SELECT c_custkey, CASE WHEN level <= b[1] THEN 0 WHEN level <= b[2] THEN 1 WHEN level <= b[3] THEN 2 ELSE 3 END AS stratum FROM e, q""")
 def ag17(spark, sf):
-    e = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("level"))
-    b = e.agg(F.expr("percentile(level, array(0.25, 0.5, 0.75))").alias("b"))
-    x = F.col("level")
-    return e.crossJoin(F.broadcast(b)).select("c_custkey", F.when(x <= F.col("b")[0], 0).when(x <= F.col("b")[1], 1).when(x <= F.col("b")[2], 2).otherwise(3).alias("stratum"))
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    return subset.strata(subset.levels(rows, "o_totalprice", "c_custkey"), entity="c_custkey").select("c_custkey", "stratum")
+
+
+@register(BOOK, "ag17_rank_strata", """WITH e AS (SELECT o_custkey AS c_custkey, CASE WHEN count(*) > 40 THEN 2 ELSE 1 END AS level FROM orders GROUP BY o_custkey), k AS (SELECT *, row_number() OVER (ORDER BY level, c_custkey) AS k, count(*) OVER () AS n FROM e)
+SELECT c_custkey, CAST(k > 1 + (n - 1) * 0.25 AS INTEGER) + CAST(k > 1 + (n - 1) * 0.5 AS INTEGER) + CAST(k > 1 + (n - 1) * 0.75 AS INTEGER) AS stratum FROM k""")
+def ag17c(spark, sf):
+    """Two levels only: strata are of equal rank."""
+    n = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    rows = n.select("c_custkey", F.when(F.col("n") > 40, 2.0).otherwise(1.0).alias("level"))
+    return subset.strata(rows, entity="c_custkey").select("c_custkey", "stratum")
 
 
 @register(BOOK, "ag17_stratified_sample")
 def ag17b(spark, sf):
-    """A sampling operator: ten entities of each stratum, in the order of a seeded hash."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("stratum").orderBy(F.xxhash64("c_custkey", F.lit(42)), "c_custkey")
-    return ag17(spark, sf).withColumn("place", F.row_number().over(w)).filter("place <= 10")
+    """A sampling operator: forty entities, evenly from the strata, in the order of a seeded hash."""
+    return subset.draw(ag17(spark, sf), subset.even_sizes(40, 4), entity="c_custkey")
 
 
 @register(BOOK, "sc18_roster", "SELECT DISTINCT trim(n_name) AS mo FROM nation")
@@ -228,21 +232,22 @@ def sc18(spark, sf):
 
 @register(BOOK, "sc8_coverage", "SELECT min(CAST(ts AS DATE)) AS first, max(CAST(ts AS DATE)) AS last FROM events")
 def sc8(spark, sf):
-    d = F.to_date("ts")
-    return table(spark, sf, "events").agg(F.min(d).alias("first"), F.max(d).alias("last"))
+    return coverage(table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")), "ts")
 
 
-@register(BOOK, "sc9_category_history", "SELECT CAST(ts AS DATE) AS day, round(sum(value), 4) AS y FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY ALL")
+@register(BOOK, "sc9_category_history", """WITH h AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS period, avg(value) AS y FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY ALL)
+SELECT period, round(y, 6) AS y, round(coalesce(avg(y) OVER (ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), y), 6) AS prediction FROM h""")
 def sc9(spark, sf):
-    rows = table(spark, sf, "events")
-    least = rows.agg(F.min("event_type").alias("event_type"))
-    return rows.join(F.broadcast(least), "event_type", "left_semi").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("y"))
+    rows = table(spark, sf, "events").select(F.col("ts").alias("period"), "event_type", "value")
+    out = category_history(rows, "event_type", rows.agg(F.min("event_type")).first()[0])
+    return out.select("period", F.round("y", 6).alias("y"), F.round("prediction", 6).alias("prediction"))
 
 
-@register(BOOK, "sc20_news_table", "SELECT CAST(ts AS DATE) AS period, count(*) AS news_volume FROM events GROUP BY ALL")
+@register(BOOK, "sc20_news_table", "SELECT CAST(date_trunc('month', ts) AS DATE) AS period, count(*) AS news_volume, round(avg(value), 6) AS news_shock_score FROM events GROUP BY ALL")
 def sc20(spark, sf):
-    daily = table(spark, sf, "events").groupBy(F.to_date("ts").alias("period")).agg(F.count(F.lit(1)).alias("telegram_volume"))
-    return daily.withColumnRenamed("telegram_volume", "news_volume")
+    last = F.max(F.to_date("ts")).alias("period")
+    monthly = table(spark, sf, "events").groupBy(F.trunc("ts", "month").alias("m")).agg(last, F.count(F.lit(1)).alias("telegram_volume"), F.round(F.avg("value"), 6).alias("telegram_shock_score"))
+    return news_table(monthly.drop("m"))
 
 
 @register(BOOK, "sc3_statistical_rows", "SELECT l_orderkey AS id, CAST(l_shipdate AS DATE) AS period, l_quantity * pow(10, l_linenumber % 4) AS value, l_returnflag AS unit FROM lineitem WHERE l_linestatus = 'F'")

@@ -7,11 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from monthgrid.functions.calendar import month_index, month_start, season, shift
-from monthgrid.functions.numbers import at_least, growth, narrowest, ratio
+from monthgrid.functions.names import without_prefixes
+from monthgrid.functions.numbers import at_least, growth, narrowest, number, ratio
+from monthgrid.operators import subset
 from monthgrid.operators import windows as wn
+from monthgrid.operators.joins import keep_last
 from monthgrid.operators.panel import calendar, direct, nation_panel, regularize
 from monthgrid.plans.book import MONTH, OBSERVED, PANEL, register, sql
 from monthgrid.session import table
+from monthgrid.sources.files import load_target
 
 BOOK: dict = {}
 
@@ -92,10 +96,11 @@ def pf2(spark, sf):
     return table(spark, sf, "nation").withColumnsRenamed({"n_name": "entity", "n_nationkey": "id"}).drop("n_regionkey").select("entity", "id")
 
 
-@register(BOOK, "pf3_coercion", "SELECT event_id, TRY_CAST(nullif(regexp_extract(event_type, '(\\d+)', 1), '') AS DOUBLE) AS from_type, TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) AS from_value FROM events")
+@register(BOOK, "pf3_coercion", "SELECT event_id, TRY_CAST(nullif(regexp_extract(event_type, '(\\d+)', 1), '') AS DOUBLE) AS from_type, TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) AS from_value, CAST(NULL AS DOUBLE) AS from_nan FROM events")
 def pf3(spark, sf):
     digits = F.nullif(F.regexp_extract("event_type", r"(\d+)", 1), F.lit(""))
-    return table(spark, sf, "events").select("event_id", digits.try_cast("double").alias("from_type"), F.col("value").cast("string").try_cast("double").alias("from_value"))
+    nan = F.when(F.col("event_id") % 2 == 0, "NaN").otherwise("Infinity")
+    return table(spark, sf, "events").select("event_id", number(digits).alias("from_type"), number(F.col("value").cast("string")).alias("from_value"), number(nan).alias("from_nan"))
 
 
 @register(BOOK, "pf4_pf7_pf8_guards", sql(PANEL, "SELECT mo, period, CASE WHEN y IS NOT NULL THEN greatest(y - 500000, 0.000001) END AS floored, round((y / nullif(y - y, 0)), 6) AS by_zero, round(1e6 / nullif(y, 0), 6) AS per_million FROM panel"))
@@ -106,8 +111,7 @@ def pf8(spark, sf):
 
 @register(BOOK, "pf6_without_news", "SELECT o_orderkey, o_totalprice FROM orders")
 def pf6(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.lit(1.0).alias("news_volume"), F.lit(0.0).alias("telegram_shock"))
-    return rows.select([c for c in rows.columns if not c.startswith(("news_", "telegram_"))])
+    return without_prefixes(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.lit(1.0).alias("news_volume"), F.lit(0.0).alias("telegram_shock")))
 
 
 @register(BOOK, "pf9_downcast", "SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS TINYINT) AS line, CAST(CAST(l_discount AS FLOAT) AS DOUBLE) AS discount FROM lineitem")
@@ -117,9 +121,9 @@ def pf9(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast(narrowest(F.col("l_linenumber"), lo or 0, hi or 0)).alias("line"), F.col("l_discount").cast("float").cast("double").alias("discount"))
 
 
-@register(BOOK, "pf10_anchors", "SELECT n_name FROM nation WHERE contains(lower(n_name), lower('1'))")
+@register(BOOK, "pf10_anchors", "SELECT anchor, n_name AS mo FROM nation JOIN (VALUES ('first', 'Nation_24'), ('second', 'ION_17')) AS a(anchor, part) ON contains(lower(n_name), lower(part))")
 def pf10(spark, sf):
-    return table(spark, sf, "nation").filter(F.lower("n_name").contains("1")).select("n_name")
+    return subset.anchors(table(spark, sf, "nation").select(F.col("n_name").alias("mo")), {"first": "Nation_24", "second": "ION_17"})
 
 
 @register(BOOK, "wn6_zscore", sql(PANEL, f"SELECT mo, period, round(CASE WHEN count(y) OVER p12 >= 4 THEN (y - avg(y) OVER p12) / greatest(stddev_samp(y) OVER p12, 1e-8) END, 6) AS z FROM panel {OVER}"))
@@ -173,10 +177,12 @@ def wn20(spark, sf):
     return wn.last_rows(observed(spark, sf), 3)
 
 
-@register(BOOK, "wn11_duplicate_slots", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_shipdate, l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS INTEGER) AS slot FROM lineitem")
+@register(BOOK, "wn11_duplicate_slots", "WITH x AS (SELECT CAST(l_suppkey AS VARCHAR) AS mo, CAST(date_trunc('month', l_shipdate) AS DATE) AS period, l_quantity AS v, row_number() OVER (PARTITION BY l_suppkey, date_trunc('month', l_shipdate) ORDER BY l_orderkey, l_linenumber) AS s FROM lineitem WHERE l_linestatus = 'F') SELECT CASE WHEN s > 1 THEN mo || ' #' || CAST(s AS VARCHAR) ELSE mo END AS mo, period, v AS y FROM x")
 def wn11(spark, sf):
-    w = W.partitionBy("l_shipdate", "l_suppkey", "l_returnflag").orderBy("l_orderkey", "l_linenumber")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).alias("slot"))
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("mo"), F.col("l_shipdate").cast("date").alias("period"), F.col("l_linestatus").alias("category"), F.col("l_quantity").alias("value"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
+    return load_target(rows, ["F"], ordinal="place")
 
 
 @register(BOOK, "ts18_direct_panel", sql(PANEL, "SELECT a.mo, a.period AS origin, CAST(a.period + INTERVAL 3 MONTH AS DATE) AS target_end, a.y, b.y AS target, 3 AS lead_months FROM panel a JOIN panel b ON a.mo = b.mo AND b.period = a.period + INTERVAL 3 MONTH WHERE b.y IS NOT NULL"))
@@ -207,8 +213,8 @@ def so4(spark, sf):
 
 @register(BOOK, "so5_keep_last", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def so5(spark, sf):
-    latest = F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(latest.alias("x")).select("o_custkey", "x.o_orderkey", "x.o_totalprice")
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return keep_last(rows, ["o_custkey"], "o_orderdate", "o_orderkey").drop("o_orderdate")
 
 
 @register(BOOK, "so6_key_sets", "SELECT 'both' AS part, n_nationkey AS key FROM (SELECT c_nationkey AS n_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers_only', c_nationkey FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'any', c_nationkey FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)")

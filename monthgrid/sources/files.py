@@ -265,10 +265,50 @@ def roster(df: DataFrame, expected: int, entity: str = "mo") -> DataFrame:
     return unique
 
 
+def coverage(df: DataFrame, date: str) -> DataFrame:
+    """The first and the last valid date (first, last) of a date, timestamp or text column; no other column is read."""
+    d = F.expr(f"try_to_timestamp(cast(`{date}` as string))").cast("date")
+    return df.select(d.alias("d")).agg(F.min("d").alias("first"), F.max("d").alias("last"))
+
+
+def category_history(df: DataFrame, category: str, wanted: str, period: str = "period", value: str = "value") -> DataFrame:
+    """(period, y, prediction): the mean of one category's values in each month, and the mean of the three rows before as a
+    naive prediction (y itself in the first).  Without a row of the category an error names those there are."""
+    rows = df.filter(F.col(category) == wanted)
+    if not rows.limit(1).count():
+        there = [r[0] for r in df.select(category).distinct().orderBy(category).limit(50).collect()]
+        raise ValueError(f"no category {wanted!r}; there are {there}")
+    made = rows.groupBy(month_start(F.col(period)).alias("period")).agg(F.avg(value).alias("y"))
+    before = F.avg("y").over(W.orderBy("period").rowsBetween(-3, -1))  # over months only
+    return made.withColumn("prediction", F.coalesce(before, "y"))
+
+
+# The names of known news exports.
+NEWS_EXPORTS = ("smartlab.json", "bank offshore.json", "rbk.json")
+
+
+def find_json(configured: list[str], roots: list[str], auto: bool = True, known=NEWS_EXPORTS, primary: str | None = None) -> tuple[list[str], list[str]]:
+    """(existing, looked for): the configured JSON files below each root, the primary one first, then known exports in the
+    roots themselves, each once.  A configured path that starts with the last root's own name is also taken inside it."""
+    looked: list[Path] = []
+    for name in ([primary] if primary else []) + list(configured):
+        path = Path(name)
+        if path.is_absolute():
+            looked.append(path)
+            continue
+        looked += [Path(root) / path for root in roots]
+        if roots and len(path.parts) > 1 and path.parts[0].lower() == Path(roots[-1]).name.lower():
+            looked.append(Path(roots[-1], *path.parts[1:]))
+    if auto:
+        looked += [p for root in roots if Path(root).is_dir() for p in sorted(Path(root).glob("*.json")) if p.name.lower() in known]
+    unique = list(dict.fromkeys(str(p.resolve()) for p in looked))
+    return [p for p in unique if Path(p).is_file()], unique
+
+
 def news_table(df: DataFrame) -> DataFrame:
     """A monthly news table under its canonical names; repeated months are an error."""
-    names = {"telegram_sentiment": "sentiment_index", "telegram_volume": "news_volume", "telegram_shock": "news_shock_score"}
-    out = df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns}).withColumn("period", month_start(F.col("period")))
+    names = {"telegram_sentiment": "sentiment_index", "telegram_volume": "news_volume", "telegram_shock": "news_shock_score", "telegram_shock_score": "news_shock_score"}
+    out = df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns and v not in df.columns}).withColumn("period", month_start(F.col("period")))
     return assert_unique(out, ["period"], "news table")
 
 

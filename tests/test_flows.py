@@ -22,7 +22,7 @@ def test_flow_from_panel_to_alerts(spark, months):
     assert {r.model for r in table} == {"pred_trend", "pred_boost", "pred_foundation", "pred_blend"} and all(r.n == 12 for r in table)
     assert flows.alerts(oof).count() == 12
     both, ahead = flows.reblend(oof, oof.drop("lead_months"), blend.CALIBRATED)
-    assert both.filter("model = 'pred_boost' and mae <> factory_mae").count() == 0 and ahead.count() == 12
+    assert both.filter("model = 'pred_boost' and verdict <> 'even'").count() == 0 and ahead.count() == 12
 
 
 def test_config_is_strict(tmp_path):
