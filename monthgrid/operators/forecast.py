@@ -7,8 +7,13 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from monthgrid.operators import order
+from monthgrid.operators.windows import causal
+from monthgrid.session import materialized
+
 
 def trend_fit(t: np.ndarray, y: np.ndarray, changes: int = 2, scale: float = 0.05, share: float = 0.8):
     """A piecewise-linear trend: least squares with an L1-like (reweighted) pull of its slope changes to 0."""
@@ -62,19 +67,117 @@ def fallback_share(predictions: DataFrame, entity: str = "mo", most: float = 0.0
     return row[0] or 0.0
 
 
-def boosting_arm(train: DataFrame, test: DataFrame, columns: list[str], *, target: str = "target", trees: int = 20, depth: int = 4, rate: float = 0.1) -> DataFrame:
-    """test with pred of gradient-boosted trees on log1p of the target under absolute loss; missing features get the
-    training medians; predictions are at least 1e-6."""
+def fit_boosting(train: DataFrame, columns: list[str], *, target: str = "target", trees: int = 20, depth: int = 4, rate: float = 0.1) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives rows their pred: gradient-boosted trees on log1p of the target under absolute loss; missing
+    features get the training medians; predictions are at least 1e-6."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    med = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
+    med = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()  # all columns in one pass
     full = lambda df: df.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] if med[c] is not None else 0.0))) for c in columns})
     vectors = VectorAssembler(inputCols=[f"__{c}" for c in columns], outputCol="__x")
     known = vectors.transform(full(train.filter(F.col(target).isNotNull())).withColumn("__y", F.log1p(F.greatest(F.col(target), F.lit(0.0)))))
     model = GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="__p", lossType="absolute", maxIter=trees, maxDepth=depth, stepSize=rate, seed=7).fit(known)
-    out = model.transform(vectors.transform(full(test)))
-    return out.select(*test.columns, F.greatest(F.expm1("__p"), F.lit(1e-6)).alias("pred"), F.lit("spark_gbt").alias("model"))
+
+    def predict(rows: DataFrame) -> DataFrame:
+        out = model.transform(vectors.transform(full(rows)))
+        return out.select(*rows.columns, F.greatest(F.expm1("__p"), F.lit(1e-6)).alias("pred"), F.lit("spark_gbt").alias("model"))
+
+    return predict
+
+
+def boosting_arm(train: DataFrame, test: DataFrame, columns: list[str], **options) -> DataFrame:
+    """test with pred of a model fitted on train (see fit_boosting)."""
+    return fit_boosting(train, columns, **options)(test)
+
+
+def out_of_memory(error: BaseException) -> bool:
+    return isinstance(error, MemoryError) or "out of memory" in str(error).lower()
+
+
+def batched_paths(factory: Callable[[str], Callable], contexts: list, steps: int, *, batch: int = 64, device: str = "cpu", to_cpu: bool = True):
+    """(paths, mode): `steps` values for each context from a pretrained model; factory(device) gives a function of an array of
+    equally long contexts and of the steps.  Contexts go in batches of one length, never padded.  Where memory runs
+    out, the same on the CPU in half batches, then the last values; every other error is the caller's."""
+
+    def run(where: str, size: int) -> np.ndarray:
+        model, out = factory(where), np.empty((len(contexts), steps))
+        lengths = np.array([len(c) for c in contexts])
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            for k in range(0, len(at), size):
+                part = at[k : k + size]
+                made = np.asarray(model(np.stack([contexts[i] for i in part]), steps), float)
+                if made.shape != (len(part), steps) or not np.isfinite(made).all():
+                    raise ValueError("the model gave another shape, or values that aren't finite")
+                out[part] = made
+        return out
+
+    tries = [(device, batch)] + ([("cpu", max(1, batch // 2))] if to_cpu and device != "cpu" else [])
+    for where, size in tries:
+        try:
+            return run(where, size), where
+        except (RuntimeError, MemoryError) as error:
+            if not out_of_memory(error):
+                raise
+    return np.repeat(np.array([float(c[-1]) for c in contexts])[:, None], steps, axis=1), "fallback_last_value"
+
+
+def foundation_arm(history: DataFrame, asked: DataFrame, horizon: int, factory: Callable[[str], Callable] | None = None, *, context: int = 512, batch: int = 64, device: str = "cpu", entity: str = "mo", period: str = "period", value: str = "y") -> DataFrame:
+    """asked (entity, origin) with pred and mode: the value `horizon` months after the origin by a pretrained model that sees
+    the last `context` values before the origin, so horizon + 1 steps are asked of it and the last taken.  A context of
+    under two values, or with a gap, gives its last value, none gives 0; without a model all do.  The factory is called
+    in the workers, once in each and for each device.  Contexts are bounded, so each is one array."""
+    mark = F.coalesce(F.col("__v"), F.lit(float("nan")))
+    rows = history.select(entity, F.col(period).alias("__p"), F.col(value).alias("__v"), F.lit(0).alias("__ask")).unionByName(
+        asked.select(entity, F.col("origin").alias("__p"), F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__ask"))
+    )
+    known = F.collect_list(F.when(F.col("__ask") == 0, F.struct("__p", mark.alias("v")))).over(W.partitionBy(entity).orderBy("__p").rangeBetween(W.unboundedPreceding, W.currentRow))
+    seen = rows.withColumn("__all", known).filter("__ask = 1")
+    past = F.transform(F.filter("__all", lambda s: s["__p"] < F.col("__p")), lambda s: s["v"])
+    ready = seen.select(F.col(entity).alias("e"), F.col("__p").alias("origin"), F.slice(past, F.greatest(F.size(past) - context + 1, F.lit(1)), context).alias("c"))
+
+    def run(batches):
+        models: dict[str, Callable] = {}
+        cached = lambda where: models[where] if where in models else models.setdefault(where, factory(where))
+        for pdf in batches:
+            contexts = [np.asarray(c, float) for c in pdf["c"]]
+            whole = [i for i, c in enumerate(contexts) if factory is not None and len(c) > 1 and np.isfinite(c).all()]
+            pred = [float(k[-1]) if len(k := c[np.isfinite(c)]) else 0.0 for c in contexts]
+            mode = ["fallback_last_value"] * len(contexts)
+            if whole:
+                paths, how = batched_paths(cached, [contexts[i] for i in whole], horizon + 1, batch=batch, device=device)
+                for i, path in zip(whole, paths):
+                    pred[i], mode[i] = float(path[horizon]), how
+            yield pd.DataFrame({"e": pdf["e"], "origin": pdf["origin"], "pred": pred, "mode": mode})
+
+    return ready.mapInPandas(run, "e string, origin date, pred double, mode string").withColumnRenamed("e", entity)
+
+
+def recursive_model(history: DataFrame, origin: str, steps: int, predict: Callable[[DataFrame], DataFrame], *, entities: DataFrame | None = None, frozen: DataFrame | None = None, lag_months=(1, 2, 3, 12), windows=(3, 12)) -> DataFrame:
+    """(mo, period, lead_months, pred) of the months from `origin` on, with the lag, growth, rolling and volatility features
+    made anew from each month's own predictions; only values before the origin are seen.  `predict` is a fitted model
+    (see fit_boosting).  `frozen` holds columns by mo that stay as they were at the origin; an entity of `entities`
+    without a past starts from the median of all.  Each step is one DataFrame, written to the shared folder."""
+    first = F.lit(origin).cast("date")
+    seen = history.filter(F.col("period") < first).select("mo", "period", F.col("y").cast("double").alias("y")).filter("y is not null")
+    if entities is not None:
+        new = entities.select("mo").distinct().join(seen.select("mo").distinct(), "mo", "left_anti")
+        seen = seen.unionByName(new.crossJoin(F.broadcast(order.median(seen, "y", "y"))).select("mo", F.add_months(first, -1).alias("period"), "y"))
+        seen = seen.join(entities.select("mo").distinct(), "mo", "left_semi")
+    # Known values move up to the origin's month without gaps, as a model of consecutive values sees them.
+    back = F.row_number().over(W.partitionBy("mo").orderBy(F.desc("period")))
+    known = materialized(seen.select("mo", F.add_months(first, -back).alias("period"), "y"), "recursive")
+    for k in range(steps):
+        month = F.add_months(first, k)
+        asked = known.select("mo").distinct().select("mo", month.alias("period"), F.lit(None).cast("double").alias("y"))
+        rows = causal(known.unionByName(asked), lag_months=lag_months, windows=windows).filter(F.col("period") == month)
+        rows = rows.withColumns({"month": F.month("period"), "quarter": F.quarter("period"), "year": F.year("period")})
+        if frozen is not None:
+            rows = rows.join(frozen, "mo", "left")
+        known = known.unionByName(materialized(predict(rows).select("mo", "period", F.col("pred").alias("y")), "recursive"))
+    lead = (F.year("period") * 12 + F.month("period")) - (F.year(first) * 12 + F.month(first)) + 1
+    return known.filter(F.col("period") >= first).select("mo", "period", lead.alias("lead_months"), F.col("y").alias("pred"))
 
 
 def recursive_path(y: list, predict: Callable[[dict], float], steps: int, fallback: float | None = None) -> list[float]:
@@ -94,7 +197,8 @@ def recursive_arm(history: DataFrame, origin: str, steps: int, predict: Callable
     """(entity, period, lead_months, pred) of the months after `origin`; nothing after it is seen.  An entity without
     values starts from the median of all values."""
     seen = history.filter(F.col(period) <= F.lit(origin).cast("date"))
-    median = seen.agg(F.percentile(value, F.lit(0.5))).first()[0]
+    found = order.median(seen, value, "m").first()
+    median = found["m"] if found else None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("p")

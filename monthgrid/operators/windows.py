@@ -55,12 +55,16 @@ def age(w) -> Column:
     return F.row_number().over(w) - 1
 
 
+def causal(panel: DataFrame, *, lag_months=(1, 2, 3, 12), windows=(3, 12), value: str = "y") -> DataFrame:
+    """Every row of a regular panel with its causal features."""
+    w = by()
+    made = lags(value, lag_months, w) | growths(value, w) | rolling(value, windows, w) | {"spending_volatility": volatility(value, w)}
+    return panel.select("*", *(c.alias(n) for n, c in made.items()))
+
+
 def features(panel: DataFrame, *, lag_months=(1, 2, 3, 12), windows=(3, 12), warmup: int = 12, value: str = "y") -> DataFrame:
     """A regular panel with its causal features, without the warm-up months and the rows of unknown value."""
-    w = by()
-    made = lags(value, lag_months, w) | growths(value, w) | rolling(value, windows, w)
-    made |= {"spending_volatility": volatility(value, w), "__age": age(w)}
-    rows = panel.select("*", *(c.alias(n) for n, c in made.items()))
+    rows = causal(panel.withColumn("__age", age(by())), lag_months=lag_months, windows=windows, value=value)
     return rows.filter((F.col("__age") >= warmup) & F.col(value).isNotNull()).drop("__age")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,13 @@ def finite(column):
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: a cut lineage that outlives a lost executor."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a folder of this machine
     serves local masters; a cluster without the setting is an error."""

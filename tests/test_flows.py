@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pydantic import ValidationError
 from pyspark.sql import functions as F
 
 from monthgrid import config
-from monthgrid.operators import blend, submit
+from monthgrid.operators import blend, forecast, submit, subset
 from monthgrid.plans import flows
 from monthgrid.sources import files
 from monthgrid.streaming.monthly import windowed_counts
@@ -25,6 +26,69 @@ def test_flow_from_panel_to_alerts(spark, months):
     assert both.filter("model = 'pred_boost' and verdict <> 'even'").count() == 0 and ahead.count() == 12
 
 
+def test_foundation_adapter():
+    asked = []
+
+    def factory(device):
+        def model(x, steps):
+            asked.append((device, x.shape))
+            if device == "gpu" and len(x) > 1:
+                raise RuntimeError("out of memory")
+            return np.repeat(x.mean(1)[:, None], steps, 1)
+        return model
+
+    contexts = [np.array([1.0, 3.0]), np.array([2.0, 2.0, 5.0]), np.array([5.0, 7.0])]
+    paths, mode = forecast.batched_paths(factory, contexts, 3, batch=4, device="gpu")
+    assert mode == "cpu" and paths.tolist() == [[2.0] * 3, [3.0] * 3, [6.0] * 3] and ("cpu", (2, 2)) in asked
+    paths, mode = forecast.batched_paths(factory, contexts, 1, device="gpu", to_cpu=False)
+    assert mode == "fallback_last_value" and paths.ravel().tolist() == [3.0, 5.0, 7.0]
+    with pytest.raises(ZeroDivisionError):
+        forecast.batched_paths(lambda d: lambda x, s: 1 / 0, contexts, 1)
+    with pytest.raises(ValueError):
+        forecast.batched_paths(lambda d: lambda x, s: np.full((len(x), s), np.nan), contexts, 1)
+
+
+def test_foundation_arm_sees_the_past_only(spark, months):
+    rows = [("a", p, float(k)) for k, p in enumerate(months(2020, 1, 6))] + [("b", months(2020, 1, 1)[0], 9.0)]
+    line = months(2020, 1, 6)
+    asked = spark.createDataFrame([("a", line[3]), ("a", line[5]), ("b", line[2]), ("c", line[2])], "mo string, origin date")
+    add = lambda device: lambda x, steps: x[:, -1:] + np.arange(1, steps + 1)
+    got = {(r.mo, r.origin): (r.pred, r.mode) for r in forecast.foundation_arm(spark.createDataFrame(rows, "mo string, period date, y double"), asked, 2, add, context=3).collect()}
+    assert got[("a", line[3])] == (5.0, "cpu") and got[("a", line[5])] == (7.0, "cpu")
+    assert got[("b", line[2])] == (9.0, "fallback_last_value") and got[("c", line[2])] == (0.0, "fallback_last_value")
+
+
+def test_recursive_path_feeds_on_itself(spark, months):
+    rows = [("a", p, 10.0 + k) for k, p in enumerate(months(2020, 1, 14))]
+    predict = lambda df: df.withColumn("pred", F.col("y_lag_1") + F.col("step"))
+    frozen = spark.createDataFrame([("a", 2.0), ("new", 0.5)], "mo string, step double")
+    names = spark.createDataFrame([("a",), ("new",)], "mo string")
+    out = forecast.recursive_model(spark.createDataFrame(rows, "mo string, period date, y double"), "2021-01-01", 3, predict, entities=names, frozen=frozen).collect()
+    assert sorted((r.mo, r.lead_months, r.pred) for r in out) == [("a", 1, 23.0), ("a", 2, 25.0), ("a", 3, 27.0), ("new", 1, 16.0), ("new", 2, 16.5), ("new", 3, 17.0)]
+
+
+def test_json_discovery_and_lookups(tmp_path):
+    root, data = tmp_path / "root", tmp_path / "root" / "datasets"
+    data.mkdir(parents=True)
+    for p in (data / "RBK.json", data / "mine.json", root / "other.json"):
+        p.write_text("[]")
+    found, looked = files.find_json(["mine.json", "datasets/mine.json", "gone.json"], [str(root), str(data)])
+    assert [f.rsplit("/", 1)[-1] for f in found] == ["mine.json", "RBK.json"] and len(looked) == len(set(looked)) and any(x.endswith("gone.json") for x in looked)
+    assert files.find_json([], [str(data)], auto=False) == ([], [])
+
+
+def test_subset_of_entities(spark):
+    rows = spark.createDataFrame([(f"e{k:02d}", float(k)) for k in range(1, 41)] + [("neg", -1.0)], "mo string, target double")
+    got = subset.benchmark_subset(rows, 10, {"first": "E07"})
+    assert got.count() == 10 and got.filter("mo = 'e07' and stratum is null").count() == 1
+    assert sorted(r["count"] for r in got.filter("stratum is not null").groupBy("stratum").count().collect()) == [2, 2, 2, 3]
+    with pytest.raises(ValueError):
+        subset.anchors(rows, {"x": "e0"})
+    with pytest.raises(ValueError):
+        subset.draw(subset.strata(subset.levels(rows)), [99, 1, 1, 1])
+    assert subset.even_sizes(10, 4) == [3, 3, 2, 2]
+
+
 def test_config_is_strict(tmp_path):
     (tmp_path / "c.yaml").write_text("detect: {window: 12}\n")
     assert config.load(str(tmp_path / "c.yaml")).detect.window == 12
