@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, langid, lines, nndescent, partenum, pieces, suffix, toxicity, urlfilter, warc
+from . import decontam, langid, lines, negatives, nndescent, partenum, pieces, prefixtrie, quality, suffix, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_warc": warc.op8,
     "op9_embedding_dedup": nndescent.op9,
     "op10_url_filter": urlfilter.op10,
+    "op11_prefix_trie": prefixtrie.op11,
+    "op12_hard_negatives": negatives.op12,
+    "op13_quality_rules": quality.op13,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -26,4 +29,7 @@ ORACLES = {
     "op8_warc": warc.SQL,
     "op9_embedding_dedup": nndescent.SQL,
     "op10_url_filter": urlfilter.SQL,
+    "op11_prefix_trie": prefixtrie.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_quality_rules": quality.SQL,
 }
