@@ -264,6 +264,8 @@ def ends(members: DataFrame) -> DataFrame:
 
 def trie(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", group: int = 5, cuts: int = 9, block: int = BLOCK) -> DataFrame:
     """A row for each node: node, parent (both names), conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    if block < 2 * cuts:
+        raise ValueError("a block holds at least twice as many turns as are ever taken over")
     turns = ordered(turns, conv_id=conv_id, turn=turn, role=role, text=text)
     members = memberships(turns, group=group, cuts=cuts, block=block)
     forget(*turns.read_from)
