@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from monthgrid.operators.order import median, quantiles
+from monthgrid.operators import order
+from monthgrid.operators.order import median
 
 
 def one_row(rows: DataFrame, one: DataFrame) -> DataFrame:
@@ -15,11 +16,11 @@ def one_row(rows: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def fold_median(rows: DataFrame, columns: list[str], train) -> DataFrame:
-    """NULLs filled by the exact median of the training rows; a column without any is filled with 0."""
-    out = rows
-    for c in columns:
-        seen = rows if train is None else rows.filter(train)
-        out = one_row(out, median(seen, c, f"__{c}"))
+    """NULLs filled by the exact median of the training rows; a column without any is filled with 0.  The medians of all
+    columns come from one selection."""
+    seen = rows if train is None else rows.filter(train)
+    medians = order.wide(order.quantiles_of(seen, columns, [0.5]), columns, lambda c: [f"__{c}"])
+    out = one_row(rows, medians)
     return out.withColumns({c: F.coalesce(c, f"__{c}", F.lit(0.0)) for c in columns}).select(rows.columns)
 
 
@@ -39,9 +40,8 @@ def scaled(rows: DataFrame, columns: list[str], train, robust: bool = False) ->
     """Standard (mean, population deviation) or robust (median, quartile range) scaling by the training rows."""
     out = rows
     if robust:
-        for c in columns:
-            q = quantiles(rows.filter(train), c, [0.25, 0.5, 0.75]).select(F.col("q")[1].alias(f"__m_{c}"), (F.col("q")[2] - F.col("q")[0]).alias(f"__s_{c}"))
-            out = one_row(out, q)
+        found = order.wide(order.quantiles_of(rows.filter(train), columns, [0.25, 0.5, 0.75]), columns, lambda c: [f"__l_{c}", f"__m_{c}", f"__h_{c}"])
+        out = one_row(out, found.withColumns({f"__s_{c}": F.col(f"__h_{c}") - F.col(f"__l_{c}") for c in columns}))
     else:
         v = {c: F.when(train, F.col(c)) for c in columns}
         out = out.crossJoin(F.broadcast(rows.agg(*[F.avg(v[c]).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(v[c]).alias(f"__s_{c}") for c in columns])))

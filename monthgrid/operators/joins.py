@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from monthgrid.functions.calendar import shift
+from monthgrid.operators.order import prefix_medians
 from monthgrid.session import assert_unique
 
 
@@ -36,17 +37,13 @@ def asof_strict(left: DataFrame, right: DataFrame, by: list[str], at: str, relea
 
 def last_positive_before(history: DataFrame, months: DataFrame, entity: str = "mo", period: str = "period", value: str = "y") -> DataFrame:
     """months with `filled`: the entity's last positive value strictly before the month; a newcomer gets the median
-    of all positive values before it.  Values are counted by month first, and each count is handed to the later ones of
-    the months asked for (a list as long as a calendar), so rows aren't paired with months."""
+    of all positive values before it.  Values are counted by month first, and the medians of all months asked for (as many as
+    a calendar has) come from one selection over these counts."""
     known = history.filter(F.col(value) > 0).select(entity, period, F.col(value).alias("__v"))
     own = asof_strict(months, known, [entity], period, period, "__v")
     dates = sorted(r[0] for r in months.filter(F.col(period).isNotNull()).select(period).distinct().collect())
-    # What is known before a month is known before all later ones: the first of them that a row precedes.
-    place = F.array(*[F.lit(d) for d in dates]) if dates else F.expr("cast(array() as array<date>)")
-    later = F.filter(place, lambda m: m > F.col(period))
-    counts = known.withColumn("__next", F.get(later, 0)).filter(F.col("__next").isNotNull()).groupBy("__next", "__v").agg(F.count(F.lit(1)).alias("__n")) if dates else known.select(F.lit(None).cast("date").alias("__next"), "__v", F.lit(0).alias("__n")).limit(0)
-    spread = counts.select(F.explode(F.filter(place, lambda m: m >= F.col("__next"))).alias("__m"), "__v", "__n").groupBy("__m", "__v").agg(F.sum("__n").alias("__n"))
-    prior = spread.groupBy("__m").agg(F.expr("percentile(__v, 0.5, __n)").alias("__median"))
+    counts = known.groupBy(period, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    prior = prefix_medians(counts, period, "__v", "__n", dates).select(F.col(period).alias("__m"), F.col("median").alias("__median"))
     return (
         own.join(F.broadcast(prior), F.col(period) == F.col("__m"), "left")
         .select(*months.columns, F.coalesce("__v", "__median").alias("filled"), F.when(F.col("__v").isNotNull(), "history").when(F.col("__median").isNotNull(), "median").alias("fill_source"))
@@ -68,9 +65,8 @@ def attach_region(target: DataFrame, macro: DataFrame, key: str, ordinal: str, p
 def resolve(names: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """(code, name, region) to an id by the crosswalk's code, else by its (name, region), each only where unique;
     else a surrogate, with the status and confidence of each step."""
-    alone = lambda keys: crosswalk.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    by_code = alone(["code"]).filter("code is not null").groupBy("code").agg(F.max("__n").alias("n_code"), F.min("id").alias("id_code"))
-    by_name = alone(["name", "region"]).groupBy("name", "region").agg(F.max("__n").alias("n_name"), F.min("id").alias("id_name"))
+    by_code = crosswalk.filter("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n_code"), F.min("id").alias("id_code"))
+    by_name = crosswalk.groupBy("name", "region").agg(F.count(F.lit(1)).alias("n_name"), F.min("id").alias("id_name"))
     joined = names.join(by_code, "code", "left").join(by_name, ["name", "region"], "left")
     exact, cross = F.col("n_code") == 1, F.col("n_name") == 1
     unsure = (F.col("n_code") > 1) | (F.col("n_name") > 1)

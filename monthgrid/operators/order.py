@@ -90,3 +90,77 @@ def quantiles(df: DataFrame, c: str, qs: list[float], keys: list[str] = (), smal
 def median(df: DataFrame, c: str, name: str, keys: list[str] = ()) -> DataFrame:
     """(keys, name): the exact median of each key."""
     return quantiles(df, c, [0.5], keys).select(*keys, F.col("q")[0].alias(name))
+
+
+def quantiles_of(df: DataFrame, columns: list[str], qs: list[float], keys: list[str] = (), small: int = 200_000) -> DataFrame:
+    """(keys, column, q): the quantiles of many columns at once.  Values are tagged by their column and go through one count and
+    one selection, so the number of jobs doesn't depend on the number of columns."""
+    keys = list(keys)
+    tagged = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
+    rows = df.select(*keys, tagged.alias("__t")).select(*keys, "__t.column", "__t.v")
+    return quantiles(rows, "v", qs, [*keys, "column"], small)
+
+
+def wide(found: DataFrame, columns: list[str], names, keys: list[str] = ()) -> DataFrame:
+    """quantiles_of as one row for each key; names(column, i) names the i-th quantile, NULL where a column has no value."""
+    n = [(c, i, name) for c in columns for i, name in enumerate(names(c))]
+    picked = [F.max(F.when(F.col("column") == c, F.col("q")[i])).alias(name) for c, i, name in n]
+    return (found.groupBy(*keys) if keys else found.groupBy()).agg(*picked)
+
+
+def weighted_median(df: DataFrame, value: str, weight: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, median): the least value at which the weights of all values up to it reach half of their sum.
+
+    Weights of equal values are summed first; the sums of bins tell which bin holds the median, and only that one is
+    sorted.  Rows whose value or weight is unknown, and weights that aren't positive, don't count."""
+    keys = list(keys)
+    rows = df.select(*keys, F.col(value).cast("double").alias("value"), F.col(weight).cast("double").alias("__w"))
+    rows = rows.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("__w") > 0))
+    edges, _ = spread(rows, "value", keys)
+    sums = rows.groupBy(*keys, "value").agg(F.sum("__w").alias("__w"))
+    same = [sums[k].eqNullSafe(edges[k]) for k in keys]
+    joined = sums.join(edges, same) if keys else sums.crossJoin(F.broadcast(edges))
+    binned = joined.select(*[sums[k] for k in keys], "value", "__w", bin_of(F.col("value"), F.col("edges")).alias("bin"))
+    w = W.partitionBy(*keys)
+    sizes = binned.groupBy(*keys, "bin").agg(F.sum("__w").alias("__size"))
+    before = F.sum("__size").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, -1))
+    places = sizes.select(*keys, "bin", "__size", F.coalesce(before, F.lit(0.0)).alias("__before"), (F.sum("__size").over(w) / 2).alias("__half"))
+    # Sums of doubles may differ in their last bits by their order, so the bin next to the middle comes along.
+    near = F.col("__half") * 1e-9
+    wanted = places.filter((F.col("__before") <= F.col("__half") + near) & (F.col("__before") + F.col("__size") >= F.col("__half") - near))
+    right = wanted.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("bin").alias("__bin"), "__before", "__half")
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("bin") == F.col("__bin")]
+    up_to = F.col("__before") + F.sum("__w").over(W.partitionBy(*keys, "bin").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    reached = binned.join(right, on).withColumn("__to", up_to).filter(F.col("__to") >= F.col("__half") * (1 - 1e-12))
+    return (reached.groupBy(*keys) if keys else reached.groupBy()).agg(F.min("value").alias("median"))
+
+
+def prefix_medians(counts: DataFrame, at: str, value: str, n: str, places: list) -> DataFrame:
+    """(at, median): for each of `places` (sorted) the median of all values of rows whose `at` is before it.
+
+    counts: distinct (at, value) with their number n.  A table of bins by places, summed along the places, tells for each of
+    them which bins hold its two middle ranks; only these bins' values are then looked at, so with b bins and m places the
+    rows handled are 2 m / b times the counts, however long the history of a place is."""
+    if not places:
+        return counts.select(F.col(at), F.col(value).cast("double").alias("median")).limit(0)
+    later = F.array(*[F.lit(p) for p in places])
+    rows = counts.select(F.col(value).cast("double").alias("value"), F.col(n).alias("n"), F.size(F.filter(later, lambda p: p <= F.col(at))).alias("next")).filter(F.col("next") < len(places))
+    edges, _ = spread(rows, "value", [])
+    binned = rows.crossJoin(F.broadcast(edges)).select("value", "n", "next", bin_of(F.col("value"), F.col("edges")).alias("bin"))
+    cells = binned.groupBy("bin", "next").agg(F.sum("n").alias("n"))
+    # Every bin with every place: 256 times as many cells as places.
+    full = cells.select("bin").distinct().select("bin", F.explode(F.sequence(F.lit(0), F.lit(len(places) - 1))).alias("place"))
+    known = full.join(cells.withColumnRenamed("next", "place"), ["bin", "place"], "left")
+    size = F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("bin").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    sized = known.select("bin", "place", size.alias("size"))
+    w = W.partitionBy("place")
+    before = F.coalesce(F.sum("size").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = sized.select("bin", "place", "size", before.alias("before"), F.sum("size").over(w).alias("total"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+    inside = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("size"))
+    asked = ranks.filter((F.col("total") > 0) & (inside(low) | inside(high))).select("bin", "place", "before", low.alias("low"), high.alias("high"))
+    close = binned.join(asked, "bin").filter(F.col("next") <= F.col("place"))
+    to = F.col("before") + F.sum("n").over(W.partitionBy("place", "bin").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    first = lambda rank: F.min(F.when(F.col("__to") > F.col(rank), F.col("value")))
+    middle = close.withColumn("__to", to).groupBy("place").agg(((first("low") + first("high")) / 2).alias("median"))
+    return middle.select(F.get(later, F.col("place")).alias(at), "median")

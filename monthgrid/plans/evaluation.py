@@ -99,9 +99,12 @@ def gaps(spark, sf):
     return rows.select("mo", "period", F.col("r_name").alias("district"), wage.alias("wage"), (F.col("period") < "2000-01-01").alias("train"))
 
 
-@register(BOOK, "ag14_fold_median", sql(GAPS, "SELECT mo, period, round(coalesce(wage, (SELECT quantile_cont(wage, 0.5) FROM g WHERE train), 0.0), 5) AS wage FROM g"))
+@register(BOOK, "ag14_fold_median", sql(GAPS, """, q AS (SELECT quantile_cont(wage, 0.5) AS a, quantile_cont(half, 0.5) AS b, quantile_cont(thin, 0.5) AS c FROM (SELECT *, wage / 2 AS half, CASE WHEN month(period) = 7 THEN wage END AS thin FROM g) WHERE train)
+SELECT mo, period, round(coalesce(wage, a, 0.0), 5) AS wage, round(coalesce(wage / 2, b, 0.0), 5) AS half, round(coalesce(CASE WHEN month(period) = 7 THEN wage END, c, 0.0), 5) AS thin, 0.0 AS never FROM g, q""").replace("\n, q", ", q"))
 def ag14(spark, sf):
-    return r(impute.fold_median(gaps(spark, sf), ["wage"], F.col("train")).select("mo", "period", "wage"), wage=5)
+    rows = gaps(spark, sf).withColumns({"half": F.col("wage") / 2, "thin": F.when(F.month("period") == 7, F.col("wage")), "never": F.lit(None).cast("double")})
+    names = ["wage", "half", "thin", "never"]
+    return r(impute.fold_median(rows, names, F.col("train")).select("mo", "period", *names), wage=5, half=5, thin=5)
 
 
 @register(BOOK, "ag15_ts22_district_median", sql(GAPS, """, d AS (SELECT district, quantile_cont(wage, 0.5) AS dm FROM g WHERE train AND district <> 'ASIA' GROUP BY district), a AS (SELECT quantile_cont(wage, 0.5) AS gm FROM g WHERE train AND district <> 'ASIA'),
@@ -206,17 +209,28 @@ def ts38b(spark, sf):
     return r(ahead.select("mo", "period", "pred_blend"), pred_blend=5)
 
 
-@register(BOOK, "ts24_two_arm_weight", sql(ARMS, """, g AS (SELECT 0.5 + 0.5 * k / 100.0 AS w FROM (SELECT unnest(range(101)) AS k)), b AS (SELECT CASE WHEN avg(abs(target - pred_foundation)) > 1.5 * avg(abs(target - pred_boost)) THEN 0.70 ELSE 0.5 END AS lo FROM oof)
-SELECT CAST(w AS DOUBLE) AS w_boost, round(avg(abs(target - greatest(w * pred_boost + (1 - w) * pred_foundation, 0))), 2) AS mae FROM oof, g, b WHERE w >= lo - 1e-12 GROUP BY w ORDER BY avg(abs(target - greatest(w * pred_boost + (1 - w) * pred_foundation, 0))), w DESC LIMIT 1""").replace("\n, g", ", g"))
+@register(BOOK, "ts24_two_arm_weight", sql(ARMS, """, k AS (SELECT target, pred_boost AS b, pred_foundation AS f FROM oof WHERE isfinite(target) AND isfinite(pred_boost) AND isfinite(pred_foundation)),
+lo AS (SELECT CASE WHEN avg(abs(target - f)) > 1.5 * avg(abs(target - b)) THEN 0.70 ELSE 0.5 END AS lo FROM k),
+c AS (SELECT v, sum(w) OVER (ORDER BY v) AS upto, sum(w) OVER () AS total FROM (SELECT (target - f) / (b - f) AS v, sum(abs(b - f)) AS w FROM k WHERE b <> f GROUP BY 1)),
+m AS (SELECT greatest(max(lo), least(min(v) FILTER (upto >= total / 2 * (1 - 1e-12)), 1.0)) AS w FROM c, lo)
+SELECT round(w, 7) AS w_boost, round(avg(abs(target - (w * b + (1 - w) * f))), 3) AS mae FROM k, m GROUP BY w""").replace("\n, k", ", k"))
 def ts24(spark, sf):
-    return r(blend.fit_two_arms(arms(spark, sf)), mae=2)
+    return r(blend.fit_two_arms(arms(spark, sf)), w_boost=7, mae=3)
 
 
-@register(BOOK, "ts25_simplex_weights", sql(ARMS, """, k AS (SELECT i * 0.05 AS a, j * 0.05 AS b, (20 - i - j) * 0.05 AS c FROM (SELECT unnest(range(21)) AS i), (SELECT unnest(range(21)) AS j) WHERE i + j <= 20),
-e AS (SELECT lead_months, a, b, c, round(avg(abs(target - (a * pred_trend + b * pred_boost + c * pred_foundation))), 9) AS m FROM oof, k GROUP BY ALL)
-SELECT lead_months, round(min(m), 2) AS mae FROM e GROUP BY lead_months""").replace("\n, k", ", k"))
+#: Every corner of the error's surface on the simplex: its corners, a zero residual on a side of it, and two zero residuals.
+CORNERS = """, k AS (SELECT lead_months, row_number() OVER (ORDER BY lead_months, mo, period) AS i, target - pred_foundation AS t, pred_trend - pred_foundation AS x, pred_boost - pred_foundation AS z FROM oof),
+v AS (SELECT lead_months, a, b FROM (SELECT DISTINCT lead_months FROM k), (VALUES (0.0, 0.0), (1.0, 0.0), (0.0, 1.0)) s(a, b)
+ UNION ALL SELECT lead_months, t / x, 0.0 FROM k WHERE x <> 0 UNION ALL SELECT lead_months, 0.0, t / z FROM k WHERE z <> 0 UNION ALL SELECT lead_months, (t - z) / (x - z), 1 - (t - z) / (x - z) FROM k WHERE x <> z
+ UNION ALL SELECT p.lead_months, (p.t * q.z - q.t * p.z) / (p.x * q.z - q.x * p.z), (p.x * q.t - q.x * p.t) / (p.x * q.z - q.x * p.z) FROM k p JOIN k q ON p.lead_months = q.lead_months AND p.i < q.i AND p.x * q.z <> q.x * p.z),
+e AS (SELECT v.lead_months, a, b, avg(abs(t - a * x - b * z)) AS mae FROM (SELECT lead_months, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM v WHERE a >= 0 AND b >= 0 AND a + b <= 1) v JOIN k ON k.lead_months = v.lead_months GROUP BY ALL)"""
+
+
+@register(BOOK, "ts25_simplex_weights", sql(ARMS, (CORNERS + """
+SELECT lead_months, round(arg_min(a, mae), 5) AS w_trend, round(arg_min(b, mae), 5) AS w_boost, abs(round(1 - arg_min(a, mae) - arg_min(b, mae), 5)) AS w_foundation, round(min(mae), 4) AS mae FROM e GROUP BY lead_months""").replace("\n, k", ", k")))
 def ts25(spark, sf):
-    return r(blend.fit_simplex(arms(spark, sf)), mae=2).select("lead_months", "mae")
+    out = blend.fit_simplex(arms(spark, sf)).select("lead_months", "w_trend", "w_boost", "w_foundation", "mae")
+    return r(out, w_trend=5, w_boost=5, w_foundation=5, mae=4)
 
 
 @register(BOOK, "ts23_cold_start", sql(OBSERVED, """, l AS (SELECT mo, arg_max(y, period) AS last FROM obs WHERE mo <> 'NATION_3' GROUP BY mo), g AS (SELECT quantile_cont(y / nullif(b, 0) - 1, 0.5) AS g FROM (SELECT y, lag(y) OVER (PARTITION BY mo ORDER BY period) AS b FROM obs WHERE mo <> 'NATION_3') WHERE b IS NOT NULL), m AS (SELECT quantile_cont(y, 0.5) AS m FROM obs WHERE mo <> 'NATION_3')

@@ -54,7 +54,17 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: a cut lineage that outlives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `materialized` made and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
