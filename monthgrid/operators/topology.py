@@ -1,14 +1,15 @@
 """Topology of delay embeddings.
 
 A window of five values makes three points of a delay embedding of dimension three; their finite bars are the two
-shortest of the three distances, so the usual case is plain column arithmetic.  Other windows go through a
-boundary-matrix reduction."""
+shortest of the three distances, so the usual case is plain column arithmetic (`features`).  Other windows go through a
+boundary-matrix reduction and an assignment (`wide_features`)."""
 
 from __future__ import annotations
 
-from itertools import combinations, permutations
+from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,17 +51,89 @@ def entropy(bars: list[tuple[float, float]]) -> float:
     return float(-(p * np.log(p)).sum())
 
 
-def wasserstein(a: list, b: list) -> float:
-    """The cheapest matching of two small diagrams, points or the diagonal, by the Euclidean metric."""
-    to_diagonal = lambda p: (p[1] - p[0]) / np.sqrt(2)
-    left, right = list(a) + [None] * len(b), list(b) + [None] * len(a)
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """For each row of a square matrix the column it is matched with at the least sum: rows enter one after another along
+    shortest augmenting paths under potentials, a whole row of the matrix at a step."""
+    n = len(cost)
+    u, v = np.zeros(n + 1), np.zeros(n + 1)
+    owner = np.zeros(n + 1, int)  # the row of each column, from 1; 0: free
+    for i in range(1, n + 1):
+        owner[0], col = i, 0
+        short, back, done = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+        while owner[col]:
+            done[col] = True
+            reach = cost[owner[col] - 1] - u[owner[col]] - v[1:]
+            closer = ~done[1:] & (reach < short[1:])
+            short[1:][closer], back[1:][closer] = reach[closer], col
+            col_next = 1 + int(np.where(done[1:], np.inf, short[1:]).argmin())
+            step = short[col_next]
+            u[owner[done]] += step
+            v[done] -= step
+            short[~done] -= step
+            col = col_next
+        while col:
+            owner[col], col = owner[back[col]], back[col]
+    out = np.empty(n, int)
+    out[owner[1:] - 1] = np.arange(n)
+    return out
+
 
-    def cost(p, q):
-        if p is None and q is None:
-            return 0.0
-        return to_diagonal(q) if p is None else to_diagonal(p) if q is None else float(np.hypot(p[0] - q[0], p[1] - q[1]))
+def wasserstein(a: list, b: list) -> float:
+    """The cheapest matching of two diagrams by the Euclidean metric: bars with bars, or bars with the diagonal.
+
+    The matrix has a place on the diagonal for every bar of either side, and those match one another for nothing."""
+    a, b = np.asarray(a, float).reshape(-1, 2), np.asarray(b, float).reshape(-1, 2)
+    n, m = len(a), len(b)
+    if not n + m:
+        return 0.0
+    cost = np.zeros((n + m, m + n))
+    cost[:n, :m] = np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
+    cost[:n, m:] = ((a[:, 1] - a[:, 0]) / np.sqrt(2))[:, None]
+    cost[n:, :m] = ((b[:, 1] - b[:, 0]) / np.sqrt(2))[None, :]
+    return float(cost[np.arange(n + m), assignment(cost)].sum())
+
+
+def diagram(window: np.ndarray, dimension: int = 3, delay: int = 1) -> list[tuple[float, float]]:
+    """The bars of a window's delay embedding, its columns scaled by their population deviation: those of loops where there
+    are any, else the finite ones of components."""
+    points = takens(np.asarray(window, float), dimension, delay)
+    if not len(points) or not np.isfinite(points).all():
+        return []
+    sd = points.std(axis=0)
+    bars = persistence((points - points.mean(axis=0)) / np.where(sd > 1e-12, sd, 1.0))
+    return bars[1] or bars[0]
+
+
+def wide_features(df: DataFrame, value: str = "y", *, width: int = 12, dimension: int = 3, delay: int = 1) -> DataFrame:
+    """`features` for windows of any width, and embeddings of any dimension and delay: tda_entropy and tda_distance of the
+    window that ends one row before.  The distance is to the last window before it that has bars.
+
+    A row brings its window as an array of `width` values, a bounded frame of its entity; diagrams and distances are made
+    row by row in Arrow batches, so an entity of any length is never one group in memory."""
+    pairs = "array<array<double>>"
+
+    @F.pandas_udf(pairs)
+    def bars_of(windows: pd.Series) -> pd.Series:
+        return pd.Series([[list(map(float, bar)) for bar in diagram(x, dimension, delay)] if x is not None else None for x in windows])
+
+    @F.pandas_udf("double")
+    def distance(now: pd.Series, before: pd.Series) -> pd.Series:
+        plain = lambda bars: [tuple(b) for b in bars]
+        return pd.Series([wasserstein(plain(x), plain(y)) if x is not None and len(x) and y is not None else None for x, y in zip(now, before)])
+
+    @F.pandas_udf("double")
+    def entropy_of(bars: pd.Series) -> pd.Series:
+        return pd.Series([entropy([tuple(b) for b in x]) if x is not None and len(x) else None for x in bars])
 
-    return min((sum(cost(p, q) for p, q in zip(left, order)) for order in permutations(right)), default=0.0)
+    w = by()
+    frame = w.rowsBetween(1 - width, 0)
+    rows = df.filter(F.col(value).isNotNull()).select("mo", "period", F.when(F.count(value).over(frame) == width, F.collect_list(F.col(value).cast("double")).over(frame)).alias("__w"))
+    made = rows.select("mo", "period", bars_of("__w").alias("__bars"))
+    some = F.when(F.size("__bars") > 0, F.col("__bars"))
+    before = F.last(some, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    seen = made.select("mo", "period", "__bars", before.alias("__before"))
+    now = seen.select("mo", "period", entropy_of("__bars").alias("__e"), distance("__bars", "__before").alias("__d"))
+    return now.select("mo", "period", F.lag("__e").over(w).alias("tda_entropy"), F.lag("__d").over(w).alias("tda_distance"))
 
 
 def short_bars(value: str, w) -> tuple[Column, Column]:

@@ -70,6 +70,18 @@ def ts8(spark, sf):
     return r(topology.features(observed(spark, sf)), tda_entropy=6, tda_distance=6)
 
 
+@register(BOOK, "ts8_ts11_wide_topology")
+def ts8b(spark, sf):
+    """Windows of a year, embedded with a delay of two months: loops, or components where there is none."""
+    return r(topology.wide_features(observed(spark, sf), width=12, dimension=3, delay=2), tda_entropy=6, tda_distance=6)
+
+
+@register(BOOK, "ts8_ts11_general_topology", sql(TAKENS, "SELECT mo, period, round(tda_entropy, 6) AS tda_entropy, round(tda_distance, 6) AS tda_distance FROM tda"))
+def ts8c(spark, sf):
+    """The general path at the usual width agrees with column arithmetic."""
+    return r(topology.wide_features(observed(spark, sf), width=5), tda_entropy=6, tda_distance=6)
+
+
 @register(BOOK, "wn9_distance_alert", sql(TAKENS, f"SELECT mo, period, coalesce(able, FALSE) AS tda_eligible, coalesce(able AND tda_distance >= q, FALSE) AS tda_shock FROM (SELECT *, q IS NOT NULL AND k >= 4 AS able FROM (SELECT *, row_number() OVER (PARTITION BY mo ORDER BY period) - 1 AS k, CASE WHEN count(tda_distance) OVER p >= 3 THEN quantile_cont(tda_distance, 0.85) OVER p END AS q FROM tda WINDOW p AS (PARTITION BY mo ORDER BY period {P24})))"))
 def wn9(spark, sf):
     return detect.distance_alert(topology.features(observed(spark, sf)), "tda_distance").select("mo", "period", "tda_eligible", "tda_shock")

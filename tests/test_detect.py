@@ -145,3 +145,55 @@ def test_residual_barrier_needs_history(spark, months):
     assert [r.residual_eligible for r in got] == [False] * 4 + [True] * 3 + [False]
     assert [r.residual_shock for r in got][5] and not got[7].residual_shock
     assert detect.residual_barrier(df.limit(0)).count() == 0 and F is not None
+
+
+def test_assignment_is_the_cheapest():
+    from itertools import permutations
+
+    rng = np.random.default_rng(9)
+    for n in range(1, 7):
+        for _ in range(20):
+            cost = rng.integers(0, 6, (n, n)).astype(float) if n % 2 else rng.random((n, n))
+            got = topology.assignment(cost)
+            assert sorted(got) == list(range(n))
+            assert cost[np.arange(n), got].sum() == pytest.approx(min(sum(cost[i, p[i]] for i in range(n)) for p in permutations(range(n))))
+
+
+def test_distance_of_diagrams_by_brute_force():
+    import time
+    from itertools import permutations
+
+    rng = np.random.default_rng(10)
+    half = lambda p: (p[1] - p[0]) / np.sqrt(2)
+
+    def plain(a, b):
+        left, right = [*a, *[None] * len(b)], [*b, *[None] * len(a)]
+        cost = lambda p, q: 0.0 if p is None and q is None else half(q) if p is None else half(p) if q is None else float(np.hypot(p[0] - q[0], p[1] - q[1]))
+        return min(sum(cost(p, q) for p, q in zip(left, order)) for order in permutations(right))
+
+    bars = lambda n: [(float(b), float(b + d)) for b, d in rng.random((n, 2))]
+    for n, m in ((0, 1), (1, 0), (1, 1), (2, 3), (3, 2), (3, 3), (4, 3)):
+        a, b = bars(n), bars(m)
+        assert topology.wasserstein(a, b) == pytest.approx(plain(a, b)) == pytest.approx(topology.wasserstein(b, a))
+    began = time.perf_counter()
+    a = bars(100)
+    assert topology.wasserstein(a, a[::-1]) == pytest.approx(0, abs=1e-9) and topology.wasserstein(a, bars(100)) > 0
+    assert time.perf_counter() - began < 4  # two of them
+
+
+def test_wide_windows(spark, months):
+    rng = np.random.default_rng(12)
+    y = np.concatenate([np.sin(np.arange(30) * 0.7) * 5 + rng.normal(0, 0.3, 30), np.full(16, 2.0)])
+    rows = [("a", p, float(v)) for p, v in zip(months(2020, 1, len(y)), y)] + [("b", p, float(k)) for k, p in enumerate(months(2020, 1, 4))] + [("a", months(2030, 1, 1)[0], None)]
+    df = spark.createDataFrame(rows, "mo string, period date, y double").repartition(3)
+    for width, dimension, delay in ((12, 3, 2), (5, 3, 1), (9, 2, 3)):
+        got = topology.wide_features(df, width=width, dimension=dimension, delay=delay).filter("mo = 'a'").orderBy("period").collect()
+        before, made = None, [(None, None)]
+        for k in range(len(y)):
+            bars = topology.diagram(y[k + 1 - width : k + 1], dimension, delay) if k + 1 >= width else []
+            made.append((topology.entropy(bars) if bars else None, topology.wasserstein(bars, before) if bars and before is not None else None))
+            before = bars or before
+        assert [(r.tda_entropy, r.tda_distance) for r in got] == [pytest.approx(x, abs=1e-9) if None not in x else x for x in made[:-1]]
+    assert all(r.tda_entropy is None for r in topology.wide_features(df, width=5).filter("mo = 'b'").collect())
+    circle = 2 * np.pi * np.arange(12) / 12
+    assert topology.diagram(np.sin(circle), 2, 3)[0][0] > 0  # a loop is born later than its points
