@@ -7,12 +7,16 @@ about `segment_bytes` go out through Spark's text writer, hence to any file syst
 puts one zero byte after each segment, and each segment is cut before its own last byte, which is zero (the
 length trailer of a member under 16 MB; after a larger one an empty member is added).
 
-Reading: archives come as binary files; a streaming inflater hands over one member at a time, the record header
-gives the length of its block, and block and payload digests are computed again.
+Reading: every file under the path is an archive, whatever its name (but for names that begin with a dot or an underscore, which Spark never
+reads).  One of up to `whole_bytes` comes as a binary row; a streaming inflater hands over one member at a time, the record header
+gives the length of its block, and block and payload digests are computed again.  A larger one must be named *.gz: it is
+inflated by Spark as it is read and comes in pieces that end with line feeds, so that of an archive of any size only the record
+at hand is held; records are then framed by their content length alone.
 
-Defined results: null html is an empty payload; records under the bound are all responses; rows that repeat the
+Defined results: null html is an empty payload; a very long payload is one record, held whole by the task that writes or reads it; records under the bound are all responses; rows that repeat the
 smallest id are responses alike; rows without an id are written, but nothing refers to them; a null or odd URL
-is percent-encoded or left out; an empty table makes an archive without records.
+is percent-encoded or left out; an empty table makes an archive without records; other columns are not read, whatever their
+names (`with_revisits` passes them on, but for its own three, which are replaced); a file that is no archive is an error.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import shared_dir, small_batches
+from .arrowtools import shared_dir, small_batches, spare
 
 MIN_REVISIT = 100
 SEGMENT_BYTES = 4 << 20
@@ -38,14 +43,15 @@ SCHEMA = (
 def with_revisits(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """pages with __payload, __digest and __first: the id of the response that a revisit stands for, else null."""
     payload = F.coalesce(F.encode(F.col(html), "utf-8"), F.lit(b""))
+    key, least = spare([*pages.columns, "__payload", "__digest", "__first"], "__key", "__least")
     made = pages.withColumn("__payload", payload).withColumn("__digest", F.sha2("__payload", 256))
     same = (
-        pages.select(F.col(page_id).alias("__id"), payload.alias("p")).filter(F.octet_length("p") >= min_revisit)
-        .select("__id", F.sha2("p", 256).alias("__key")).groupBy("__key")
-        .agg(F.min("__id").alias("__least"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+        pages.select(F.col(page_id).alias("id"), payload.alias("p")).filter(F.octet_length("p") >= min_revisit)
+        .select("id", F.sha2("p", 256).alias("d")).groupBy("d")
+        .agg(F.min("id").alias(least), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("d").alias(key), least)
     )
-    first = F.when(F.col("__least").isNotNull() & ~F.col(page_id).eqNullSafe(F.col("__least")), F.col("__least"))
-    return made.join(same, F.col("__digest") == F.col("__key"), "left").withColumn("__first", first).drop("__key", "__least")
+    first = F.when(F.col(least).isNotNull() & ~made[page_id].eqNullSafe(F.col(least)), F.col(least))
+    return made.join(same, F.col("__digest") == F.col(key), "left").withColumn("__first", first).drop(key, least)
 
 
 def member(kind: str, record: str, uri: str | None, refers: str | None, date: str, payload: bytes, digest: str) -> bytes:
@@ -145,26 +151,82 @@ def parse(record: bytes) -> dict:
     }
 
 
-def read_warc(spark, path: str, *, payloads: bool = True, chunk: int = 1 << 16) -> DataFrame:
-    """A row for each record of the archives under `path`; `digest_ok` tells whether its digests hold."""
-    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("payload", pa.binary())])
+def records(lines):
+    """The records of a stream of pieces that each lack the line feed at their end: the blank line after the header, then as
+    many bytes as the header says, then the record's own end."""
+    held, size, need, body = [], 0, None, 0
+    for line in lines:
+        if not held and line.strip() == b"":
+            continue  # between records, or after an empty member
+        held.append(line)
+        size += len(line) + 1
+        if need is None and line in (b"\r", b""):
+            head = b"\n".join(held).decode(errors="replace").lower()
+            found = [x.partition(":")[2].strip() for x in head.split("\r\n") if x.startswith("content-length:")]
+            if not found:
+                raise ValueError("a record without a content length")
+            need, body = int(found[0]) + 4, size
+        if need is not None and size - body >= need:
+            yield b"\n".join(held) + b"\n"
+            held, size, need = [], 0, None
+    if held:
+        raise ValueError("the archive ends inside a record")
+
+
+SCHEMA_ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("payload", pa.binary())])
+
+
+def rows_of(found, payloads: bool):
+    """Batches of parsed records, of 2,000 of them or 4 MB of payloads."""
+    rows, held = [], 0
+    for record in found:
+        row = parse(record)
+        row["payload"] = row["payload"] if payloads else None
+        rows.append(row)
+        held += len(row["payload"] or b"")
+        if len(rows) >= 2000 or held > 4 << 20:
+            yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA_ARROW)
+            rows, held = [], 0
+    yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA_ARROW)
+
+
+#: The largest archive that comes as one row.
+WHOLE_BYTES = 64 << 20
+
+
+def read_warc(spark, path: str, *, payloads: bool = True, chunk: int = 1 << 16, pattern: str | None = None, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """A row for each record of the archives under `path` (of those whose names match `pattern`, if one is given); `digest_ok`
+    tells whether its digests hold."""
 
-    def read(batches):
+    def whole(batches):
         for batch in batches:
             for file in batch.column(0):
-                data, rows, held = memoryview(file.as_buffer()), [], 0
-                for record in members(data[i : i + chunk] for i in range(0, len(data), chunk)):
-                    row = parse(record)
-                    row["payload"] = row["payload"] if payloads else None
-                    rows.append(row)
-                    held += len(row["payload"] or b"")
-                    if len(rows) >= 2000 or held > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, held = [], 0
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(read, SCHEMA)
+                data = memoryview(file.as_buffer())
+                yield from rows_of((r for r in members(data[i : i + chunk] for i in range(0, len(data), chunk)) if r), payloads)
+
+    def pieces(batches):
+        # A file's lines follow one another in a task; the next file begins where the name changes.
+        def lines():
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+        for _, own in groupby(lines(), key=lambda x: x[0]):
+            yield from rows_of(records(line for _, line in own), payloads)
+
+    def options(reader):
+        reader = reader.option("recursiveFileLookup", "true")
+        return reader.option("pathGlobFilter", pattern) if pattern else reader
+
+    files = options(spark.read.format("binaryFile")).load(path)
+    sizes = files.select("path", "length")
+    out = files.filter(F.col("length") <= whole_bytes).select("content").mapInArrow(whole, SCHEMA)
+    large = [r["path"] for r in sizes.filter(F.col("length") > whole_bytes).collect()]  # a name for each archive that is too large for a row
+    if large:
+        if plain := [p for p in large if not p.endswith(".gz")]:
+            raise ValueError(f"an archive of over {whole_bytes} bytes must be named *.gz: {plain[0]}")
+        text = spark.read.option("lineSep", "\n").text(large).select(F.col("_metadata.file_path"), F.col("value").cast("binary"))
+        out = out.unionByName(text.mapInArrow(pieces, SCHEMA))
+    return out
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -502,6 +502,45 @@ def test_archives_tell_damage(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
 
 
+@pytest.mark.parametrize("whole_bytes", [0, 1 << 26])
+def test_archives_of_any_name_and_size(spark, tmp_path, whole_bytes):
+    rng = random.Random(8)
+    bodies = [b"", b"\n", b"\r\n\r\nWARC/1.1\r\n", b"x\n\n", bytes(rng.randrange(256) for _ in range(5000)), b"a" * (17 << 20)] + [bytes(rng.randrange(256) for _ in range(rng.randrange(200))) for _ in range(60)]
+    record = lambda k, b: warc.member("response", f"urn:page:{k}", "http://x", None, "2024-01-01T00:00:00Z", b, hashlib.sha256(b).hexdigest())
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "crawl.warc.gz").write_bytes(b"".join(record(k, b) for k, b in enumerate(bodies[:40])) + warc.gz(b""))
+    (tmp_path / "in" / "deep" / "second.warc.gz").write_bytes(b"".join(record(k + 40, b) for k, b in enumerate(bodies[40:])))
+    got = warc.read_warc(spark, str(tmp_path / "in"), whole_bytes=whole_bytes).collect()
+    assert sorted((int(r.record_id[9:]), bytes(r.payload)) for r in got) == list(enumerate(bodies)) and all(r.digest_ok for r in got)
+    assert warc.read_warc(spark, str(tmp_path / "in"), pattern="crawl*", whole_bytes=whole_bytes).count() == 40
+    (tmp_path / "in" / "cut.gz").write_bytes(gzip.compress(gzip.decompress(record(99, b"text"))[:-8]))
+    with pytest.raises(Exception, match="inside a record|doesn't have the length"):
+        warc.read_warc(spark, str(tmp_path / "in"), whole_bytes=whole_bytes).count()
+
+
+def test_long_lines_are_held_a_record_at_a_time():
+    """What the line-wise reader holds is one record, however many an archive has."""
+    import tracemalloc
+
+    body = b"z" * (1 << 20)
+    text = gzip.decompress(warc.member("response", "urn:page:1", "http://x", None, "2024-01-01T00:00:00Z", body, hashlib.sha256(body).hexdigest()))
+    many = (line for _ in range(100) for line in text.split(b"\n")[:-1])
+    tracemalloc.start()
+    assert sum(warc.parse(r)["digest_ok"] for r in warc.records(many)) == 100
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
+def test_archives_of_clashing_columns_and_long_payloads(spark, tmp_path):
+    rows = [(1, "u", "y" * (17 << 20)), (2, "u", "y" * (17 << 20)), (3, "u", "short")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit(1) for c in ("__least", "__key", "__id", "id", "d", "n", "p", "__payload")})
+    warc.write_warc(pages, str(tmp_path / "w"))
+    got = sorted((r.record_id, r.record_type, r.payload_bytes, r.digest_ok) for r in warc.read_warc(spark, str(tmp_path / "w")).collect())
+    assert got == [("urn:page:1", "response", 17 << 20, True), ("urn:page:2", "revisit", 17 << 20, True), ("urn:page:3", "response", 5, True)]
+    kept = warc.with_revisits(pages)
+    assert kept.filter("__first = 1").count() == 1 and {"__least", "__key", "__id"} <= set(kept.columns)
+
+
 # 9: embeddings
 
 
