@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from monthgrid.hadoop import Files
+
 
 def build_session(app: str = "monthgrid", master: str | None = None) -> SparkSession:
     """A session with the settings the operators are planned for: UTC, ANSI, AQE."""
@@ -63,8 +65,7 @@ def forget(*tables: DataFrame) -> None:
     """Delete tables that `materialized` made and that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "written_to", None):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            Files(df.sparkSession).delete(path)
 
 
 def shared_dir(spark: SparkSession) -> str:

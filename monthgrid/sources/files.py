@@ -166,12 +166,13 @@ def statistical_files(spark: SparkSession, path: str, glob: str = "*") -> DataFr
     return files.select("path", "content").mapInPandas(run, "file string, table string, row bigint, cells map<string,string>")
 
 
+# The keys under which the exports hold their records.
 CONTAINERS = ("messages", "items", "articles", "news", "results", "data")
 
 
 def news_json(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, seq, record): the records of JSON files as JSON text: lists, mappings that hold one, or single records;
-    a file that can't be parsed is left out."""
+    """(file, seq, record, error): the records of JSON files as JSON text: lists, mappings that hold one, or single records;
+    a file that can't be parsed is one row without a record, with the reason as its error."""
 
     def records(value):
         if isinstance(value, list):
@@ -188,11 +189,12 @@ def news_json(spark: SparkSession, paths: list[str]) -> DataFrame:
             for name, data in zip(pdf["path"], pdf["content"]):
                 try:
                     found = list(records(json.loads(decoded(bytes(data)))))
-                except ValueError:
+                except (ValueError, RecursionError) as error:
+                    yield pd.DataFrame({"file": [name.rsplit("/", 1)[-1]], "seq": [0], "record": [None], "error": [f"{type(error).__name__}: {error}"]})
                     continue
-                yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "seq": range(len(found)), "record": [json.dumps(r, ensure_ascii=False) for r in found]})
+                yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "seq": range(len(found)), "record": [json.dumps(r, ensure_ascii=False) for r in found], "error": None})
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "file string, seq bigint, record string")
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "file string, seq bigint, record string, error string")
 
 
 def news_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:

@@ -7,11 +7,13 @@ import hashlib
 import json
 import math
 import os
-import shutil
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from monthgrid.hadoop import Files
+
 
 def write_with_manifest(df: DataFrame, path: str, sources: list[str], version: str = "1", partition_by: list[str] = ()) -> dict:
     """Parquet by Spark's committer, then its manifest beside it: rows and missing values by one aggregate of what was written."""
@@ -28,11 +30,7 @@ def write_with_manifest(df: DataFrame, path: str, sources: list[str], version: s
 
 def put_text(spark, path: str, text: str) -> None:
     """A small file on any file system that Spark writes."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
+    Files(spark).put(path, text)
 
 
 def write_csv_copies(rows: DataFrame, paths: list[str], most: int = 1_000_000) -> str:
@@ -62,19 +60,20 @@ def metric_reports(metrics: DataFrame, stem: str) -> None:
         f.write("| " + " | ".join(names) + " |\n|" + " --- |" * len(names) + "\n" + "".join("| " + " | ".join("n/a" if r[c] is None else f"{r[c]:.4f}" if isinstance(r[c], float) else str(r[c]) for c in names) + " |\n" for r in rows))
 
 
-def fingerprint(config: dict, files: list[str]) -> str:
-    """A digest of a configuration and of the sizes and times of files."""
-    state = [(os.path.basename(f), os.stat(f).st_size, os.stat(f).st_mtime_ns) for f in sorted(files)]
+def fingerprint(spark, config: dict, paths: list[str]) -> str:
+    """A digest of a configuration and of the paths, sizes and times of the files at, under or matched by paths."""
+    files = Files(spark)
+    state = [s for p in sorted(paths) for s in files.state(p)]
     return hashlib.sha256(json.dumps([config, state], sort_keys=True, default=str).encode()).hexdigest()
 
 
 def cached(spark, path: str, key: str, build) -> DataFrame:
-    """The Parquet table at path if it was built under the same key, else built anew."""
-    note = f"{path.rstrip('/')}.key"
-    if os.path.exists(note) and open(note).read() == key:
-        return spark.read.parquet(path)
-    shutil.rmtree(path, ignore_errors=True)
-    build().write.parquet(path)
-    with open(note, "w") as f:
-        f.write(key)
-    return spark.read.parquet(path)
+    """The Parquet table under path that was built under the key, else built anew: written beside its place and put there by one
+    rename, so that a table is whole or isn't there."""
+    files, place = Files(spark), f"{path.rstrip('/')}/{key}"
+    if not files.exists(f"{place}/_SUCCESS"):
+        work = f"{path.rstrip('/')}/.work-{uuid.uuid4().hex}"
+        build().write.parquet(work)
+        if not files.rename(work, place):
+            files.delete(work)  # another run was first
+    return spark.read.parquet(place)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
 import zipfile
 
 import pytest
@@ -110,8 +111,9 @@ def test_files_of_every_kind(spark, tmp_path):
 
 def test_news_json_containers(spark, tmp_path):
     paths = [put(tmp_path / n, t) for n, t in (("a.json", '{"messages": [{"id": 1}, 5]}'), ("b.json", '[{"id": 2}]'), ("c.json", '{"id": 3}'), ("d.json", "{broken"), ("e.json", '{"data": {"items": [{"id": 4}]}}'))]
-    got = sorted(json.loads(r.record)["id"] for r in files.news_json(spark, paths).collect())
-    assert got == [1, 2, 3, 4]
+    rows = files.news_json(spark, paths).collect()
+    assert sorted(json.loads(r.record)["id"] for r in rows if r.error is None) == [1, 2, 3, 4]
+    assert [(r.file, r.record, r.error[:15]) for r in rows if r.error] == [("d.json", None, "JSONDecodeError")]
     assert files.text_of([{"text": ["a", 1]}, "b", None]) == "a 1 b"
 
 
@@ -151,7 +153,7 @@ def test_sinks(spark, tmp_path):
     assert open(paths[0], "rb").read() == open(paths[1], "rb").read() == b"a,b\n1,\n2,3.5\n"
     sinks.metric_reports(df, str(tmp_path / "m"))
     assert json.loads((tmp_path / "m.json").read_text())[0]["b"] is None
-    key, built = sinks.fingerprint({"k": 1}, paths), []
+    key, built = sinks.fingerprint(spark, {"k": 1}, paths), []
     for _ in range(2):
         assert sinks.cached(spark, str(tmp_path / "c"), key, lambda: built.append(1) or df).count() == 2
-    assert built == [1]
+    assert built == [1] and key != sinks.fingerprint(spark, {"k": 2}, paths) and not [f for f in os.listdir(tmp_path / "c") if f.startswith(".work")]
