@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stems of Russian month names and their numbers.
+# Names of months and their short forms, in the order in which they are tried.
 MONTHS = {
-    "январ": 1, "феврал": 2, "март": 3, "апрел": 4, "мая": 5, "май": 5, "июн": 6, "июл": 7, "август": 8,
-    "сентябр": 9, "октябр": 10, "ноябр": 11, "декабр": 12,
-    "янв": 1, "фев": 2, "мар": 3, "апр": 4, "авг": 8, "сен": 9, "окт": 10, "ноя": 11, "дек": 12,
+    "январь": 1, "янв": 1, "февраль": 2, "фев": 2, "март": 3, "апрель": 4, "апр": 4, "май": 5, "июнь": 6,
+    "июль": 7, "август": 8, "сентябрь": 9, "октябрь": 10, "ноябрь": 11, "декабрь": 12,
 }
 
 
 def parse_period(c: Column) -> Column:
-    """The month start that a period text names anywhere: month name and year, YYYYMmm, YYYY-mm, mm.YYYY; or that it is as a
-    whole: a year, else a day-first date."""
-    t = F.lower(F.trim(c))
-    year = F.regexp_extract(t, r"((?:19|20)\d{2})", 1).try_cast("int")
-    named = F.lit(None).cast("int")
-    for stem in sorted(MONTHS, key=len):  # the longest stem is tried first: it ends outermost
-        named = F.when(t.contains(stem), MONTHS[stem]).otherwise(named)
+    """The month start that a period text names anywhere: a month's name before a year, YYYYMmm, YYYY-mm, mm.YYYY; or that it is
+    as a whole: a year, else a day-first date.  Years are of this century but in whole dates; numbers of months are read whole."""
+    t = F.translate(F.lower(F.trim(c)), "ё", "е")
     made = lambda y, m: F.when(m.between(1, 12), F.make_date(y, m, F.lit(1)))
     part = lambda p, g: F.regexp_extract(t, p, g).try_cast("int")
-    month, full = r"(1[0-2]|0?[1-9])(?!\d)", r"((?:19|20)\d{2})"
-    ymm, dotted, alone = full + r"\s*[m/.\-]\s*" + month, r"(?<!\d)(1[0-2]|0?[1-9])\s*[./\-]\s*" + full, "^" + full + r"(?:\s*(?:год|г\.?))?$"
-    day_first = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in ("d.M.yyyy", "d/M/yyyy", "d-M-yyyy")])
+    month, full = r"(1[0-2]|0?[1-9])(?!\d)", r"(20\d{2})"
+    ahead = r"[^0-9]*(20\d{2})"
+    named = F.coalesce(*[made(part(name + ahead, 1), F.lit(m)) for name, m in MONTHS.items()])
+    ymm, dotted, alone = full + r"\s*[m/.\-]\s*" + month, r"(?<!\d)(1[0-2]|0?[1-9])\s*[./\-]\s*" + full, "^" + full + r"\s*(?:год|г)?$"
+    day_first = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in ("d.M.yyyy", "d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "yyyy-M")])
     return F.coalesce(
-        F.when(year.isNotNull(), made(year, named)), made(part(ymm, 1), part(ymm, 2)),
+        # One look for any name first: most texts hold none.
+        F.when(t.rlike("(?:" + "|".join(MONTHS) + ")" + ahead), named), made(part(ymm, 1), part(ymm, 2)),
         made(part(dotted, 2), part(dotted, 1)), made(part(alone, 1), F.lit(1)), F.trunc(day_first, "month"),
     )
 
@@ -83,38 +83,21 @@ def geo_key(region: Column, name: Column) -> Column:
     return F.when(known != "", F.concat_ws("::", known, bare(clean_place(name)))).otherwise(bare(clean_place(name)))
 
 
-# Named character references and what they show.
-ENTITIES = {
-    "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&laquo;": "«", "&raquo;": "»", "&mdash;": "—", "&ndash;": "–",
-    "&hellip;": "…", "&bull;": "•", "&middot;": "·", "&deg;": "°", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&sect;": "§", "&para;": "¶",
-    "&euro;": "€", "&pound;": "£", "&cent;": "¢", "&yen;": "¥", "&times;": "×", "&divide;": "÷", "&plusmn;": "±", "&minus;": "−",
-    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&bdquo;": "„", "&shy;": "\u00ad", "&frac12;": "½", "&sup2;": "²", "&numero;": "№",
-}
-
-
 def unescaped(t: Column) -> Column:
-    """Character references undone: those by number, those of ENTITIES, and &amp; last."""
-    number = r"^(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));"
-
-    def shown(piece):
-        code = F.coalesce(F.nullif(F.regexp_extract(piece, number, 1), F.lit("")).try_cast("bigint"), F.conv(F.nullif(F.regexp_extract(piece, number, 2), F.lit("")), 16, 10).try_cast("bigint"))
-        usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(usable, F.concat(char, F.regexp_replace(piece, number, ""))).otherwise(F.concat(F.lit("&#"), piece))
+    """All character references of HTML undone, named ones and those by number.  Only texts with an ampersand leave the JVM."""
+    @F.pandas_udf("string")
+    def undone(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
 
-    pieces = F.split(t, "&#")
-    t = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), shown), ""))
-    for entity, char in ENTITIES.items():
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+    return F.coalesce(undone(F.when(t.contains("&"), t)), t)
 
 
 def clean_text(c: Column, limit: int = 2000) -> Column:
     """Character references undone, tags, URLs and NULs to blanks, white space collapsed, cut at `limit`."""
     t = F.regexp_replace(unescaped(c), "\\x00", " ")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
-    t = F.regexp_replace(t, r"https?://\S+|www\.\S+", " ")
-    return F.substring(F.trim(F.regexp_replace(t, r"[ \u00a0\t\n\r\f\v]+", " ")), 1, limit)
+    t = F.regexp_replace(t, r"(?i)(?:https?://|www\.)\S+", " ")
+    return F.substring(F.trim(F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+", " ")), 1, limit)
 
 
 def normal_url(c: Column) -> Column:

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# The words of the stand-in scorer.
-POSITIVE = ["рост", "успех", "прибыль", "growth", "gain", "good", "success"]
-NEGATIVE = ["кризис", "падение", "убыток", "crisis", "loss", "bad", "fall"]
-
 
 def first_filled(*names: str):
     """The first of the columns that isn't blank."""
@@ -71,24 +64,36 @@ def shock(months: DataFrame, period: str = "period", n: int = 3) -> DataFrame:
     })
 
 
-def lexicon_scorer() -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
-    """The stand-in for a pretrained scorer: share of positive words less share of negative ones.  Named so on purpose."""
-    good, bad = set(POSITIVE), set(NEGATIVE)
+#: A text's terms: runs of letters and digits, and runs of other characters that aren't blanks.
+TERMS = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+
+
+def fit_scorer(texts: DataFrame, body: str, label: str, *, bits: int = 14, rate: float = 0.01, rounds: int = 25):
+    """A fitted pipeline that gives texts the probability of label 1 (`scored` reads it): logistic regression on the hashed terms
+    and pairs of neighbouring terms of a text, each text scaled to length one.  All of it is Spark ML in the JVM, so it learns from
+    any number of rows, and `save` keeps it."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, VectorAssembler
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                words = (t or "").lower().split()
-                hits = sum(w in good for w in words) - sum(w in bad for w in words)
-                out.append(hits / max(1, len(words)))
-            yield pd.Series(out)
+    stages = [
+        RegexTokenizer(inputCol=body, outputCol="__terms", pattern=TERMS, gaps=False, toLowercase=True),
+        NGram(n=2, inputCol="__terms", outputCol="__pairs"),
+        HashingTF(inputCol="__terms", outputCol="__one", numFeatures=1 << bits), HashingTF(inputCol="__pairs", outputCol="__two", numFeatures=1 << bits),
+        Normalizer(inputCol="__one", outputCol="__n1"), Normalizer(inputCol="__two", outputCol="__n2"), VectorAssembler(inputCols=["__n1", "__n2"], outputCol="__x"),
+        LogisticRegression(featuresCol="__x", labelCol="__label", regParam=rate, maxIter=rounds, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y"),
+    ]
+    known = texts.filter(F.col(body).isNotNull() & F.col(label).isNotNull()).select(body, F.col(label).cast("double").alias("__label"))
+    return Pipeline(stages=stages).fit(known)
 
-    return run
 
+def scored(records: DataFrame, scorer, body: str = "text") -> DataFrame:
+    """records with `score`; every distinct text is scored once, and null texts have none.  Texts meet by their digests, so
+    that only one copy of each goes to the scorer.  scorer: fit_scorer's, or a function that gives rows with `body` their `score`."""
+    from pyspark.ml.functions import vector_to_array
 
-def scored(records: DataFrame, body: str = "text", scorer=None) -> DataFrame:
-    """records with `score`; every distinct text is scored once."""
-    f = F.pandas_udf(scorer or lexicon_scorer(), "double")
-    unique = records.select(F.col(body).alias("__b")).filter("__b is not null").distinct()
-    return records.join(unique.withColumn("score", f("__b")), F.col(body) == F.col("__b"), "left").drop("__b")
+    digest = F.sha2(body, 256)
+    unique = records.filter(F.col(body).isNotNull()).groupBy(digest.alias("__k")).agg(F.first(body).alias(body))
+    fitted = getattr(scorer, "transform", None)
+    scores = fitted(unique).select("__k", vector_to_array("__p")[1].alias("score")) if fitted else scorer(unique).select("__k", "score")
+    return records.withColumn("__k", digest).join(scores, "__k", "left").drop("__k")

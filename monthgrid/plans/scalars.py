@@ -12,12 +12,26 @@ from monthgrid.session import table
 BOOK: dict = {}
 
 
-@register(BOOK, "sf5_period_parser", """SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS named, CAST(date_trunc('month', o_orderdate) AS DATE) AS inside, CAST(date_trunc('month', o_orderdate) AS DATE) AS spaced, CAST(date_trunc('month', o_orderdate) AS DATE) AS compact, CAST(date_trunc('month', o_orderdate) AS DATE) AS dotted, CAST(date_trunc('year', o_orderdate) AS DATE) AS year_only, CAST(NULL AS DATE) AS junk FROM orders""")
+PERIOD = "CAST(date_trunc('month', o_orderdate + INTERVAL 20 YEAR) AS DATE)"
+FORMS = ["named", "short", "inside", "spaced", "compact", "dotted"]
+
+
+@register(BOOK, "sf5_period_parser", f"""SELECT o_orderkey, {', '.join(f'{PERIOD} AS {n}' for n in FORMS)}, CAST(date_trunc('year', o_orderdate + INTERVAL 20 YEAR) AS DATE) AS year_only,
+ CAST(date_trunc('month', o_orderdate) AS DATE) AS day_first, CAST(NULL AS DATE) AS name_after, CAST(NULL AS DATE) AS in_a_word, CAST(NULL AS DATE) AS decade, CAST(NULL AS DATE) AS old, CAST(NULL AS DATE) AS junk FROM orders""")
 def sf5(spark, sf):
-    d = F.col("o_orderdate")
-    names = ["январь", "февраль", "марта", "апрель", "май", "июня", "июль", "августа", "сентябрь", "октября", "ноябрь", "декабря"]
-    named = F.concat(F.array(*map(F.lit, names))[F.month(d) - 1], F.lit(" "), F.year(d).cast("string"), F.lit(" года"))
-    made = {"inside": F.concat(F.lit("период "), F.date_format(d, "yyyy-MM"), F.lit(" (факт)")), "spaced": F.date_format(d, "yyyy' m 'MM"), "named": named, "compact": F.date_format(d, "yyyy'M'MM"), "dotted": F.date_format(d, "MM.yyyy"), "year_only": F.date_format(d, "yyyy' год'"), "junk": F.col("o_orderpriority")}
+    now = F.col("o_orderdate")
+    d = F.add_months(now.cast("date"), 240)
+    names = ["январь", "Февраль", "март", "апрель", "май", "июнь", "июль", "август", "сентябрь", "октябрь", "ноябрь", "декабрь"]
+    shorts = ["янв.", "фев", "марта", "апр", "май,", "июнь", "июль", "августа", "Сентябрь", "октябрь", "ноябрь", "декабрь"]
+    pick = lambda words: F.array(*map(F.lit, words))[F.month(d) - 1]
+    year = F.year(d).cast("string")
+    made = {
+        "named": F.concat(pick(names), F.lit(" "), year, F.lit(" года")), "short": F.concat(F.lit("за "), pick(shorts), F.lit(" "), year),
+        "inside": F.concat(F.lit("период "), F.date_format(d, "yyyy-MM"), F.lit(" (факт)")), "spaced": F.date_format(d, "yyyy' m 'MM"),
+        "compact": F.date_format(d, "yyyy'M'MM"), "dotted": F.date_format(d, "MM.yyyy"), "year_only": F.date_format(d, "yyyy' год'"),
+        "day_first": F.date_format(now, "dd.MM.yyyy"), "name_after": F.concat(year, F.lit(" "), pick(names)), "in_a_word": F.concat(F.lit("маркет маяк "), year),
+        "decade": F.concat(F.lit("Доля декады "), year), "old": F.concat(pick(names), F.lit(" 1920")), "junk": F.col("o_orderpriority"),
+    }
     return table(spark, sf, "orders").select("o_orderkey", *[tx.parse_period(c).alias(n) for n, c in made.items()])
 
 
@@ -36,15 +50,17 @@ def sf9(spark, sf):
     return n.select("n_nationkey", tx.geo_key(region, name).alias("key"))
 
 
+#: The references that the pages hold; the operator knows all of HTML's.
+SHOWN = {"&quot;": '"', "&copy;": "©", "&middot;": "·"}
+
+
 def unescaped_sql(column: str) -> str:
-    """The named references undone; the pages hold none by number."""
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    for entity, char in [*tx.ENTITIES.items(), ("&amp;", "&")]:
-        column = f"replace({column}, {quoted(entity)}, {quoted(char)})"
-    return column
+    for entity, char in SHOWN.items():
+        column = f"replace({column}, '{entity}', '{char}')"
+    return f"regexp_replace({column}, '&amp;?', '&', 'g')"
 
 
-HTML = r"substr(trim(regexp_replace(regexp_replace(regexp_replace(" + unescaped_sql("html") + r""", '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '[ \x{00A0}\t\n\r\f\v]+', ' ', 'g')), 1, 2000)"""
+HTML = r"substr(trim(regexp_replace(regexp_replace(regexp_replace(" + unescaped_sql("html") + r""", '<[^>]+>', ' ', 'g'), '(?i)(?:https?://|www\.)\S+', ' ', 'g'), '[ \x{00A0}\t\n\r\f\v]+', ' ', 'g')), 1, 2000)"""
 
 
 @register(BOOK, "sf10_clean_text", f"SELECT page_id, {HTML} AS body FROM pages")

@@ -146,8 +146,49 @@ def test_dedup_judges_each_key_on_all_records(spark):
 
 
 def test_every_distinct_text_is_scored_once(spark):
-    rows = spark.createDataFrame([(1, "growth growth"), (2, "growth growth"), (3, "crisis"), (4, None)], "i int, text string")
-    assert {r.i: r.score for r in news.scored(rows).collect()} == {1: 1.0, 2: 1.0, 3: -1.0, 4: None}
+    rows = spark.createDataFrame([(1, "growth growth"), (2, "growth growth"), (3, "crisis"), (4, None), (4, "crisis")], "i int, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def scorer(df):
+        @F.udf("double")
+        def length(t):
+            seen.add(1)
+            return float(len(t))
+        return df.withColumn("score", length("text"))
+
+    got = news.scored(rows, scorer).collect()
+    assert sorted((r.i, r.score or -1) for r in got) == [(1, 13.0), (2, 13.0), (3, 6.0), (4, -1), (4, 6.0)] and seen.value == 2
+
+
+def test_scores_are_those_of_the_learnt_weights(spark):
+    import re
+
+    from pyspark.ml.feature import HashingTF
+
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(80)]
+    made = []
+    for k in range(400):
+        junk = k % 3 == 0
+        made.append((k, " ".join(w + ("%%" if junk and rng.random() < 0.5 else "") for w in rng.choice(words, 30)), 0 if junk else 1))
+    df = spark.createDataFrame(made, "i int, text string, quality int")
+    model = news.fit_scorer(df.filter("i < 300"), "text", "quality", bits=10)
+    got = {r.i: r.score for r in news.scored(df, model).collect()}
+    held = [(got[i], q) for i, _, q in made if i >= 300]
+    assert np.mean([(s > 0.5) == q for s, q in held]) > 0.97
+    tf, weights = HashingTF(numFeatures=1 << 10), model.stages[-1]
+    for i, text, _ in made[300:310]:
+        terms = re.findall(r"[^\W_]+|[^\s\w]+|_+", text.lower())
+        pairs = [f"{a} {b}" for a, b in zip(terms, terms[1:])]
+        x = []
+        for items in (terms, pairs):
+            v = np.zeros(1 << 10)
+            for t in items:
+                v[tf.indexOf(t)] += 1
+            x.append(v / np.linalg.norm(v))
+        z = float(np.concatenate(x) @ weights.coefficients.toArray()) + weights.intercept
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    assert news.scored(df.withColumn("text", F.lit("")), model).filter("score is null").count() == 0
 
 
 @pytest.mark.parametrize("small", [0, 200_000])

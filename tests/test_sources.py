@@ -21,8 +21,10 @@ def one(spark, expression, *values):
 
 
 def test_period_texts(spark):
-    assert one(spark, tx.parse_period, "Январь 2023", "2023M02", "03.2023", "2023 год", "junk", "мая 2021 г.", "2023-07", "15.08.2022", "13.2023", None, "период 2020-05", "2020 m 05", "2023M12 (факт)", "за 4 / 2021") == [
-        D(2023, 1, 1), D(2023, 2, 1), D(2023, 3, 1), D(2023, 1, 1), None, D(2021, 5, 1), D(2023, 7, 1), D(2022, 8, 1), None, None, D(2020, 5, 1), D(2020, 5, 1), D(2023, 12, 1), D(2021, 4, 1)]
+    assert one(spark, tx.parse_period, "Январь 2023", "2023M02", "03.2023", "2023 год", "junk", "2023-07", "15.08.2022", "13.2023", None, "период 2020-05", "2020 m 05", "2023M12 (факт)", "за 4 / 2021") == [
+        D(2023, 1, 1), D(2023, 2, 1), D(2023, 3, 1), D(2023, 1, 1), None, D(2023, 7, 1), D(2022, 8, 1), None, None, D(2020, 5, 1), D(2020, 5, 1), D(2023, 12, 1), D(2021, 4, 1)]
+    assert one(spark, tx.parse_period, "Доля декады 2020", "маркет 2020", "маяк 2021", "2020 январь", "сен 1920", "мая 2021 г.", "марта 2021 г.", "янв. - фев. 2022", "декабрь (оценка) 2021", "1995-06", "10.03.1998", "2021 г") == [
+        None, None, None, None, None, None, D(2021, 3, 1), D(2022, 1, 1), D(2021, 12, 1), D(1995, 6, 1), D(1998, 3, 1), D(2021, 1, 1)]
 
 
 def test_messy_numbers(spark):
@@ -39,7 +41,7 @@ def test_place_names(spark):
 
 def test_bodies_and_urls(spark):
     assert one(spark, tx.clean_text, "<p>a &amp; b</p>\x00 see https://x.y/z  now", None) == ["a & b see now", None]
-    assert one(spark, tx.clean_text, "&#39;&#x416;&#128512;&nbsp;&laquo;x&raquo; &amp;lt; &# &#0; &unknown; &copy;", "&#1040;") == ["'Ж\U0001f600 «x» &lt; &# &#0; &unknown; ©", "А"]
+    assert one(spark, tx.clean_text, "&#39;&#x416;&#128512;&nbsp;&laquo;x&raquo; &amp;lt; &# &unknown; &copy; &notin; &ampx HTTP://A.b", "&#1040;") == ["'Ж\U0001f600 «x» &lt; &# &unknown; © ∉ &x", "А"]
     assert one(spark, tx.normal_url, "HTTPS://Example.com/a?q=1#f", "www.Example.com/A", "ftp://x/y", None) == ["https://example.com/a", "https://www.example.com/A", None, None]
 
 
