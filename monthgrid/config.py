@@ -38,6 +38,8 @@ class DetectConfig(Frozen):
     tda_quantile: float = Field(0.85, gt=0, lt=1)
     macro_share: float = Field(0.085, gt=0, le=1)
     lookback: int = Field(2, ge=0)
+    news_k: float = Field(2.0, gt=0)
+    negative_sentiment: float = Field(-0.3, ge=-1, le=1)
 
 
 class EngineConfig(Frozen):

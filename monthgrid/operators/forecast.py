@@ -199,11 +199,18 @@ def batched_paths(factory: Callable[[str], Callable], contexts: list, steps: int
     return np.repeat(np.array([float(c[-1]) for c in contexts])[:, None], steps, axis=1), "fallback_last_value"
 
 
-def foundation_arm(history: DataFrame, asked: DataFrame, horizon: int, factory: Callable[[str], Callable] | None = None, *, context: int = 512, batch: int = 64, device: str = "cpu", entity: str = "mo", period: str = "period", value: str = "y") -> DataFrame:
-    """asked (entity, origin) with pred and mode: the value `horizon` months after the origin by a pretrained model that sees
-    the last `context` values before the origin, so horizon + 1 steps are asked of it and the last taken.  A context of
-    under two values, or with a gap, gives its last value, none gives 0; without a model all do.  The factory is called
-    in the workers, once in each and for each device.  Contexts are bounded, so each is one array."""
+def foundation_arm(history: DataFrame, asked: DataFrame, horizon: int, factory: Callable[[str], Callable] | None = None, **options) -> DataFrame:
+    """asked (entity, origin) with pred and mode: the value `horizon` months after the origin, the last of the horizon + 1 steps
+    that foundation_paths asks for."""
+    paths = foundation_paths(history, asked, horizon + 1, factory, **options)
+    return paths.select(*[c for c in paths.columns if c not in ("path", "mode")], F.get("path", F.lit(horizon)).alias("pred"), "mode")
+
+
+def foundation_paths(history: DataFrame, asked: DataFrame, steps: int, factory: Callable[[str], Callable] | None = None, *, context: int = 512, batch: int = 64, device: str = "cpu", entity: str = "mo", period: str = "period", value: str = "y") -> DataFrame:
+    """asked (entity, origin) with path and mode: `steps` values from the origin on by a pretrained model that sees the last
+    `context` values before the origin.  A context of under two values, or with a gap, gives its last value, none gives 0;
+    without a model all do.  The factory is called in the workers, once in each and for each device.  Contexts are
+    bounded, so each is one array."""
     mark = F.coalesce(F.col("__v"), F.lit(float("nan")))
     w = W.partitionBy(entity).orderBy("__p", "__ask")
     # A request comes before the value of its own month, so the number of values up to it is the place of the last one it sees.
@@ -225,15 +232,15 @@ def foundation_arm(history: DataFrame, asked: DataFrame, horizon: int, factory:
         for pdf in batches:
             contexts = [np.asarray(c, float) for c in pdf["c"]]
             whole = [i for i, c in enumerate(contexts) if factory is not None and len(c) > 1 and np.isfinite(c).all()]
-            pred = [float(k[-1]) if len(k := c[np.isfinite(c)]) else 0.0 for c in contexts]
+            path = [[float(k[-1]) if len(k := c[np.isfinite(c)]) else 0.0] * steps for c in contexts]
             mode = ["fallback_last_value"] * len(contexts)
             if whole:
-                paths, how = batched_paths(cached, [contexts[i] for i in whole], horizon + 1, batch=batch, device=device)
-                for i, path in zip(whole, paths):
-                    pred[i], mode[i] = float(path[horizon]), how
-            yield pd.DataFrame({"e": pdf["e"], "origin": pdf["origin"], "pred": pred, "mode": mode})
+                paths, how = batched_paths(cached, [contexts[i] for i in whole], steps, batch=batch, device=device)
+                for i, made in zip(whole, paths):
+                    path[i], mode[i] = made.tolist(), how
+            yield pd.DataFrame({"e": pdf["e"], "origin": pdf["origin"], "path": path, "mode": mode})
 
-    return ready.mapInPandas(run, "e string, origin date, pred double, mode string").withColumnRenamed("e", entity)
+    return ready.mapInPandas(run, "e string, origin date, path array<double>, mode string").withColumnRenamed("e", entity)
 
 
 #: How many of its last values an entity's state keeps: what the farthest feature, growth over a year, looks back on.

@@ -14,16 +14,80 @@ from monthgrid.sources import files
 from monthgrid.streaming.monthly import windowed_counts
 
 
-def test_flow_from_panel_to_alerts(spark, months):
-    rows = [(m, p, base + 3.0 * k + (k % 12)) for m, base in (("a", 100.0), ("b", 300.0)) for k, p in enumerate(months(2020, 1, 40))]
-    features = flows.prepare(spark.createDataFrame(rows, "mo string, period date, y double")).cache()
-    oof = flows.out_of_fold(features, 1, trees=3).cache()
-    assert oof.count() == 12 and oof.filter("pred_boost <= 0").count() == 0
+def panel_of(spark, months, n=40, entities="abc"):
+    rng = np.random.default_rng(15)
+    rows = [(m, p, float(100.0 * (1 + k) + 3.0 * i + 8 * (i % 12) + rng.normal() + (150 if i > n - 4 else 0))) for k, m in enumerate(entities) for i, p in enumerate(months(2020, 1, n))]
+    return spark.createDataFrame(rows, "mo string, period date, y double")
+
+
+def drifting():
+    """In the place of a pretrained model: the last step goes on."""
+    return lambda device: lambda x, steps: x[:, -1:] + (x[:, -1:] - x[:, -2:-1]) * np.arange(1, steps + 1)
+
+
+def test_flow_from_panel_to_event_scores(spark, months):
+    target = panel_of(spark, months)
+    features = flows.prepare(target).cache()
+    oof = flows.out_of_fold(features, 1, trees=3, factory=drifting()).cache()
+    assert oof.count() == 18 and {r.mode for r in oof.collect()} == {"cpu"}
+    seen = oof.select("pred_trend", "pred_boost", "pred_foundation").collect()
+    assert all(len(set(r)) == 3 and min(r) > 0 for r in seen)  # three arms, and none is another
+    values = {(r.mo, r.period): r.y for r in target.collect()}
+    back = lambda p, k: months(p.year, p.month, 1)[0] if k == 0 else months(p.year - (p.month - k < 1), (p.month - k - 1) % 12 + 1, 1)[0]
+    for r in oof.collect():
+        a, b = values[(r.mo, back(r.origin, 1))], values[(r.mo, back(r.origin, 2))]
+        assert r.pred_foundation == pytest.approx(a + 2 * (a - b)) and r.target == values[(r.mo, r.period)]
     table = flows.score(oof).filter("fold = 'pooled'").collect()
-    assert {r.model for r in table} == {"pred_trend", "pred_boost", "pred_foundation", "pred_blend"} and all(r.n == 12 for r in table)
-    assert flows.alerts(oof).count() == 12
-    both, ahead = flows.reblend(oof, oof.drop("lead_months"), blend.CALIBRATED)
-    assert both.filter("model = 'pred_boost' and verdict <> 'even'").count() == 0 and ahead.count() == 12
+    assert {r.model for r in table} == {"pred_trend", "pred_boost", "pred_foundation", "pred_blend"} and all(r.n == 18 for r in table)
+
+    line = months(2020, 1, 40)
+    news = spark.createDataFrame([(p, float(k % 3) if p != line[37] else 60.0, -0.5 if p == line[20] else 0.1) for k, p in enumerate(line)], "period date, news_shock_score double, sentiment_index double")
+    found = flows.alerts(oof, news=news, history=target).cache()
+    local, nation = found.filter("mo <> '__national__'"), found.filter("mo = '__national__'")
+    assert local.count() == 18 and nation.count() == 40
+    assert [r.period for r in nation.filter("news_alert").orderBy("period").collect()] == [line[20], line[37]]
+    assert nation.filter("residual_shock").count() > 0 and nation.filter("residual_news_shock").count() > 0
+    assert nation.filter("residual_news_shock and not residual_shock").count() == 0
+    catalogue = spark.createDataFrame([(line[37],), (months(2030, 1, 1)[0],)], "event date")
+    quality = {r.method: r for r in flows.event_quality(found, catalogue).collect()}
+    assert set(quality) == set(flows.METHODS) and all((r.events, r.out_of_range) == (1, 1) for r in quality.values())
+    assert quality["residual"].recall == 1.0 and quality["residual"].f1 > 0
+    both, again = flows.reblend(oof, oof.drop("lead_months"), blend.CALIBRATED)
+    assert both.filter("model = 'pred_boost' and verdict <> 'even'").count() == 0 and again.count() == 18
+
+
+def test_gaps_start_a_series_anew(spark, months):
+    line = months(2020, 1, 30)
+    rows = [("a", p, 1, float(10 + k % 2), 10.0) for k, p in enumerate(line) if k not in (7, 8, 20)]
+    oof = spark.createDataFrame(rows, "mo string, period date, lead_months int, target double, pred_boost double")
+    got = {r.period: r for r in flows.alerts(oof).collect()}
+    assert len(got) == 27 and {r.mo for r in got.values()} == {"a"}
+    first = [k for k in range(30) if k not in (7, 8, 20) and not got[line[k]].cusum_eligible]
+    assert first == [0, 1, 2, 3, 9, 10, 11, 12, 21, 22, 23, 24]
+
+
+def test_training_targets_end_before_the_test(spark, months):
+    features = flows.prepare(panel_of(spark, months, 46))
+    config_ = config.EngineConfig(folds=config.FoldConfig(splits=2, fold_size=1, gap=1, min_train=24))
+    oof = flows.out_of_fold(features, 6, config_, trees=2)
+    # 22 origins at most come before the first test, and with min_train 24 no fold is left: the path is walked instead.
+    assert {(r.fold, r.lead_months, r.origin) for r in oof.collect()} == {(0, 6, months(2023, 4, 1)[0])}
+    assert oof.filter("pred_boost > 0 and target is not null").count() == 3
+    empty = flows.out_of_fold(features, 12, config.EngineConfig(folds=config.FoldConfig(min_train=60)))
+    assert empty.count() == 0 and "pred_trend" in empty.columns
+
+
+def test_submission_from_three_arms(spark, months):
+    target = panel_of(spark, months, 30)
+    features = flows.prepare(target)
+    names = spark.createDataFrame([("a",), ("b",), ("c",), ("new",)], "mo string")
+    arms = flows.ahead(features, "2022-07-01", 3, trees=2, factory=drifting(), entities=names).cache()
+    assert arms.count() == 12 and arms.filter("pred_trend is null or pred_boost is null or pred_foundation is null").count() == 0
+    wanted = spark.createDataFrame([(p,) for p in months(2022, 7, 3)], "period date")
+    rows = flows.submission(arms, wanted, names).collect()
+    assert [(r.mo, r.period) for r in rows] == [(m, p) for m in ("a", "b", "c", "new") for p in months(2022, 7, 3)] and all(r.pred > 0 for r in rows)
+    first = {(r.mo, r.period): r for r in flows.blend.regime_blend(arms.withColumn("gate_alert", F.lit(False))).collect()}
+    assert all(r.pred == first[(r.mo, r.period)].pred_blend for r in rows)
 
 
 def test_foundation_adapter():
