@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from monthgrid.hadoop import Files
 from monthgrid.operators import order
 
 # Weights of the trend, boosting and foundation arms by horizon; factory and calibrated.
@@ -28,12 +29,19 @@ NEAR = {"trend": 0.45, "boost": 0.35, "foundation": 0.20}
 FLOOR = 1e-6
 
 
-def load_weights(path: str, factory: dict = FACTORY) -> dict:
-    """A weight file (horizon to named weights) over the factory's, each horizon scaled to a sum of one."""
+def load_weights(path: str, factory: dict = FACTORY, spark=None) -> dict:
+    """A weight file (horizon to named weights) over the factory's, each horizon scaled to a sum of one; with a session, from any
+    file system it reads."""
     import json
 
-    with open(path) as f:
-        given = {int(h): w for h, w in json.load(f).items()}
+    if spark is not None:
+        text = Files(spark).read(path)
+        if text is None:
+            raise FileNotFoundError(path)
+    else:
+        with open(path) as f:
+            text = f.read()
+    given = {int(h): w for h, w in json.loads(text).items()}
     out = {}
     for h, w in (factory | given).items():
         if set(w) != {"trend", "boost", "foundation"} or min(w.values()) < 0 or sum(w.values()) <= 0:

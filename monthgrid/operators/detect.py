@@ -176,12 +176,13 @@ def cost_matrix(x: np.ndarray, model: str) -> np.ndarray:
     return np.where(size > 0, cost, np.inf)
 
 
-def optimal_breaks(x: np.ndarray, penalty: float, model: str = "rbf", size: int = 2) -> list[int]:
-    """Boundaries of the partition with the least cost plus penalty for each boundary: exact, by dynamic programming.
+def optimal_breaks(x: np.ndarray, penalty: float, model: str = "rbf", size: int = 2, cost: np.ndarray | None = None) -> list[int]:
+    """Boundaries of the partition with the least cost plus penalty for each boundary: exact, by dynamic programming; `cost` is
+    the series' cost_matrix, where it is known already.
 
     A start i is pruned once its value at some boundary s is over that boundary's best plus a penalty: splitting at s is then
     better for every end that leaves `size` points after s, as costs never grow when a segment is split."""
-    n, cost = len(x), cost_matrix(x, model)
+    n, cost = len(x), cost_matrix(x, model) if cost is None else cost
     best, back = np.concatenate([[0.0], np.full(n, np.inf)]), [0] * (n + 1)
     starts, dead = [0], {}
     for j in range(size, n + 1):
@@ -204,16 +205,26 @@ def optimal_breaks(x: np.ndarray, penalty: float, model: str = "rbf", size: int
     return out[::-1]
 
 
-def greedy_breaks(x: np.ndarray, penalty: float, model: str = "rbf", size: int = 2) -> list[int]:
-    """Boundaries of binary segmentation: the split with the largest gain first, while the gain exceeds the penalty."""
-    cost, segments, found = cost_matrix(x, model), [(0, len(x))], []
-    while True:
-        gains = [(cost[a, b] - cost[a, m] - cost[m, b], -m, a, b) for a, b in segments for m in range(a + size, b - size + 1)]
-        if not gains or max(gains)[0] <= penalty:
-            return sorted(found)
-        _, m, a, b = max(gains)
-        found.append(-m)
-        segments = [s for s in segments if s != (a, b)] + [(a, -m), (-m, b)]
+def greedy_breaks(x: np.ndarray, penalty: float, model: str = "rbf", size: int = 2, cost: np.ndarray | None = None) -> list[int]:
+    """Boundaries of binary segmentation: the split with the largest gain first (of equals the earliest), while the gain exceeds the
+    penalty.  A segment's best split is found once, when the segment is made."""
+    cost = cost_matrix(x, model) if cost is None else cost
+    open_, found = [], []
+
+    def offer(a: int, b: int) -> None:
+        if b - a >= 2 * size:
+            m = np.arange(a + size, b - size + 1)
+            gains = cost[a, b] - cost[a, m] - cost[m, b]
+            k = int(gains.argmax())
+            heapq.heappush(open_, (-float(gains[k]), int(m[k]), a, b))
+
+    offer(0, len(x))
+    while open_ and -open_[0][0] > penalty:
+        _, m, a, b = heapq.heappop(open_)
+        found.append(m)
+        offer(a, m)
+        offer(m, b)
+    return sorted(found)
 
 
 def online_breaks(y: np.ndarray, *, method: str = "pelt", window: int = 24, history: int = 4, penalty: float = 2.5, size: int = 2, model: str = "rbf"):
@@ -255,20 +266,23 @@ def segmentation(df: DataFrame, method: str = "pelt", value: str = "y", **option
 
 
 def retrospective(series: DataFrame, value: str = "y", models=("l1", "l2", "rbf"), penalties=(0.5, 1.0, 2.5)) -> DataFrame:
-    """Every model, penalty and method over one whole series, scaled by its population deviation."""
+    """Every model, penalty and method over one whole series, scaled by its population deviation.  A model is one group: its cost
+    matrix, which neither penalty nor method changes, is made once."""
     spark = series.sparkSession
-    grid = spark.createDataFrame([(a, m, float(p)) for a in ("pelt", "binseg") for m in models for p in penalties], "algorithm string, model string, penalty double")
+    grid = spark.createDataFrame([(m,) for m in models], "model string")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("period").reset_index(drop=True)
         x = pdf[value].to_numpy(float)
         x = (x - x.mean()) / max(x.std(), 1e-8)
-        a, m, p = pdf["algorithm"][0], pdf["model"][0], pdf["penalty"][0]
-        breaks = (optimal_breaks if a == "pelt" else greedy_breaks)(x, p, m)
-        return pd.DataFrame([(a, m, p, pdf["period"][b]) for b in breaks], columns=["algorithm", "model", "penalty", "break_period"])
+        model, out = pdf["model"][0], []
+        cost = cost_matrix(x, model)
+        for name, algorithm in (("pelt", optimal_breaks), ("binseg", greedy_breaks)):
+            out += [(name, model, float(p), pdf["period"][b]) for p in penalties for b in algorithm(x, p, model, cost=cost)]
+        return pd.DataFrame(out, columns=["algorithm", "model", "penalty", "break_period"])
 
     rows = series.filter(F.col(value).isNotNull()).select("period", value)
-    return rows.join(F.broadcast(grid)).groupBy("algorithm", "model", "penalty").applyInPandas(run, "algorithm string, model string, penalty double, break_period date")
+    return rows.join(F.broadcast(grid)).groupBy("model").applyInPandas(run, "algorithm string, model string, penalty double, break_period date")
 
 
 def match_events(detections: DataFrame, events: DataFrame, tolerance: int = 31) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from monthgrid.operators import order
 from monthgrid.operators.impute import fill_predictions
-from monthgrid.session import assert_none, assert_unique
+from monthgrid.session import assert_none, assert_unique, materialized
 
 
 def grid(roster: DataFrame, months: DataFrame, entity: str = "mo", period: str = "period") -> DataFrame:
@@ -22,7 +22,7 @@ def assemble(roster: DataFrame, months: DataFrame, predictions: DataFrame, *, pr
     if strangers:
         raise ValueError("predictions: an entity is not in the roster")
     rows = grid(roster, months, entity, period).join(predictions.select(entity, period, pred), [entity, period], "left")
-    rows = fill_predictions(rows, pred, entity, period) if fill else rows
+    rows = materialized(fill_predictions(rows, pred, entity, period) if fill else rows, "grid")  # checked, then returned
     assert_none(rows, F.col(pred).isNull() | F.isnan(pred) | (F.abs(F.col(pred)) == float("inf")) | (F.col(pred) < 0), "predictions: missing, negative or infinite")
     return rows.select(entity, period, pred).orderBy(entity, period)
 

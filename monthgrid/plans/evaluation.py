@@ -132,10 +132,10 @@ def wn13(spark, sf):
     return r(impute.fill_predictions(rows), pred=5)
 
 
-@register(BOOK, "ts33_normalised_ratios", sql(GAPS, "SELECT mo, period, round(CASE WHEN wage - 300000 > 0 THEN 1e6 / (wage - 300000) END, 6) AS y_per_wage, round((wage - 300000) / nullif(lag(wage - 300000, 12) OVER (PARTITION BY mo ORDER BY period), 0) - 1, 4) AS wage_growth_yoy FROM g"))
+@register(BOOK, "ts33_normalised_ratios", sql(GAPS, "SELECT mo, period, round(CASE WHEN wage - 300000 > 0 THEN 1e6 / (wage - 300000) END, 6) AS y_per_wage, round(CASE WHEN month(period) > 3 THEN 1e6 / (month(period) - 3) END, 5) AS y_per_employed, round((wage - 300000) / nullif(lag(wage - 300000, 12) OVER (PARTITION BY mo ORDER BY period), 0) - 1, 4) AS wage_growth_yoy FROM g"))
 def ts33(spark, sf):
-    rows = gaps(spark, sf).select("mo", "period", F.lit(1e6).alias("y"), (F.col("wage") - 300000).alias("wage"), F.lit(0.0).alias("employment"))
-    return r(impute.normalised_ratios(rows), y_per_wage=6, wage_growth_yoy=4).select("mo", "period", "y_per_wage", "wage_growth_yoy")
+    rows = gaps(spark, sf).select("mo", "period", F.lit(1e6).alias("y"), (F.col("wage") - 300000).alias("wage"), (F.month("period") - 3.0).alias("employment"))
+    return r(impute.normalised_ratios(rows), y_per_wage=6, y_per_employed=5, wage_growth_yoy=4).select("mo", "period", "y_per_wage", "y_per_employed", "wage_growth_yoy")
 
 
 FOLDS = PANEL + """, o AS (SELECT period AS origin, row_number() OVER (ORDER BY period) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT period FROM panel)),
@@ -153,6 +153,17 @@ def ts19b(spark, sf):
     return folds.assign(rows, folds.fold_table(rows)).select("mo", "origin", "fold", "role")
 
 
+PURGED = FOLDS + """, tr AS (SELECT k AS fold, count(*) FILTER (i < first - 1) AS n_train, count(*) FILTER (i < first - 1 AND origin + INTERVAL 3 MONTH <= test_start) AS n_left FROM (SELECT fo.fold AS k, fo.test_start, o.origin, o.i, o.n - 6 + fo.fold * 2 AS first FROM o, fo) GROUP BY k)"""
+
+
+@register(BOOK, "ts19_purged_folds", sql(PURGED, "SELECT fo.fold, train_start, train_end, test_start, test_end, n_train AS train_periods FROM fo JOIN tr ON tr.fold = fo.fold WHERE n_train >= (SELECT max(n) FROM o) - 5 AND n_left >= (SELECT max(n) FROM o) - 5"))
+def ts19c(spark, sf):
+    """Targets of three months: a fold with enough training months, but for those whose targets reach into its test, is left out."""
+    rows = panel(spark, sf).select("mo", F.col("period").alias("origin"), F.add_months("period", 3).alias("target_end"))
+    n = rows.select("origin").distinct().count()
+    return folds.fold_table(rows, min_train=n - 5, target_end="target_end")
+
+
 @register(BOOK, "ts20_checked_panel", sql(PANEL, "SELECT a.mo, a.period AS origin, b.y AS target FROM panel a JOIN panel b ON a.mo = b.mo AND b.period = a.period + INTERVAL 1 MONTH WHERE b.y IS NOT NULL"))
 def ts20(spark, sf):
     from monthgrid.operators.panel import direct
@@ -246,15 +257,41 @@ def ts39(spark, sf):
     return submit.last_value_arm(observed(spark, sf).filter("mo <> 'NATION_3'"), names)
 
 
-@register(BOOK, "ts36_submission", sql(OBSERVED, """, e AS (SELECT DISTINCT mo FROM obs), m AS (SELECT unnest([DATE '2001-05-01', DATE '2001-06-01', DATE '2001-07-01', DATE '2001-08-01', DATE '2001-09-01']) AS period),
-g AS (SELECT e.mo, m.period, o.y AS p FROM e CROSS JOIN m LEFT JOIN obs o ON o.mo = e.mo AND o.period = m.period),
+@register(BOOK, "ts36_submission", sql(BLEND, """, e AS (SELECT DISTINCT mo FROM obs), m AS (SELECT unnest([DATE '2001-05-01', DATE '2001-06-01', DATE '2001-07-01', DATE '2001-08-01', DATE '2001-09-01']) AS period),
+g AS (SELECT e.mo, m.period, b.pred_blend AS p FROM e CROSS JOIN m LEFT JOIN final b ON b.mo = e.mo AND b.period = m.period),
 f AS (SELECT mo, period, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY mo ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(p IGNORE NULLS) OVER (PARTITION BY mo ORDER BY period ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS near FROM g)
-SELECT mo, f.period, round(coalesce(near, pm), 5) AS pred FROM f LEFT JOIN (SELECT period, quantile_cont(near, 0.5) AS pm FROM f GROUP BY period) q ON q.period = f.period ORDER BY mo, f.period""").replace("\n, e", ", e"))
+SELECT mo, f.period, round(coalesce(near, pm), 7) AS pred FROM f LEFT JOIN (SELECT period, quantile_cont(near, 0.5) AS pm FROM f GROUP BY period) q ON q.period = f.period ORDER BY mo, f.period""").replace("\n, e", ", e"))
 def ts36(spark, sf):
-    rows = observed(spark, sf)
+    """The gated blend of the arms on the whole grid; months and entities without a prediction are filled."""
     months = spark.createDataFrame([(f"2001-0{k}-01",) for k in range(5, 10)], "d string").select(F.col("d").cast("date").alias("period"))
-    preds = rows.join(F.broadcast(months), "period", "left_semi").select("mo", "period", F.col("y").alias("pred"))
-    return r(submit.assemble(rows.select("mo").distinct(), months, preds, fill=True), pred=5)
+    preds = blend.regime_blend(gated(spark, sf)).join(F.broadcast(months), "period", "left_semi").select("mo", "period", F.col("pred_blend").alias("pred"))
+    return r(submit.assemble(observed(spark, sf).select("mo").distinct(), months, preds, fill=True), pred=7)
+
+
+@register(BOOK, "ts40_chosen_arm", sql(ARMS, "SELECT mo, period, pred_boost AS pred FROM oof"))
+def ts40(spark, sf):
+    """The arm asked for, over as many entities as the roster has; an arm that isn't there, or a roster of another size, is an error."""
+    rows = arms(spark, sf)
+    return submit.select_arm(rows, "pred_boost", rows.select("mo").distinct().count()).select("mo", "period", "pred")
+
+
+GIVEN = {6: {"trend": 1, "boost": 3, "foundation": 0}, 12: {"trend": 2, "boost": 1, "foundation": 1}}
+MERGED = blend.FACTORY | {h: {a: v / sum(w.values()) for a, v in w.items()} for h, w in GIVEN.items()}
+
+
+@register(BOOK, "ts28_weight_file", sql(ARMS, f"SELECT mo, period, lead_months, round(greatest(({weights('trend', table=MERGED)}) * pred_trend + ({weights('boost', table=MERGED)}) * pred_boost + ({weights('foundation', table=MERGED)}) * pred_foundation, 1e-6), 5) AS pred_blend FROM oof"))
+def ts28(spark, sf):
+    """Weights of two horizons from a file, scaled, over the factory's."""
+    import json
+
+    from monthgrid.plans.roundtrips import place
+    from monthgrid.sources.sinks import put_text
+
+    path = f"{place(spark, 'weights')}.json"
+    put_text(spark, path, json.dumps(GIVEN))
+    table_ = blend.load_weights(path, spark=spark)
+    rows = arms(spark, sf).withColumn("gate_alert", F.lit(False))
+    return r(blend.regime_blend(rows, table_).select("mo", "period", "lead_months", "pred_blend"), pred_blend=5)
 
 
 @register(BOOK, "ts29_ablation", sql(ARMS, """, d AS (SELECT *, period + INTERVAL 20 DAY AS base_at, period + INTERVAL (lead_months) DAY AS news_at FROM oof),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import json
 import re
 import zipfile
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,23 +15,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from monthgrid.functions.calendar import month_start, shift
+from monthgrid.hadoop import Files
 from monthgrid.session import assert_none, assert_unique
 
 
-def discover(folder: str, pattern: str, required: bool = True) -> str | None:
-    """The one file that matches; several are ambiguous vintages."""
-    found = sorted(Path(folder).glob(pattern))
+def discover(spark: SparkSession, folder: str, pattern: str, required: bool = True) -> str | None:
+    """The one file or table of a folder, on any file system, whose name matches; several are ambiguous vintages."""
+    found = [n for n in Files(spark).children(folder) if fnmatch.fnmatchcase(n, pattern)]
     if len(found) > 1:
-        raise ValueError(f"{pattern}: several files match: {[p.name for p in found]}")
+        raise ValueError(f"{pattern}: several files match: {found}")
     if not found and required:
         raise FileNotFoundError(f"{pattern}: no file in {folder}")
-    return str(found[0]) if found else None
+    return f"{folder.rstrip('/')}/{found[0]}" if found else None
 
 
-def discover_tokens(folder: str, tokens: list[str], kinds=(".csv", ".json", ".zip", ".xls", ".xlsx")) -> list[str]:
-    """Files below a folder whose names hold every token, without case."""
+def discover_tokens(spark: SparkSession, folder: str, tokens: list[str], kinds=(".csv", ".json", ".zip", ".xls", ".xlsx")) -> list[str]:
+    """Files at any depth below a folder, on any file system, whose names hold every token, without case."""
     low = [t.lower() for t in tokens]
-    return sorted(str(p) for p in Path(folder).rglob("*") if p.suffix.lower() in kinds and all(t in p.name.lower() for t in low))
+    named = [(path, path.rsplit("/", 1)[-1].lower()) for path, _, _ in Files(spark).state(folder)]
+    return sorted(path for path, name in named if name.endswith(tuple(kinds)) and all(t in name for t in low))
 
 
 def strict_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
@@ -289,22 +291,24 @@ def category_history(df: DataFrame, category: str, wanted: str, period: str = "p
 NEWS_EXPORTS = ("smartlab.json", "bank offshore.json", "rbk.json")
 
 
-def find_json(configured: list[str], roots: list[str], auto: bool = True, known=NEWS_EXPORTS, primary: str | None = None) -> tuple[list[str], list[str]]:
+def find_json(spark: SparkSession, configured: list[str], roots: list[str], auto: bool = True, known=NEWS_EXPORTS, primary: str | None = None) -> tuple[list[str], list[str]]:
     """(existing, looked for): the configured JSON files below each root, the primary one first, then known exports in the
-    roots themselves, each once.  A configured path that starts with the last root's own name is also taken inside it."""
-    looked: list[Path] = []
+    roots themselves, each once, on any file system.  A configured path that starts with the last root's own name is also taken
+    inside it."""
+    files, looked = Files(spark), []
+    roots = [root.rstrip("/") for root in roots]
     for name in ([primary] if primary else []) + list(configured):
-        path = Path(name)
-        if path.is_absolute():
-            looked.append(path)
+        if name.startswith("/") or "://" in name:
+            looked.append(name)
             continue
-        looked += [Path(root) / path for root in roots]
-        if roots and len(path.parts) > 1 and path.parts[0].lower() == Path(roots[-1]).name.lower():
-            looked.append(Path(roots[-1], *path.parts[1:]))
+        looked += [f"{root}/{name}" for root in roots]
+        first, _, rest = name.partition("/")
+        if roots and rest and first.lower() == roots[-1].rsplit("/", 1)[-1].lower():
+            looked.append(f"{roots[-1]}/{rest}")
     if auto:
-        looked += [p for root in roots if Path(root).is_dir() for p in sorted(Path(root).glob("*.json")) if p.name.lower() in known]
-    unique = list(dict.fromkeys(str(p.resolve()) for p in looked))
-    return [p for p in unique if Path(p).is_file()], unique
+        looked += [f"{root}/{n}" for root in roots for n in files.children(root) if n.lower() in known]
+    unique = list(dict.fromkeys(looked))
+    return [p for p in unique if files.exists(p)], unique
 
 
 def news_table(df: DataFrame) -> DataFrame:

@@ -75,6 +75,40 @@ def test_gate_uses_the_row_before_only(spark, months):
     assert [r.gate_alert for r in detect.gate(df, ["c"]).orderBy("period").collect()] == [False, False, False, True]
 
 
+@pytest.mark.parametrize("model", ["l1", "l2", "rbf"])
+def test_greedy_segmentation_by_hand(model):
+    """Split by split over all segments, each gain from the costs of the pieces."""
+    rng = np.random.default_rng(17)
+    for n, penalty, size in ((14, 0.3, 2), (20, 0.8, 3), (3, 0.1, 2), (9, 1e9, 2)):
+        x = np.concatenate([rng.normal(0, 1, n // 2), rng.normal(3, 1, n - n // 2)])
+        cost, segments, want = detect.cost_matrix(x, model), [(0, n)], []
+        while True:
+            gains = [(cost[a, b] - cost[a, m] - cost[m, b], -m, a, b) for a, b in segments for m in range(a + size, b - size + 1)]
+            if not gains or max(gains)[0] <= penalty:
+                break
+            _, m, a, b = max(gains)
+            want.append(-m)
+            segments = [s for s in segments if s != (a, b)] + [(a, -m), (-m, b)]
+        assert detect.greedy_breaks(x, penalty, model, size) == sorted(want)
+
+
+def test_retrospective_benchmark_by_hand(spark, months):
+    from itertools import combinations
+
+    rng = np.random.default_rng(18)
+    y, line = np.concatenate([rng.normal(10, 1, 6), rng.normal(14, 1, 6)]), months(2020, 1, 12)
+    got = detect.retrospective(spark.createDataFrame(list(zip(line, map(float, y))), "period date, y double"), penalties=(0.5, 2.5)).collect()
+    x = (y - y.mean()) / y.std()
+    for model in ("l1", "l2", "rbf"):
+        cost = detect.cost_matrix(x, model)
+        for penalty in (0.5, 2.5):
+            every = [c for k in range(6) for c in combinations(range(2, 11), k) if all(b - a >= 2 for a, b in zip((0, *c), (*c, 12)))]
+            total = lambda c: sum(cost[a, b] for a, b in zip((0, *c), (*c, 12))) + penalty * len(c)  # noqa: E731, B023
+            found = tuple(line.index(r.break_period) for r in got if (r.algorithm, r.model, r.penalty) == ("pelt", model, penalty))
+            assert total(sorted(found)) == pytest.approx(min(map(total, every)))
+            assert sorted(line.index(r.break_period) for r in got if (r.algorithm, r.model, r.penalty) == ("binseg", model, penalty)) == detect.greedy_breaks(x, penalty, model)
+
+
 def test_greedy_matching_uses_each_side_once(spark):
     found = spark.createDataFrame([("m", D(2022, 3, 10)), ("m", D(2022, 3, 20)), ("m", D(2022, 5, 1))], "method string, detected date")
     events = spark.createDataFrame([(D(2022, 3, 12),), (D(2022, 4, 10),)], "event date")

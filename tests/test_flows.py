@@ -131,14 +131,14 @@ def test_recursive_path_feeds_on_itself(spark, months):
     assert sorted((r.mo, r.lead_months, r.pred) for r in out) == [("a", 1, 23.0), ("a", 2, 25.0), ("a", 3, 27.0), ("new", 1, 16.0), ("new", 2, 16.5), ("new", 3, 17.0)]
 
 
-def test_json_discovery_and_lookups(tmp_path):
+def test_json_discovery_and_lookups(spark, tmp_path):
     root, data = tmp_path / "root", tmp_path / "root" / "datasets"
     data.mkdir(parents=True)
     for p in (data / "RBK.json", data / "mine.json", root / "other.json"):
         p.write_text("[]")
-    found, looked = files.find_json(["mine.json", "datasets/mine.json", "gone.json"], [str(root), str(data)])
+    found, looked = files.find_json(spark, ["mine.json", "datasets/mine.json", "gone.json"], [str(root), str(data)])
     assert [f.rsplit("/", 1)[-1] for f in found] == ["mine.json", "RBK.json"] and len(looked) == len(set(looked)) and any(x.endswith("gone.json") for x in looked)
-    assert files.find_json([], [str(data)], auto=False) == ([], [])
+    assert files.find_json(spark, [], [str(data)], auto=False) == ([], [])
 
 
 def test_subset_of_entities(spark):

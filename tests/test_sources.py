@@ -119,16 +119,16 @@ def test_news_json_containers(spark, tmp_path):
     assert files.text_of([{"text": ["a", 1]}, "b", None]) == "a 1 b"
 
 
-def test_discovery(tmp_path):
+def test_discovery(spark, tmp_path):
     (tmp_path / "wage_2023.csv").write_text("")
-    assert files.discover(str(tmp_path), "wage_*.csv").endswith("wage_2023.csv")
-    assert files.discover(str(tmp_path), "none*", required=False) is None
+    assert files.discover(spark, str(tmp_path), "wage_*.csv").endswith("wage_2023.csv")
+    assert files.discover(spark, str(tmp_path), "none*", required=False) is None
     with pytest.raises(FileNotFoundError):
-        files.discover(str(tmp_path), "none*")
+        files.discover(spark, str(tmp_path), "none*")
     (tmp_path / "wage_2024.csv").write_text("")
     with pytest.raises(ValueError, match="several"):
-        files.discover(str(tmp_path), "wage_*.csv")
-    assert len(files.discover_tokens(str(tmp_path), ["WAGE", "2024"])) == 1
+        files.discover(spark, str(tmp_path), "wage_*.csv")
+    assert len(files.discover_tokens(spark, str(tmp_path), ["WAGE", "2024"])) == 1
 
 
 def test_cache_and_roster(spark):
