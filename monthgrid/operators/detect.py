@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from monthgrid.operators.windows import by, past, quantile
+from monthgrid.session import dealt
 
 
 def check_series(df: DataFrame, entity: str = "mo", period: str = "period", value: str = "y") -> DataFrame:
@@ -123,7 +124,7 @@ def cusum(df: DataFrame, value: str = "y", **options) -> DataFrame:
         return pd.DataFrame({"mo": pdf["mo"], "period": pdf["period"], "cusum_score": score, "cusum_shock": alarm, "cusum_eligible": ~np.isnan(score)})
 
     rows = df.filter(F.col(value).isNotNull()).select("mo", "period", value)
-    made = rows.groupBy("mo").applyInPandas(run, "mo string, period date, cusum_score double, cusum_shock boolean, cusum_eligible boolean")
+    made = dealt(rows, "mo").groupBy("mo").applyInPandas(run, "mo string, period date, cusum_score double, cusum_shock boolean, cusum_eligible boolean")
     return made.withColumn("cusum_score", F.when(~F.isnan("cusum_score"), F.col("cusum_score")))
 
 
@@ -261,7 +262,7 @@ def segmentation(df: DataFrame, method: str = "pelt", value: str = "y", **option
 
     kind = f"mo string, period date, {method}_shock boolean, {method}_score double, {method}_eligible boolean, {method}_break_period date"
     rows = df.filter(F.col(value).isNotNull()).select("mo", "period", value)
-    made = rows.groupBy("mo").applyInPandas(run, kind)
+    made = dealt(rows, "mo").groupBy("mo").applyInPandas(run, kind)
     return made.withColumn(f"{method}_score", F.when(~F.isnan(f"{method}_score"), F.col(f"{method}_score")))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from monthgrid.functions.numbers import growth, ratio
 from monthgrid.operators import order
-from monthgrid.session import assert_none, forget, materialized
+from monthgrid.session import assert_none, dealt, forget, materialized
 
 
 def design(u: np.ndarray, knots: np.ndarray) -> np.ndarray:
@@ -112,7 +112,7 @@ def trend_arm(history: DataFrame, future: DataFrame, entity: str = "mo", period:
     rows = history.select(F.col(entity).alias("e"), F.col(period).alias("p"), F.col(value).alias("v"), F.lit(0).alias("kind")).unionByName(
         future.select(F.col(entity).alias("e"), F.col(period).alias("p"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind"))
     )
-    out = rows.groupBy("e").applyInPandas(run, "e string, p date, pred double, model string, mode string")
+    out = dealt(rows, "e").groupBy("e").applyInPandas(run, "e string, p date, pred double, model string, mode string")
     out = out.withColumnsRenamed({"e": entity, "p": period})
     if most_fallbacks < 1:
         out = materialized(out, "trend")

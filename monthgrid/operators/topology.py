@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from monthgrid.operators.windows import by
+from monthgrid.session import dealt
 
 
 def takens(x: np.ndarray, dimension: int = 3, delay: int = 1) -> np.ndarray:
@@ -127,7 +128,7 @@ def wide_features(df: DataFrame, value: str = "y", *, width: int = 12, dimension
 
     w = by()
     frame = w.rowsBetween(1 - width, 0)
-    rows = df.filter(F.col(value).isNotNull()).select("mo", "period", F.when(F.count(value).over(frame) == width, F.collect_list(F.col(value).cast("double")).over(frame)).alias("__w"))
+    rows = dealt(df.filter(F.col(value).isNotNull()), "mo").select("mo", "period", F.when(F.count(value).over(frame) == width, F.collect_list(F.col(value).cast("double")).over(frame)).alias("__w"))
     made = rows.select("mo", "period", bars_of("__w").alias("__bars"))
     some = F.when(F.size("__bars") > 0, F.col("__bars"))
     before = F.last(some, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))

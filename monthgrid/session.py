@@ -46,6 +46,13 @@ def assert_none(df: DataFrame, condition, message: str) -> DataFrame:
     return df
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df by key over as many tasks as the session plans for.  For what computes much on few bytes (fits, segmentations): left
+    to itself, the adaptive plan would put small tables into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def finite(column):
     """The value where it is a finite number, NULL otherwise (NaN and infinities included)."""
     c = F.col(column) if isinstance(column, str) else column
