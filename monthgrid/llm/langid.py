@@ -7,7 +7,7 @@ text whose cosine is under what nearly all training rows of that centroid reach
 is scaled down below 0.5.  Scoring is one pass without a shuffle over every whole text.
 
 Defined results: null texts and texts without a letter are `und` with score 0; rows with a null language or
-text teach nothing; with nothing learned every text is `und`; equal cosines go to the language first by name;
+text teach nothing; with nothing learned (a table without rows, say) every text is `und`; very long texts are counted whole; equal cosines go to the language first by name;
 repeated rows get one result each; a null id is drawn and held out by none; other columns are not read.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import in_slices, released, small_batches, texts
+from .arrowtools import forget, in_slices, released, small_batches, small_side, texts, written
 
 SAMPLE, CENTROIDS, DIMS, REJECT = 800, 4, 1 << 13, 0.005
 LATIN = re.compile(rb"[A-Za-z]")
@@ -79,48 +79,69 @@ def clusters(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarr
     return c
 
 
-def fit(counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS) -> dict:
-    """Centroids of each language from float32 counts, which are overwritten."""
-    df = (counts > 0).sum(axis=0)
-    idf = np.log((1 + len(counts)) / (1 + df)) + 1
-    x, names = vectors(counts, idf, counts), np.array(langs)
-    model = {"idf": idf, "langs": [], "centroids": [], "floor": []}
-    for lang in sorted(set(langs)):
-        own = x[names == lang]
-        c = clusters(own, centroids)
-        cos = own @ c.T
-        best, mine = cos.max(axis=1), cos.argmax(axis=1)
-        for j in range(len(c)):
-            model["langs"].append(lang)
-            model["centroids"].append(c[j])
-            model["floor"].append(float(np.quantile(best[mine == j], REJECT)) if (mine == j).any() else 0.0)
-    return model
+def fit_one(packed: list[bytes], idf: np.ndarray, centroids: int = CENTROIDS) -> tuple[np.ndarray, list[float]]:
+    """A language's centroids, and the cosine that nearly all its rows reach to each, from packed counts."""
+    counts = np.zeros((len(packed), DIMS), np.float32)
+    for row, r in zip(counts, sorted(packed)):
+        at, n = np.frombuffer(r, np.uint16).reshape(2, -1)
+        row[at] = n
+    own = vectors(counts, idf, counts)
+    c = clusters(own, centroids)
+    cos = own @ c.T
+    best, mine = cos.max(axis=1), cos.argmax(axis=1)
+    return c, [float(np.quantile(best[mine == j], REJECT)) if (mine == j).any() else 0.0 for j in range(len(c))]
 
 
 def learn(docs: DataFrame, allowed, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, centroids: int = CENTROIDS) -> dict:
-    """Fit on about `sample` rows of each language, drawn by a hash of the id among those `allowed`."""
+    """Fit on about `sample` rows of each language, drawn by a hash of the id among those `allowed`.
+
+    A language is one group of its bounded sample and is fitted on the executors; to the driver come four centroids of 32 kB for
+    each language, and the document counts of the terms."""
     small_batches(docs.sparkSession)
-    rows = docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).count().collect()}
-    if not sizes:
-        return {"idf": np.ones(DIMS), "langs": [], "centroids": [], "floor": []}
-    share = F.create_map([F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / n))])
+    rows = docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("__lang"), F.col(text).cast("string").alias("__text"), F.col(doc_id).alias("__id"))
+    sizes = written(rows.groupBy(F.col("__lang").alias("__of")).count(), "languages")
     # Two hashes give the draw the 52 bits of a double, for languages of any size.
-    fine = F.pmod(F.xxhash64(doc_id, F.lit(6)), F.lit(1 << 32)) / float(1 << 32)
-    drawn = rows.filter((F.pmod(F.xxhash64(doc_id, F.lit(5)), F.lit(1_000_000)) + fine) / 1e6 < share[F.col(lang).cast("string")])
+    fine = F.pmod(F.xxhash64("__id", F.lit(6)), F.lit(1 << 32)) / float(1 << 32)
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
+    drawn = rows.join(small_side(sizes), F.col("__lang") == F.col("__of")).filter((F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1_000_000)) + fine) / 1e6 < share)
 
-    def run(batches):
+    def pack(batches):
         for batch in batches:
             packed = [packed_counts(counts_of(t)) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["lang", "counts"])
 
-    got = drawn.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(released(run), "lang string, counts binary").collect()
-    got.sort(key=lambda r: (r.lang, bytes(r.counts)))
-    counts = np.zeros((len(got), DIMS), np.float32)
-    for row, r in zip(counts, got):
-        at, n = np.frombuffer(r.counts, np.uint16).reshape(2, -1)
-        row[at] = n
-    return fit(counts, [r.lang for r in got], centroids)
+    def present(batches):
+        n, df = 0, np.zeros(DIMS, np.int64)
+        for batch in batches:
+            for r in batch.column(0).to_pylist():
+                df[np.frombuffer(r, np.uint16).reshape(2, -1)[0]] += 1
+                n += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["at", "n"])
+
+    packed = written(drawn.select("__lang", "__text").mapInArrow(released(pack), "lang string, counts binary"), "counts")
+    found = packed.select("counts").mapInArrow(present, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()  # a row a term
+    df = np.zeros(DIMS, np.int64)
+    total = 0
+    for r in found:
+        if r.at < 0:
+            total = r.n
+        else:
+            df[r.at] = r.n
+    if not total:
+        forget(sizes, packed)
+        return {"idf": np.ones(DIMS), "langs": [], "centroids": [], "floor": []}
+    idf = np.log((1 + total) / (1 + df)) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def fit(table: pa.Table) -> pa.Table:
+        c, floor = fit_one(table.column("counts").to_pylist(), shared.value, centroids)
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(c)), "k": pa.array(range(len(c)), pa.int32()), "centroid": pa.array([x.tobytes() for x in c], pa.binary()), "floor": pa.array(floor)})
+
+    made = packed.groupBy("lang").applyInArrow(fit, "lang string, k int, centroid binary, floor double").collect()
+    forget(sizes, packed)
+    made.sort(key=lambda r: (r.lang, r.k))
+    return {"idf": idf, "langs": [r.lang for r in made], "centroids": [np.frombuffer(r.centroid, np.float32) for r in made], "floor": [r.floor for r in made]}
 
 
 def predict(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

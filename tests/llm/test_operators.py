@@ -314,6 +314,28 @@ def test_a_share_under_a_millionth_still_draws_rows(spark):
     assert set(langid.learn(df, F.lit(True), sample=8)["langs"]) == {"en"}
 
 
+def test_many_languages_are_fitted_on_the_executors(spark):
+    """What comes to the driver is a few centroids for each language, and they are those of a fit by hand."""
+    rng = random.Random(21)
+    alphabets = {f"l{k:02d}": [chr(97 + (7 * k + i) % 26) + chr(97 + (3 * k + 5 * i) % 26) for i in range(6)] for k in range(40)}
+    rows = [(1000 * k + n, " ".join("".join(rng.choice(a) for _ in range(3)) for _ in range(30)), lang) for k, (lang, a) in enumerate(alphabets.items()) for n in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7)
+    model = langid.learn(df, F.lit(True), centroids=2)
+    assert sorted(set(model["langs"])) == sorted(alphabets) and len(model["centroids"]) == 80
+    packed = {lang: [langid.packed_counts(langid.counts_of(t.encode())) for _, t, of in rows if of == lang] for lang in alphabets}
+    seen = np.zeros(langid.DIMS)
+    for r in sum(packed.values(), []):
+        seen[np.frombuffer(r, np.uint16).reshape(2, -1)[0]] += 1
+    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    assert np.allclose(idf, model["idf"])
+    for lang in ("l00", "l17", "l39"):
+        c, floor = langid.fit_one(packed[lang], idf, 2)
+        at = [k for k, x in enumerate(model["langs"]) if x == lang]
+        assert np.allclose(c, [model["centroids"][k] for k in at]) and floor == pytest.approx([model["floor"][k] for k in at])
+    got = langid.predict(df, model).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(rows)
+
+
 def test_pairs_of_terms_count(spark):
     """Two words are each harmless, but toxic together: weights of single terms can't tell."""
     rng = random.Random(8)
