@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from monthgrid.hadoop import Files
+from monthgrid.session import working_tables
 
 LOCK = ".runner.lock"
 
@@ -112,7 +113,8 @@ class Runner:
                 if built:
                     work = f"{self.root}/{name}/.work-{uuid.uuid4().hex}"
                     s = self.stages[name]
-                    s.build(self.spark, {r: tables[r] for r in s.reads}).write.parquet(work)
+                    with working_tables(self.spark):  # all that a stage leaves is its table
+                        s.build(self.spark, {r: tables[r] for r in s.reads}).write.parquet(work)
                     self.files.delete(place)  # what a rename that failed on the way, or an earlier build, left
                     if not self.files.rename(work, place):
                         raise RuntimeError(f"{name}: {place} could not be put in its place")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import os
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,11 +63,31 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: a cut lineage that outlives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _kept:
+        made.append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.written_to = path
     return back
 
 
+#: The lists of paths of the `working_tables` that are open.
+_kept: list[list[str]] = []
+
+
+@contextmanager
+def working_tables(spark: SparkSession):
+    """Delete, at its end, every table that `materialized` made inside: for a caller that has written its result, or failed."""
+    made: list[str] = []
+    _kept.append(made)
+    try:
+        yield
+    finally:
+        _kept.remove(made)
+        files = Files(spark)
+        for path in made:
+            files.delete(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that `materialized` made and that nothing reads any more."""
     for df in tables:

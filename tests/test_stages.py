@@ -93,6 +93,17 @@ def test_one_run_at_a_time_and_sound_graphs(spark, tmp_path):
         Runner(spark, root, [Stage("a", none)]).order(["x"])
 
 
+def test_a_stage_leaves_its_table_only(spark, tmp_path):
+    from monthgrid.session import materialized, shared_dir
+
+    def build(spark, t):
+        return materialized(spark.range(5), "stage-work").filter("id > 1")
+
+    there = lambda: [n for n in os.listdir(shared_dir(spark)) if n.startswith("stage-work")]
+    assert Runner(spark, str(tmp_path), [Stage("a", build)]).run()["a"].count() == 3 and there() == []
+    assert build(spark, {}).count() == 3 and len(there()) == 1  # outside of a runner the caller decides
+
+
 def test_protected_outputs(spark, tmp_path):
     (tmp_path / "submission.csv").write_text("a")
     paths = [str(tmp_path / "submission.csv"), str(tmp_path / "none")]
