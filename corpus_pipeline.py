@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from monthgrid.hadoop import Files
 from monthgrid.llm import decontam, lines, partenum, pieces, toxicity
-from monthgrid.llm.arrowtools import shared_dir
+from monthgrid.llm.arrowtools import shared_dir, working_tables
 
 
 def toxicity_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what passes between them lies in the shared folder."""
+    """All stages over the documents of sf_dir.  What passes between them lies in the shared folder: a stage's working tables go once
+    its documents are written, and these go once the next stage's are.  The last stage's result is read from the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
+    files = Files(spark)
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        place = f"{folder}/{k}-{name}"
+        with working_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(place)
+        if before:
+            files.delete(before)
+        docs, before = spark.read.parquet(place), place
     return STAGES[-1][1](spark, docs, sf_dir)

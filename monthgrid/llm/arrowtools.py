@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 
+from monthgrid.session import forget, materialized, shared_dir, working_tables  # noqa: F401  the operators take them from here
+
+
 BATCH_ROWS = 512
 
 #: Lower-cases A-Z, keeps 0-9 a-z and every byte of a non-ASCII character, blanks the rest.
@@ -71,37 +72,9 @@ def spare(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a folder of this machine
-    serves local masters; a cluster without the setting is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext._jsc.sc()
-    if not found:
-        own = context.getCheckpointDir()
-        if not own.isDefined() and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = own.get() if own.isDefined() else f"{tempfile.gettempdir()}/checkpoints/monthgrid"
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def written(df, name: str):
     """Cut the lineage: write to the shared folder as Parquet and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.written_to = path
-    return back
-
-
-def forget(*tables) -> None:
-    """Delete tables that `written` made and that nothing reads any more."""
-    for df in tables:
-        if path := getattr(df, "written_to", None):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return materialized(df, name)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

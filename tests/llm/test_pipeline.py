@@ -70,6 +70,35 @@ def test_empty_documents(spark, sf):
     assert docs.count() == 0
 
 
+def test_long_and_repeated_rows(spark, sf):
+    rng = random.Random(6)
+    long = " ".join(rng.choice(WORDS) for _ in range(120_000))
+    extra = [(500, long, "en", "s9", len(long)), (501, "a" * 300_000, "en", "s9", 300_000)] + [(502, "one two three four five six seven", "en", "s9", 32)] * 3 + [(None, "nine eight seven six five four", None, None, None)] * 2
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(3)
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        docs.write.parquet(f"{sf}/long-{name}")
+        docs = spark.read.parquet(f"{sf}/long-{name}")
+        counts.append(docs.filter("doc_id = 502").count())
+    assert counts == [3, 3, 1, 1, 1]  # rows of one document and text are near-duplicates of one another
+    got = {r.doc_id: r for r in docs.filter("doc_id >= 500 or doc_id is null").collect()}
+    assert set(got) == {500, 501, 502, None} and all(r.exact for r in got.values()) and got[500].n_pieces > 120_000
+
+
+def test_run_leaves_its_last_documents_only(spark, sf):
+    import os
+
+    from monthgrid.session import shared_dir
+
+    there = lambda: {n for n in os.listdir(shared_dir(spark)) if n != "lost+found"}
+    before = there()
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    left = there() - before
+    assert [n.split("-")[0] for n in left] == ["pipeline"] and len(os.listdir(f"{shared_dir(spark)}/{left.pop()}")) == 1
+
+
 def test_one_query_for_each_operator():
     names = sorted(n.split("_")[0] for n in registry.QUERIES if n.startswith("op"))
-    assert names == sorted(f"op{k}" for k in range(1, 11)) and "pipeline" in registry.QUERIES
+    assert names == sorted(f"op{k}" for k in range(1, 14)) and "pipeline" in registry.QUERIES
