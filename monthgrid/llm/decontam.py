@@ -9,7 +9,8 @@ The item side is taken in blocks of at most `block_windows` windows, the proven
 a very long item is spread over several;
 texts are never shuffled, so no source, copy group or common passage can load one task.
 
-Defined results: a null or wordless text has zero words and no hits; wordless and null items are ignored;
+Defined results: a null or wordless text has zero words and no hits; wordless and null items are ignored; very long texts
+are read whole, a batch of about 4 MB or one text at a time;
 equal windows of several items count for each; repeated rows give one result each; empty tables give empty
 or clean results; other columns of either table are not read.
 """

@@ -7,7 +7,7 @@ of all pages is combined before the shuffle; the few candidates are then counted
 For each host there are at most (lines a page / ratio) such lines, whatever its number of pages.
 
 Defined results: null text stays null and counts as a page without lines; pages without a host keep every
-line; repeated rows are pages of their own; an empty table gives an empty table; all other columns pass
+line; very long texts are split whole, and a line of any length is one line; a share at the ratio is no boilerplate; repeated rows are pages of their own; an empty table gives an empty table; all other columns pass
 through untouched, whatever their names (but for __n_lines and __n_dropped, which are replaced).
 """
 

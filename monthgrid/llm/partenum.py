@@ -24,7 +24,8 @@ Stars of one component are done; in the others, the nodes outside of the largest
 of other components tile by tile, by sketches, and only likely pairs leave a tile to be verified.
 
 Defined results: null and wordless texts have no shingles and link with nothing; a text of fewer words than a
-shingle is one shingle; repeated ids are rows of their own; an empty table gives an empty table; other columns
+shingle is one shingle; very long texts are one set, held whole by a task; a pair at the threshold links, and the least id names a
+component; repeated ids are rows of their own; an empty table gives an empty table; other columns
 are not read.  Sets are counted and compared as 64-bit hashes of shingles; no pair links unless its words agree.
 """
 

@@ -13,7 +13,8 @@ that come first in such a block are compared once more across blocks, grouped by
 
 Defined results: null is an empty text; texts under `length` bytes lose nothing; rows that repeat an id are documents
 of their own, in the order of their texts; rows without an id lose nothing and take nothing from others; matches
-are judged on the input; kept bytes may cut a character, so they are binary; an empty table gives an empty table;
+are judged on the input; of equal strings the first (by id, then by place) stays; very long texts are judged whole, like any other;
+kept bytes may cut a character, so they are binary; an empty table gives an empty table;
 other columns are not read.
 """
 

@@ -12,7 +12,7 @@ over every whole text.
 Defined results: null, empty and wordless texts get the score of the bias alone; without labels of both
 classes the score is the share of toxic labels (0 without any); labels repeated for an id count once, toxic if
 any says so; null labels and ids teach nothing; repeated rows get one result each, texts of equal terms the same
-score, a score at the threshold is toxic; other columns are not read.
+score, a score at the threshold is toxic; very long texts are read whole; other columns are not read.
 """
 
 from __future__ import annotations

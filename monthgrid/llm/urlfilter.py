@@ -8,7 +8,7 @@ verdicts are joined back to the captures.  All grouped work is first reduced to
 that holds a third of the entries or captures has no more rows than there are dates.
 
 Defined results: entries with a null or empty key or a null date are ignored; of one key's entries on one date, an add wins
-over removals; an entry is in force on its own date; captures without a host or date are not blocked; repeated
+over removals; an entry is in force on its own date; captures without a host or date are not blocked; very long addresses are keys like any other; repeated
 captures each get a row; empty tables give no verdicts; other columns of the captures pass through, but for those
 that have the names of the results.
 """
