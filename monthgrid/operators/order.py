@@ -145,8 +145,11 @@ def prefix_medians(counts: DataFrame, at: str, value: str, n: str, places: list)
         return counts.select(F.col(at), F.col(value).cast("double").alias("median")).limit(0)
     later = F.array(*[F.lit(p) for p in places])
     rows = counts.select(F.col(value).cast("double").alias("value"), F.col(n).alias("n"), F.size(F.filter(later, lambda p: p <= F.col(at))).alias("next")).filter(F.col("next") < len(places))
-    edges, _ = spread(rows, "value", [])
-    binned = rows.crossJoin(F.broadcast(edges)).select("value", "n", "next", bin_of(F.col("value"), F.col("edges")).alias("bin"))
+    found = spread(rows, "value", [])[0].collect()  # one row, which the driver has made
+    if not found:
+        return counts.select(F.col(at), F.col(value).cast("double").alias("median")).limit(0)
+    edges = F.array(*[F.lit(e) for e in found[0]["edges"]])
+    binned = rows.select("value", "n", "next", bin_of(F.col("value"), edges).alias("bin"))
     cells = binned.groupBy("bin", "next").agg(F.sum("n").alias("n"))
     # Every bin with every place: 256 times as many cells as places.
     full = cells.select("bin").distinct().select("bin", F.explode(F.sequence(F.lit(0), F.lit(len(places) - 1))).alias("place"))
