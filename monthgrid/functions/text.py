@@ -19,19 +19,29 @@ MONTHS = {
 def parse_period(c: Column) -> Column:
     """The month start that a period text names anywhere: a month's name before a year, YYYYMmm, YYYY-mm, mm.YYYY; or that it is
     as a whole: a year, else a day-first date.  Years are of this century but in whole dates; numbers of months are read whole."""
-    t = F.translate(F.lower(F.trim(c)), "ё", "е")
-    made = lambda y, m: F.when(m.between(1, 12), F.make_date(y, m, F.lit(1)))
-    part = lambda p, g: F.regexp_extract(t, p, g).try_cast("int")
+
     month, full = r"(1[0-2]|0?[1-9])(?!\d)", r"(20\d{2})"
-    ahead = r"[^0-9]*(20\d{2})"
-    named = F.coalesce(*[made(part(name + ahead, 1), F.lit(m)) for name, m in MONTHS.items()])
+    names, ahead = "|".join(MONTHS), r"[^0-9]*(20\d{2})"
+    # At the first of the names, in their order, that has a year ahead of it: that name and the year.
+    named = "^(?:" + "|".join(rf"[\s\S]*?(?={name}{ahead.replace('(', '(?:')})" for name in MONTHS) + f")({names}){ahead}"
     ymm, dotted, alone = full + r"\s*[m/.\-]\s*" + month, r"(?<!\d)(1[0-2]|0?[1-9])\s*[./\-]\s*" + full, "^" + full + r"\s*(?:год|г)?$"
-    day_first = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in ("d.M.yyyy", "d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "yyyy-M")])
-    return F.coalesce(
-        # One look for any name first: most texts hold none.
-        F.when(t.rlike("(?:" + "|".join(MONTHS) + ")" + ahead), named), made(part(ymm, 1), part(ymm, 2)),
-        made(part(dotted, 2), part(dotted, 1)), made(part(alone, 1), F.lit(1)), F.trunc(day_first, "month"),
-    )
+    number = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    parsed = lambda t, *forms: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in forms])
+
+    def read(t: Column) -> Column:
+        part = lambda p, g: F.regexp_extract(t, p, g)
+        start = lambda y, m: F.make_date(y.cast("int"), m.cast("int"), F.lit(1))
+        # What is cast or parsed is looked at before: a failure costs an exception, even where it gives a null.
+        day_first = F.when(t.contains("."), parsed(t, "d.M.yyyy")).when(t.contains("/"), parsed(t, "d/M/yyyy")).otherwise(parsed(t, "d-M-yyyy", "yyyy-M-d", "yyyy-M"))
+        return (
+            F.when(t.rlike(f"(?:{names}){ahead}"), start(part(named, 2), number[part(named, 1)]))
+            .when(t.rlike(ymm), start(part(ymm, 1), part(ymm, 2))).when(t.rlike(dotted), start(part(dotted, 2), part(dotted, 1)))
+            .when(t.rlike(alone), start(part(alone, 1), F.lit(1)))
+            .when(t.rlike(r"^[+\-]?\d+([./\-])[+\-]?\d+(?:\1[+\-]?\d+)?$"), F.trunc(day_first, "month"))
+        )
+
+    # The folded text is bound once; written out at each of its uses, a few columns outgrow what Java compiles as one method.
+    return F.transform(F.array(F.translate(F.lower(F.trim(c)), "ё", "е")), read)[0]
 
 
 # Names of regions that are written in several ways, cleaned, and their keys.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from monthgrid.functions import text as tx
 from monthgrid.functions.numbers import messy_number
 from monthgrid.plans.book import register
-from monthgrid.session import table
+from monthgrid.session import dealt, table
 
 BOOK: dict = {}
 
@@ -32,7 +32,8 @@ def sf5(spark, sf):
         "day_first": F.date_format(now, "dd.MM.yyyy"), "name_after": F.concat(year, F.lit(" "), pick(names)), "in_a_word": F.concat(F.lit("маркет маяк "), year),
         "decade": F.concat(F.lit("Доля декады "), year), "old": F.concat(pick(names), F.lit(" 1920")), "junk": F.col("o_orderpriority"),
     }
-    return table(spark, sf, "orders").select("o_orderkey", *[tx.parse_period(c).alias(n) for n, c in made.items()])
+    rows = dealt(table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), "o_orderkey")
+    return rows.select("o_orderkey", *[tx.parse_period(c).alias(n) for n, c in made.items()])
 
 
 @register(BOOK, "sf6_messy_numbers", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL ELSE round(l_extendedprice, 2) END AS price, CAST(l_linenumber AS DOUBLE) * 1000 AS scientific FROM lineitem")

@@ -27,6 +27,18 @@ def test_period_texts(spark):
         None, None, None, None, None, None, D(2021, 3, 1), D(2022, 1, 1), D(2021, 12, 1), D(1995, 6, 1), D(1998, 3, 1), D(2021, 1, 1)]
 
 
+def test_periods_of_many_columns_compile_and_cost_no_exceptions(spark):
+    """Thirteen columns of periods stay within what Java compiles as one method, and junk is not parsed by trial."""
+    names = [f"c{k}" for k in range(13)]
+    rows = spark.createDataFrame([("май 2021 январь 2020",) * 13, ("junk",) * 13, ("31.02.1999",) * 13, ("5/1/1998",) * 13], names)
+    parsed = rows.select(*[tx.parse_period(F.col(c)).alias(c) for c in names])
+    assert [[str(v) for v in r] for r in parsed.collect()] == [[v] * 13 for v in ("2020-01-01", "None", "None", "1998-01-01")]
+    made = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(parsed._jdf.queryExecution().sparkPlan())
+    assert len(made) < 100_000
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_cast" not in plan.lower() and "rlike" in plan.lower()
+
+
 def test_messy_numbers(spark):
     assert one(spark, messy_number, "1 000,5", "1 100,5", "-", "..", "12 руб", None, "", "1.5e3", "2E+2", "e") == [1000.5, 1100.5, None, None, 12.0, None, None, 1500.0, 200.0, None]
 
