@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -251,18 +252,102 @@ def online_breaks(y: np.ndarray, *, method: str = "pelt", window: int = 24, hist
     return shock, score, at
 
 
+def window_costs(x: np.ndarray, model: str) -> np.ndarray:
+    """The cost matrix of each row of x, as cost_matrix makes it; all rows at once but under l1."""
+    w, n = x.shape
+    if model == "l1":
+        return np.stack([median_costs(v) for v in x])
+    size = np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None]
+    if model == "l2":
+        x = x - x.mean(axis=1, keepdims=True)
+        one, two = (np.concatenate([np.zeros((w, 1)), np.cumsum(v, axis=1)], axis=1) for v in (x, x * x))
+        apart = lambda s: s[:, None, :] - s[:, :, None]
+        cost = np.maximum(apart(two) - apart(one) ** 2 / np.maximum(size, 1), 0.0)
+    else:
+        d = (x[:, :, None] - x[:, None, :]) ** 2
+        med = np.median(d[:, *np.triu_indices(n, 1)], axis=1)
+        g = np.exp(-np.clip(d / np.where(med > 0, med, 1.0)[:, None, None], 1e-2, 1e2))
+        g[:, np.arange(n), np.arange(n)] = 1.0
+        total = np.zeros((w, n + 1, n + 1))
+        total[:, 1:, 1:] = g.cumsum(1).cumsum(2)
+        own = np.diagonal(total, axis1=1, axis2=2)
+        cost = size - (own[:, None, :] - total - total.transpose(0, 2, 1) + own[:, :, None]) / np.maximum(size, 1)
+    return np.where(size > 0, cost, np.inf)
+
+
+def last_breaks(x: np.ndarray, penalty: float, model: str = "rbf", size: int = 2) -> np.ndarray:
+    """The last boundary of each row's optimal partition, 0 without any: optimal_breaks for many rows of one length."""
+    w, n = x.shape
+    cost = np.ascontiguousarray(window_costs(x, model).transpose(1, 2, 0))
+    best, back = np.full((n + 1, w), np.inf), np.zeros((n + 1, w), np.int64)
+    best[0] = 0.0
+    for j in range(size, n + 1):
+        for i in (0, *range(size, j - size + 1)):
+            c = best[i] + cost[i, j] + (penalty if i else 0.0)
+            less = c < best[j] - 1e-12
+            best[j][less], back[j][less] = c[less], i
+    return back[n]
+
+
+def online_pelt(y: np.ndarray, place: np.ndarray, told: np.ndarray, *, window: int = 24, history: int = 4, penalty: float = 2.5, size: int = 2, model: str = "rbf", most: int = 2048):
+    """online_breaks under pelt for many series one after another, at the steps `told`; place: the number of each value in its
+    series.  All windows of one length are segmented together, `most` at a time.
+
+    A boundary has `size` points behind it at least and is told while `size` follow it at most, so it is the last one, `size`
+    before the end, and no two steps have the same."""
+    n = len(y)
+    shock, score, at = np.zeros(n, bool), np.full(n, np.nan), np.full(n, -1)
+    length = np.minimum(place + 1, window)
+    asked = told & (length > max(history, 2 * size))
+    for k in np.unique(length[asked]).tolist():
+        of = np.flatnonzero(asked & (length == k))
+        pen = min(penalty, max(0.5, 0.35 * np.log(k)))
+        for lo in range(0, len(of), most):
+            i = of[lo : lo + most]
+            x = y[i[:, None] + np.arange(1 - k, 1)]
+            past_ = np.ascontiguousarray(x[:, :-1])
+            x = (x - past_.mean(axis=1, keepdims=True)) / np.maximum(past_.std(axis=1, ddof=1, keepdims=True), 1e-8)
+            found = last_breaks(x, pen, model, size) == k - size  # never at 0, as k > 2 * size
+            score[i] = np.where(found, np.abs(x[:, k - size :].mean(axis=1) - x[:, : k - size].mean(axis=1)), 0.0)
+            shock[i], at[i] = found, np.where(found, place[i] + 1 - size, -1)
+    return shock, score, at
+
+
 def segmentation(df: DataFrame, method: str = "pelt", value: str = "y", **options) -> DataFrame:
-    """(mo, period, shock, score, eligible, break_period) of each entity's known values, each step seeing its past only."""
+    """(mo, period, shock, score, eligible, break_period) of each entity's known values, each step seeing its past only.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    Under pelt a task's entities go through together, some batches of sorted rows at a time; of the last one of these, which
+    may go on, the rows that its next windows reach are kept."""
+    columns = ["mo", "period", *(f"{method}_{c}" for c in ("shock", "score", "eligible", "break_period"))]
+    kind = f"mo string, period date, {method}_shock boolean, {method}_score double, {method}_eligible boolean, {method}_break_period date"
+    rows = df.filter(F.col(value).isNotNull()).select(F.col("mo").cast("string").alias("mo"), "period", F.col(value).cast("double").alias(value))
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("period").reset_index(drop=True)
         shock, score, at = online_breaks(pdf[value].to_numpy(float), method=method, **options)
         where = [pdf["period"][a] if a >= 0 else None for a in at]
-        return pd.DataFrame({"mo": pdf["mo"], "period": pdf["period"], f"{method}_shock": shock, f"{method}_score": score, f"{method}_eligible": ~np.isnan(score), f"{method}_break_period": where})
-
-    kind = f"mo string, period date, {method}_shock boolean, {method}_score double, {method}_eligible boolean, {method}_break_period date"
-    rows = df.filter(F.col(value).isNotNull()).select("mo", "period", value)
-    made = dealt(rows, "mo").groupBy("mo").applyInPandas(run, kind)
+        return pd.DataFrame(dict(zip(columns, (pdf["mo"], pdf["period"], shock, score, ~np.isnan(score), where))))
+
+    def together(batches):
+        kept = None  # the last rows of the batches before
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            own = pa.concat_tables([kept, new]) if kept is not None else new
+            mo = own.column("mo").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            here = np.arange(len(mo))
+            first = np.maximum.accumulate(np.where(np.concatenate(([True], mo[1:] != mo[:-1])), here, 0)) if len(mo) else here
+            told = here >= len(mo) - len(new)  # those kept have their results already
+            shock, score, at = online_pelt(own.column(value).to_numpy(), here - first, told, **options)
+            when = own.column("period").take(pa.array(np.where(at >= 0, first + at, 0)[told], mask=~shock[told]))
+            out = [own.column("mo").filter(pa.array(told)), own.column("period").filter(pa.array(told)), pa.array(shock[told]), pa.array(score[told]), pa.array(~np.isnan(score[told])), when]
+            yield from pa.table(dict(zip(columns, out))).to_batches()
+            if len(mo):
+                kept = own.slice(max(int(first[-1]), len(mo) - options.get("window", 24) + 1))
+
+    if method == "pelt":
+        made = dealt(rows, "mo").sortWithinPartitions("mo", "period").mapInArrow(together, kind)
+    else:
+        made = dealt(rows, "mo").groupBy("mo").applyInPandas(each, kind)
     return made.withColumn(f"{method}_score", F.when(~F.isnan(f"{method}_score"), F.col(f"{method}_score")))
 
 

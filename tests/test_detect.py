@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import time
 from itertools import combinations
 
 import numpy as np
