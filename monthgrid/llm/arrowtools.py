@@ -61,6 +61,13 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def settled(spark) -> None:
+    """Hand back what the driver no longer needs, Python's and Java's: in a long run of small jobs, freed memory is kept, and
+    generated code and plans pile up until the heap is at its limit."""
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spare(columns: list[str], *names: str) -> list[str]:
     """The names, lengthened until no column of a table has them."""
     taken, out = {c.lower() for c in columns}, []

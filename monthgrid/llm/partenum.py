@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrowtools import forget, in_slices, mix64, released, small_batches, small_side, spare, texts, written
+from .arrowtools import forget, in_slices, mix64, released, settled, small_batches, small_side, spare, texts, written
 from .components import components
 
 SHINGLE, BUCKET, TILE, STEP, COMMON = 5, 64, 2048, 1.6, 200_000
@@ -306,11 +306,13 @@ def signed(docs: DataFrame, text: str, q: int, common: np.ndarray, blocks: int)
     return docs.select(F.col(text).cast("string")).mapInArrow(released(run), "block bigint, entries bigint, pairs bigint, blob binary")
 
 
-def starred(sent: DataFrame) -> DataFrame:
-    """(a, b, across) of each block, shorts: the least node of a bucket with every other, as tasks have paired them
-    (across is false) and across tasks."""
+def starred(sent: DataFrame, blocks: int) -> DataFrame:
+    """(a, b, across) of all blocks, shorts: the least node of a bucket with every other, as tasks have paired them
+    (across is false) and across tasks.  Near copies share signatures of many blocks; what blocks have paired goes on
+    compressed, by ranges of the pairs, and only there, once for each pair, becomes rows."""
+    parts = max(1, blocks // 16)
 
-    def run(table: pa.Table) -> pa.Table:
+    def paired(table: pa.Table) -> pa.Table:
         z = zstandard.ZstdDecompressor()
         sigs, nodes, within = [], [], []
         for n, k, blob in zip(*(table.column(c).to_pylist() for c in ("entries", "pairs", "blob"))):
@@ -321,11 +323,32 @@ def starred(sent: DataFrame) -> DataFrame:
         sig, node, within = np.concatenate(sigs), np.concatenate(nodes), np.unique(np.concatenate(within), axis=0)
         order = np.lexsort((node, sig))
         _, first = stars_of(sig[order], node[order])
-        over = pairs_of(first, node[order])
-        both = np.concatenate((within, over)).astype(np.int64)
-        return pa.table({"a": both[:, 0], "b": both[:, 1], "across": np.arange(len(both)) >= len(within)})
-
-    return sent.groupBy("block").applyInArrow(run, "a bigint, b bigint, across boolean")
+        z, rows = zstandard.ZstdCompressor(level=1), []
+        for across, pairs in ((False, within), (True, pairs_of(first, node[order]))):
+            part = ((mix64(pairs[:, 0] ^ mix64(pairs[:, 1])) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            for k in np.unique(part):
+                own = pairs[part == k]
+                rows.append((int(k), across, len(own), z.compress(planes(own[:, 0]) + planes(own[:, 1]))))
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["part", "across", "n", "pairs"])
+
+    def once(table: pa.Table) -> pa.Table:
+        z, out = zstandard.ZstdDecompressor(), []
+        for wanted in (False, True):
+            a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for across, n, blob in zip(*(table.column(c).to_pylist() for c in ("across", "n", "pairs"))):
+                if across == wanted:
+                    data = z.decompress(blob)
+                    a.append(unplaned(data[: 5 * n], n))
+                    b.append(unplaned(data[5 * n :], n))
+            a, b = np.concatenate(a), np.concatenate(b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            fresh = np.concatenate((np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            out.append((a[fresh].astype(np.int64), b[fresh].astype(np.int64), np.full(int(fresh.sum()), wanted)))
+        return pa.table(dict(zip(("a", "b", "across"), map(np.concatenate, zip(*out)))))
+
+    made = sent.groupBy("block").applyInArrow(paired, "part bigint, across boolean, n bigint, pairs binary")
+    return made.groupBy("part").applyInArrow(once, "a bigint, b bigint, across boolean")
 
 
 def packed(docs: DataFrame, text: str, q: int) -> DataFrame:
@@ -446,7 +469,9 @@ def tiled(members: DataFrame, label: DataFrame, stored: DataFrame, tile: int, cl
 def component_labels(docs: DataFrame, made: DataFrame, text: str, q: int, bucket: int, common: np.ndarray) -> DataFrame:
     """(node, label) of all nodes that link with others."""
     total = made.agg(F.sum(0.8 * F.col("n") + 12)).first()[0] or 0
-    stars = written(starred(signed(docs, text, q, common, max(1, int(total / SIGNED)))).distinct(), "stars")
+    blocks = max(1, int(total / SIGNED))
+    stars = written(starred(signed(docs, text, q, common, blocks), blocks), "stars")
+    settled(docs.sparkSession)
     rows = made.filter("node is not null").select("node", "key", F.expr(SHORT).alias("short"))
     twins = written(rows.groupBy("short").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("short", "a"), "twins")
     shorts = stars.select(F.explode(F.array("a", "b")).alias("short")).unionByName(twins.select("short"))
@@ -484,6 +509,7 @@ def component_labels(docs: DataFrame, made: DataFrame, text: str, q: int, bucket
                 old, label = label, components(links.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b"))))
                 forget(old)
         forget(fresh)
+        settled(docs.sparkSession)
     forget(stars, twins, involved, keys, stored, names, pairs, members, *tested)
     return label
 
@@ -495,7 +521,9 @@ def grouped(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE, buc
     made = written(digests(docs, doc_id, text, shingle), "sets")
     often = made.filter("n is null").groupBy("common").agg(F.sum("times").alias("times")).filter("times >= 24").orderBy(F.desc("times"), "common").limit(common)
     rows = made.filter("n is not null").select("id", "key", "n", "node")
-    label = component_labels(docs, rows, text, shingle, bucket, np.sort(np.array([r.common for r in often.collect()], np.int64).view(np.uint64)))
+    found = often.select("common").toArrow().column(0).to_numpy().astype(np.int64)  # a row each would take the driver a hundred times the bytes
+    settled(docs.sparkSession)
+    label = component_labels(docs, rows, text, shingle, bucket, np.sort(found.view(np.uint64)))
     classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = classes.join(label, "node", "left").filter(F.col("label").isNotNull() | (F.col("copies") > 1))
     named = written(named.select("node", "least", F.coalesce("label", "node").alias("label")), "classes")

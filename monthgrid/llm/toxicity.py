@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import in_slices, released, small_batches, small_side, texts, written
+from .arrowtools import in_slices, released, settled, small_batches, small_side, texts, written
 from .decontam import words_of
 
 SAMPLE, FACTORS, BITS, SURE = 5_000, 8, 18, 6.0
@@ -150,7 +150,10 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, *, doc_id: str = "doc_id"
     z = zstandard.ZstdDecompressor()
     rows = [np.cumsum(np.frombuffer(z.decompress(r.at), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32) for r in got]
     del got
-    return train(rows, y, **options)
+    model = train(rows, y, **options)
+    del rows
+    settled(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -651,3 +651,15 @@ def test_native_operators_run_no_python(spark, tmp_path):
     for out in (lines.drop_boilerplate(df, host="source", text="text"), urlfilter.evaluate(df, e)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_stars_hold_each_pair_once_over_many_blocks(spark):
+    """Near copies share signatures of most blocks; their pair is a row once, and the blocks together lose none."""
+    rng = np.random.default_rng(8)
+    words = [[f"w{v}" for v in rng.integers(0, 10**9, 120)] for _ in range(12)]
+    texts = [" ".join(w[:k] + ["other"] + w[k:]) for w in words for k in (20, 60, 100)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    none = np.empty(0, np.uint64)
+    got = [[(r.a, r.b) for r in partenum.starred(partenum.signed(docs, "text", 5, none, blocks), blocks).filter(F.col("across") == across).collect()] for across in (False, True) for blocks in (1, 40)]
+    assert all(len(x) == len(set(x)) for x in got)
+    assert set(got[0]) == set(got[1]) and set(got[2]) == set(got[3]) and got[0] + got[2]
